@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from quadlab.functions.geometry import clamp, let
+from quadlab.functions.geometry import clamp, fixed, let
 
 
 def _total(a: Column) -> Column:
@@ -131,14 +131,14 @@ def grid_stats(grid: Column, width: int) -> Column:
 
 def image_quality_issues(w: Column, h: Column, brightness: Column, contrast: Column, edge_var: Column) -> Column:
     aspect = F.greatest(w / h, h / w)
-    level = (F.when(brightness < 30, F.format_string("very_dark:brightness=%.1f", brightness))
-             .when(brightness < 50, F.format_string("dark:brightness=%.1f", brightness))
-             .when(brightness > 240, F.format_string("very_bright:brightness=%.1f", brightness))
-             .when(brightness > 220, F.format_string("bright:brightness=%.1f", brightness)))
+    level = (F.when(brightness < 30, fixed("very_dark:brightness=%.1f", brightness))
+             .when(brightness < 50, fixed("dark:brightness=%.1f", brightness))
+             .when(brightness > 240, fixed("very_bright:brightness=%.1f", brightness))
+             .when(brightness > 220, fixed("bright:brightness=%.1f", brightness)))
     return F.array_compact(F.array(
         F.when((w < 200) | (h < 200), F.format_string("low_resolution:%dx%d", w.cast("int"), h.cast("int"))),
         level,
-        F.when(contrast < 20, F.format_string("low_contrast:stddev=%.1f", contrast)),
-        F.when(edge_var < 100, F.format_string("possibly_blurry:variance=%.1f", edge_var)),
-        F.when(aspect > 3, F.format_string("unusual_image_aspect:%.1f", aspect)),
+        F.when(contrast < 20, fixed("low_contrast:stddev=%.1f", contrast)),
+        F.when(edge_var < 100, fixed("possibly_blurry:variance=%.1f", edge_var)),
+        F.when(aspect > 3, fixed("unusual_image_aspect:%.1f", aspect)),
     ))

@@ -6,6 +6,7 @@ corner re-ordering uses array functions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
@@ -294,6 +295,12 @@ def quad_is_sane(q: Column) -> Column:
 
 # ---------------------------------------------------------------- issue lists
 
+def fixed(template: str, *values: Column) -> Column:
+    """``format_string`` that rounds halves to even, as the text files do, instead of up."""
+    digits = [int(d) for d in re.findall(r"%\.(\d)f", template)]
+    return F.format_string(template, *[F.bround(v, d) for v, d in zip(values, digits)])
+
+
 def _issues(*items: tuple[Column, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, text) for cond, text in items]))
 
@@ -311,10 +318,10 @@ def corner_order_issues(q: Column, slack: float = 0.1) -> Column:
 def edge_touch_issues(q: Column, t: float = 0.02) -> Column:
     b = bbox(q)
     return _issues(
-        (b["xmin"] < t, F.format_string("touches_left_edge:%.3f", b["xmin"])),
-        (b["xmax"] > 1 - t, F.format_string("touches_right_edge:%.3f", b["xmax"])),
-        (b["ymin"] < t, F.format_string("touches_top_edge:%.3f", b["ymin"])),
-        (b["ymax"] > 1 - t, F.format_string("touches_bottom_edge:%.3f", b["ymax"])),
+        (b["xmin"] < t, fixed("touches_left_edge:%.3f", b["xmin"])),
+        (b["xmax"] > 1 - t, fixed("touches_right_edge:%.3f", b["xmax"])),
+        (b["ymin"] < t, fixed("touches_top_edge:%.3f", b["ymin"])),
+        (b["ymax"] > 1 - t, fixed("touches_bottom_edge:%.3f", b["ymax"])),
     )
 
 
@@ -330,15 +337,15 @@ def quad_issues(q: Column) -> Column:
     fill = F.try_divide(area, b["area"])
     return _issues(
         ((b["xmin"] < -0.01) | (b["xmax"] > 1.01) | (b["ymin"] < -0.01) | (b["ymax"] > 1.01),
-         F.format_string("coords_outside_bounds: x=[%.3f,%.3f] y=[%.3f,%.3f]", b["xmin"], b["xmax"], b["ymin"], b["ymax"])),
-        (area > 0.95, F.format_string("very_large_bbox: area=%.3f", area)),
-        ((b["w"] > 0) & (b["h"] > 0) & (aspect > 5), F.format_string("extreme_aspect_ratio: %.1f", aspect)),
-        (lo < 0.02, F.format_string("very_short_edge: %.4f", lo)),
-        ((lo > 0) & (F.try_divide(hi, lo) > 10), F.format_string("edge_ratio_extreme: %.1f", F.try_divide(hi, lo))),
-        (amin < 20, F.format_string("very_acute_angle: %.1f°", amin)),
-        (amax > 160, F.format_string("very_obtuse_angle: %.1f°", amax)),
+         fixed("coords_outside_bounds: x=[%.3f,%.3f] y=[%.3f,%.3f]", b["xmin"], b["xmax"], b["ymin"], b["ymax"])),
+        (area > 0.95, fixed("very_large_bbox: area=%.3f", area)),
+        ((b["w"] > 0) & (b["h"] > 0) & (aspect > 5), fixed("extreme_aspect_ratio: %.1f", aspect)),
+        (lo < 0.02, fixed("very_short_edge: %.4f", lo)),
+        ((lo > 0) & (F.try_divide(hi, lo) > 10), fixed("edge_ratio_extreme: %.1f", F.try_divide(hi, lo))),
+        (amin < 20, fixed("very_acute_angle: %.1f°", amin)),
+        (amax > 160, fixed("very_obtuse_angle: %.1f°", amax)),
         (~is_convex_strict(q), F.lit("non_convex_quad")),
-        ((b["area"] > 0.01) & (fill < 0.3), F.format_string("possibly_self_intersecting: area_ratio=%.2f", fill)),
+        ((b["area"] > 0.01) & (fill < 0.3), fixed("possibly_self_intersecting: area_ratio=%.2f", fill)),
     )
 
 

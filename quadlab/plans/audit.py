@@ -132,7 +132,7 @@ def small_boxes(labels: DataFrame, images: DataFrame, area: float = 0.05, side:
     rows = rows.withColumns({"width": b["w"], "height": b["h"], "area": G.shoelace_area(q)})
     tests = [("area", area), ("width", side), ("height", side)]
     rows = rows.withColumn("reason", F.concat_ws(", ", *[
-        F.when(F.col(c) < t, F.format_string(f"{c}=%.4f < {t}", F.col(c))) for c, t in tests]))
+        F.when(F.col(c) < t, G.fixed(f"{c}=%.4f < {t}", F.col(c))) for c, t in tests]))
     rows = pick_image(rows.where(F.col("reason") != ""), images)
     name = F.concat("stem", "ext")
     return rows.select(name.alias("name"), "width", "height", "area", "reason", N.source_prefix(name).alias("prefix"))

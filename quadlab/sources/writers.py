@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quadlab.functions import names as N
+from quadlab.functions.geometry import fixed
 
 EIGHT = " ".join(["%.6f"] * 8)
 
 
 def _eight(coords: Column) -> list[Column]:
-    return [F.get(coords, F.lit(i)) for i in range(8)]
+    # halves go to even before formatting
+    return [F.bround(F.get(coords, F.lit(i)), 6) for i in range(8)]
 
 
 def label_line(coords: Column, cls: int = 0) -> Column:
@@ -22,7 +24,7 @@ def prediction_line(name: Column, detected: Column, conf: Column, coords: Column
     """Eleven tokens; eight -1 when undetected."""
     missing = F.array_repeat(F.lit(-1.0), 8)
     shown = F.when((detected == 1) & coords.isNotNull(), coords).otherwise(missing)
-    return F.format_string(f"%s %d %.6f {EIGHT}", name, detected, conf, *_eight(shown))
+    return F.format_string(f"%s %d %.6f {EIGHT}", name, detected, F.bround(conf, 6), *_eight(shown))
 
 
 def write_split(df: DataFrame, path: str, order: str = "ord") -> None:
@@ -58,7 +60,7 @@ EVAL_DECIMALS = {"iou": 6, "err_mean": 2, "err_max": 2, "score": 4}
 
 
 def format_decimals(df: DataFrame, decimals: dict[str, int] = EVAL_DECIMALS) -> DataFrame:
-    return df.withColumns({c: F.format_string(f"%.{d}f", F.col(c)) for c, d in decimals.items() if c in df.columns})
+    return df.withColumns({c: fixed(f"%.{d}f", F.col(c)) for c, d in decimals.items() if c in df.columns})
 
 
 def write_csv(df: DataFrame, path: str, decimals: dict[str, int] = EVAL_DECIMALS) -> None:
