@@ -177,8 +177,9 @@ def iou_ctes(out: str, src: str, order: str = "raw") -> list[tuple[str, str]]:
             ex, ey = f"(bx{(j+1)%3} - bx{j})", f"(by{(j+1)%3} - by{j})"
             den = f"({dx} * {ey} - {dy} * {ex})"
             fx, fy = f"(bx{j} - ax{i})", f"(by{j} - ay{i})"
-            t = f"(({fx} * {ey} - {fy} * {ex}) / nullif({den}, 0))"
-            u = f"(({fx} * {dy} - {fy} * {dx}) / nullif({den}, 0))"
+            near = f"CASE WHEN abs({den}) > 1e-12 THEN {den} END"
+            t = f"(({fx} * {ey} - {fy} * {ex}) / ({near}))"
+            u = f"(({fx} * {dy} - {fy} * {dx}) / ({near}))"
             items.append(f"{{'ok': {t} BETWEEN 0 AND 1 AND {u} BETWEEN 0 AND 1, 'x': ax{i} + {t} * {dx}, 'y': ay{i} + {t} * {dy}}}")
     return first + [
         (f"{p}tt", f"SELECT * FROM ({combos}) c WHERE asg <> 0 AND bsg <> 0"),

@@ -228,50 +228,43 @@ def is_self_intersecting(q: Column) -> Column:
     return _cross(a, b, c, d) | _cross(b, c, d, a)
 
 
-def _lobes(a, b, c, d) -> tuple[tuple, tuple, tuple]:
-    """Edges ab and cd cross: the crossing point and the two triangles it closes."""
+def _tri_area(p, q, r) -> Column:
+    return F.abs(_side(p, q, r)) * F.lit(0.5)
+
+
+def _at_crossing(a, b, c, d, body: Callable[[tuple[Column, Column]], Column]) -> Column:
+    """``body`` of the point where edges ab and cd cross, computed once."""
     sa, sb = _side(c, d, a), _side(c, d, b)
-    t = F.try_divide(sa, sa - sb)
-    x = (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))
-    return x, (x, b, c), (x, d, a)
+    point = let(F.try_divide(sa, sa - sb), lambda t: F.struct(
+        (a[0] + t * (b[0] - a[0])).alias("x"), (a[1] + t * (b[1] - a[1])).alias("y")))
+    return let(point, lambda k: body((k["x"], k["y"])))
 
 
-def _tri_area(p, q, r) -> Column:
-    return F.abs(_side(p, q, r)) * F.lit(0.5)
+def _if_crossing(q: Column, body: Callable, otherwise: Column) -> Column:
+    """``body(x, p1, p2, p3, p4)`` for a self-crossing quad: x closes the triangles x,p1,p2 and x,p3,p4."""
+    a, b, c, d = _corners(q)
+    return (F.when(_cross(a, b, c, d), _at_crossing(a, b, c, d, lambda x: body(x, b, c, d, a)))
+            .when(_cross(b, c, d, a), _at_crossing(b, c, d, a, lambda x: body(x, c, d, a, b)))
+            .otherwise(otherwise))
 
 
 def valid_area(q: Column) -> Column:
     """Area of the largest piece after a self-crossing quad is split at its crossing."""
-    a, b, c, d = _corners(q)
-    _, p1, p2 = _lobes(a, b, c, d)
-    _, r1, r2 = _lobes(b, c, d, a)
-    return (F.when(_cross(a, b, c, d), F.greatest(_tri_area(*p1), _tri_area(*p2)))
-            .when(_cross(b, c, d, a), F.greatest(_tri_area(*r1), _tri_area(*r2)))
-            .otherwise(shoelace_area(q)))
+    return _if_crossing(q, lambda x, p1, p2, p3, p4: F.greatest(_tri_area(x, p1, p2), _tri_area(x, p3, p4)),
+                        shoelace_area(q))
 
 
 def largest_piece(q: Column) -> Column:
     """The quad itself, or the larger triangle of a self-crossing one (last corner repeated)."""
-    a, b, c, d = _corners(q)
-
-    def bigger(first, second) -> Column:
-        one, two = pack([*first, first[2]]), pack([*second, second[2]])
-        return F.when(_tri_area(*first) >= _tri_area(*second), one).otherwise(two)
-    _, p1, p2 = _lobes(a, b, c, d)
-    _, r1, r2 = _lobes(b, c, d, a)
-    return (F.when(_cross(a, b, c, d), bigger(p1, p2))
-            .when(_cross(b, c, d, a), bigger(r1, r2))
-            .otherwise(q))
+    def bigger(x, p1, p2, p3, p4) -> Column:
+        return (F.when(_tri_area(x, p1, p2) >= _tri_area(x, p3, p4), pack([x, p1, p2, p2]))
+                .otherwise(pack([x, p3, p4, p4])))
+    return _if_crossing(q, bigger, q)
 
 
 def all_pieces(q: Column) -> Column:
     """Ring around both triangles of a self-crossing quad, each in the same direction."""
-    a, b, c, d = _corners(q)
-    x1, _, _ = _lobes(a, b, c, d)
-    x2, _, _ = _lobes(b, c, d, a)
-    return (F.when(_cross(a, b, c, d), pack([x1, b, c, x1, a, d]))
-            .when(_cross(b, c, d, a), pack([x2, c, d, x2, b, a]))
-            .otherwise(q))
+    return _if_crossing(q, lambda x, p1, p2, p3, p4: pack([x, p1, p2, x, p4, p3]), q)
 
 
 def fill_ratio(q: Column) -> Column:

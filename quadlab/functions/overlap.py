@@ -21,23 +21,54 @@ from quadlab.functions import geometry as G
 SNAP = 1e-14
 
 
-def _edge_columns(q: str, tag: str) -> list[Column]:
+# The per-quad steps below are SQL text over a named column: one call builds what would otherwise be
+# hundreds of Column objects per quad.
+
+def _x(q: str, i: int) -> str:
+    return f"get(`{q}`, {2 * (i % 4)})"
+
+
+def _y(q: str, i: int) -> str:
+    return f"get(`{q}`, {2 * (i % 4) + 1})"
+
+
+def _edge_columns(q: str, tag: str) -> list[str]:
     """Per edge: left x, right x, y at the left end, slope, direction."""
     out = []
     for i in range(4):
-        j = (i + 1) % 4
-        x0, y0, x1, y1 = (F.get(q, F.lit(k)) for k in (2 * i, 2 * i + 1, 2 * j, 2 * j + 1))
+        x0, y0, x1, y1 = _x(q, i), _y(q, i), _x(q, i + 1), _y(q, i + 1)
         parts = {
-            "l": F.least(x0, x1),
-            "r": F.greatest(x0, x1),
-            "y": F.when(x0 <= x1, y0).otherwise(y1),
-            "m": F.try_divide(y1 - y0, x1 - x0),
-            "s": F.when(x0 < x1, F.lit(1.0)).otherwise(F.lit(-1.0)),
+            "l": f"least({x0}, {x1})",
+            "r": f"greatest({x0}, {x1})",
+            "y": f"if({x0} <= {x1}, {y0}, {y1})",
+            "m": f"try_divide({y1} - {y0}, {x1} - {x0})",
+            "s": f"if({x0} < {x1}, 1D, -1D)",
         }
-        out += [F.coalesce(c, F.lit(0.0)).alias(f"{tag}{k}{i}") for k, c in parts.items()]
+        out += [f"coalesce({e}, 0D) AS {tag}{k}{i}" for k, e in parts.items()]
     return out
 
 
+def _area(q: str) -> str:
+    terms = [f"({_x(q, i)} * {_y(q, i + 1)} - {_x(q, i + 1)} * {_y(q, i)})" for i in range(4)]
+    return f"abs({' + '.join(terms)}) * 0.5D"
+
+
+def _side(q: str, a: int, b: int, c: int) -> str:
+    return (f"(({_x(q, b)} - {_x(q, a)}) * ({_y(q, c)} - {_y(q, a)}) - "
+            f"({_y(q, b)} - {_y(q, a)}) * ({_x(q, c)} - {_x(q, a)}))")
+
+
+def _edges_cross(q: str, i: int) -> str:
+    """Edges i and i+2 cross."""
+    a, b, c, d = i, i + 1, i + 2, i + 3
+    return (f"(({_side(q, a, b, c)} > 0) <> ({_side(q, a, b, d)} > 0) AND "
+            f"({_side(q, c, d, a)} > 0) <> ({_side(q, c, d, b)} > 0))")
+
+
+def _tangled(q: str) -> str:
+    return f"({_edges_cross(q, 0)} OR {_edges_cross(q, 1)})"
+
+
 def _pair_term(a: str, i: int, b: str, j: int) -> str:
     lo = f"greatest({a}l{i}, {b}l{j})"
     hi = f"least({a}r{i}, {b}r{j})"
@@ -94,9 +125,10 @@ def ring_area(r: Column) -> Column:
 
 
 def _ratio(inter: Column, area_a: Column, area_b: Column) -> Column:
-    union = area_a + area_b - inter
-    return F.when(union <= 0, F.lit(0.0)).when(inter <= SNAP, F.lit(0.0)).otherwise(
-        F.least(F.try_divide(inter, union), F.lit(1.0)))
+    def ratio(v: Column) -> Column:
+        return F.when((v["u"] <= 0) | (v["i"] <= SNAP), F.lit(0.0)).otherwise(
+            F.least(F.try_divide(v["i"], v["u"]), F.lit(1.0)))
+    return G.let(F.struct(inter.alias("i"), (area_a + area_b - inter).alias("u")), ratio)
 
 
 def with_polygon_iou(df: DataFrame, pairs: Sequence[tuple[str, str, str]], order: str = "raw",
@@ -113,55 +145,65 @@ def with_polygon_iou(df: DataFrame, pairs: Sequence[tuple[str, str, str]], order
     quads = list(dict.fromkeys(q for a, b, _ in pairs for q in (a, b)))
     tag = {q: f"__q{n}_" for n, q in enumerate(quads)}
 
-    # 1. the ring of every quad
-    rings = df
-    for q in quads:
-        c = F.col(q)
-        ring = G.order_ccw(c) if order == "ccw" else c
-        rings = rings.withColumn(f"{tag[q]}o", ring)
-        if order == "ccw" or mode == "largest":
-            rings = rings.withColumn(f"{tag[q]}g", G.largest_piece(F.col(f"{tag[q]}o")))
-        else:
-            rings = rings.withColumn(f"{tag[q]}g", F.col(f"{tag[q]}o"))
-        rings = rings.withColumn(f"{tag[q]}x", G.is_self_intersecting(F.col(f"{tag[q]}o")))
+    names = [f"`{c}`" for c in keep]
+
+    # 1. the ring of every quad; corners in angle order never cross
+    if order == "ccw":
+        rings = df.withColumns({f"{tag[q]}g": G.order_ccw(F.col(q)) for q in quads})
+        tangled = {q: "false" for q in quads}
+    else:
+        flagged = df.selectExpr("*", *[f"{_tangled(q)} AS {tag[q]}x" for q in quads])
+        whole = mode != "largest"
+        rings = flagged.withColumns({f"{tag[q]}g": F.col(q) if whole else F.when(
+            F.col(f"{tag[q]}x"), G.largest_piece(F.col(q))).otherwise(F.col(q)) for q in quads})
+        tangled = {q: f"{tag[q]}x" for q in quads}
 
     # 2. edges and areas
-    cols: list[Column] = [F.col(c) for c in keep]
+    exprs = list(names)
     for q in quads:
-        g = f"{tag[q]}g"
-        cols += _edge_columns(g, tag[q])
-        cols.append(G.shoelace_area(F.col(g)).alias(f"{tag[q]}a"))
-        cols += [F.col(f"{tag[q]}x"), F.col(f"{tag[q]}o")]
-    edged = rings.select(*cols)
+        exprs += _edge_columns(f"{tag[q]}g", tag[q])
+        exprs += [f"{_area(f'{tag[q]}g')} AS {tag[q]}a", f"{tangled[q]} AS {tag[q]}t"]
+    edged = rings.selectExpr(*exprs)
 
     # 3. overlap areas, next to the null check (see the module text)
-    usable = {q: F.expr(f"`{q}` is not null and forall(`{q}`, c -> c is not null)") for q in quads}
-    cols = [F.col(c) for c in keep] + [usable[q].alias(f"{tag[q]}ok") for q in quads]
-    cols += [F.col(f"{tag[q]}{k}") for q in quads for k in ("a", "x", "o")]
-    cols += [F.expr(overlap_area_expr(tag[a], tag[b])).alias(f"__i{n}") for n, (a, b, _) in enumerate(pairs)]
-    crossed = edged.select(*cols)
+    exprs = list(names)
+    for q in quads:
+        exprs += [f"`{q}` IS NOT NULL AND forall(`{q}`, c -> c IS NOT NULL) AS {tag[q]}ok", f"{tag[q]}a", f"{tag[q]}t"]
+    exprs += [f"{overlap_area_expr(tag[a], tag[b])} AS __i{n}" for n, (a, b, _) in enumerate(pairs)]
+    crossed = edged.selectExpr(*exprs)
 
     # 4. ratio and the special modes
-    out = [F.col(c) for c in keep]
+    results: dict[str, Column] = {}
     for n, (a, b, name) in enumerate(pairs):
         ta, tb = tag[a], tag[b]
         area_a, area_b = F.col(f"{ta}a"), F.col(f"{tb}a")
         iou = _ratio(F.col(f"__i{n}"), area_a, area_b)
         ok = F.col(f"{ta}ok") & F.col(f"{tb}ok")
-        tangled = F.col(f"{ta}x") | F.col(f"{tb}x")
+        mixed = F.col(f"{ta}t") | F.col(f"{tb}t")
         if order == "ccw":
             ok = ok & (area_a > 0) & (area_b > 0)
         elif mode == "strict":
-            iou = F.when(tangled, F.lit(0.0)).otherwise(iou)
+            iou = F.when(mixed, F.lit(0.0)).otherwise(iou)
         elif mode == "bbox_fallback":
-            iou = F.when(tangled, bbox_iou(F.col(a), F.col(b), epsilon=1e-9)).otherwise(iou)
+            iou = F.when(mixed, bbox_iou(F.col(a), F.col(b), epsilon=1e-9)).otherwise(iou)
         elif mode == "whole":
-            ra, rb = G.all_pieces(F.col(f"{ta}o")), G.all_pieces(F.col(f"{tb}o"))
-            iou = F.when(tangled, _ratio(ring_overlap(ra, rb), ring_area(ra), ring_area(rb))).otherwise(iou)
-        out.append(F.when(ok, iou).alias(name))
+            ra, rb = G.all_pieces(F.col(a)), G.all_pieces(F.col(b))
+            iou = F.when(mixed, G.let(F.struct(ra.alias("a"), rb.alias("b")), lambda r: _ratio(
+                ring_overlap(r["a"], r["b"]), ring_area(r["a"]), ring_area(r["b"])))).otherwise(iou)
+        results[name] = F.when(ok, iou)
     for q, name in (valid or {}).items():
-        out.append((F.col(f"{tag[q]}ok") & (F.coalesce(F.col(f"{tag[q]}a"), F.lit(0.0)) > 0)).alias(name))
-    return crossed.select(*out)
+        results[name] = F.col(f"{tag[q]}ok") & (F.coalesce(F.col(f"{tag[q]}a"), F.lit(0.0)) > 0)
+    return computed(crossed, results, keep)
+
+
+def computed(df: DataFrame, cols: dict[str, Column], keep: Sequence[str] | None = None) -> DataFrame:
+    """Add columns through a one-row ``inline``.
+
+    Filters on the new columns stay above it. Pushed through plain projections they would repeat the
+    whole calculation inside the filter.
+    """
+    row = F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))
+    return df.select(*(keep or df.columns), F.inline(row))
 
 
 def bbox_iou(a: Column, b: Column, epsilon: float = 0.0) -> Column:
