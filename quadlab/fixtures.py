@@ -107,12 +107,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _array(prefix: str) -> str:
-    return f"array({', '.join(f'{prefix}{i}' for i in range(8))})"
-
-
 def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k")
+    keys = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k")
+    cores = spark.sparkContext.defaultParallelism
+    # a table of one small file would otherwise keep a single core busy
+    return keys.repartition(cores) if keys.rdd.getNumPartitions() < cores else keys
+
+
+# The same coordinates as the SQL views, with one array expression instead of eight columns.
+_PARAMS = ", ".join(f"named_struct('m', {m}L, 'n', {n}L, 'o', {o}L)" for m, n, o in _BASE)
+_BASE_ARRAY = f"transform(array({_PARAMS}), p -> CAST(p.o + (k * p.m) % p.n AS DOUBLE) / 1024D)"
+_LABEL_ARRAY = """CASE
+    WHEN k % 97 = 0 THEN concat(slice(b, 1, 4), slice(b, 7, 2), slice(b, 5, 2))
+    WHEN k % 89 = 0 THEN transform(b, v -> 0.25D + v * 0.125D)
+    ELSE transform(b, (v, i) -> CASE WHEN k % 83 = 0 AND i IN (0, 6) THEN 2D / 1024D
+        WHEN k % 79 = 0 AND i IN (4, 5) THEN get(b, i - 4) + 60D / 1024D
+        WHEN k % 103 = 0 AND i = 2 THEN v + 300D / 1024D ELSE v END) END"""
+_JITTER_ARRAY = """CASE
+    WHEN k % 107 = 0 THEN transform(b, v -> v * 0.25D + CAST(s - 11 AS DOUBLE) * 0.125D)
+    ELSE transform(b, (v, i) -> v + IF(k % 29 = 0, 150D / 1024D, 0D)
+        + CAST(IF(k % (s + 8) = 0, (k * s + 7919 * i) % 401 - 200, (k * s + 7919 * i) % (2 * amp + 1) - amp) AS DOUBLE) / 1024D)
+    END"""
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,20 +141,21 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stem, coords (rows with a label only), sample_id, name."""
     return (_keys(spark, sf_dir).where("NOT (k % 101 = 0 OR k % 10 >= 8)")
-            .selectExpr("k", *_named(BASE, "b"))
-            .selectExpr("k AS sample_id", f"{NAME} AS name", *_named(LABEL, "g"))
-            .selectExpr("sample_id", "name", r"regexp_replace(name, '\\.[^.]*$', '') AS stem", f"{_array('g')} AS coords"))
+            .selectExpr("k", f"{NAME} AS name", f"{_BASE_ARRAY} AS b")
+            .selectExpr("k AS sample_id", "name", r"regexp_replace(name, '\\.[^.]*$', '') AS stem", f"{_LABEL_ARRAY} AS coords"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """split, source, name, detected, conf, coords, sample_id."""
     rows = ", ".join(f"named_struct('source', '{n}', 's', {s})" for n, s in SOURCE_ROWS)
-    return (_keys(spark, sf_dir).selectExpr("k", f"inline(array({rows}))").where("k % (s * 5) <> 0")
-            .selectExpr("k", "source", "s", f"{AMP} AS amp", *_named(BASE, "b"))
-            .selectExpr("k", "source", f"{DETECTED} AS detected", f"{CONF} AS conf", *_named(JITTERED, "p"))
-            .selectExpr("k AS sample_id", f"{NAME} AS name", f"{SPLIT} AS split", "source", "detected", "conf",
-                        *_named(PRED, "c"))
-            .selectExpr("split", "source", "name", "detected", "conf", f"{_array('c')} AS coords", "sample_id"))
+    rolled = "IF(source = 'teacher' AND k % 31 = 0, concat(slice(p, 3, 6), slice(p, 1, 2)), p)"
+    return (_keys(spark, sf_dir).selectExpr("k", f"{NAME} AS name", f"{SPLIT} AS split", f"{_BASE_ARRAY} AS b",
+                                            f"inline(array({rows}))").where("k % (s * 5) <> 0")
+            .selectExpr("k", "name", "split", "source", "s", f"{AMP} AS amp", "b", f"{DETECTED} AS detected", f"{CONF} AS conf")
+            .selectExpr("k", "name", "split", "source", "detected", "conf", f"{_JITTER_ARRAY} AS p")
+            .selectExpr("split", "source", "name", "detected", "conf",
+                        f"IF(detected = 1, transform({rolled}, v -> least(greatest(v, 0D), 1D)), array_repeat(-1D, 8)) AS coords",
+                        "k AS sample_id"))
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quadlab.functions import compare as C
 from quadlab.functions.overlap import bbox_iou, with_polygon_iou
-from quadlab.operators.quantiles import exact_percentiles
+from quadlab.operators.quantiles import aggregate, percentile
 
 
 def evaluate_pairs(df: DataFrame, img_size: float = 224.0, exact_iou: bool = True) -> DataFrame:
@@ -30,17 +30,6 @@ def _rate(cond: Column) -> Column:
     return F.avg(cond.cast("double"))
 
 
-def _by(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    return (df, list(by)) if by else (df.withColumn("__all", F.lit(0)), ["__all"])
-
-
-def join_groups(parts: Sequence[DataFrame], keys: list[str], by: Sequence[str]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, keys, "left")
-    return out if by else out.drop("__all")
-
-
 def classification_aggs(label: Column, score: Column, threshold: float = 0.5) -> list[Column]:
     hit = score > threshold
     return [F.count_if(hit & label).alias("tp"), F.count_if(hit & ~label).alias("fp"),
@@ -86,64 +75,50 @@ def detection_metrics(df: DataFrame, by: Sequence[str] = (), approx: bool = Fals
 
     Median and p95 are exact unless ``approx``.
     """
-    df, keys = _by(df, by)
     pos = F.col("has_doc")
     aggs = geometry_aggs(pos) + classification_aggs(pos, F.col("score"))
+    iou = F.when(pos, F.col("iou"))
+    errs = [F.when(pos, F.get("corner_errs", F.lit(i))) for i in range(4)]
     if approx:
-        aggs.append(F.coalesce(F.percentile_approx(F.when(pos, F.col("iou")), 0.5), F.lit(0.0)).alias("median_iou"))
-    base = classification_rates(df.groupBy(*keys).agg(*aggs)).drop("tp", "fp", "tn", "fn")
-    corners = df.where(pos).select(*keys, F.explode("corner_errs").alias("e"))
-    if approx:
-        p95 = corners.groupBy(*keys).agg(F.percentile_approx("e", 0.95).alias("corner_error_p95_px"))
-        parts = [base, p95]
-        fill = ["corner_error_p95_px"]
-    else:
-        median = exact_percentiles(df.where(pos), {"median_iou": 0.5}, "iou", keys)
-        p95 = exact_percentiles(corners, {"corner_error_p95_px": 0.95}, "e", keys)
-        parts = [base, median, p95]
-        fill = ["median_iou", "corner_error_p95_px"]
-    return join_groups(parts, keys, by).fillna(0.0, fill)
+        tail = F.percentile_approx(F.when(pos, F.col("err_max")), 0.95)
+        aggs += [F.percentile_approx(iou, 0.5).alias("median_iou"), tail.alias("err_max_p95_px")]
+        return classification_rates(df.groupBy(*by).agg(*aggs)).drop("tp", "fp", "tn", "fn")
+    specs = [percentile("median_iou", 0.5, iou), percentile("corner_error_p95_px", 0.95, *errs)]
+    out = classification_rates(aggregate(df, by, aggs, specs)).drop("tp", "fp", "tn", "fn")
+    return out.fillna(0.0, ["median_iou", "corner_error_p95_px"])
 
 
 def iou_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    df, keys = _by(df, by)
     iou = F.col("iou")
-    base = df.groupBy(*keys).agg(
-        F.count("iou").alias("n"), F.avg("iou").alias("mean_iou"),
-        _rate(iou < 0.5).alias("frac_lt_50"), _rate(iou < 0.1).alias("frac_lt_10"),
-        _rate(iou >= 0.9).alias("recall_90"), _rate(iou >= 0.95).alias("recall_95"),
-        F.avg("err_mean").alias("corner_err_mean_px"))
-    q = exact_percentiles(df, {"median_iou": 0.5, "p01_iou": 0.01, "p05_iou": 0.05}, "iou", keys)
-    e = exact_percentiles(df, {"corner_err_p95_px": 0.95}, "err_mean", keys)
-    return join_groups([base, q, e], keys, by).fillna(0.0)
+    aggs = [F.count("iou").alias("n"), F.avg("iou").alias("mean_iou"),
+            _rate(iou < 0.5).alias("frac_lt_50"), _rate(iou < 0.1).alias("frac_lt_10"),
+            _rate(iou >= 0.9).alias("recall_90"), _rate(iou >= 0.95).alias("recall_95"),
+            F.avg("err_mean").alias("corner_err_mean_px")]
+    specs = [percentile("median_iou", 0.5, "iou"), percentile("p01_iou", 0.01, "iou"), percentile("p05_iou", 0.05, "iou"),
+             percentile("corner_err_p95_px", 0.95, "err_mean")]
+    return aggregate(df, by, aggs, specs).fillna(0.0)
 
 
 def percentile_profile(df: DataFrame, value: str = "iou", points: Sequence[int] = (1, 5, 10, 25, 50, 75, 95),
                        by: Sequence[str] = ()) -> DataFrame:
-    df, keys = _by(df, by)
-    base = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
-                                 F.count(value).alias("n"))
-    q = exact_percentiles(df, {f"p{p:02d}": p / 100.0 for p in points}, value, keys)
-    return join_groups([base, q], keys, by)
+    aggs = [F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n")]
+    return aggregate(df, by, aggs, [percentile(f"p{p:02d}", p / 100.0, value) for p in points])
 
 
 def extended_metrics(df: DataFrame, by: Sequence[str] = (), img_size: float = 224.0) -> DataFrame:
     """Training-time variant: bounding-box IoU, L1 error, score accuracy at >= 0.5."""
-    df, keys = _by(df, by)
     pos = F.col("has_doc")
     df = df.withColumns({"iou_bb": F.when(pos, bbox_iou(F.col("pred"), F.col("gt"), 1e-9)),
                          "l1": F.when(pos, C.coord_error_l1(F.col("pred"), F.col("gt"), img_size))})
-    base = df.groupBy(*keys).agg(
-        F.count_if(pos).alias("pos_count"), F.count_if(~pos).alias("neg_count"),
-        F.coalesce(F.avg("iou_bb"), F.lit(0.0)).alias("mean_iou"), F.coalesce(F.avg("l1"), F.lit(999.0)).alias("mean_err"),
-        _rate((F.col("score") >= 0.5) == pos).alias("score_acc"),
-        F.coalesce(F.avg(F.when(pos, F.col("score"))), F.lit(0.0)).alias("score_pos_mean"),
-        F.coalesce(F.avg(F.when(~pos, F.col("score"))), F.lit(0.0)).alias("score_neg_mean"))
+    aggs = [F.count_if(pos).alias("pos_count"), F.count_if(~pos).alias("neg_count"),
+            F.coalesce(F.avg("iou_bb"), F.lit(0.0)).alias("mean_iou"), F.coalesce(F.avg("l1"), F.lit(999.0)).alias("mean_err"),
+            _rate((F.col("score") >= 0.5) == pos).alias("score_acc"),
+            F.coalesce(F.avg(F.when(pos, F.col("score"))), F.lit(0.0)).alias("score_pos_mean"),
+            F.coalesce(F.avg(F.when(~pos, F.col("score"))), F.lit(0.0)).alias("score_neg_mean")]
     tail = (0.5, "median"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99")
-    q = exact_percentiles(df, {f"{n}_iou": p for p, n in tail}, "iou_bb", keys)
-    e = exact_percentiles(df, {f"{n}_err": p for p, n in tail}, "l1", keys)
-    return (join_groups([base, q, e], keys, by)
-            .fillna(0.0, [f"{n}_iou" for _, n in tail]).fillna(999.0, [f"{n}_err" for _, n in tail]))
+    specs = [percentile(f"{n}_{t}", p, c) for c, t in (("iou_bb", "iou"), ("l1", "err")) for p, n in tail]
+    return (aggregate(df, by, aggs, specs).fillna(0.0, [f"{n}_iou" for _, n in tail])
+            .fillna(999.0, [f"{n}_err" for _, n in tail]))
 
 
 def split_summary(df: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
@@ -161,13 +136,10 @@ def category_distribution(df: DataFrame, category: str = "category") -> DataFram
 
 
 def iou_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    df, keys = _by(df, by)
     iou = F.col("iou")
-    base = df.groupBy(*keys).agg(
-        F.count("iou").alias("n"), F.avg("iou").alias("mean"), F.min("iou").alias("min"), F.max("iou").alias("max"),
-        F.stddev_pop("iou").alias("std"),
-        *[F.count_if(iou >= t / 100).alias(f"n_ge_{t}") for t in (50, 70, 90)])
-    return join_groups([base, exact_percentiles(df, {"median": 0.5}, "iou", keys)], keys, by)
+    aggs = [F.count("iou").alias("n"), F.avg("iou").alias("mean"), F.min("iou").alias("min"), F.max("iou").alias("max"),
+            F.stddev_pop("iou").alias("std"), *[F.count_if(iou >= t / 100).alias(f"n_ge_{t}") for t in (50, 70, 90)]]
+    return aggregate(df, by, aggs, [percentile("median", 0.5, "iou")])
 
 
 def issue_counts(issues: DataFrame, name: str = "name", issue: str = "issue_type") -> DataFrame:
@@ -217,9 +189,8 @@ def review_dashboard(df: DataFrame) -> DataFrame:
 
 
 def latency_summary(df: DataFrame, by: Sequence[str] = ("model",), value: str = "ms") -> DataFrame:
-    base = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean_ms"))
-    q = exact_percentiles(df, {"p50_ms": 0.5, "p95_ms": 0.95}, value, by)
-    return base.join(q, list(by), "left")
+    aggs = [F.count(value).alias("n"), F.avg(value).alias("mean_ms")]
+    return aggregate(df, by, aggs, [percentile("p50_ms", 0.5, value), percentile("p95_ms", 0.95, value)])
 
 
 def negative_ratio(samples: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
@@ -230,12 +201,10 @@ def negative_ratio(samples: DataFrame, by: Sequence[str] = ("split",)) -> DataFr
 
 
 def confidence_summary(preds: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
-    hit = preds.where(F.col("detected") == 1)
-    base = preds.groupBy(*by).agg(
-        F.count("*").alias("processed"), F.count_if(F.col("detected") == 1).alias("n_detected"),
-        F.coalesce(F.avg(F.when(F.col("detected") == 1, F.col("conf"))), F.lit(0.0)).alias("conf_mean"))
-    q = exact_percentiles(hit, {"conf_p50": 0.5, "conf_p95": 0.95}, "conf", by)
-    return base.join(q, list(by), "left").fillna(0.0)
+    conf = F.when(F.col("detected") == 1, F.col("conf"))
+    aggs = [F.count("*").alias("processed"), F.count(conf).alias("n_detected"),
+            F.coalesce(F.avg(conf), F.lit(0.0)).alias("conf_mean")]
+    return aggregate(preds, by, aggs, [percentile("conf_p50", 0.5, conf), percentile("conf_p95", 0.95, conf)]).fillna(0.0)
 
 
 def worst_case_across_datasets(df: DataFrame) -> DataFrame:

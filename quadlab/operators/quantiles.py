@@ -1,55 +1,93 @@
-"""Exact percentiles (linear interpolation) without collecting a group.
+"""Aggregates together with exact percentiles (linear interpolation), in two passes over the rows.
 
-A mergeable sketch brackets each wanted rank; one more pass counts the rows below the bracket and
-the distinct values inside it, so the final ordering sees a few ten-thousandths of the rows.
+Pass one computes the ordinary aggregates and, with a mergeable sketch, a bracket around each wanted
+rank. Its result has one row per group and is written out. Pass two counts the rows below each
+bracket and the distinct values inside it, so the final ordering sees a few ten-thousandths of the
+rows and no group is ever collected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from quadlab.checkpoints import cut
 
 ACCURACY = 10000
+MAX_BROADCAST_GROUPS = 10000
 
 
-def exact_percentiles(df: DataFrame, wanted: dict[str, float], value: str, by: Sequence[str] = (),
-                      accuracy: int = ACCURACY) -> DataFrame:
-    """One column per entry of ``wanted`` (name -> p in [0,1]), one row per group; null values are ignored."""
-    keys = list(by) or ["__all"]
-    base = df.where(F.col(value).isNotNull())
-    base = base.select(*(by or [F.lit(0).alias("__all")]), F.col(value).cast("double").alias("__v"))
-    probs = sorted(set(wanted.values()))
+@dataclass(frozen=True)
+class Percentile:
+    """Percentile ``p`` (0..1) over all non-null values of ``values``, as column ``name``."""
+
+    name: str
+    p: float
+    values: tuple[Column, ...]
+
+
+def percentile(name: str, p: float, *values: Column | str) -> Percentile:
+    return Percentile(name, p, tuple(F.col(v) if isinstance(v, str) else v for v in values))
+
+
+def _bracket(s: Percentile, accuracy: int) -> list[Column]:
+    """Count, and bounds the wanted rank cannot leave.
+
+    Over several value columns the least lower and greatest upper bound hold for their union.
+    """
     margin = 2.0 / accuracy
-    cuts = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)]
-    sketch = base.groupBy(*keys).agg(
-        F.count("*").alias("__n"),
-        F.percentile_approx("__v", cuts, F.lit(accuracy)).alias("__cuts"))
+    n = sum((F.count(v) for v in s.values), F.lit(0))
     # a group this small, or a rank at the very end, is not bracketed
-    small = F.col("__n") * F.lit(margin) < 4
+    small = n * F.lit(margin) < 4 * len(s.values)
     inf = F.lit(float("inf"))
-    brackets = [
-        F.struct(
-            F.lit(p).alias("p"),
-            F.when(small | F.lit(p - margin <= 0), -inf).otherwise(F.get("__cuts", F.lit(2 * i))).alias("lo"),
-            F.when(small | F.lit(p + margin >= 1), inf).otherwise(F.get("__cuts", F.lit(2 * i + 1))).alias("hi"))
-        for i, p in enumerate(probs)]
-    sketch = sketch.select(*keys, "__n", F.array(*brackets).alias("__b"))
-
-    # rows below a bracket only count (null value); rows above it are dropped
-    v = F.col("__v")
-    near = F.filter("__b", lambda b: v <= b["hi"])
-    tagged = F.transform(near, lambda b: F.struct(b["p"].alias("p"), F.when(v >= b["lo"], v).alias("v")))
-    hist = (base.join(sketch, keys).select(*keys, "__n", F.explode(tagged).alias("t"))
-            .groupBy(*keys, "t.p", "t.v").agg(F.count("*").alias("c"), F.first("__n").alias("__n")))
-    w = Window.partitionBy(*keys, "p").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
-    pos = (F.col("__n") - 1) * F.col("p")
-    ranked = hist.withColumn("cum", F.sum("c").over(w))
-    ends = ranked.groupBy(*keys, "p").agg(
-        F.min(F.when(F.col("cum") > F.floor(pos), F.col("v"))).alias("a"),
-        F.min(F.when(F.col("cum") > F.ceil(pos), F.col("v"))).alias("b"),
-        F.first(pos - F.floor(pos)).alias("f"))
-    picked = ends.select(*keys, "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("q"))
-    out = picked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("p") == p, F.col("q"))).alias(name) for name, p in wanted.items()])
+
+    def bound(p: float, join, end: Column) -> Column:
+        if not 0 < p < 1:
+            return end
+        parts = [F.percentile_approx(v.cast("double"), p, accuracy) for v in s.values]
+        return F.when(small, end).otherwise(join(*parts) if len(parts) > 1 else parts[0])
+    return [F.struct(n.cast("bigint").alias("n"), bound(s.p - margin, F.least, -inf).alias("lo"),
+                     bound(s.p + margin, F.greatest, inf).alias("hi"))]
+
+
+def aggregate(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], percentiles: Sequence[Percentile],
+              accuracy: int = ACCURACY) -> DataFrame:
+    """One row per group with the aggregates and the exact percentiles (null without values)."""
+    rows = df if by else df.withColumn("__all", F.lit(0))
+    keys = list(by) or ["__all"]
+    brackets = [_bracket(s, accuracy)[0].alias(f"__b{i}") for i, s in enumerate(percentiles)]
+    first = cut(rows.groupBy(*keys).agg(*aggs, *brackets))
+    bounds = first.select(*keys, *[f"__b{i}" for i in range(len(percentiles))])
+    if bounds.count() <= MAX_BROADCAST_GROUPS:
+        bounds = F.broadcast(bounds)
+
+    # a row below a bracket only counts (null value); one above it is not needed
+    tags = []
+    for i, s in enumerate(percentiles):
+        lo, hi, n = (F.col(f"__b{i}.{f}") for f in ("lo", "hi", "n"))
+        for v in s.values:
+            v = v.cast("double")
+            tags.append(F.when(v <= hi, F.struct(F.lit(i).alias("i"), n.alias("n"), F.when(v >= lo, v).alias("v"))))
+    tagged = rows.join(bounds, keys).select(*keys, F.explode(F.array_compact(F.array(*tags))).alias("t"))
+    hist = tagged.groupBy(*keys, "t.i", "t.n", "t.v").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*keys, "i").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
+    p = F.get(F.array(*[F.lit(s.p) for s in percentiles]), F.col("i"))
+    ranked = hist.withColumns({"cum": F.sum("c").over(w), "pos": (F.col("n") - 1) * p})
+    ends = ranked.groupBy(*keys, "i").agg(
+        F.min(F.when(F.col("cum") > F.floor("pos"), F.col("v"))).alias("a"),
+        F.min(F.when(F.col("cum") > F.ceil("pos"), F.col("v"))).alias("b"),
+        F.first(F.col("pos") - F.floor("pos")).alias("f"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("f")
+    picked = ends.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("i") == i, value)).alias(s.name) for i, s in enumerate(percentiles)])
+    out = first.drop(*[f"__b{i}" for i in range(len(percentiles))]).join(picked, keys, "left")
     return out if by else out.drop("__all")
+
+
+def exact_percentiles(df: DataFrame, wanted: dict[str, float], value: str, by: Sequence[str] = (),
+                      accuracy: int = ACCURACY) -> DataFrame:
+    """One column per entry of ``wanted`` (name -> p in [0,1]), one row per group."""
+    specs = [percentile(name, p, value) for name, p in wanted.items()]
+    return aggregate(df, by, [F.count(value).alias("__rows")], specs, accuracy).drop("__rows")
