@@ -62,7 +62,8 @@ def drop_min_until_mean(df: DataFrame, target: float, cap: float, value: str = "
     """Flag ``dropped`` on the fewest lowest rows whose removal lifts the mean of the rest to ``target``.
 
     Dropping stops after the row that takes the dropped share above ``cap``, so one row more than the
-    cap allows can go. Ties are taken in name order.
+    cap allows can go. Ties are taken in name order. The input is read several times: pass a stored or
+    checkpointed table.
     """
     tagged, hist = _bucketed(df, value)
     n, total = sum(h["n"] for h in hist), math.fsum(h["s"] for h in hist)
@@ -88,7 +89,10 @@ def drop_min_until_mean(df: DataFrame, target: float, cap: float, value: str = "
 
 def drop_top_fraction(df: DataFrame, frac: float, value: str = "err_mean", name: str = "name",
                       threshold: float | None = None) -> DataFrame:
-    """Flag ``dropped`` on the floor(frac*n) rows of largest ``value``, then on any above ``threshold``."""
+    """Flag ``dropped`` on the floor(frac*n) rows of largest ``value``, then on any above ``threshold``.
+
+    The input is read several times: pass a stored or checkpointed table.
+    """
     tagged, hist = _bucketed(df, value, descending=True)
     n = sum(h["n"] for h in hist)
     want = math.floor(frac * n)

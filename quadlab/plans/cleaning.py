@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from quadlab.checkpoints import cut
 from quadlab.functions import compare as C, geometry as G, names as N
 from quadlab.operators import ranking as R, sampling as S
 from quadlab.operators.joins import join_labels, join_predictions, join_runs
@@ -75,7 +76,8 @@ def clean_splits_by_target(rows: DataFrame, outliers: DataFrame, target: float =
     listed = outliers.select("name").distinct().withColumn("listed", F.lit(True))
     rows = rows.join(listed, "name", "left").withColumn("reason", F.when(F.col("has_doc"), (
         F.when(F.col("listed"), F.lit("outliers.txt")).when(~G.quad_is_sane(F.col("gt")), F.lit("label_invalid")))))
-    slim = rows.select("split", "name", "has_doc", "iou", "err_mean", "reason")
+    # the cuts below read the rows several times
+    slim = cut(rows.select("split", "name", "has_doc", "iou", "err_mean", "reason"))
     sound = slim.where(F.col("has_doc") & F.col("reason").isNull())
     val = R.drop_min_until_mean(sound.where(F.col("split") == "val"), target, max_drop)
     val = val.withColumn("reason", F.when(F.col("dropped"), F.lit("low_iou_to_hit_target")))
