@@ -6,7 +6,7 @@ from quadlab import fixtures as X
 from quadlab.catalog import query
 from quadlab.catalog.shared import q6, r6, sel, spread
 from quadlab.functions import arrays as A
-from quadlab.functions.overlap import computed
+from quadlab.functions.fence import computed
 
 # long form of an embedding: vec_id, i (0-based), v
 LONG = ("SELECT vec_id, CAST(i AS INT) AS i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, "

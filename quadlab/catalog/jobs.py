@@ -13,6 +13,7 @@ from quadlab.catalog.ranking import hard_sql
 from quadlab.catalog.sets import HASH, SEED
 from quadlab.catalog.shared import (
     audit_ctes, box, ccw_sql, cols, iou_ctes, labelled_pairs, num, pairs_cte, q6, r6, sel, self_crossing, shoelace, spread)
+from quadlab.checkpoints import cut
 from quadlab.functions import geometry as G
 from quadlab.operators import joins as J, metrics as M, scoring, sampling as S
 from quadlab.plans import audit as A, cleaning as K, consensus as V, relabel as L, review as W
@@ -97,7 +98,7 @@ def decision_counts(spark, sf):
     "SELECT 'high' AS guard, split, count(*) AS n_in FROM cv GROUP BY split", CV))
 def min_total_guard(spark, sf):
     """A minimum of one row lets drops stand; one above the sample count undoes them."""
-    d = decisions(spark, sf).select("split", "name", "kept")
+    d = cut(decisions(spark, sf).select("split", "name", "kept"))
     out = [V.min_total_guard(d, m).groupBy(F.lit(tag).alias("guard"), "split").agg(F.count_if("in_split").alias("n_in"))
            for tag, m in (("low", 1), ("high", 1 << 40))]
     return out[0].unionByName(out[1])
@@ -348,7 +349,6 @@ def self_training_round(spark, sf):
     f"count(*) FILTER (WHERE {CAND}) AS n_candidates, count(*) FILTER (WHERE round(o.iou, 6) >= 0.99 OR ({CAND})) AS n_expanded FROM eo o JOIN en n "
     f"ON o.sample_id = n.sample_id WHERE o.has_doc GROUP BY o.split", OLD_NEW).replace("avg(o.iou)", "avg(round(o.iou, 6))").replace("avg(n.iou)", "avg(round(n.iou, 6))"))
 def round_progress(spark, sf):
-    from quadlab.checkpoints import cut
     old, new = [cut(r) for r in rounded_runs(spark, sf)]
     return rounded(K.round_progress(old, new, K.self_training_round(old, new)))
 
@@ -468,7 +468,7 @@ def removal_counts(spark, sf):
 
 def _relabel_sql() -> tuple[str, list]:
     ctes = [("rl", "SELECT s.sample_id, s.split, s.name, " + cols("g") + ", p.detected = 1 AS hit, " + ", ".join(f"p.c{i}" for i in range(8)) + " FROM quad_samples s LEFT JOIN "
-             "quad_predictions p ON s.sample_id = p.sample_id AND p.source = 'docaligner' WHERE name ILIKE 'receipt%' OR name ILIKE 'book%'"),
+             "quad_predictions p ON s.sample_id = p.sample_id AND p.source = 'docaligner' WHERE s.name ILIKE 'receipt%' OR s.name ILIKE 'book%'"),
             ("ro", ccw_sql("(SELECT * FROM rl WHERE hit)", "c", "d", "sample_id"))]
     # least sum of the four angle-ordered corners is the first corner of the new label
     s = [f"d{2*i} + d{2*i+1}" for i in range(4)]

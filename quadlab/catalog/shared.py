@@ -244,10 +244,10 @@ def audit_ctes(source: str = "teacher") -> list[tuple[str, str]]:
                  f"LEFT JOIN quad_predictions p ON s.sample_id = p.sample_id AND p.source = '{source}'"),
         pairs_cte(source, "au_p"), *iou_ctes("au_i", "au_p"),
         ("au_v", piece_sql("(SELECT * FROM au_x WHERE g0 IS NOT NULL)", "g", "v", "sample_id")),
-        ("au", f"SELECT x.*, x.g0 IS NOT NULL AS gt_valid, x.w IS NOT NULL AS image_exists, coalesce({oob}, false) AS gt_oob, "
+        ("au", f"SELECT x.* EXCLUDE (rot0), x.g0 IS NOT NULL AS gt_valid, x.w IS NOT NULL AS image_exists, coalesce({oob}, false) AS gt_oob, "
                f"{shoelace('v')} * w * h / greatest(1e0, w * h) AS gt_area_ratio, "
                f"CASE WHEN x.g0 IS NOT NULL AND x.detected = 1 THEN i.iou END AS iou, "
-               f"CASE WHEN x.g0 IS NOT NULL AND x.detected = 1 THEN rot END AS rot "
-               f"FROM (SELECT *, {rotations()} AS rot FROM au_x) x LEFT JOIN au_v v ON x.sample_id = v.sample_id "
+               f"CASE WHEN x.g0 IS NOT NULL AND x.detected = 1 THEN rot0 END AS rot "
+               f"FROM (SELECT *, {rotations()} AS rot0 FROM au_x) x LEFT JOIN au_v v ON x.sample_id = v.sample_id "
                f"LEFT JOIN au_i i ON x.sample_id = i.pid"),
     ]

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quadlab.functions import geometry as G
+from quadlab.functions.fence import computed
 
 SNAP = 1e-14
 
@@ -196,16 +197,6 @@ def with_polygon_iou(df: DataFrame, pairs: Sequence[tuple[str, str, str]], order
     return computed(crossed, results, keep)
 
 
-def computed(df: DataFrame, cols: dict[str, Column], keep: Sequence[str] | None = None) -> DataFrame:
-    """Add columns through a one-row ``inline``.
-
-    Filters on the new columns stay above it. Pushed through plain projections they would repeat the
-    whole calculation inside the filter.
-    """
-    row = F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))
-    return df.select(*(keep or df.columns), F.inline(row))
-
-
 def bbox_iou(a: Column, b: Column, epsilon: float = 0.0) -> Column:
     """Axis-aligned IoU of the bounding boxes; ``epsilon`` is added to the union."""
     p, q = G.bbox(a), G.bbox(b)

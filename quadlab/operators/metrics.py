@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quadlab.functions import compare as C
+from quadlab.functions.fence import computed
 from quadlab.functions.overlap import bbox_iou, with_polygon_iou
 from quadlab.operators.quantiles import aggregate, percentile
 
@@ -18,12 +19,11 @@ def evaluate_pairs(df: DataFrame, img_size: float = 224.0, exact_iou: bool = Tru
     """Add iou, iou_bbox, err_mean, err_max and corner_errs from the columns gt and pred."""
     gt, pred = F.col("gt"), F.col("pred")
     df = with_polygon_iou(df, [("pred", "gt", "iou")]) if exact_iou else df.withColumn("iou", bbox_iou(pred, gt))
-    errs = F.array(*C.corner_errors(pred, gt, img_size))
-    df = df.withColumn("corner_errs", F.when(gt.isNotNull() & pred.isNotNull(), errs))
-    e = [F.get("corner_errs", F.lit(i)) for i in range(4)]
-    return df.withColumns({
+    e = C.corner_errors(pred, gt, img_size)
+    return computed(df, {
+        "corner_errs": F.when(gt.isNotNull() & pred.isNotNull(), F.array(*e)),
         "err_mean": C.mean4(e),
-        "err_max": F.when(F.col("corner_errs").isNotNull(), F.greatest(*e))})
+        "err_max": F.when(gt.isNotNull() & pred.isNotNull(), F.greatest(*e))})
 
 
 def _rate(cond: Column) -> Column:

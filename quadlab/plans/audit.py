@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quadlab.functions import compare as C, geometry as G, names as N
+from quadlab.functions.fence import computed
 from quadlab.functions.overlap import with_polygon_iou
 from quadlab.operators.joins import join_audit, join_labels, join_predictions, pick_image
 
@@ -43,7 +44,7 @@ def teacher_audit(samples: DataFrame, labels: DataFrame, preds: DataFrame, sizes
         "conf": F.when(F.col("w").isNotNull(), F.col("conf")).otherwise(0.0)})
     rows = with_polygon_iou(rows, [("pred", "gt", "iou")], order="raw")
     w, h = F.col("w").cast("double"), F.col("h").cast("double")
-    rows = rows.withColumns({
+    rows = computed(rows, {
         "gt_valid": F.col("gt").isNotNull().cast("int"),
         "gt_oob": F.coalesce(G.out_of_bounds(F.col("gt"), 0.02), F.lit(False)).cast("int"),
         "gt_area_ratio": G.valid_area(F.col("gt")) * w * h / F.greatest(F.lit(1.0), w * h),
@@ -90,17 +91,17 @@ def gt_outliers(samples: DataFrame, labels: DataFrame, audit: DataFrame, border_
                 confirm_iou: float = 0.9) -> DataFrame:
     """Labels near the border, small or oddly shaped, and whether a confident teacher agrees with them."""
     rows = join_labels(samples.where(~F.col("is_negative")), labels, "inner")
-    rows = join_audit(rows, audit).withColumn("o", G.order_ccw(F.col("gt")))
+    rows = computed(join_audit(rows, audit), {"o": G.order_ccw(F.col("gt"))})
     gt, o = F.col("gt"), F.col("o")
     b, angles = G.bbox(gt), G.interior_angles(o)
-    rows = rows.withColumns({
+    rows = computed(rows, {
         "border_margin_norm": G.border_margin(gt),
         "border_margin_px": G.border_margin_px(gt, F.col("w").cast("double"), F.col("h").cast("double")),
         "area_ratio": G.valid_area(o), "bbox_area_ratio": b["area"], "bbox_w_norm": b["w"], "bbox_h_norm": b["h"],
         "min_dim_norm": b["min_dim"], "fill_ratio": G.fill_ratio(o), "self_intersect_raw": G.is_self_intersecting(gt),
         "convex": G.is_convex(o), "min_angle": F.least(*angles), "max_angle": F.greatest(*angles),
         "edge_ratio": G.edge_ratio(o)})
-    rows = rows.withColumns({
+    rows = computed(rows, {
         "near_border": (F.col("border_margin_norm") <= border_norm)
         | F.coalesce(F.col("border_margin_px") <= border_px, F.lit(False)),
         "small": (F.col("area_ratio") <= small_area) | (F.col("min_dim_norm") <= small_dim),

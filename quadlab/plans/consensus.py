@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quadlab.functions import names as N
 from quadlab.functions.geometry import clip01, order_tlbr_angle
+from quadlab.functions.fence import computed
 from quadlab.functions.overlap import with_polygon_iou
 from quadlab.operators.joins import join_labels, join_sources
 
@@ -58,7 +59,7 @@ def decide(cand: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     rows = cand.withColumns({
         "protected": N.is_protected(F.col("name")), "pick": pick, "n_polys": n_polys,
         "max_iou": F.greatest(F.lit(0.0), *[F.coalesce(v, F.lit(0.0)) for v in iou.values()])})
-    rows = rows.withColumn("action", action)
+    rows = computed(rows, {"action": action})
     a = F.col("action")
     chosen = (F.when(a.isin("keep_negative", "drop"), F.lit("none")).when(a == "keep_missing_gt", F.lit("gt_missing"))
               .when(a == "replace_teacher_high_iou", F.lit("teacher"))
@@ -74,7 +75,7 @@ def decide(cand: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
                              "max_pairwise_iou": F.when(F.col("n_polys") >= 2, F.col("max_iou"))})
     new = (F.when(F.col("chosen_source") == "teacher", F.col("teacher"))
            .when(F.col("chosen_source") == "winner", F.col("winner")))
-    rows = rows.withColumn("new_coords", F.when(new.isNotNull(), clip01(order_tlbr_angle(new))))
+    rows = computed(rows, {"new_coords": F.when(new.isNotNull(), clip01(order_tlbr_angle(new)))})
     conf = {f"{s}_conf": F.when(F.col(f"has_{s}"), F.col(f"{s}_conf")) for s in QUADS[1:]}
     return rows.withColumns(conf).drop("pick", "max_iou")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quadlab.functions import geometry as G
+from quadlab.functions.fence import computed
 from quadlab.operators.joins import KEY, deleted_overlays, effective_labels, only_names, without_names
 from quadlab.operators.metrics import evaluate_pairs
 
@@ -36,7 +37,7 @@ def apply_review_state(rows: DataFrame, state: DataFrame, img_size: float = 224.
     """Rows (split, name, is_negative, gt, pred) with edits applied and metrics against the effective label."""
     out = effective_labels(rows, state).withColumnRenamed("gt", "original").withColumnRenamed("effective", "gt")
     out = evaluate_pairs(out, img_size)
-    return out.withColumn("gt_min_angle", F.least(*G.interior_angles(F.col("gt"))))
+    return computed(out, {"gt_min_angle": F.least(*G.interior_angles(F.col("gt")))})
 
 
 def cleaned_split(reviewed: DataFrame) -> DataFrame:
