@@ -1 +1,72 @@
-"""..."""
+"""STR-*, UDTF-1: streams replayed from stored tables to their end."""
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from quadlab.catalog import query
+from quadlab.catalog.aggregates import EV, ev, rounded
+from quadlab.catalog.files import label_lines
+from quadlab.catalog.joins import STATE, events
+from quadlab.catalog.shared import num, q6, r6, sel
+from quadlab.checkpoints import scratch_dir
+from quadlab.sources import readers as R
+from quadlab.sources.writers import read_version
+from quadlab.streaming import running as S
+
+
+def stream_of(df, files_per_batch=4):
+    """Write a table and read it back as a stream, a few files per batch."""
+    path = scratch_dir(df.sparkSession)
+    df.repartition(8).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def final_table(df, mode="complete"):
+    """Run an aggregating stream over all its input; the result table is its last output."""
+    spark = df.sparkSession
+    out, name = f"{scratch_dir(spark)}/out", f"s{uuid.uuid4().hex}"
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(out)
+    q = (df.writeStream.queryName(name).outputMode(mode).foreachBatch(keep).trigger(availableNow=True)
+         .option("checkpointLocation", scratch_dir(spark)).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("str_01_running_metrics", sel(
+    "SELECT split, count(*) AS num_samples, " + ", ".join([
+        q6("avg(iou) FILTER (WHERE has_doc)", "mean_iou"), q6("avg(err_mean) FILTER (WHERE has_doc)", "corner_error_px"),
+        q6("avg(CAST(iou >= 0.9 AS INT)) FILTER (WHERE has_doc)", "recall_90")])
+    + ", count(*) FILTER (WHERE has_doc AND err_mean > 10) AS num_err_gt_10 FROM ev GROUP BY split", EV))
+def running_metrics(spark, sf):
+    rows = ev(spark, sf).select("split", "has_doc", "score", "iou", "err_mean", "corner_errs")
+    done = final_table(S.running_metrics(stream_of(rows)))
+    return rounded(done.select("split", "num_samples", "mean_iou", "corner_error_px", "recall_90", "num_err_gt_10"))
+
+
+@query("str_02_running_worst", sel(f"SELECT name, {q6('iou', 'iou')} FROM ev WHERE has_doc ORDER BY iou, name LIMIT 100", EV))
+def running_worst(spark, sf):
+    path = scratch_dir(spark)
+    rows = ev(spark, sf).where("has_doc").select("name", "iou")
+    q = S.running_worst(stream_of(rows), 100, path, scratch_dir(spark)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return read_version(spark, path).select("name", r6("iou"))
+
+
+@query("str_03_running_review_state", sel(
+    "SELECT CASE sample_id % 10 WHEN 0 THEN 'MIDV_a' WHEN 1 THEN 'smartdoc_ch1' WHEN 2 THEN 'id_card' WHEN 3 THEN 'id_detections' WHEN 4 THEN 'idcard_final' "
+    "WHEN 5 THEN 'card_corner' WHEN 6 THEN 'receipt_jp' WHEN 7 THEN 'book_page' ELSE 'negative' END || '_' || sample_id || '.jpg' AS name, "
+    "CAST(discarded AS INT) AS discarded, n_edits FROM st", STATE))
+def running_review_state(spark, sf):
+    done = final_table(S.running_review_state(stream_of(events(spark, sf))))
+    return done.select("name", num(F.col("discarded")).alias("discarded"), "n_edits")
+
+
+@query("udtf_01_label_polygons", sel(
+    "SELECT name[:-5] AS stem, 0 AS class FROM quad_samples WHERE g0 IS NOT NULL AND sample_id % 7 <> 3 UNION ALL "
+    "SELECT name[:-5], 1 FROM quad_samples WHERE g0 IS NOT NULL AND sample_id % 7 = 1"))
+def label_polygons(spark, sf):
+    """Every polygon of every label file."""
+    return R.labels_from_lines(label_lines(spark, sf), "multi").select("stem", "class")

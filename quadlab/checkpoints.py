@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows, and their partitions, stay as written even if executors are lost."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder next to the checkpoints, shared by all executors."""
+    return f"{ensure_checkpoint_dir(spark)}/quadlab-{uuid.uuid4().hex}"

@@ -290,8 +290,8 @@ def quad_is_sane(q: Column) -> Column:
 
 def fixed(template: str, *values: Column) -> Column:
     """``format_string`` that rounds halves to even, as the text files do, instead of up."""
-    digits = [int(d) for d in re.findall(r"%\.(\d)f", template)]
-    return F.format_string(template, *[F.bround(v, d) for v, d in zip(values, digits)])
+    digits = [d for d in re.findall(r"%[-0-9]*(?:\.(\d+))?[a-z]", template)]
+    return F.format_string(template, *[F.bround(v, int(d)) if d else v for v, d in zip(values, digits)])
 
 
 def _issues(*items: tuple[Column, Column]) -> Column:

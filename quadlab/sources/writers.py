@@ -33,8 +33,9 @@ def write_split(df: DataFrame, path: str, order: str = "ord") -> None:
     Range partitioning keeps the order across part files, so no single task holds a split.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    (df.repartitionByRange(n, "split", order).sortWithinPartitions("split", order)
-     .select(F.concat("split", F.lit(".txt")).alias("split"), "name")
+    # the partition column is final before the sort, so the writer has no reason to sort again
+    (df.select(F.concat("split", F.lit(".txt")).alias("split"), order, "name")
+     .repartitionByRange(n, "split", order).sortWithinPartitions("split", order).select("split", "name")
      .write.mode("overwrite").partitionBy("split").text(path))
 
 
@@ -83,15 +84,15 @@ def worst_report_rows(evals: DataFrame, summary: DataFrame) -> DataFrame:
     """Rows, then a ruler and one summary line per split: (part, key, line) to be ordered by part, key."""
     rows = evals.select(
         F.lit(0).alias("part"), F.struct("err_mean", "name").alias("key"),
-        F.format_string("%-8s %-60s %8.4f %10.2f %10.2f %8.4f", "split", "name", "iou", "err_mean", "err_max", "score")
-        .alias("line"))
+        fixed("%-8s %-60s %8.4f %10.2f %10.2f %8.4f", *[F.col(c) for c in (
+            "split", "name", "iou", "err_mean", "err_max", "score")]).alias("line"))
     ruler = summary.select(F.lit(1).alias("part"), F.struct(F.lit(0.0).alias("err_mean"), F.lit("").alias("name")).alias("key"),
                            F.lit("=" * 110).alias("line")).limit(1)
     tail = summary.select(
         F.lit(2).alias("part"), F.struct(F.lit(0.0).alias("err_mean"), F.col("split").alias("name")).alias("key"),
-        F.format_string("SUMMARY %s n=%d iou mean=%.4f min=%.4f max=%.4f err mean=%.2f min=%.2f max=%.2f lt90=%d lt80=%d",
-                        "split", "n", "iou_mean", "iou_min", "iou_max", "err_mean", "err_min", "err_max", "n_iou_lt_90",
-                        "n_iou_lt_80").alias("line"))
+        fixed("SUMMARY %s n=%d iou mean=%.4f min=%.4f max=%.4f err mean=%.2f min=%.2f max=%.2f lt90=%d lt80=%d",
+              *[F.col(c) for c in ("split", "n", "iou_mean", "iou_min", "iou_max", "err_mean", "err_min", "err_max",
+                                   "n_iou_lt_90", "n_iou_lt_80")]).alias("line"))
     return rows.unionByName(ruler).unionByName(tail)
 
 
