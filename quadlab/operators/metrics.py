@@ -70,20 +70,12 @@ def geometry_aggs(pos: Column) -> list[Column]:
     return out
 
 
-def detection_metrics(df: DataFrame, by: Sequence[str] = (), approx: bool = False) -> DataFrame:
-    """The full report: IoU, corner error, recall, outlier counts and classification, one row per group.
-
-    Median and p95 are exact unless ``approx``.
-    """
+def detection_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The full report: IoU, corner error, recall, outlier counts and classification, one row per group."""
     pos = F.col("has_doc")
     aggs = geometry_aggs(pos) + classification_aggs(pos, F.col("score"))
-    iou = F.when(pos, F.col("iou"))
     errs = [F.when(pos, F.get("corner_errs", F.lit(i))) for i in range(4)]
-    if approx:
-        tail = F.percentile_approx(F.when(pos, F.col("err_max")), 0.95)
-        aggs += [F.percentile_approx(iou, 0.5).alias("median_iou"), tail.alias("err_max_p95_px")]
-        return classification_rates(df.groupBy(*by).agg(*aggs)).drop("tp", "fp", "tn", "fn")
-    specs = [percentile("median_iou", 0.5, iou), percentile("corner_error_p95_px", 0.95, *errs)]
+    specs = [percentile("median_iou", 0.5, F.when(pos, F.col("iou"))), percentile("corner_error_p95_px", 0.95, *errs)]
     out = classification_rates(aggregate(df, by, aggs, specs)).drop("tp", "fp", "tn", "fn")
     return out.fillna(0.0, ["median_iou", "corner_error_p95_px"])
 

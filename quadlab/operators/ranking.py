@@ -152,6 +152,15 @@ def ordered_union_distinct(lists: Sequence[tuple[DataFrame, Column]], name: str
             .select("name", "p.prio", "p.key").orderBy("prio", "key", "name"))
 
 
+def ordered_distinct(df: DataFrame, lists: Sequence[tuple[Column, Column]], name: str = "name") -> DataFrame:
+    """:func:`ordered_union_distinct` for lists that are conditions on the rows of one table, in one pass."""
+    places = F.array_compact(F.array(*[
+        F.when(cond, F.struct(F.lit(prio).alias("prio"), key.cast("double").alias("key")))
+        for prio, (cond, key) in enumerate(lists)]))
+    return (df.select(F.col(name).alias("name"), F.array_min(places).alias("p")).where(F.col("p").isNotNull())
+            .groupBy("name").agg(F.min("p").alias("p")).select("name", "p.prio", "p.key").orderBy("prio", "key", "name"))
+
+
 def rank_leaderboard(df: DataFrame) -> DataFrame:
     """Models by mean IoU, recall at 95, recall at 99 (greatest first), then p95 corner error (least first)."""
     w = Window.orderBy(F.desc("mean_iou"), F.desc("recall_95"), F.desc("recall_99"), F.asc("corner_error_p95_px"))
@@ -176,18 +185,24 @@ def training_events(history: DataFrame, patience: int, by: Sequence[str] = (), v
     return rows.withColumn("stop_epoch", stop)
 
 
-def lr_events(history: DataFrame, lr_patience: int, warmup: int, by: Sequence[str] = (), value: str = "mean_iou") -> DataFrame:
-    """Epochs at which the learning rate is cut: each time ``lr_patience`` epochs pass without a new best.
+def lr_events(history: DataFrame, lr_patience: int, warmup: int, lr: float = 1.0, factor: float = 0.5,
+              min_lr: float = 0.0, by: Sequence[str] = (), value: str = "mean_iou") -> DataFrame:
+    """Epochs at which the learning rate is cut (``lr_cut``) and the rate after each epoch (``lr``).
 
-    The counter restarts at a new best and at a cut, so cuts fall at multiples of the patience after
-    a best; before the warm-up ends it only counts, and the first cut comes at the end of warm-up.
+    A cut comes each time ``lr_patience`` epochs pass without a new best. The counter restarts at a new
+    best and at a cut, so cuts fall at multiples of the patience after a best; before the warm-up ends it
+    only counts, and the first cut comes at the end of warm-up. No cut is made once ``min_lr`` is reached.
     """
     rows = training_events(history, lr_patience, by, value)
     # with s epochs since the best, the first possible cut is at max(patience, warmup + 1 - best)
     first = F.greatest(F.lit(lr_patience), F.lit(warmup + 1) - F.col("best_epoch"))
     s = F.col("since_best")
-    return rows.withColumn("lr_cut", (s >= first) & ((s - first) % lr_patience == 0)).drop("stop_epoch")
-
+    rows = rows.withColumn("__due", (s >= first) & ((s - first) % lr_patience == 0))
+    w = Window.partitionBy(*by).orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.sum(F.col("__due").cast("int")).over(w)
+    rate = F.pow(F.lit(factor), n) * F.lit(lr)
+    cut_now = F.col("__due") & (F.pow(F.lit(factor), n - 1) * F.lit(lr) > min_lr)
+    return (rows.withColumns({"lr_cut": cut_now, "lr": F.greatest(rate, F.lit(min_lr))}).drop("stop_epoch", "__due"))
 
 
 def outlier_review_order() -> list[Column]:

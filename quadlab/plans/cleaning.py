@@ -55,15 +55,16 @@ def find_outliers(evals: DataFrame, threshold: float = 10.0) -> DataFrame:
 def mine_hard_examples(rows: DataFrame, iou_below: float = 0.9, err_above: float | None = None, top_k: int = 0,
                        score_threshold: float = 0.5) -> DataFrame:
     """Low-IoU or high-error positives (or the ``top_k`` lowest), then false positives, then false negatives."""
-    pos = rows.where("has_doc")
+    pos, score = F.col("has_doc"), F.col("score")
+    fp, fn = ~pos & (score >= score_threshold), pos & (score < score_threshold)
     if top_k:
-        hard = R.lowest_k(pos, top_k)
-    else:
-        cond = F.col("iou") < iou_below
-        hard = pos.where(cond if err_above is None else cond | (F.col("err_mean") > err_above))
-    fp = rows.where(~F.col("has_doc") & (F.col("score") >= score_threshold))
-    fn = pos.where(F.col("score") < score_threshold)
-    return R.ordered_union_distinct([(hard, F.col("iou")), (fp, -F.col("score")), (fn, F.col("score"))])
+        rows = rows.select("name", "has_doc", "iou", "score")
+        hard = R.lowest_k(rows.where(pos), top_k)
+        return R.ordered_union_distinct([(hard, F.col("iou")), (rows.where(fp), -score), (rows.where(fn), score)])
+    low = F.col("iou") < iou_below
+    if err_above is not None:
+        low = low | (F.col("err_mean") > err_above)
+    return R.ordered_distinct(rows, [(pos & low, F.col("iou")), (fp, -score), (fn, score)])
 
 
 def clean_splits_by_target(rows: DataFrame, outliers: DataFrame, target: float = 0.99, max_drop: float = 0.3,
