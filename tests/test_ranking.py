@@ -144,3 +144,23 @@ def test_report_without_positives(spark):
                          "corner_errs": F.lit(None).cast("array<double>")})
     r = M.detection_metrics(df).first()
     assert (r.mean_iou, r.median_iou, r.corner_error_p95_px, r.cls_f1, r.cls_accuracy) == (0, 0, 0, 0, 1)
+
+
+@pytest.mark.parametrize("patience,warmup", [(2, 0), (3, 5), (4, 1)])
+def test_lr_events(spark, patience, warmup):
+    rng = random.Random(patience)
+    values = [rng.random() for _ in range(40)]
+    lr, best, count, want = 1.0, 0.0, 0, []
+    for epoch, v in enumerate(values):
+        if v > best:
+            best, count = v, 0
+            hit = False
+        else:
+            count += 1
+            hit = epoch >= warmup and count >= patience and lr > 0.1
+            if hit:
+                lr, count = max(lr * 0.5, 0.1), 0
+        want.append((epoch + 1, hit, lr))
+    df = spark.createDataFrame([(i + 1, v) for i, v in enumerate(values)], "epoch int, mean_iou double")
+    got = R.lr_events(df, patience, warmup, 1.0, 0.5, 0.1).orderBy("epoch").collect()
+    assert [(r.epoch, r.lr_cut, r.lr) for r in got] == [(e, h, pytest.approx(x)) for e, h, x in want]
