@@ -24,7 +24,7 @@ def read_split(spark, sf):
     lines = X.samples(spark, sf).select("split", F.explode(F.array(
         F.concat(F.when(F.col("is_negative"), "images-negative/").otherwise("images/"), "name", F.lit("  ")), F.lit(""))).alias("line"))
     W.write_lines(lines, F.col("line"), path, F.concat("split", F.lit(".txt")))
-    return R.read_split(spark, path).select(F.regexp_replace("split", "^part=", "").alias("split"), "name")
+    return R.read_split(spark, path).select("split", "name")
 
 
 @query("src_02_resolve_split", sel("SELECT split, name FROM quad_samples WHERE split = 'train' OR sample_id % 2 = 0"))
@@ -112,7 +112,7 @@ def prediction_rules(spark, sf):
 def read_predictions(spark, sf):
     path = scratch_dir(spark)
     W.write_predictions(X.predictions(spark, sf), path)
-    rows = R.read_predictions(spark, path).withColumn("split", F.regexp_replace("split", "^part=", ""))
+    rows = R.read_predictions(spark, path)
     return rows.select("split", "source", "name", "detected", "conf", F.get("coords", F.lit(0)).alias("x0"))
 
 

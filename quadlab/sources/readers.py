@@ -44,7 +44,7 @@ def read_split(spark: SparkSession, path: str | Sequence[str], strip_prefix: boo
     """split, ord, name. A split is a text file, or a directory of part files, named after the split."""
     lines = read_lines(spark, path, "[!._]*")
     parent = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    split = F.when(F.col("file").startswith("part-"), F.regexp_replace(parent, r"^split=", "")).otherwise(
+    split = F.when(F.col("file").startswith("part-"), F.regexp_replace(parent, r"^\w+=", "")).otherwise(
         N.stem(F.col("file")))
     split = F.regexp_replace(split, r"\.txt$", "")
     name = F.trim(F.col("line"))
@@ -169,7 +169,7 @@ def read_predictions(spark: SparkSession, path: str | Sequence[str], mode: str =
     """Files (or directories of part files) are named ``<split>_<source>``; ``wanted`` keeps only its names."""
     lines = read_lines(spark, path, "[!._]*")
     parent = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    key = N.stem(F.when(F.col("file").startswith("part-"), parent).otherwise(F.col("file")))
+    key = N.stem(F.when(F.col("file").startswith("part-"), F.regexp_replace(parent, r"^\w+=", "")).otherwise(F.col("file")))
     rows = lines.select(F.substring_index(key, "_", 1).alias("split"),
                         F.regexp_extract(key, r"^[^_]+_(.*)$", 1).alias("source"), "ord", "line")
     if wanted is not None:
