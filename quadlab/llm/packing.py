@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quadlab.llm.common import written
 
-#: Pieces longer than CAPACITY // LONG_FROM go through the grouped configurations.
-CAPACITY, GROUPS, LONG_FROM = 2048, 96, 5
+#: Pieces longer than a sequence over one of LONG_FROM go through the grouped configurations; the bound that needs fewest sequences holds.
+CAPACITY, GROUPS, LONG_FROM = 2048, 96, (5, 3, 2)
 #: Texts in these characters tokenize alike in both libraries that hold the vocabulary; others take the slower one.
 _PLAIN = re.compile(r"[\x00-\x7e\xa0-ɏ‐-‧]*")
 _EDGE = re.compile(r"  |\s[^\S ]|[^\S ]\s|^\s|\s$")
@@ -138,7 +138,13 @@ def _take(queue: list[list[int]], n: int) -> list[tuple[int, int]]:
     return out + ([(0, n)] if n else [])
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, long_from: int = LONG_FROM) -> list[tuple[int, tuple[int, ...]]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
+         long_from: tuple[int, ...] = LONG_FROM) -> list[tuple[int, tuple[int, ...]]]:
+    """The plan of fewest sequences among those for each bound between long and short pieces."""
+    return min((_plan(histogram, capacity, groups, x) for x in long_from), key=lambda runs: sum(n for n, _ in runs))
+
+
+def _plan(histogram: dict[int, int], capacity: int, groups: int, long_from: int) -> list[tuple[int, tuple[int, ...]]]:
     """How many sequences hold which lengths, from the number of pieces of each length.
 
     Long pieces, sorted by length, are cut into groups of equal cardinality and rounded up to the longest of their group;
