@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quadlab.llm import near_dedup, packing
+from quadlab.llm import decontamination, line_dedup, near_dedup, packing, secret_scan
 from quadlab.llm.common import table
 
 
@@ -35,5 +35,77 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.m) AS component_id, n.doc_id = min(r.m
 FROM n JOIN r ON r.v = n.doc_id GROUP BY n.doc_id, n.n
 """
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op8_minhash_near_dedup": op8_minhash_near_dedup}
-ORACLES = {"op8_minhash_near_dedup": OP8_SQL}
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines cut, and length and digest of what is left."""
+    out = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_removed").cast("long").alias("n_removed"), F.length("text").cast("long").alias("n_chars"),
+                      F.md5("text").alias("text_md5"))
+
+
+OP4_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS site, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, site, unnest(ls) AS raw, generate_subscripts(ls, 1) AS pos FROM t),
+k AS (SELECT doc_id, site, pos, raw, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM l),
+b AS (SELECT line, min((doc_id, pos)) AS first FROM k WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 6),
+m AS (SELECT k.doc_id, k.pos, k.raw, b.line IS NOT NULL AND (k.doc_id, k.pos) <> b.first AS cut FROM k LEFT JOIN b USING (line)),
+o AS (SELECT doc_id, count(*) FILTER (cut) AS n_removed,
+        coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT cut), '') AS text FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(o.n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN length(o.text) END AS n_chars,
+  CASE WHEN d.text IS NOT NULL THEN md5(o.text) END AS text_md5
+FROM documents d LEFT JOIN o USING (doc_id)
+"""
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items they overlap with."""
+    found = decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("matched").cast("long").alias("matched"))
+
+
+def _op5_sql() -> str:
+    def texts(table_: str, key: str) -> str:
+        return rf"""SELECT {key}, w FROM (SELECT {key}, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'),
+          lambda x: x <> '') AS w FROM {table_}) WHERE len(w) >= 11"""
+
+    def seeds(name: str, key: str) -> str:
+        masks = ", ".join("'" + str(m) + " ' || " + " || ' ' || ".join(f"w[p + {i}]" for i, c in enumerate(mask) if c == "1")
+                          for m, mask in enumerate(decontamination.MASKS))
+        return f"SELECT {key}, p, unnest([{masks}]) AS seed FROM (SELECT {key}, w, unnest(range(1, len(w) - 9)) AS p FROM {name})"
+    same = " + ".join("CASE WHEN da + o + {0} >= 1 AND ba + o + {0} >= 1 AND dt.w[da + o + {0}] = bt.w[ba + o + {0}] THEN 1 ELSE 0 END".format(i)
+                      for i in range(13))
+    return f"""
+WITH dt AS ({texts("documents", "doc_id")}), bt AS ({texts("benchmark", "item_id")}),
+h AS (SELECT DISTINCT d.doc_id, b.item_id, d.p AS da, b.p AS ba FROM ({seeds("dt", "doc_id")}) d JOIN ({seeds("bt", "item_id")}) b USING (seed)),
+s AS (SELECT h.doc_id, h.item_id, len(bt.w) AS n, {same} AS matched
+      FROM h JOIN dt ON dt.doc_id = h.doc_id JOIN bt ON bt.item_id = h.item_id, (SELECT unnest([-2, -1, 0]) AS o))
+SELECT doc_id, item_id, max(matched) AS matched FROM s WHERE matched >= least(13, n) - 2 GROUP BY doc_id, item_id
+"""
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.base_digest(table(spark, sf_dir, "documents"))
+
+
+def _op10_sql() -> str:
+    ctes, union = [], []
+    for rank, r in enumerate(secret_scan.RULES):
+        pattern = (("(?i)" if r.ignore_case else "") + r.pattern).replace("'", "''")
+        ctes.append(f"""m{rank} AS (SELECT doc_id, list_transform(string_split_regex(t, '{pattern}'), lambda x: length(x)) AS g,
+          regexp_extract_all(t, '{pattern}', 0) AS f, regexp_extract_all(t, '{pattern}', {r.value}) AS v FROM d)""")
+        union.append(f"""SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, length(v[i]) AS n, list_sum(g[:i]) + coalesce(list_sum(list_transform(f[:i - 1], lambda x: length(x))), 0) AS a,
+          length(f[i]) AS len FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM m{rank}) WHERE length(v[i]) >= {r.at_least}""")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {", ".join(ctes)},
+s AS (SELECT doc_id, rank, kind, CAST(a AS BIGINT) AS a, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + len AS BIGINT) AS span FROM ({" UNION ALL ".join(union)})),
+o AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  coalesce(string_agg(span, ',' ORDER BY a, rank) FILTER (rank < 3), '') AS base, string_agg(span, ',' ORDER BY a, rank) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN o USING (doc_id)
+"""
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_best_fit_packing, op4_line_dedup, op5_benchmark_decontamination, op8_minhash_near_dedup, op10_secret_scan)}
+ORACLES = {"op4_line_dedup": OP4_SQL, "op5_benchmark_decontamination": _op5_sql(), "op8_minhash_near_dedup": OP8_SQL,
+           "op10_secret_scan": _op10_sql()}
