@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quadlab.llm import decontamination, line_dedup, near_dedup, packing, secret_scan
+from quadlab.llm import (decontamination, line_dedup, near_dedup, packing, quality_model, quality_rules, secret_scan,
+                         toxicity)
 from quadlab.llm.common import table
 
 
@@ -43,6 +44,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.md5("text").alias("text_md5"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("sentences").cast("long").alias("n_sentences"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judged(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 OP4_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(source, '') AS site, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, site, unnest(ls) AS raw, generate_subscripts(ls, 1) AS pos FROM t),
@@ -106,6 +121,6 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_best_fit_packing, op4_line_dedup, op5_benchmark_decontamination, op8_minhash_near_dedup, op10_secret_scan)}
+    op2_best_fit_packing, op3_quality_classifier, op4_line_dedup, op5_benchmark_decontamination, op6_toxicity, op7_quality_rules, op8_minhash_near_dedup, op10_secret_scan)}
 ORACLES = {"op4_line_dedup": OP4_SQL, "op5_benchmark_decontamination": _op5_sql(), "op8_minhash_near_dedup": OP8_SQL,
            "op10_secret_scan": _op10_sql()}
