@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quadlab.llm import (decontamination, line_dedup, near_dedup, packing, quality_model, quality_rules, secret_scan,
+from quadlab.llm import (decontamination, line_dedup, near_dedup, packing, pii, quality_model, quality_rules, secret_scan,
                          toxicity)
 from quadlab.llm.common import table
 
@@ -98,6 +98,16 @@ SELECT doc_id, item_id, max(matched) AS matched FROM s WHERE matched >= least(13
 """
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: entities of each kind, and the text with surrogates."""
+    out = pii.replaced(table(spark, sf_dir, "documents"), key="surrogates")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("entity_kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *[count(k) for k in pii.PATTERNS], "text")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.base_digest(table(spark, sf_dir, "documents"))
 
@@ -121,6 +131,6 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_best_fit_packing, op3_quality_classifier, op4_line_dedup, op5_benchmark_decontamination, op6_toxicity, op7_quality_rules, op8_minhash_near_dedup, op10_secret_scan)}
+    op2_best_fit_packing, op3_quality_classifier, op4_line_dedup, op5_benchmark_decontamination, op6_toxicity, op7_quality_rules, op8_minhash_near_dedup, op9_pii, op10_secret_scan)}
 ORACLES = {"op4_line_dedup": OP4_SQL, "op5_benchmark_decontamination": _op5_sql(), "op8_minhash_near_dedup": OP8_SQL,
            "op10_secret_scan": _op10_sql()}
