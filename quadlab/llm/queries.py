@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quadlab.llm import (decontamination, line_dedup, near_dedup, packing, pii, quality_model, quality_rules, secret_scan,
+from quadlab.llm import (decontamination, line_dedup, near_dedup, packing, passage_dedup, pii, quality_model, quality_rules, secret_scan,
                          toxicity)
 from quadlab.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages to remove: where they are, and the document that keeps its copy."""
+    out = passage_dedup.repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "first_doc_id", "start", "end", F.col("n_words").cast("long").alias("n_words"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -131,6 +137,6 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_best_fit_packing, op3_quality_classifier, op4_line_dedup, op5_benchmark_decontamination, op6_toxicity, op7_quality_rules, op8_minhash_near_dedup, op9_pii, op10_secret_scan)}
+    op1_substring_dedup, op2_best_fit_packing, op3_quality_classifier, op4_line_dedup, op5_benchmark_decontamination, op6_toxicity, op7_quality_rules, op8_minhash_near_dedup, op9_pii, op10_secret_scan)}
 ORACLES = {"op4_line_dedup": OP4_SQL, "op5_benchmark_decontamination": _op5_sql(), "op8_minhash_near_dedup": OP8_SQL,
            "op10_secret_scan": _op10_sql()}
