@@ -126,15 +126,16 @@ def read_predictions_subset(spark, sf):
 @query("src_05_read_eval_csv", sel(
     "SELECT split, name, round((sample_id % 1000) / 1000e0, 6) AS iou, (sample_id % 50) * 0.5e0 AS err_mean FROM quad_samples WHERE sample_id % 9 <> 0"))
 def read_eval_csv(spark, sf):
-    """Names sit in one of four columns; every ninth IoU is not a number; each row is preceded by an older one."""
+    """Names sit in one of four columns; every ninth IoU is not a number; each row is preceded by an older one; files differ in columns and their order."""
     path = scratch_dir(spark)
     k = F.col("sample_id")
     alias = [F.when(k % 4 == i, F.col("name")).alias(c) for i, c in enumerate(R.NAME_ALIASES)]
     rows = X.samples(spark, sf).withColumn("old", F.explode(F.array(F.lit(True), F.lit(False))))
     iou = F.when(k % 9 == 0, "nan").when(F.col("old"), "0.5").otherwise(F.format_string("%.6f", (k % 1000) / 1000.0))
     # one file per split keeps both rows of a name in order
-    (rows.withColumn("iou", iou).withColumn("err_mean", (k % 50) * 0.5).repartition("split").sortWithinPartitions("sample_id", F.desc("old"))
-     .select("split", *alias, "iou", "err_mean").write.csv(path, header=True))
+    rows = rows.withColumn("iou", iou).withColumn("err_mean", (k % 50) * 0.5).repartition("split").sortWithinPartitions("sample_id", F.desc("old"))
+    rows.where(k % 2 == 0).select("split", *alias, "iou", "err_mean").write.csv(path, header=True)
+    rows.where(k % 2 == 1).select("err_mean", F.col("name").alias("file"), "iou", F.lit("x").alias("more"), "split").write.mode("append").csv(path, header=True)
     return R.read_eval_csv(spark, path).select("split", "name", r6("iou"), "err_mean")
 
 
@@ -144,11 +145,14 @@ def read_eval_csv(spark, sf):
 def read_audit_csv(spark, sf):
     path = scratch_dir(spark)
     k = F.col("sample_id")
-    (X.samples(spark, sf).select(
-        "split", F.col("name").alias("filename"), F.when(k % 3 == 0, "1").when(k % 3 == 1, "True").otherwise("0").alias("teacher_detected"),
+    rows = X.samples(spark, sf).select(
+        "sample_id", "split", F.col("name").alias("filename"), F.when(k % 3 == 0, "1").when(k % 3 == 1, "True").otherwise("0").alias("teacher_detected"),
         F.when(k % 5 != 0, "0.75").alias("teacher_conf"), F.when(k % 4 != 0, "0.5").alias("iou"), F.lit("").alias("err_mean_px"),
         F.lit("1.5").alias("err_max_px"), F.concat((k % 7 + 640).cast("string"), F.lit(".0")).alias("w"), F.lit("480").alias("h"))
-     .write.csv(path, header=True))
+    # two layouts of the same columns
+    names = [c for c in rows.columns if c != "sample_id"]
+    rows.where(k % 2 == 0).select(*names).write.csv(path, header=True)
+    rows.where(k % 2 == 1).select(*reversed(names)).write.mode("append").csv(path, header=True)
     return R.read_audit_csv(spark, path).select("split", "name", num(F.col("detected")).alias("detected"), "conf", "iou", "w")
 
 
@@ -166,12 +170,15 @@ def read_review_index(spark, sf):
 
 @query("src_08_read_nested_report", sel("SELECT name, CASE WHEN detected = 1 THEN 'OK' ELSE 'NO_DOCUMENT' END AS status, conf, c0 FROM quad_predictions WHERE source = 'teacher'"))
 def read_nested_report(spark, sf):
-    """Reports of at most 1000 consecutive samples each."""
+    """Reports of at most 1000 consecutive samples each; an earlier report holds other entries of the same names."""
     path = scratch_dir(spark)
     p = X.predictions(spark, sf).where("source = 'teacher'")
     s = F.struct(F.col("name").alias("filename"), F.when(F.col("detected") == 1, "OK").otherwise("NO_DOCUMENT").alias("detector_status"),
                  F.col("conf").alias("detector_confidence"), F.col("coords").alias("pred_norm8"))
-    (p.groupBy(F.floor(F.col("sample_id") / 1000).alias("part")).agg(F.collect_list(s).alias("samples"))
+    old = s.withField("detector_status", F.lit("OLD"))
+    both = p.select((F.floor(F.col("sample_id") / 1000) + 1).alias("part"), s.alias("s")).unionByName(
+        p.select(F.lit(0).cast("bigint").alias("part"), F.explode(F.array_repeat(old, 2)).alias("s")).where(F.col("s.filename") != ""))
+    (both.groupBy("part").agg(F.collect_list("s").alias("samples"))
      .select("part", F.to_json(F.struct(F.struct(F.lit(0.97).alias("iou_threshold")).alias("params"), "samples")).alias("value"))
      .write.partitionBy("part").text(path))
     return R.read_nested_report(spark, path).select(
@@ -231,8 +238,10 @@ def read_latency_report(spark, sf):
 
 
 @query("src_13_read_training_history", sel(
-    f"SELECT 'val' AS part, epoch, 'mean_iou' AS metric, {q6('mean_iou', 'value')} FROM train_history UNION ALL SELECT 'train', epoch, 'loss', {q6('1 - mean_iou', 'value')} FROM train_history"))
+    f"SELECT r || '/history' AS run, part, epoch, metric, value FROM (SELECT 'val' AS part, epoch, 'mean_iou' AS metric, {q6('mean_iou', 'value')} FROM train_history "
+    f"UNION ALL SELECT 'train', epoch, 'loss', {q6('1 - mean_iou', 'value')} FROM train_history), (VALUES ('run=a'), ('run=b')) AS t(r)"))
 def read_training_history(spark, sf):
+    """Two runs with equal histories."""
     path = scratch_dir(spark)
     h = X.train_history(spark, sf)
 
@@ -240,8 +249,9 @@ def read_training_history(spark, sf):
         ordered = F.sort_array(F.collect_list(F.struct("epoch", value.alias("v"))))
         return F.transform(ordered, lambda e: F.create_map(F.lit(name), e["v"]))
     (h.agg(series("loss", 1.0 - F.col("mean_iou")).alias("train"), series("mean_iou", F.col("mean_iou")).alias("val"))
-     .select(F.to_json(F.struct("train", "val")).alias("value")).write.text(path))
-    return rounded(R.read_training_history(spark, path))
+     .select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("run"), F.to_json(F.struct("train", "val")).alias("value")).write.partitionBy("run").text(path))
+    out = R.read_training_history(spark, path)
+    return rounded(out.withColumn("run", F.regexp_replace("run", "/part-.*", "/history")))
 
 
 # ---------------------------------------------------------------- sinks

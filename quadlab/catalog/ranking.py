@@ -35,10 +35,15 @@ def drop_min_until_cap(spark, sf):
 
 
 @query("wn_02_drop_top_fraction", sel(
-    "SELECT name, CAST(rn <= floor(0.1 * n) OR err_mean > 30 AS INT) AS dropped FROM (SELECT name, err_mean, row_number() OVER "
-    "(ORDER BY err_mean DESC, name) AS rn, count(*) OVER () AS n FROM ev WHERE has_doc) z", EV))
+    "SELECT name, CAST(coalesce(rn <= floor(0.1 * n) OR e > 30, false) AS INT) AS dropped FROM (SELECT name, e, row_number() OVER "
+    "(ORDER BY e DESC NULLS LAST, name) AS rn, count(e) OVER () AS n FROM (SELECT name, CASE WHEN substr(md5(name), 1, 1) NOT IN ('0', '1') THEN err_mean END AS e "
+    "FROM ev WHERE has_doc)) z", EV))
 def drop_top_fraction(spark, sf):
-    return R.drop_top_fraction(cut(positives(spark, sf)), 0.1, threshold=30.0).select("name", num(F.col("dropped")).alias("dropped"))
+    """One row in sixteen has no error, another one an error that is not a number."""
+    first = F.substring(F.md5("name"), 1, 1)
+    err = F.when(first == "1", F.lit(float("nan"))).when(first != "0", F.col("err_mean"))
+    rows = cut(positives(spark, sf).withColumn("err_mean", err))
+    return R.drop_top_fraction(rows, 0.1, threshold=30.0).select("name", num(F.col("dropped")).alias("dropped"))
 
 
 @query("wn_03_lowest_highest_k", sel(

@@ -76,7 +76,8 @@ def detection_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     aggs = geometry_aggs(pos) + classification_aggs(pos, F.col("score"))
     errs = [F.when(pos, F.get("corner_errs", F.lit(i))) for i in range(4)]
     specs = [percentile("median_iou", 0.5, F.when(pos, F.col("iou"))), percentile("corner_error_p95_px", 0.95, *errs)]
-    out = classification_rates(aggregate(df, by, aggs, specs)).drop("tp", "fp", "tn", "fn")
+    rows = aggregate(df, by, aggs, specs, inputs=["has_doc", "iou", "err_mean", "corner_errs", "score"])
+    out = classification_rates(rows).drop("tp", "fp", "tn", "fn")
     return out.fillna(0.0, ["median_iou", "corner_error_p95_px"])
 
 
@@ -88,13 +89,13 @@ def iou_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             F.avg("err_mean").alias("corner_err_mean_px")]
     specs = [percentile("median_iou", 0.5, "iou"), percentile("p01_iou", 0.01, "iou"), percentile("p05_iou", 0.05, "iou"),
              percentile("corner_err_p95_px", 0.95, "err_mean")]
-    return aggregate(df, by, aggs, specs).fillna(0.0)
+    return aggregate(df, by, aggs, specs, inputs=["iou", "err_mean"]).fillna(0.0)
 
 
 def percentile_profile(df: DataFrame, value: str = "iou", points: Sequence[int] = (1, 5, 10, 25, 50, 75, 95),
                        by: Sequence[str] = ()) -> DataFrame:
     aggs = [F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n")]
-    return aggregate(df, by, aggs, [percentile(f"p{p:02d}", p / 100.0, value) for p in points])
+    return aggregate(df, by, aggs, [percentile(f"p{p:02d}", p / 100.0, value) for p in points], inputs=[value])
 
 
 def extended_metrics(df: DataFrame, by: Sequence[str] = (), img_size: float = 224.0) -> DataFrame:
@@ -109,7 +110,7 @@ def extended_metrics(df: DataFrame, by: Sequence[str] = (), img_size: float = 22
             F.coalesce(F.avg(F.when(~pos, F.col("score"))), F.lit(0.0)).alias("score_neg_mean")]
     tail = (0.5, "median"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99")
     specs = [percentile(f"{n}_{t}", p, c) for c, t in (("iou_bb", "iou"), ("l1", "err")) for p, n in tail]
-    return (aggregate(df, by, aggs, specs).fillna(0.0, [f"{n}_iou" for _, n in tail])
+    return (aggregate(df, by, aggs, specs, inputs=["has_doc", "iou_bb", "l1", "score"]).fillna(0.0, [f"{n}_iou" for _, n in tail])
             .fillna(999.0, [f"{n}_err" for _, n in tail]))
 
 
@@ -131,7 +132,7 @@ def iou_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     iou = F.col("iou")
     aggs = [F.count("iou").alias("n"), F.avg("iou").alias("mean"), F.min("iou").alias("min"), F.max("iou").alias("max"),
             F.stddev_pop("iou").alias("std"), *[F.count_if(iou >= t / 100).alias(f"n_ge_{t}") for t in (50, 70, 90)]]
-    return aggregate(df, by, aggs, [percentile("median", 0.5, "iou")])
+    return aggregate(df, by, aggs, [percentile("median", 0.5, "iou")], inputs=["iou"])
 
 
 def issue_counts(issues: DataFrame, name: str = "name", issue: str = "issue_type") -> DataFrame:
@@ -182,7 +183,7 @@ def review_dashboard(df: DataFrame) -> DataFrame:
 
 def latency_summary(df: DataFrame, by: Sequence[str] = ("model",), value: str = "ms") -> DataFrame:
     aggs = [F.count(value).alias("n"), F.avg(value).alias("mean_ms")]
-    return aggregate(df, by, aggs, [percentile("p50_ms", 0.5, value), percentile("p95_ms", 0.95, value)])
+    return aggregate(df, by, aggs, [percentile("p50_ms", 0.5, value), percentile("p95_ms", 0.95, value)], inputs=[value])
 
 
 def negative_ratio(samples: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
@@ -196,7 +197,8 @@ def confidence_summary(preds: DataFrame, by: Sequence[str] = ("source",)) -> Dat
     conf = F.when(F.col("detected") == 1, F.col("conf"))
     aggs = [F.count("*").alias("processed"), F.count(conf).alias("n_detected"),
             F.coalesce(F.avg(conf), F.lit(0.0)).alias("conf_mean")]
-    return aggregate(preds, by, aggs, [percentile("conf_p50", 0.5, conf), percentile("conf_p95", 0.95, conf)]).fillna(0.0)
+    return aggregate(preds, by, aggs, [percentile("conf_p50", 0.5, conf), percentile("conf_p95", 0.95, conf)],
+                     inputs=["detected", "conf"]).fillna(0.0)
 
 
 def worst_case_across_datasets(df: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Aggregates together with exact percentiles (linear interpolation), in two passes over the rows.
+"""Aggregates together with exact percentiles (linear interpolation).
 
-Pass one computes the ordinary aggregates and, with a mergeable sketch, a bracket around each wanted
-rank. Its result has one row per group and is written out. Pass two counts the rows below each
-bracket and the distinct values inside it, so the final ordering sees a few ten-thousandths of the
-rows and no group is ever collected.
+The rows are written once, with the columns that are needed. A first pass computes the ordinary aggregates and, with a mergeable
+sketch per value column, a bracket around each wanted rank; its result has one row per group. A second pass counts the rows below each
+bracket and in each of ``CELLS`` equal parts of it; a third orders only the distinct values of the part that the rank
+falls in, about one in ten million of a large group's. No group is collected, and one plan serves every size: a group too small for its sketch to
+bracket a rank safely has the whole line as its bracket.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quadlab.checkpoints import cut
 
 ACCURACY = 10000
-MAX_BROADCAST_GROUPS = 10000
+#: Equal parts of a bracket.
+CELLS = 4096
 
 
 @dataclass(frozen=True)
@@ -32,49 +34,63 @@ def percentile(name: str, p: float, *values: Column | str) -> Percentile:
     return Percentile(name, p, tuple(F.col(v) if isinstance(v, str) else v for v in values))
 
 
-def _bracket(s: Percentile, accuracy: int) -> list[Column]:
-    """Count, and bounds the wanted rank cannot leave.
+def aggregate(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], percentiles: Sequence[Percentile],
+              accuracy: int = ACCURACY, inputs: Sequence[str] | None = None) -> DataFrame:
+    """One row per group with the aggregates and the exact percentiles (null without values).
 
-    Over several value columns the least lower and greatest upper bound hold for their union.
+    ``inputs`` names the columns that aggregates and percentiles read (all by default); the rows are written once with these.
     """
-    margin = 2.0 / accuracy
-    n = sum((F.count(v) for v in s.values), F.lit(0))
-    # a group this small, or a rank at the very end, is not bracketed
-    small = n * F.lit(margin) < 4 * len(s.values)
-    inf = F.lit(float("inf"))
-
-    def bound(p: float, join, end: Column) -> Column:
-        if not 0 < p < 1:
-            return end
-        parts = [F.percentile_approx(v.cast("double"), p, accuracy) for v in s.values]
-        return F.when(small, end).otherwise(join(*parts) if len(parts) > 1 else parts[0])
-    return [F.struct(n.cast("bigint").alias("n"), bound(s.p - margin, F.least, -inf).alias("lo"),
-                     bound(s.p + margin, F.greatest, inf).alias("hi"))]
-
-
-def aggregate(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], percentiles: Sequence[Percentile],
-              accuracy: int = ACCURACY) -> DataFrame:
-    """One row per group with the aggregates and the exact percentiles (null without values)."""
     rows = df if by else df.withColumn("__all", F.lit(0))
     keys = list(by) or ["__all"]
-    brackets = [_bracket(s, accuracy)[0].alias(f"__b{i}") for i, s in enumerate(percentiles)]
-    first = cut(rows.groupBy(*keys).agg(*aggs, *brackets))
-    bounds = first.select(*keys, *[f"__b{i}" for i in range(len(percentiles))])
-    if bounds.count() <= MAX_BROADCAST_GROUPS:
-        bounds = F.broadcast(bounds)
-
-    # a row below a bracket only counts (null value); one above it is not needed
+    if inputs is not None:
+        rows = rows.select(*keys, *[c for c in dict.fromkeys(inputs) if c not in keys])
+    rows = cut(rows)
+    margin, inf = 2.0 / accuracy, float("inf")
+
+    # one sketch per value column answers all bounds that are wanted of it
+    values = {str(v): v for s in percentiles for v in s.values}
+    at = {k: sorted({q for s in percentiles if k in map(str, s.values) for q in (s.p - margin, s.p + margin) if 0 < q < 1}) for k in values}
+    sketches = []
+    for j, (k, v) in enumerate(values.items()):
+        sketches.append(F.count(v).alias(f"__n{j}"))
+        if at[k]:
+            sketches.append(F.percentile_approx(v.cast("double"), at[k], accuracy).alias(f"__q{j}"))
+    first = cut(rows.groupBy(*keys).agg(*aggs, *sketches))
+
+    def bracket(s: Percentile) -> Column:
+        cols = [list(values).index(str(v)) for v in s.values]
+        n = sum((F.col(f"__n{j}") for j in cols), F.lit(0))
+        small = n * F.lit(margin) < 4 * len(cols)
+
+        def bound(q: float, join, end: Column) -> Column:
+            if not 0 < s.p < 1 or not 0 < q < 1:
+                return end
+            parts = [F.get(f"__q{j}", F.lit(at[list(values)[j]].index(q))) for j in cols]
+            return F.when(small, end).otherwise(join(*parts) if len(parts) > 1 else parts[0])
+        return F.struct(n.cast("bigint").alias("n"), bound(s.p - margin, F.least, F.lit(-inf)).alias("lo"),
+                        bound(s.p + margin, F.greatest, F.lit(inf)).alias("hi"))
+    bounds = first.select(*keys, *[bracket(s).alias(f"__b{i}") for i, s in enumerate(percentiles)])
+
+    # a row below a bracket only counts (cell -1); one above it is not needed
     tags = []
     for i, s in enumerate(percentiles):
         lo, hi, n = (F.col(f"__b{i}.{f}") for f in ("lo", "hi", "n"))
         for v in s.values:
             v = v.cast("double")
-            tags.append(F.when(v <= hi, F.struct(F.lit(i).alias("i"), n.alias("n"), F.when(v >= lo, v).alias("v"))))
-    tagged = rows.join(bounds, keys).select(*keys, F.explode(F.array_compact(F.array(*tags))).alias("t"))
-    hist = tagged.groupBy(*keys, "t.i", "t.n", "t.v").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys, "i").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
+            part = F.floor((v - lo) / (hi - lo) * CELLS)
+            cell = F.when(v < lo, -1).when((hi == inf) | (lo == -inf) | (hi == lo), 0).otherwise(F.least(part, F.lit(CELLS - 1)))
+            tags.append(F.when(v <= hi, F.struct(F.lit(i).alias("i"), n.alias("n"), v.alias("v"), cell.cast("int").alias("cell"))))
+    tagged = rows.join(bounds, keys).select(*keys, F.explode(F.array_compact(F.array(*tags))).alias("t")).select(*keys, "t.*")
     p = F.get(F.array(*[F.lit(s.p) for s in percentiles]), F.col("i"))
-    ranked = hist.withColumns({"cum": F.sum("c").over(w), "pos": (F.col("n") - 1) * p})
+    cells = Window.partitionBy(*keys, "i").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    counted = (tagged.groupBy(*keys, "i", "n", "cell").agg(F.count("*").alias("c"))
+               .withColumns({"cum": F.sum("c").over(cells), "pos": (F.col("n") - 1) * p}))
+    wanted = (counted.where((F.col("cum") > F.floor("pos")) & (F.col("cum") - F.col("c") <= F.ceil("pos")))
+              .select(*keys, "i", "cell", "pos", (F.col("cum") - F.col("c")).alias("before")))
+    hist = tagged.join(wanted, [*keys, "i", "cell"]).groupBy(*keys, "i", "pos", "before", "v").agg(F.count("*").alias("c"))
+    line = Window.partitionBy(*keys, "i")
+    run = line.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = hist.withColumn("cum", F.sum("c").over(run) + F.min("before").over(line))
     ends = ranked.groupBy(*keys, "i").agg(
         F.min(F.when(F.col("cum") > F.floor("pos"), F.col("v"))).alias("a"),
         F.min(F.when(F.col("cum") > F.ceil("pos"), F.col("v"))).alias("b"),
@@ -82,7 +98,7 @@ def aggregate(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], percenti
     value = F.col("a") + (F.col("b") - F.col("a")) * F.col("f")
     picked = ends.groupBy(*keys).agg(*[
         F.max(F.when(F.col("i") == i, value)).alias(s.name) for i, s in enumerate(percentiles)])
-    out = first.drop(*[f"__b{i}" for i in range(len(percentiles))]).join(picked, keys, "left")
+    out = first.drop(*[f"__{x}{j}" for j in range(len(values)) for x in "nq"]).join(picked, keys, "left")
     return out if by else out.drop("__all")
 
 
@@ -90,4 +106,4 @@ def exact_percentiles(df: DataFrame, wanted: dict[str, float], value: str, by: S
                       accuracy: int = ACCURACY) -> DataFrame:
     """One column per entry of ``wanted`` (name -> p in [0,1]), one row per group."""
     specs = [percentile(name, p, value) for name, p in wanted.items()]
-    return aggregate(df, by, [F.count(value).alias("__rows")], specs, accuracy).drop("__rows")
+    return aggregate(df, by, [F.count(value).alias("__rows")], specs, accuracy, [value]).drop("__rows")

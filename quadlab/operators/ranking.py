@@ -23,38 +23,41 @@ def global_running(df: DataFrame, order: Sequence[str], sums: Sequence[str] = ()
     partitions are fixed by a checkpoint, and each gets the totals of the ones before it.
     """
     n = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = cut(df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id()))
+    # ids rise by one in each partition, in the order it was sorted in: the place of a row needs no window over its partition
+    at = F.monotonically_increasing_id()
+    ranged = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", at))
+    ranged = ranged.withColumn("__pid", F.shiftright("__id", 33).cast("int"))
     # at most n rows from here to the join
     totals = ranged.groupBy("__pid").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__s_{c}") for c in sums])
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("__pid", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c)
                                        for c in ["__n", *[f"__s_{c}" for c in sums]]])
-    w = Window.partitionBy("__pid").orderBy(*order)
-    rows = ranged.withColumn(out, F.row_number().over(w).cast("bigint"))
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranged.join(F.broadcast(offsets), "__pid")
+    rows = rows.withColumn(out, F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__n") + 1)
+    running = Window.partitionBy("__pid").orderBy("__id").rowsBetween(Window.unboundedPreceding, 0)
     for c in sums:
-        rows = rows.withColumn(f"cum_{c}", F.sum(c).over(running))
-    rows = rows.join(F.broadcast(offsets), "__pid")
-    rows = rows.withColumn(out, F.col(out) + F.col("__n"))
-    for c in sums:
-        rows = rows.withColumn(f"cum_{c}", F.col(f"cum_{c}") + F.col(f"__s_{c}"))
-    return rows.drop("__pid", "__n", *[f"__s_{c}" for c in sums])
+        rows = rows.withColumn(f"cum_{c}", F.sum(c).over(running) + F.col(f"__s_{c}"))
+    return rows.drop("__pid", "__id", "__n", *[f"__s_{c}" for c in sums])
 
 
 def _bucketed(df: DataFrame, value: str, descending: bool = False) -> tuple[DataFrame, list]:
-    """Tag rows with an equal-width bucket of ``value`` and return the histogram (at most BUCKETS rows)."""
-    lo, hi = df.agg(F.min(value), F.max(value)).first()
+    """Tag rows with an equal-width bucket of ``value`` and return the histogram (at most BUCKETS rows).
+
+    Rows without a number (null or NaN) get no bucket and do not count.
+    """
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    lo, hi = df.agg(F.min(v), F.max(v)).first()
     if lo is None:
-        return df.withColumn("__b", F.lit(0)), []
+        return df.withColumn("__b", F.lit(None).cast("int")), []
     width = (hi - lo) / BUCKETS or 1.0
-    b = F.least(F.floor((F.col(value) - lo) / width), F.lit(BUCKETS - 1)).cast("int")
+    b = F.when(v.isNotNull(), F.least(F.floor((v - lo) / width), F.lit(BUCKETS - 1)).cast("int"))
     tagged = df.withColumn("__b", -b if descending else b)
-    hist = tagged.groupBy("__b").agg(F.count("*").alias("n"), F.sum(value).alias("s")).collect()
+    hist = tagged.where("__b is not null").groupBy("__b").agg(F.count("*").alias("n"), F.sum(value).alias("s")).collect()
     return tagged, sorted(hist)
 
 
 def _split_at(tagged: DataFrame, at: int, slice_rows: DataFrame) -> DataFrame:
-    rest = tagged.where(F.col("__b") != at).withColumn("dropped", F.col("__b") < at)
+    rest = tagged.where(F.col("__b").isNull() | (F.col("__b") != at)).withColumn("dropped", F.coalesce(F.col("__b") < at, F.lit(False)))
     return rest.drop("__b").unionByName(slice_rows)
 
 
@@ -62,7 +65,7 @@ def drop_min_until_mean(df: DataFrame, target: float, cap: float, value: str = "
     """Flag ``dropped`` on the fewest lowest rows whose removal lifts the mean of the rest to ``target``.
 
     Dropping stops after the row that takes the dropped share above ``cap``, so one row more than the
-    cap allows can go. Ties are taken in name order. The input is read several times: pass a stored or
+    cap allows can go. Ties are taken in name order. Rows without a number stay and do not count. The input is read several times: pass a stored or
     checkpointed table.
     """
     tagged, hist = _bucketed(df, value)
@@ -91,6 +94,7 @@ def drop_top_fraction(df: DataFrame, frac: float, value: str = "err_mean", name:
                       threshold: float | None = None) -> DataFrame:
     """Flag ``dropped`` on the floor(frac*n) rows of largest ``value``, then on any above ``threshold``.
 
+    Rows without a number (null or NaN) stay and do not count.
     The input is read several times: pass a stored or checkpointed table.
     """
     tagged, hist = _bucketed(df, value, descending=True)
@@ -109,7 +113,8 @@ def drop_top_fraction(df: DataFrame, frac: float, value: str = "err_mean", name:
     if out is None:
         out = tagged.withColumn("dropped", F.lit(False)).drop("__b")
     if threshold is not None:
-        out = out.withColumn("dropped", F.col("dropped") | (F.col(value) > threshold))
+        number = F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")), F.lit(float("-inf")))
+        out = out.withColumn("__v", number).withColumn("dropped", F.col("dropped") | (F.col("__v") > threshold)).drop("__v")
     return out
 
 

@@ -6,11 +6,13 @@ lines of a file, or of part files in name order, and needs no global numbering.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quadlab.checkpoints import cut
 from quadlab.functions import names as N
 from quadlab.functions.geometry import clip01, is_finite_quad, order_tlbr_sumdiff
 from quadlab.schema import SPLIT_VARIANTS
@@ -193,9 +195,28 @@ def eval_rows(raw: DataFrame) -> DataFrame:
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.csv(path, header=True)
-    return raw.select("*", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start").alias("at"),
-                                    F.monotonically_increasing_id().alias("seq")).alias("ord"))
+    """All files below ``path`` as string columns, each read by its own header line; a column that a file lacks is null.
+
+    Records are lines. The headers come first (one per file, few distinct ones); then all lines are parsed in one pass.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("seq"))
+    lines = lines.withColumn("value", F.regexp_replace("value", r"^\uFEFF|\r$", "")).where(F.trim("value") != "")
+    heads = cut(lines.where("at = 0").groupBy("file").agg(F.min_by("value", "seq").alias("head")))
+    known = [r["head"] for r in heads.select("head").distinct().collect()]
+    cells = {h: [c.strip() for c in next(csv.reader([h]))] for h in known}
+    width = max(map(len, cells.values()), default=1)
+    ddl = ", ".join(f"c{i} string" for i in range(width))
+    rows = lines.join(heads, "file").where("value != head").withColumn("r", F.from_csv("value", ddl))
+    place = F.struct("file", "at", "seq").alias("ord")
+
+    def column(name: str) -> Column:
+        out = F.lit(None).cast("string")
+        for h, names in cells.items():
+            if name in names:
+                out = F.when(F.col("head") == h, F.col(f"r.c{names.index(name)}")).otherwise(out)
+        return out.alias(name)
+    return rows.select(*[column(c) for c in dict.fromkeys(c for names in cells.values() for c in names if c)], place)
 
 
 def read_eval_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -236,9 +257,9 @@ REPORT_DDL = ("samples array<struct<filename string, detector_status string, det
 
 
 def read_nested_report(spark: SparkSession, path: str) -> DataFrame:
-    """One row per sample of a nested report; the last entry of a file name wins."""
-    raw = spark.read.schema(REPORT_DDL).json(path, multiLine=True)
-    rows = (raw.select(F.posexplode("samples").alias("ord", "s")).select("ord", "s.*")
+    """One row per sample of nested reports; the last entry of a file name wins, files in path order."""
+    raw = spark.read.schema(REPORT_DDL).json(path, multiLine=True).select("samples", F.col("_metadata.file_path").alias("file"))
+    rows = (raw.select("file", F.posexplode("samples").alias("pos", "s")).select(F.struct("file", "pos").alias("ord"), "s.*")
             .where(F.coalesce(F.col("filename"), F.lit("")) != ""))
     return last_wins(rows, ["filename"])
 
@@ -257,10 +278,12 @@ def read_worst_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_name_set(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct trimmed names; a missing file is an empty set."""
+    """Distinct trimmed names; a missing file is an empty set, any other failure is raised."""
     try:
         raw = spark.read.text(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "name string")
     return name_set(raw.select(F.col("value").alias("name")))
 
@@ -295,10 +318,11 @@ def read_latency_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_training_history(spark: SparkSession, path: str) -> DataFrame:
-    """epoch (from 1), part (train or val), metric, value; metric keys may differ between files."""
+    """run (the file's folder and stem), epoch (from 1), part (train or val), metric, value; metric keys may differ between files."""
+    folder = F.regexp_extract("_metadata.file_path", r"([^/]*)/[^/]*$", 1)
     raw = spark.read.text(path, wholetext=True).select(
-        F.from_json("value", "train array<map<string,double>>, val array<map<string,double>>").alias("h"))
-    parts = [raw.select(F.lit(p).alias("part"), F.posexplode(f"h.{p}").alias("i", "m"))
-             .select("part", (F.col("i") + 1).alias("epoch"), F.explode("m").alias("metric", "value"))
+        F.concat_ws("/", folder, N.stem(F.col("_metadata.file_name"))).alias("run"), F.from_json("value", "train array<map<string,double>>, val array<map<string,double>>").alias("h"))
+    parts = [raw.select("run", F.lit(p).alias("part"), F.posexplode(f"h.{p}").alias("i", "m"))
+             .select("run", "part", (F.col("i") + 1).alias("epoch"), F.explode("m").alias("metric", "value"))
              for p in ("train", "val")]
     return parts[0].unionByName(parts[1])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quadlab.functions import names as N
@@ -131,34 +134,46 @@ def write_review_index(index: DataFrame, path: str) -> None:
 
 
 def write_version(df: DataFrame, table_path: str, dry_run: bool = False) -> str | None:
-    """Write the next ``v=<n>`` of a table and keep the earlier ones; a dry run writes nothing."""
+    """Write the next version of a table and keep the earlier ones; a dry run writes nothing.
+
+    The rows go to a folder of their own; the pointer file ``v=<n>`` that names it is created last and never replaced, so
+    of two writers one takes the next number. An unfinished attempt leaves no pointer.
+    """
     if dry_run:
         return None
     spark = df.sparkSession
-    n = latest_version(spark, table_path) + 1
-    target = f"{table_path}/v={n}"
-    # a directory of that number can only be an unfinished attempt
-    df.write.mode("overwrite").parquet(target)
-    return target
+    folder = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{table_path}/{folder}")
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(table_path).getFileSystem(spark._jsc.hadoopConfiguration())
+    n = latest_version(spark, table_path)
+    while True:
+        n += 1
+        try:
+            out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{table_path}/v={n}"), False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            continue
+        out.write(bytearray(folder.encode()))
+        out.close()
+        return f"{table_path}/{folder}"
 
 
 def latest_version(spark: SparkSession, table_path: str) -> int:
-    """Number of the newest completely written version, 0 when there is none."""
+    """Number of the newest version, 0 when there is none."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(table_path)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return 0
-    found = [0]
-    for s in fs.listStatus(path):
-        name = s.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-            found.append(int(name[2:]))
-    return max(found)
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return max([0, *(int(n[2:]) for n in names if n.startswith("v="))])
 
 
 def read_version(spark: SparkSession, table_path: str, version: int | None = None) -> DataFrame:
-    return spark.read.parquet(f"{table_path}/v={version or latest_version(spark, table_path)}")
+    pointer = f"{table_path}/v={version or latest_version(spark, table_path)}"
+    return spark.read.parquet(f"{table_path}/{spark.read.text(pointer).first()['value']}")
 
 
 def dataset_fingerprint(names: DataFrame, by: list[str] | None = None) -> DataFrame:
