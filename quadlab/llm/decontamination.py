@@ -23,11 +23,17 @@ def tokens(text: Column) -> Column:
 
 
 def _windows(df: DataFrame, keep: list[str], text: str, pad: int) -> DataFrame:
-    """One row per window of a text: where it starts, and its hashed tokens ``t`` (padded on both sides)."""
+    """One row per window of a text: where it starts, its hashed tokens ``t`` (padded on both sides) and its seeds.
+
+    The partition ids, which a later filter reads, keep that filter and those the optimizer infers above the tokens and seeds; below, they would compute them again.
+    """
     edge = F.array(*[F.lit(pad).cast("long")] * _SIDE)
     hashed = F.concat(edge, F.transform(tokens(F.col(text)), lambda w: F.xxhash64(w)), edge)
-    rows = df.select(*keep, hashed.alias("t")).withColumn("n", F.size("t") - 2 * _SIDE).where(F.col("n") >= _SPAN)
-    return rows.select(*keep, "t", "n", F.explode(F.sequence(F.lit(0), F.col("n") - _SPAN)).alias("at"))
+    rows = df.select(*keep, hashed.alias("t"), F.spark_partition_id().alias("p0"))
+    n = F.size("t") - 2 * _SIDE
+    at = F.when(n >= _SPAN, F.sequence(F.lit(0), n - _SPAN))
+    return (rows.select(*keep, "t", "p0", F.explode(at).alias("at"))
+            .select("*", *[_seed(m).alias(f"s{m}") for m in range(len(MASKS))], F.spark_partition_id().alias("p1")))
 
 
 def _seed(mask: int) -> Column:
@@ -65,7 +71,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     marks = range(len(MASKS))
     around = F.slice("t", F.col("at") + 1, wide)
     items = (_windows(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), ["item_id"], "text", -1)
-             .select("item_id", "n", around.alias("there"), F.explode(F.array(*[_seed(m) for m in marks])).alias("seed")).distinct())
+             .where("p0 + p1 >= 0").select("item_id", (F.size("t") - 2 * _SIDE).alias("n"), around.alias("there"),
+                                           F.explode(F.array(*[f"s{m}" for m in marks])).alias("seed")).distinct())
     bits = _bitmap(items).scalar()
 
     def maybe(seed: Column) -> Column:
@@ -74,12 +81,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     found = _windows(rows, ["doc_id", "text_hash"], "text", -2)
-    for m in marks:
-        found = found.withColumn(f"s{m}", _seed(m))
     some = maybe(F.col("s0"))
     for m in marks[1:]:
         some = some | maybe(F.col(f"s{m}"))
-    found = found.where(some).select("doc_id", "text_hash", around.alias("here"), F.explode(F.array(*[f"s{m}" for m in marks])).alias("seed"))
+    found = found.where((F.col("p0") + F.col("p1") >= 0) & some).select("doc_id", "text_hash", around.alias("here"), F.explode(F.array(*[f"s{m}" for m in marks])).alias("seed"))
     same = F.zip_with("here", "there", lambda a, b: (a == b).cast("int"))
     scores = [F.aggregate(F.slice("same", s + 1, WINDOW), F.lit(0), lambda a, x: a + x) for s in range(_SIDE + 1)]
     return (found.join(items, "seed").withColumn("same", same).withColumn("matched", F.greatest(*scores))
