@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from quadlab.llm.common import cut, written
+from quadlab.llm.common import cut, fresh, written
 from quadlab.llm.components import connected_components
+from quadlab.llm.set_links import components_of_alike
 from quadlab.llm.shingles import WordHashes, minhashes, mixed, permutations, shingle_hashes
 
 #: Signature: this many symbols of 16 bits, cut into this many chunks; pairs that differ in up to DISTANCE symbols have,
@@ -69,27 +70,11 @@ def shingle_sets(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, shingles array<long>")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), size))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    either = F.size("sa") + F.size("sb") - both
-    return (pairs.join(left, "a").join(right, "b")
-            .where((F.least(F.size("sa"), F.size("sb")) * 100 >= F.greatest(F.size("sa"), F.size("sb")) * percent)
-                   & (100 * both >= percent * either))
-            .select("a", "b").distinct())
-
-
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs`` (``doc_id``, ``text``; other columns are ignored).
 
-    Equal sets are one class, named by its smallest ``doc_id``. Class representatives that share a probe key are
-    candidates: first each with the smallest of its bucket, which joins the bulk of any group of copies; then, within
-    buckets that still hold several components, every pair across components. Links are confirmed on full sets.
-    All signature pairs within ``DISTANCE`` symbols are found. Components are those of all links.
+    Equal sets are one class, named by its smallest ``doc_id``. Class representatives that share a probe key are candidates; all signature pairs
+    within ``DISTANCE`` symbols share one. ``components_of_alike`` compares them on full sets and gives the components of all links.
 
     A null or empty text has set size 0, is its own component and kept. A row without ``doc_id`` is scored, has a null
     component and is kept. Rows that repeat a ``doc_id`` are one document. An empty table gives no rows.
@@ -99,29 +84,30 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
                .agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")))
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = classes.select("rep", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high")
-    buckets = written(keyed.join(shared.select("key", "low"), "key"))
-    first = cut(buckets.where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct())
-    links = cut(_linked(first, known, size, percent))
-    parts = cut(connected_components(links))
-    placed = buckets.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep"))
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    open_ = written(placed.join(mixed_keys, "key", "left_semi").select("key", "rep", "component"))
-    other = open_.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    second = (open_.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")).join(other, "key")
-              .where("a < b and ca != cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
-    more = cut(_linked(cut(second), known, size, percent))
-    parts = connected_components(links.unionByName(more))
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high").select("key")
+    buckets = written(keyed.join(shared, "key").select("key", F.col("rep").alias("id")).distinct())
+    sets = written(shingle_sets(known.join(buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), size))
+    parts = components_of_alike(buckets, sets.withColumnRenamed("doc_id", "id"), percent)
     # rows that repeat a doc_id tie their classes together
     names = sigs.where("doc_id is not null and set_id is not null").select("doc_id", "set_id").distinct().join(
         classes.select("set_id", "rep"), "set_id").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     twice = sigs.where("doc_id is not null").groupBy("doc_id").agg(
         F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x != y").select(F.col("doc_id").alias("a"))
-    parts = cut(connected_components(links.unionByName(more).unionByName(names.join(twice, "a", "left_semi"))))         if twice.take(1) else cut(parts)
+    if twice.take(1):
+        tied = names.join(twice, "a", "left_semi").select("a", "b")
+        parts = cut(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(tied)))
     to = classes.select("set_id", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_id", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "set_id").join(to, "set_id", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"),
                       F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near-duplicates, that with the smallest ``doc_id``; all columns. Rows without ``doc_id`` stay; of rows that share one, the first by text stays."""
+    d, n = fresh(docs.columns, "__d"), fresh(docs.columns, "__n")
+    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias(d)).distinct()
+    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col(d), "left_anti")
+    known = rows.where("doc_id is not null").withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(n) == 1)
+    return known.select(*docs.columns).unionByName(rows.where("doc_id is null").select(*docs.columns))

@@ -10,8 +10,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quadlab.llm.common import cut, fresh, written
-from quadlab.llm.components import connected_components
+from quadlab.llm.common import fresh, written
+from quadlab.llm.set_links import components_of_alike
 from quadlab.llm.shingles import WordHashes, minhashes, mixed, permutations, shingle_hashes
 
 #: Five bands of two rows meet 99.4 % of the paragraph pairs at a similarity of 0.8, and 99.98 % at 0.9.
@@ -105,21 +105,11 @@ def _sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
     return at.select("h", F.expr("substring(text, start + 1, end - start)").alias("t")).mapInPandas(run, "h long, shingles array<long>")
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs of classes whose whole shingle sets are alike."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    sets = written(_sets(reps.join(wanted, "h", "left_semi"), docs))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("sb")), "b")
-            .where(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct())
-
-
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, th, start, end, n_words, first_doc_id`` of each passage to remove (code points, end exclusive).
 
-    Paragraphs with the same words are one class; classes that share a band are compared on whole five-word shingle sets, first with the smallest of
-    their bucket, then across the components of buckets that still hold several; components of the links are clusters. Of each
+    Paragraphs with the same words are one class; classes that share a band are compared on whole five-word shingle sets (``components_of_alike``);
+    components of the links are clusters. Of each
     cluster the first paragraph (by ``doc_id``, text, place) stays. Neighbouring paragraphs to remove are one passage, reported if it has ``min_words`` words.
 
     Null or empty texts have no paragraphs; rows without ``doc_id`` come last in the order and report a null id; a repeated row repeats nothing (it is the same
@@ -128,23 +118,14 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     paras = written(paragraph_table(docs))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "k", "start", "end")
     banded = paras.select("h", F.explode("bands").alias("band"))
-    open_ = banded.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select("band", "low")
-    buckets = written(banded.join(open_, "band").distinct())
-    near = buckets.select("h").distinct()
+    open_ = banded.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select("band")
+    buckets = written(banded.join(open_, "band").select(F.col("band").alias("key"), F.col("h").alias("id")).distinct())
+    near = buckets.select(F.col("id").alias("h")).distinct()
     counted = paras.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     reps = written(counted.where("first != last").select("h", "first", F.lit(True).alias("again"))
                    .unionByName(counted.where("first = last").join(near, "h", "left_semi").select("h", "first", F.lit(False).alias("again"))))
-    first = cut(buckets.where("h != low").select(F.col("low").alias("a"), F.col("h").alias("b")).distinct())
-    links = cut(_linked(first, reps, docs))
-    parts = cut(connected_components(links))
-    placed = buckets.join(parts.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    mixed_bands = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
-    left = written(placed.join(mixed_bands, "band", "left_semi").select("band", "h", "component"))
-    second = (left.select("band", F.col("h").alias("a"), F.col("component").alias("ca"))
-              .join(left.select("band", F.col("h").alias("b"), F.col("component").alias("cb")), "band")
-              .where("a < b and ca != cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
-    more = cut(_linked(cut(second), reps, docs))
-    parts = cut(connected_components(links.unionByName(more)))
+    sets = written(_sets(reps.join(near, "h", "left_semi"), docs).withColumnRenamed("h", "id"))
+    parts = components_of_alike(buckets, sets, PERCENT)
     clusters = (reps.join(parts.withColumnRenamed("node", "h"), "h", "left").withColumn("cluster", F.coalesce("component", "h")))
     kept = clusters.groupBy("cluster").agg(F.min("first").alias("kept"), F.count("*").alias("n"), F.bool_or("again").alias("again")).where("n > 1 or again")
     gone = written(clusters.select("h", "cluster").join(kept.select("cluster", "kept"), "cluster").select("h", "kept"))
