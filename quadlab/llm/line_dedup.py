@@ -67,3 +67,12 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
     others = [F.col(c) if c.lower() != "text" else text.alias(c) for c in docs.columns]
     return both.select(*others, F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut)).alias("n_removed"))
+
+
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """``docs`` without boilerplate lines; all columns, ``n_chars`` counted anew where lines went. Rows that lose all their words go."""
+    out = remove_boilerplate(docs, min_sites)
+    out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

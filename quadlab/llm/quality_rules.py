@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quadlab.llm.common import written
+from quadlab.llm.common import fresh, written
 from quadlab.llm.shingles import WordHashes
 from quadlab.llm.text_stats import FEATURES, base_counts, features
 
@@ -31,7 +31,7 @@ RULES: tuple[tuple[str, tuple[float, float], tuple[float, float]], ...] = (
 
 
 def rule_table(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the base counts and ``votes`` (1 for, -1 against, 0 abstains; one per rule) of each row."""
+    """``doc_id, text_hash``, the base counts and ``votes`` (1 for, -1 against, 0 abstains; one per rule) of each row."""
     at = [FEATURES.index(name) for name, _, _ in RULES]
     good, bad = np.array([g for _, g, _ in RULES]), np.array([b for _, _, b in RULES])
 
@@ -43,12 +43,12 @@ def rule_table(docs: DataFrame) -> DataFrame:
                 counts = [base_counts(t, cache) for t in pdf["text"]]
                 x = np.array([features(t, cache, c) for t, c in zip(pdf["text"], counts)]).reshape(len(pdf), -1)[:, at]
                 votes = ((x >= good[:, 0]) & (x <= good[:, 1])).astype(np.int8) - ((x >= bad[:, 0]) & (x <= bad[:, 1])).astype(np.int8)
-                out = pd.DataFrame({"doc_id": pdf["doc_id"]} | {k: [c[k] for c in counts] for k in names})
+                out = pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"]} | {k: [c[k] for c in counts] for k in names})
                 out["votes"] = [bytes(v.astype(np.uint8).tolist()) for v in votes]
                 yield out
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, votes binary"
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(
+        run, "doc_id string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, votes binary"
     ).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -76,7 +76,7 @@ def accuracies(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tupl
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept`` of each row of ``docs``.
+    """``doc_id, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept`` of each row of ``docs``.
 
     ``quality`` is the posterior chance that a text is good, from the votes of all rules and accuracies estimated on
     all rows; the driver sees the counts of distinct vote patterns only. Kept are texts that pass the base rules and
@@ -100,3 +100,11 @@ def judged(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (rows.withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-score)))
             .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5)).drop("votes"))
+
+
+def good_documents(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that are kept; all columns."""
+    d, t, h = (fresh(docs.columns, x) for x in ("__d", "__t", "__h"))
+    good = judged(docs).where("kept").select(F.col("doc_id").alias(d), F.col("text_hash").alias(t)).distinct()
+    rows = docs.withColumn(h, F.xxhash64("text"))
+    return rows.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left_semi").select(*docs.columns)
