@@ -7,7 +7,7 @@ from quadlab.catalog import query
 from quadlab.catalog.aggregates import EV, RUNS, model_runs, rounded
 from quadlab.catalog.jobs import CV, decisions
 from quadlab.catalog.joins import base, index
-from quadlab.catalog.shared import num, q6, r6, sel
+from quadlab.catalog.shared import cols, num, q6, r6, sel, spread
 from quadlab.checkpoints import scratch_dir
 from quadlab.functions import names as N
 from quadlab.operators import metrics as M
@@ -49,25 +49,37 @@ def label_lines(spark, sf):
 
 
 def _label_sql() -> str:
-    good = "CAST(printf('%.6f', g{}) AS DOUBLE)"
-    x = f"least(greatest({good.format(0)}, 0), 1)"
-    s = [f"CAST(printf('%.6f', g{2*i}) AS DOUBLE) + CAST(printf('%.6f', g{2*i+1}) AS DOUBLE)" for i in range(4)]
-    tl = f"[{', '.join(good.format(2 * i) for i in range(4))}][list_position([{', '.join(s)}], least({', '.join(s)}))]"
-    modes = {"strict": f"CASE WHEN r IN (1, 3) THEN NULL ELSE {x} END", "lenient": f"CASE WHEN r IN (0, 3) THEN NULL WHEN r = 1 THEN 0.5e0 ELSE {x} END",
-             "exact": f"CASE WHEN r IN (2, 3) THEN NULL WHEN r = 1 THEN 0.5e0 ELSE {tl} END", "class0": f"CASE WHEN r = 3 THEN NULL ELSE {x} END"}
+    v = [f"CAST(printf('%.6f', g{i}) AS DOUBLE)" for i in range(8)]
+    clip = [f"least(greatest({x}, 0), 1)" for x in v]
+    turned = _sumdiff_sql(v)
+
+    def row(mode: str, empty: str, half: str, values: list[str]) -> str:
+        x = ", ".join(f"CASE WHEN r IN ({empty}) THEN NULL WHEN r IN ({half}) THEN 0.5e0 ELSE {c} END + 0e0 AS x{i}" for i, c in enumerate(values))
+        return f"SELECT '{mode}' AS mode, name[:-5] AS stem, {x} FROM {src}"
     src = "(SELECT *, sample_id % 7 AS r FROM quad_samples WHERE g0 IS NOT NULL) s"
-    parts = [f"SELECT '{m}' AS mode, name[:-5] AS stem, {e} + 0e0 AS x0 FROM {src}" for m, e in modes.items()]
-    parts.append(f"SELECT 'multi', name[:-5], {x} + 0e0 FROM {src} WHERE r <> 3 UNION ALL SELECT 'multi', name[:-5], 0.5e0 FROM {src} WHERE r = 1")
+    parts = [row("strict", "1, 3", "-1", clip), row("lenient", "0, 3", "1", clip), row("exact", "2, 3", "1", turned), row("class0", "3", "-1", clip)]
+    parts.append(row("multi", "-1", "-1", clip) + " WHERE r <> 3")
+    parts.append(row("multi", "-1", "1", clip) + " WHERE r = 1")
     return " UNION ALL ".join(parts)
 
 
+def _sumdiff_sql(v: list[str]) -> list[str]:
+    """Corners by least x+y, least y-x, greatest x+y, greatest y-x; the first of equals."""
+    s, d = ([f"({v[2 * i]} + {v[2 * i + 1]})" for i in range(4)], [f"({v[2 * i + 1]} - {v[2 * i]})" for i in range(4)])
+    out = []
+    for keys, end in ((s, "least"), (d, "least"), (s, "greatest"), (d, "greatest")):
+        at = f"list_position([{', '.join(keys)}], {end}({', '.join(keys)}))"
+        out += [f"[{', '.join(v[2 * i + k] for i in range(4))}][{at}]" for k in range(2)]
+    return out
+
+
 @query("src_03_read_labels", sel(_label_sql()))
 def read_labels(spark, sf):
     """The five label modes over the same lines."""
     lines = label_lines(spark, sf)
     out = None
     for mode in ("strict", "lenient", "exact", "class0", "multi"):
-        part = R.labels_from_lines(lines, mode).select(F.lit(mode).alias("mode"), "stem", F.get("coords", F.lit(0)).alias("x0"))
+        part = R.labels_from_lines(lines, mode).select(F.lit(mode).alias("mode"), "stem", *spread(F.col("coords"), "x"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -85,35 +97,42 @@ def prediction_lines(spark, sf):
 
 
 CONF6 = "CAST(printf('%.6f', conf) AS DOUBLE)"
-X0 = "CAST(printf('%.6f', c0) AS DOUBLE)"
+XS = [f"CAST(printf('%.6f', c{i}) AS DOUBLE)" for i in range(8)]
+
+
+def _each(expr: str) -> str:
+    """An expression over X (the printed coordinate) for all eight, named x0 to x7."""
+    return ", ".join(f"{expr.replace('X', x)} AS x{i}" for i, x in enumerate(XS))
+
+
+NAN_FIRST = ", ".join(f"CASE WHEN sample_id % 11 = 0 THEN {'NULL' if i == 0 else '0.5e0'} WHEN sample_id % 7 = 0 THEN NULL WHEN detected = 1 THEN {x} END AS x{i}"
+                      for i, x in enumerate(XS))
 
 
 @query("src_04_prediction_rules", sel(
-    f"SELECT 'strict' AS mode, source, name, detected, {CONF6} AS conf, CASE WHEN detected = 1 THEN {X0} END AS x0 FROM quad_predictions UNION ALL "
-    f"SELECT 'keep', source, name, detected, {CONF6}, {X0} FROM quad_predictions UNION ALL "
-    f"SELECT 'detected_only', source, name, 1, CASE WHEN detected = 1 THEN {CONF6} ELSE 0.5e0 END, CASE WHEN detected = 1 THEN {X0} ELSE 0.25e0 END "
+    f"SELECT 'strict' AS mode, source, name, detected, {CONF6} AS conf, {_each('CASE WHEN detected = 1 THEN X END')} FROM quad_predictions UNION ALL "
+    f"SELECT 'keep', source, name, detected, {CONF6}, {_each('X')} FROM quad_predictions UNION ALL "
+    f"SELECT 'detected_only', source, name, 1, CASE WHEN detected = 1 THEN {CONF6} ELSE 0.5e0 END, {_each('CASE WHEN detected = 1 THEN X ELSE 0.25e0 END')} "
     f"FROM quad_predictions WHERE detected = 1 OR sample_id % 5 = 0 UNION ALL "
     f"SELECT 'lenient', source, name, CASE WHEN sample_id % 77 = 0 OR sample_id % 11 = 0 OR sample_id % 7 = 0 THEN 1 ELSE detected END, "
-    f"CASE WHEN sample_id % 11 = 0 OR sample_id % 7 = 0 THEN 0.75e0 ELSE {CONF6} END, CASE WHEN sample_id % 11 = 0 OR sample_id % 7 = 0 THEN NULL "
-    f"WHEN detected = 1 THEN {X0} END FROM quad_predictions"))
+    f"CASE WHEN sample_id % 11 = 0 OR sample_id % 7 = 0 THEN 0.75e0 ELSE {CONF6} END, {NAN_FIRST} FROM quad_predictions"))
 def prediction_rules(spark, sf):
     lines = prediction_lines(spark, sf)
     out = None
     for mode in ("strict", "keep", "detected_only", "lenient"):
-        x0 = F.get("coords", F.lit(0))
-        part = R.parse_predictions(lines, mode).select(
-            F.lit(mode).alias("mode"), "source", "name", "detected", "conf", F.when(~F.isnan(x0), x0).alias("x0"))
+        x = [F.nanvl(F.get("coords", F.lit(i)), F.lit(None).cast("double")).alias(f"x{i}") for i in range(8)]
+        part = R.parse_predictions(lines, mode).select(F.lit(mode).alias("mode"), "source", "name", "detected", "conf", *x)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 @query("src_04_read_predictions", sel(
-    f"SELECT split, source, name, detected, {CONF6} AS conf, CASE WHEN detected = 1 THEN {X0} END AS x0 FROM quad_predictions"))
+    f"SELECT split, source, name, detected, {CONF6} AS conf, {_each('CASE WHEN detected = 1 THEN X END')} FROM quad_predictions"))
 def read_predictions(spark, sf):
     path = scratch_dir(spark)
     W.write_predictions(X.predictions(spark, sf), path)
     rows = R.read_predictions(spark, path)
-    return rows.select("split", "source", "name", "detected", "conf", F.get("coords", F.lit(0)).alias("x0"))
+    return rows.select("split", "source", "name", "detected", "conf", *spread(F.col("coords"), "x"))
 
 
 @query("src_04_read_predictions_subset", sel("SELECT source, name, detected FROM quad_predictions WHERE sample_id % 17 = 0"))
@@ -168,7 +187,7 @@ def read_review_index(spark, sf):
     return R.read_review_index(spark, path).select("split", "name", num(F.col("is_negative")).alias("negative"))
 
 
-@query("src_08_read_nested_report", sel("SELECT name, CASE WHEN detected = 1 THEN 'OK' ELSE 'NO_DOCUMENT' END AS status, conf, c0 FROM quad_predictions WHERE source = 'teacher'"))
+@query("src_08_read_nested_report", sel("SELECT name, CASE WHEN detected = 1 THEN 'OK' ELSE 'NO_DOCUMENT' END AS status, conf, " + cols("c") + " FROM quad_predictions WHERE source = 'teacher'"))
 def read_nested_report(spark, sf):
     """Reports of at most 1000 consecutive samples each; an earlier report holds other entries of the same names."""
     path = scratch_dir(spark)
@@ -183,7 +202,7 @@ def read_nested_report(spark, sf):
      .write.partitionBy("part").text(path))
     return R.read_nested_report(spark, path).select(
         F.col("filename").alias("name"), F.col("detector_status").alias("status"), F.col("detector_confidence").alias("conf"),
-        F.get("pred_norm8", F.lit(0)).alias("c0"))
+        *spread(F.col("pred_norm8"), "c"))
 
 
 def evals(spark, sf):
@@ -298,14 +317,15 @@ def write_summary(spark, sf):
 
 
 @query("snk_06_write_worst_report", sel(
-    "SELECT printf('%-8s %-60s %8.4f %10.2f %10.2f', split, name, iou, err_mean, err_max) AS line FROM ev WHERE has_doc", EV))
+    "SELECT printf('%-8s %-60s %8.4f %10.2f %10.2f %8.4f', split, name, iou, err_mean, err_max, iou * 100 - err_mean) AS line FROM ev WHERE has_doc UNION ALL "
+    "SELECT repeat('=', 110) UNION ALL SELECT printf('SUMMARY %s n=%d iou mean=%.4f min=%.4f max=%.4f err mean=%.2f min=%.2f max=%.2f lt90=%d lt80=%d', split, count(*), "
+    "avg(iou), min(iou), max(iou), avg(err_mean), min(err_mean), max(err_mean), count(*) FILTER (WHERE iou < 0.9), count(*) FILTER (WHERE iou < 0.8)) FROM ev WHERE has_doc GROUP BY split", EV))
 def write_worst_report(spark, sf):
-    """The row lines without their last column."""
+    """Every line of the report."""
     path = scratch_dir(spark)
     rows = evals(spark, sf)
     W.write_worst_report(rows, M.split_summary(rows), path)
-    lines = spark.read.text(path).where(~F.col("value").rlike("^(=|SUMMARY)"))
-    return lines.select(F.substring("value", 1, 100).alias("line"))
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query("snk_07_write_candidate_lists", sel(
@@ -319,13 +339,14 @@ def write_candidate_lists(spark, sf):
 
 
 @query("snk_08_review_index", sel(
-    "SELECT s.name, CASE WHEN z.sample_id IS NULL THEN 'missing_image' WHEN s.sample_id % 13 <> 0 THEN 'skipped_existing' ELSE 'written' END AS status "
+    "SELECT s.split, s.name, CAST(starts_with(s.name, 'negative_') AS INT) AS negative, CASE WHEN z.sample_id IS NULL THEN 'missing_image' WHEN s.sample_id % 13 <> 0 THEN 'skipped_existing' ELSE 'written' END AS status "
     "FROM quad_samples s LEFT JOIN image_sizes z ON s.sample_id = z.sample_id"))
 def review_index(spark, sf):
     path = scratch_dir(spark)
     done = index(spark, sf)[1].select(F.regexp_replace("overlay_rel", "png$", "jpg").alias("overlay_rel"))
     W.write_review_index(W.review_index(X.samples(spark, sf), X.sizes(spark, sf).select("name"), done), path)
-    return spark.read.schema("name string, status string").json(path)
+    out = spark.read.schema("split string, name string, is_negative boolean, status string").json(path)
+    return out.select("split", "name", num(F.col("is_negative")).alias("negative"), "status")
 
 
 @query("snk_09_versions", sel("SELECT 1 AS version, count(*) AS n FROM quad_samples UNION ALL SELECT 2, count(*) FILTER (WHERE sample_id % 17 <> 0) FROM quad_samples"))

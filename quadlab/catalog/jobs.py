@@ -357,9 +357,10 @@ def round_progress(spark, sf):
 
 KIND = ("CASE WHEN starts_with(lower(name), 'negative_') THEN 'negative' WHEN starts_with(lower(name), 'midv') THEN 'midv' "
         "WHEN starts_with(lower(name), 'smartdoc') THEN 'smartdoc' ELSE 'other_iou_ge' END")
-REB = [*GVT, ("rb", f"SELECT s.split, s.name, {KIND} AS kind, CASE WHEN p.detected = 1 AND NOT {NEG.replace('name', 's.name')} THEN p.c0 END AS c0, "
+REB = [*GVT, ("rb", (f"SELECT s.split, s.name, {KIND} AS kind, "
+       + ", ".join(f"CASE WHEN p.detected = 1 AND NOT {NEG.replace('name', 's.name')} THEN p.c{i} END AS c{i}" for i in range(8)) + ", "
        f"CASE WHEN {NEG.replace('name', 's.name')} THEN 'empty' WHEN p.sample_id IS NULL THEN 'missing_pred' WHEN p.detected = 1 THEN 'written' ELSE 'empty' END AS label_status, "
-       f"g.raw FROM quad_samples s LEFT JOIN quad_predictions p ON s.sample_id = p.sample_id AND p.source = 'teacher' LEFT JOIN gv g ON s.sample_id = g.sample_id".replace(
+       f"g.raw FROM quad_samples s LEFT JOIN quad_predictions p ON s.sample_id = p.sample_id AND p.source = 'teacher' LEFT JOIN gv g ON s.sample_id = g.sample_id").replace(
            "lower(name)", "lower(s.name)"))]
 
 
@@ -369,9 +370,9 @@ def rebuilt(spark, sf):
 
 
 @query("job_17_rebuild_with_teacher_labels", sel(
-    "SELECT split, name, kind, label_status, c0 FROM rb WHERE kind <> 'other_iou_ge' OR raw >= 0.97", REB))
+    "SELECT split, name, kind, label_status, " + cols("c") + " FROM rb WHERE kind <> 'other_iou_ge' OR raw >= 0.97", REB))
 def rebuild_with_teacher_labels(spark, sf):
-    return rebuilt(spark, sf).select("split", "name", "kind", "label_status", F.get("coords", F.lit(0)).alias("c0"))
+    return rebuilt(spark, sf).select("split", "name", "kind", "label_status", *spread(F.col("coords"), "c"))
 
 
 @query("ag_09_kept_breakdown", sel("SELECT split, kind, count(*) AS n FROM rb WHERE kind <> 'other_iou_ge' OR raw >= 0.97 GROUP BY split, kind", REB))
@@ -490,8 +491,8 @@ def relabel_only_if_empty(spark, sf):
 
 
 @query("job_23_attach_model_labels", sel(
-    "SELECT name[:-5] AS stem, 0 AS class, g0 AS x0 FROM quad_samples WHERE g0 IS NOT NULL UNION ALL SELECT name[:-5], 1, c0 FROM quad_predictions WHERE source = 'winner' AND detected = 1 "
-    "AND conf >= 0.9 UNION ALL SELECT t.name[:-5], 1, t.c0 FROM quad_predictions t LEFT JOIN quad_predictions w ON t.sample_id = w.sample_id AND w.source = 'winner' AND w.detected = 1 "
+    "SELECT name[:-5] AS stem, 0 AS class, " + cols("g", "x") + " FROM quad_samples WHERE g0 IS NOT NULL UNION ALL SELECT name[:-5], 1, " + cols("c") + " FROM quad_predictions WHERE source = 'winner' AND detected = 1 "
+    "AND conf >= 0.9 UNION ALL SELECT t.name[:-5], 1, " + cols("t.c") + " FROM quad_predictions t LEFT JOIN quad_predictions w ON t.sample_id = w.sample_id AND w.source = 'winner' AND w.detected = 1 "
     "AND w.conf >= 0.9 WHERE t.source = 'teacher' AND t.detected = 1 AND w.sample_id IS NULL"))
 def attach_model_labels(spark, sf):
     """Existing class-1 lines come from the teacher; the winner's replace them where it is sure."""
@@ -499,7 +500,7 @@ def attach_model_labels(spark, sf):
     hit = p.where("detected = 1").join(s.select("name", "stem"), "name")
     lines = lab.withColumn("class", F.lit(0)).unionByName(hit.where("source = 'teacher'").select("stem", "coords", F.lit(1).alias("class")))
     scored = hit.where("source = 'winner'").select("stem", "coords", F.col("conf").alias("score"))
-    return L.attach_model_labels(lines, scored, 0.9).select("stem", "class", F.get("coords", F.lit(0)).alias("x0"))
+    return L.attach_model_labels(lines, scored, 0.9).select("stem", "class", *spread(F.col("coords"), "x"))
 
 
 # ---------------------------------------------------------------- review and scoring

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quadlab import fixtures as X
 from quadlab.catalog import query
-from quadlab.catalog.shared import evaluated_ctes, iou_ctes, num, pairs_cte, q6, r6, sel
+from quadlab.catalog.shared import cols, evaluated_ctes, iou_ctes, num, pairs_cte, q6, r6, sel, spread
 from quadlab.operators import joins as J
 from quadlab.plans import audit as A, cleaning as K
 
@@ -13,29 +13,29 @@ def base(spark, sf):
     return X.samples(spark, sf), X.labels(spark, sf).select("stem", "coords"), X.predictions(spark, sf).drop("sample_id")
 
 
-@query("jn_01_samples_labels", sel("SELECT split, name, CAST(g0 IS NOT NULL AS INT) AS gt_valid, g0, g7 FROM quad_samples"))
+@query("jn_01_samples_labels", sel("SELECT split, name, CAST(g0 IS NOT NULL AS INT) AS gt_valid, " + cols("g") + " FROM quad_samples"))
 def samples_labels(spark, sf):
     s, lab, _ = base(spark, sf)
-    return J.join_labels(s, lab).select("split", "name", "gt_valid", F.get("gt", F.lit(0)).alias("g0"), F.get("gt", F.lit(7)).alias("g7"))
+    return J.join_labels(s, lab).select("split", "name", "gt_valid", *spread(F.col("gt"), "g"))
 
 
-@query("jn_01_samples_labels_inner", sel("SELECT split, name, g0 FROM quad_samples WHERE g0 IS NOT NULL"))
+@query("jn_01_samples_labels_inner", sel("SELECT split, name, " + cols("g") + " FROM quad_samples WHERE g0 IS NOT NULL"))
 def samples_labels_inner(spark, sf):
     s, lab, _ = base(spark, sf)
-    return J.join_labels(s, lab, "inner").select("split", "name", F.get("gt", F.lit(0)).alias("g0"))
+    return J.join_labels(s, lab, "inner").select("split", "name", *spread(F.col("gt"), "g"))
 
 
 @query("jn_02_samples_predictions", sel(
     "SELECT s.split, s.name, coalesce(p.detected, 0) AS detected, coalesce(p.conf, 0e0) AS conf, CAST(p.sample_id IS NOT NULL AS INT) AS has_row, "
-    "CASE WHEN p.detected = 1 THEN c0 END AS c0 FROM quad_samples s LEFT JOIN quad_predictions p ON s.sample_id = p.sample_id AND p.source = 'teacher'"))
+    + ", ".join(f"CASE WHEN p.detected = 1 THEN c{i} END AS c{i}" for i in range(8)) + " FROM quad_samples s LEFT JOIN quad_predictions p ON s.sample_id = p.sample_id AND p.source = 'teacher'"))
 def samples_predictions(spark, sf):
     s, _, p = base(spark, sf)
-    return J.join_predictions(s, p, "teacher").select("split", "name", "detected", "conf", "has_row", F.get("pred", F.lit(0)).alias("c0"))
+    return J.join_predictions(s, p, "teacher").select("split", "name", "detected", "conf", "has_row", *spread(F.col("pred"), "c"))
 
 
 @query("jn_03_n_sources", sel(
     "SELECT s.split, s.name, CAST(s.g0 IS NOT NULL AS INT) AS gt_valid, " + ", ".join(
-        f"max(CASE WHEN source = '{n}' THEN c0 END) AS {n}, max(CASE WHEN source = '{n}' THEN conf END) AS {n}_conf"
+        ", ".join(f"max(CASE WHEN source = '{n}' THEN c{i} END) AS {n}{i}" for i in range(8)) + f", max(CASE WHEN source = '{n}' THEN conf END) AS {n}_conf"
         for n, _ in X.SOURCE_ROWS)
     + ", count(p.sample_id) AS n_sources FROM quad_samples s LEFT JOIN (SELECT * FROM quad_predictions WHERE detected = 1) p "
       "ON s.sample_id = p.sample_id GROUP BY ALL"))
@@ -43,7 +43,7 @@ def n_sources(spark, sf):
     s, lab, p = base(spark, sf)
     rows = J.join_sources(J.join_labels(s, lab), p)
     names = [n for n, _ in X.SOURCE_ROWS]
-    return rows.select("split", "name", "gt_valid", *[F.get(n, F.lit(0)).alias(n) for n in names], *[f"{n}_conf" for n in names],
+    return rows.select("split", "name", "gt_valid", *[c for n in names for c in spread(F.col(n), n)], *[f"{n}_conf" for n in names],
                        sum((F.col(n).isNotNull().cast("bigint") for n in names), F.lit(0)).alias("n_sources"))
 
 
@@ -142,14 +142,14 @@ STATE = [("st", "SELECT sample_id, coalesce(max_by(action, seq) FILTER (WHERE ac
 
 @query("jn_12_effective_labels", sel(
     "SELECT s.name, CAST(coalesce(st.discarded, false) AS INT) AS discarded, CAST(st.shift IS NOT NULL AND NOT st.discarded AS INT) AS modified, "
-    "CASE WHEN st.shift IS NOT NULL AND NOT st.discarded THEN g0 + st.shift ELSE g0 END AS e0 FROM quad_samples s LEFT JOIN st "
+    + ", ".join(f"CASE WHEN st.shift IS NOT NULL AND NOT st.discarded THEN g{i} + st.shift ELSE g{i} END AS e{i}" for i in range(8)) + " FROM quad_samples s LEFT JOIN st "
     "ON s.sample_id = st.sample_id WHERE s.g0 IS NOT NULL", STATE).replace("st.shift IS NOT NULL AND NOT st.discarded AS INT",
                                                                         "coalesce(st.shift IS NOT NULL AND NOT st.discarded, false) AS INT"))
 def effective_labels(spark, sf):
     s, lab, _ = base(spark, sf)
     rows = J.effective_labels(J.join_labels(s, lab, "inner"), J.fold_events(events(spark, sf)))
     return rows.select("name", num(F.col("discarded")).alias("discarded"), num(F.col("modified")).alias("modified"),
-                       F.get("effective", F.lit(0)).alias("e0"))
+                       *spread(F.col("effective"), "e"))
 
 
 @query("jn_13_two_models", sel(

@@ -7,6 +7,7 @@ from quadlab.catalog import query
 from quadlab.catalog.aggregates import NEG
 from quadlab.catalog.shared import sel
 from quadlab.operators import joins as J, metrics as M, sampling as S
+from quadlab.operators.ranking import global_running
 
 SEED = 1337
 
@@ -32,7 +33,11 @@ def intersection(spark, sf):
     return S.intersection(X.outlier_names(spark, sf), X.samples(spark, sf).where("split = 'val'"))
 
 
-@query("sm_01_weighted_sample")
+@query("sm_01_weighted_sample", sel(
+    f"SELECT draw, name, is_outlier FROM (SELECT i AS draw, CAST(('0x' || substr(md5(i || '#{SEED}'), 1, 13)) AS BIGINT) / 4503599627370496e0 * total AS p FROM "
+    "(SELECT unnest(range(n)) AS i, total FROM (SELECT count(*) AS n, CAST(sum(w) AS DOUBLE) AS total FROM w) t) z) d JOIN "
+    "(SELECT name, is_outlier, sum(w) OVER (ORDER BY name) AS cum, sum(w) OVER (ORDER BY name) - w AS start FROM w) r ON p >= start AND p < cum",
+    [("w", "SELECT name, CAST(sample_id % 17 = 0 AS INT) AS is_outlier, CASE WHEN sample_id % 17 = 0 THEN 3 ELSE 1 END AS w FROM quad_samples")]))
 def weighted_sample(spark, sf):
     """As many draws as samples, outliers with weight 3."""
     rows = J.with_membership(X.samples(spark, sf).select("name"), X.outlier_names(spark, sf), "is_outlier")
@@ -57,9 +62,11 @@ def sample_negatives(spark, sf):
     return S.sample_negatives(s, pos, ratio, SEED).select("split", "name")
 
 
-@query("sm_03_seeded_shuffle", sel(f"SELECT name FROM quad_samples ORDER BY {HASH}, name"))
+@query("sm_03_seeded_shuffle", sel(f"SELECT name, row_number() OVER (ORDER BY {HASH}, name) AS place FROM quad_samples"))
 def seeded_shuffle(spark, sf):
-    return S.seeded_shuffle(X.samples(spark, sf).select("name"), SEED)
+    """Names with their place in the shuffled order."""
+    rows = S.seeded_shuffle(X.samples(spark, sf).select("name"), SEED).withColumn("at", F.monotonically_increasing_id())
+    return global_running(rows, ["at"], out="place").select("name", "place")
 
 
 @query("sm_04_stratified_sample", sel(

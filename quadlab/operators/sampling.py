@@ -37,21 +37,26 @@ def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def first_k_by_hash(df: DataFrame, targets: DataFrame, by: Sequence[str], seed: int) -> DataFrame:
-    """Per group, the first ``k`` rows in hash order; ``targets`` holds the group columns and k."""
+    """Per group, the first ``k`` rows in hash order; ``targets`` holds the group columns and k.
+
+    A histogram of the first three hex digits of the hash finds the bucket that the cut falls in, one of its next three digits
+    the part of it; only that part, about one row in 16 million of the group, is ordered.
+    """
     by = list(by)
-    rows = df.withColumn("__h", hash_key(F.col("name"), seed)).withColumn("__b", F.substring("__h", 1, 3))
-    # 4096 hash prefixes per group
-    hist = rows.groupBy(*by, "__b").agg(F.count("*").alias("c"))
-    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    plan = (hist.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
-            .join(targets, by).select(*by, "__b", (F.col("k") - F.col("before")).alias("room"), "c")
-            .where(F.col("room") > 0))
-    tagged = rows.join(plan, [*by, "__b"])
-    whole = tagged.where(F.col("room") >= F.col("c"))
-    w = Window.partitionBy(*by, "__b").orderBy("__h", "name")
-    cut = (tagged.where(F.col("room") < F.col("c")).withColumn("__rn", F.row_number().over(w))
-           .where(F.col("__rn") <= F.col("room")).drop("__rn"))
-    return whole.unionByName(cut).drop("__h", "__b", "room", "c")
+    rows, left, parts = df.withColumn("__h", hash_key(F.col("name"), seed)), targets.select(*by, "k"), []
+    for digits in (3, 6):
+        rows = rows.withColumn("__b", F.substring("__h", 1, digits))
+        hist = rows.groupBy(*by, "__b").agg(F.count("*").alias("__c"))
+        before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        plan = (hist.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).join(left, by)
+                .select(*by, "__b", (F.col("k") - F.col("__before")).alias("__room"), "__c").where(F.col("__room") > 0))
+        tagged = rows.join(plan, [*by, "__b"])
+        parts.append(tagged.where(F.col("__room") >= F.col("__c")).select(*df.columns))
+        rows = tagged.where(F.col("__room") < F.col("__c")).drop("__b", "__room", "__c")
+        left = plan.where(F.col("__room") < F.col("__c")).select(*by, F.col("__room").alias("k"))
+    w = Window.partitionBy(*by).orderBy("__h", "name")
+    last = rows.withColumn("__rn", F.row_number().over(w)).join(left, by).where(F.col("__rn") <= F.col("k"))
+    return union_all(*parts, last.select(*df.columns))
 
 
 def sample_negatives(samples: DataFrame, positives: DataFrame, ratios: DataFrame, seed: int = 1337) -> DataFrame:
@@ -74,22 +79,29 @@ def stratified_sample(df: DataFrame, k: int, stratum: str, seed: int) -> DataFra
 def weighted_sample(df: DataFrame, weight: str, seed: int, n: int | None = None, name: str = "name") -> DataFrame:
     """``n`` draws with replacement (as many as rows by default), each row with chance weight / total.
 
-    Rows own consecutive ranges of the total weight; draws are points. Both sides are cut into cells
-    as wide as the greatest weight, so a row lies in at most two cells and the join is an equi-join.
+    Rows, in name order, own consecutive ranges of the total weight (exact decimals with twelve places); draws are points, from the md5 of their number. Both sides
+    are cut into cells as wide as the mean weight, so cells hold about one draw each and all rows together lie in
+    at most three cells a row, however unequal the weights; a row that spans very many cells is spread block by block.
     """
     spark = df.sparkSession
-    rows = global_running(df.where(F.col(weight) > 0), [name], [weight])
-    total, top, count = rows.agg(F.sum(weight), F.max(weight), F.count("*")).first()
+    rows = df.where(F.col(weight) > 0).withColumn("__w", F.col(weight).cast("decimal(38,12)"))
+    rows = global_running(rows, [name], ["__w"])
+    total, count = rows.agg(F.sum("__w"), F.count("*")).first()
     if not count:
         return df.withColumn("draw", F.lit(None).cast("bigint")).limit(0)
-    end, start = F.col(f"cum_{weight}"), F.col(f"cum_{weight}") - F.col(weight)
-    owned = rows.withColumn("__start", start).withColumn("__end", end).withColumn(
-        "__cell", F.explode(F.sequence(F.floor(start / top), F.floor(end / top))))
-    unit = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    draws = spark.range(n or count).withColumn("__at", unit * total).withColumn("__cell", F.floor(F.col("__at") / top))
-    hit = (F.col("__at") >= F.col("__start")) & (F.col("__at") < F.col("__end"))
-    return (draws.join(owned, "__cell").where(hit).withColumnRenamed("id", "draw")
-            .drop("__cell", "__at", "__start", "__end", "rn", f"cum_{weight}"))
+    width, block = float(total) / count, 1 << 12
+
+    def cell(c: Column) -> Column:
+        return F.floor(c.cast("double") / width)
+    owned = rows.withColumns({"__start": F.col("cum___w") - F.col("__w"), "__end": F.col("cum___w")})
+    owned = owned.withColumns({"__from": cell(F.col("__start")), "__to": cell(F.col("__end"))})
+    owned = owned.withColumn("__block", F.explode(F.sequence(F.floor(F.col("__from") / block), F.floor(F.col("__to") / block))))
+    owned = owned.withColumn("__cell", F.explode(F.sequence(
+        F.greatest("__from", F.col("__block") * block), F.least("__to", F.col("__block") * block + block - 1))))
+    number = F.conv(F.substring(F.md5(F.concat_ws("#", F.col("id").cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("bigint")
+    draws = spark.range(n or count).withColumn("__at", number / F.lit(float(1 << 52)) * F.lit(float(total))).withColumn("__cell", cell(F.col("__at")))
+    hit = (F.col("__at") >= F.col("__start").cast("double")) & (F.col("__at") < F.col("__end").cast("double"))
+    return draws.join(owned, "__cell").where(hit).select(*df.columns, F.col("id").alias("draw"))
 
 
 def calibration_set(df: DataFrame, n: int, order: str = "ord", variants: int = 1) -> DataFrame:
