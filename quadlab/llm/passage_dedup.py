@@ -55,35 +55,54 @@ def paragraphs(text: str | None) -> Iterator[tuple[int, int, list[bytes]]]:
         at += len(line) + 1
 
 
+def _paragraph_shingles(h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of consecutive paragraphs one after the other, and where each paragraph's begin; short paragraphs have one."""
+    ends = lengths.cumsum()
+    counts = np.maximum(lengths - SHINGLE + 1, 1)
+    starts = counts.cumsum() - counts
+    flat = np.empty(int(counts.sum()), dtype=np.uint64)
+    long = lengths >= SHINGLE
+    if long.any():
+        within = np.arange(len(flat)) - np.repeat(starts, counts)
+        keep = np.repeat(long, counts)
+        flat[keep] = shingle_hashes(h, SHINGLE)[(np.repeat(ends - lengths, counts) + within)[keep]]
+    for i in np.flatnonzero(~long):
+        flat[starts[i]] = shingle_hashes(h[ends[i] - lengths[i]:ends[i]], SHINGLE)[0]
+    return flat, starts
+
+
 def paragraph_table(docs: DataFrame) -> DataFrame:
     """``doc_id, th, k, start, end, n_words, h, bands`` of every paragraph; ``h`` names its sequence of lower-cased words."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, (a, b) = WordHashes(), permutations(BANDS * ROWS, SEED)
         band = np.arange(BANDS, dtype=np.uint64)[:, None]
+
+        def encoded(rows: list[tuple], words: list[bytes]) -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=["doc_id", "th", "k", "start", "end", "n_words"])
+            h, lengths = cache.of(words), out["n_words"].to_numpy(dtype=np.int64)
+            ends = lengths.cumsum()
+            flat, starts = _paragraph_shingles(h, lengths)
+            low = np.empty((BANDS * ROWS, len(rows)), dtype=np.uint64)
+            for i in range(BANDS * ROWS):
+                x = flat * a[i] + b[i]
+                low[i] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts)
+            names = [xxhash.xxh64_intdigest(h[e - n:e].tobytes(), seed=n) for e, n in zip(ends.tolist(), lengths.tolist())]
+            out["h"] = np.array(names, dtype=np.uint64).view(np.int64)
+            out["bands"] = list(np.ascontiguousarray(mixed(mixed(low[0::2]) * np.uint64(3) + low[1::2] + band).T).view(np.int64))
+            return out
+
         with np.errstate(over="ignore"):
             for pdf in batches:
+                rows, words = [], []
                 for doc, th, text in zip(pdf["doc_id"], pdf["th"], pdf["text"]):
-                    got = list(paragraphs(text))
-                    if not got:
-                        continue
-                    hashes = cache.of([w for _, _, ws in got for w in ws])
-                    lengths = np.array([len(ws) for _, _, ws in got])
-                    ends = lengths.cumsum()
-                    sets, sizes, names = [], [], []
-                    for e, n in zip(ends, lengths):
-                        s = shingle_hashes(hashes[e - n:e], SHINGLE)
-                        sets.append(s)
-                        sizes.append(len(s))
-                        names.append(xxhash.xxh64_intdigest(hashes[e - n:e].tobytes(), seed=int(n)))
-                    flat = np.concatenate(sets)
-                    starts = np.cumsum([0, *sizes[:-1]])
-                    low = np.empty((BANDS * ROWS, len(got)), dtype=np.uint64)
-                    for i in range(BANDS * ROWS):
-                        x = flat * a[i] + b[i]
-                        low[i] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts)
-                    keys = mixed(mixed(low[0::2]) * np.uint64(3) + low[1::2] + band).T.copy().view(np.int64)
-                    yield pd.DataFrame({"doc_id": doc, "th": th, "k": np.arange(len(got), dtype=np.int32), "start": [s for s, _, _ in got],
-                                        "end": [e for _, e, _ in got], "n_words": lengths, "h": np.array(names, dtype=np.uint64).view(np.int64), "bands": list(keys)})
+                    for k, (start, end, ws) in enumerate(paragraphs(text)):
+                        rows.append((doc, th, k, start, end, len(ws)))
+                        words += ws
+                    if len(words) > 200_000:
+                        yield encoded(rows, words)
+                        rows, words = [], []
+                if rows:
+                    yield encoded(rows, words)
 
     rows = docs.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     return rows.mapInPandas(run, "doc_id string, th long, k int, start int, end int, n_words int, h long, bands array<long>").withColumn(
@@ -99,10 +118,10 @@ def _sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
                 sets = [np.unique(shingle_hashes(cache.of(t.encode("utf-8", "surrogatepass").lower().split()), SHINGLE)).view(np.int64) for t in pdf["t"]]
                 yield pd.DataFrame({"h": pdf["h"], "shingles": sets})
 
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), "text").dropDuplicates(["d", "t"])
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), "text")
     at = reps.select("h", "first.doc_id", "first.th", "first.start", "first.end").join(
         texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-    return at.select("h", F.expr("substring(text, start + 1, end - start)").alias("t")).mapInPandas(run, "h long, shingles array<long>")
+    return at.select("h", F.expr("substring(text, start + 1, end - start)").alias("t")).dropDuplicates(["h"]).mapInPandas(run, "h long, shingles array<long>")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
