@@ -226,12 +226,12 @@ def read_name_set(spark, sf):
     return R.read_name_set(spark, path).unionByName(R.read_name_set(spark, path + "-missing"))
 
 
-@query("src_11_list_files")
+@query("src_11_list_files", sel("SELECT DISTINCT '.txt' AS ext, 'prefix=' || split_part(name, '_', 1) || '_' || split_part(name, '_', 2) AS dir FROM quad_samples WHERE NOT starts_with(name, 'negative_')"))
 def list_files(spark, sf):
-    """Files of a split-wise text export, by extension."""
+    """Folders and extensions of an export by name prefix."""
     path = scratch_dir(spark)
     X.samples(spark, sf).select("prefix", "name").where(~F.col("is_negative")).write.partitionBy("prefix").text(path)
-    return R.list_files(spark, path, [".txt"]).groupBy("ext", N.base_name(F.col("dir")).alias("dir")).agg(F.count("*").alias("n"))
+    return R.list_files(spark, path, [".txt"]).select("ext", N.base_name(F.col("dir")).alias("dir")).distinct()
 
 
 @query("src_12_read_metric_reports", sel(

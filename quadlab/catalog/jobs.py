@@ -6,6 +6,7 @@ from quadlab import fixtures as X
 from quadlab.catalog import query
 from quadlab.catalog.aggregates import EV, NEG, ev, reviewed, reviewed_ctes, rounded
 from quadlab.catalog.arrays import quality
+from quadlab.catalog.compare import bbox_sql
 from quadlab.catalog.geometry import (
     A as ANGLES, B, CORNER_TESTS, LAB, QUAD_TESTS, TOUCH_TESTS, angle_sql, convex_sql, issue_rows, sane_sql)
 from quadlab.catalog.joins import OLD_NEW, base, index, runs
@@ -16,6 +17,7 @@ from quadlab.catalog.shared import (
 from quadlab.checkpoints import cut
 from quadlab.functions import geometry as G
 from quadlab.operators import joins as J, metrics as M, scoring, sampling as S
+from quadlab.operators.ranking import global_running
 from quadlab.plans import audit as A, cleaning as K, consensus as V, relabel as L, review as W
 
 # ---------------------------------------------------------------- consensus
@@ -93,6 +95,15 @@ def decision_counts(spark, sf):
     return V.decision_counts(decisions(spark, sf))
 
 
+@query("ag_11_guarded_counts", sel(
+    "SELECT count(*) AS total, count(*) FILTER (WHERE NOT neg) AS positives, count(*) FILTER (WHERE neg) AS negatives, count(*) AS kept, 0 AS dropped, "
+    "count(*) FILTER (WHERE starts_with(action, 'replace')) AS changed_labels, count(*) FILTER (WHERE prot AND NOT neg AND g0 IS NOT NULL) AS kept_protected, "
+    "count(*) FILTER (WHERE action = 'keep_gt_protected') AS dropped_attempted_protected FROM cv", CV))
+def guarded_counts(spark, sf):
+    """A minimum above the sample count restores every row, and the counters say so."""
+    return V.decision_counts(V.min_total_guard(decisions(spark, sf), 1 << 40))
+
+
 @query("job_02_min_total_guard", sel(
     "SELECT 'low' AS guard, split, count(*) FILTER (WHERE action <> 'drop') AS n_in FROM cv GROUP BY split UNION ALL "
     "SELECT 'high' AS guard, split, count(*) AS n_in FROM cv GROUP BY split", CV))
@@ -271,6 +282,19 @@ def full_evaluation(spark, sf):
     return rounded(K.full_evaluation(*base(spark, sf), "teacher"))
 
 
+@query("job_10_evaluation_order", sel("SELECT name, row_number() OVER (ORDER BY round(iou, 6) DESC, name) AS place FROM ev WHERE has_doc", EV))
+def evaluation_order(spark, sf):
+    """Place of each row in the evaluation file."""
+    rows = K.in_evaluation_order(rounded(K.full_evaluation(*base(spark, sf), "teacher")))
+    return global_running(rows.select("name", F.monotonically_increasing_id().alias("at")), ["at"], out="place").select("name", "place")
+
+
+@query("job_11_worst_rows", sel(
+    f"SELECT split, name, {EVALS}, {q6(bbox_sql('c', 'g'), 'iou_bbox')}, {q6('score', 'score')} FROM ev WHERE has_doc ORDER BY round(err_mean, 6) DESC, name LIMIT 200", EV))
+def worst_rows(spark, sf):
+    return rounded(K.worst_rows(ev(spark, sf).withColumn("err_mean", F.round("err_mean", 6)), 200))
+
+
 @query("job_11_worst_cases", sel(f"SELECT name, {EVALS} FROM ev WHERE has_doc AND err_mean >= 5 ORDER BY round(err_mean, 6) DESC, name LIMIT 200", EV))
 def worst_cases(spark, sf):
     return K.worst_cases(rounded(K.full_evaluation(*base(spark, sf), "teacher")), 5.0, 200).select("name", "iou", "err_mean", "err_max")
@@ -291,13 +315,13 @@ def mine_top_k(spark, sf):
     return K.mine_hard_examples(ev(spark, sf), top_k=300).select("name", "prio", r6("key"))
 
 
-def _target_sql() -> tuple[str, list]:
+def _target_sql(share: str = "0.1") -> tuple[str, list]:
     ctes = [*EV, ("cs", f"SELECT *, CASE WHEN has_doc THEN CASE WHEN sample_id % 17 = 0 THEN 'outliers.txt' WHEN NOT coalesce({sane_sql('g')}, false) "
                         f"THEN 'label_invalid' END END AS r0 FROM ev"),
             ("cvl", "SELECT name, CASE WHEN suffix / cnt < 0.97 AND (rn - 1) / n <= 0.3 THEN 'low_iou_to_hit_target' END AS r FROM (SELECT name, "
                     "row_number() OVER (ORDER BY iou, name) AS rn, count(*) OVER () * 1e0 AS n, sum(iou) OVER (ORDER BY iou DESC, name DESC) AS suffix, "
                     "row_number() OVER (ORDER BY iou DESC, name DESC) AS cnt FROM cs WHERE has_doc AND r0 IS NULL AND split = 'val') z"),
-            ("ctr", "SELECT name, CASE WHEN rn <= floor(0.1 * n) THEN 'large_error' END AS r FROM (SELECT name, row_number() OVER (ORDER BY err_mean DESC, name) AS rn, "
+            ("ctr", f"SELECT name, CASE WHEN rn <= floor({share} * n) THEN 'large_error' END AS r FROM (SELECT name, row_number() OVER (ORDER BY err_mean DESC, name) AS rn, "
                     "count(*) OVER () AS n FROM cs WHERE has_doc AND r0 IS NULL AND split <> 'val') z")]
     return ("SELECT c.split, c.name, coalesce(c.r0, v.r, t.r, 'kept') AS reason FROM cs c LEFT JOIN cvl v ON c.name = v.name LEFT JOIN ctr t ON c.name = t.name", ctes)
 
@@ -308,6 +332,13 @@ def clean_splits_by_target(spark, sf):
     return rows.select("split", "name", F.coalesce("reason", F.lit("kept")).alias("reason"))
 
 
+@query("job_14_clean_splits_same_share", sel(*_target_sql("(SELECT count(r) * 1e0 / count(*) FROM cvl)")))
+def clean_splits_same_share(spark, sf):
+    """Training loses the share of rows that validation lost."""
+    rows = K.clean_splits_by_target(ev(spark, sf), X.outlier_names(spark, sf), 0.97, 0.3)
+    return rows.select("split", "name", F.coalesce("reason", F.lit("kept")).alias("reason"))
+
+
 @query("job_15_clean_splits_by_threshold", sel(
     f"SELECT split, name, 0 AS negative FROM ev WHERE has_doc AND round(iou, 6) >= 0.99 UNION ALL SELECT n.split, n.name, 1 FROM (SELECT split, name, row_number() OVER "
     f"(PARTITION BY split ORDER BY {HASH}, name) AS rn FROM quad_samples WHERE {NEG}) n JOIN (SELECT split, CAST(round_even(np * ratio, 0) AS BIGINT) AS k FROM "

@@ -1,6 +1,6 @@
 """WN-*: ranking, cuts, top-k and paging."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from quadlab import fixtures as X
 from quadlab.catalog import query
@@ -167,6 +167,34 @@ def review_queue_acute(spark, sf):
     return queue(spark, sf, "acute_gt", "gt_angle_asc")
 
 
+KINDS = {"all": LIVE, "failed": f"{LIVE} AND iou < 0.5", "low_iou": f"{LIVE} AND iou >= 0.5 AND iou < 0.75", "medium_iou": f"{LIVE} AND iou >= 0.75 AND iou < 0.9",
+         "high_iou": f"{LIVE} AND iou >= 0.9 AND iou < 0.95", "excellent": f"{LIVE} AND iou >= 0.95", "acute_gt": f"{LIVE} AND {MIN_ANGLE} < 60",
+         "high_error": f"{LIVE} AND err_mean > 10", "modified": "modified AND NOT discarded", "discarded": "discarded", "negative": "is_negative AND NOT discarded",
+         "train": "split = 'train'", "val": "split = 'val'"}
+KIND_SORTS = {k: sort for k, sort in zip(KINDS, ["iou_asc", "error_desc", "error_asc", "iou_desc", "name", "gt_angle_asc", "gt_angle_desc", "iou_asc", "error_desc",
+                                                 "error_asc", "iou_desc", "name", "iou_desc"])}
+
+
+def _every_sql() -> str:
+    order = {"iou_asc": "qi NULLS FIRST", "iou_desc": "qi DESC NULLS LAST", "error_asc": "qe NULLS FIRST", "error_desc": "qe DESC NULLS LAST",
+             "gt_angle_asc": "qa NULLS FIRST", "gt_angle_desc": "qa DESC NULLS LAST", "name": "name"}
+    src = (f"(SELECT rv.*, is_negative OR NOT has_gt AS neg, round(iou, 6) AS qi, round(err_mean, 6) AS qe, CASE WHEN has_gt THEN round({MIN_ANGLE}, 6) END AS qa FROM rv) z")
+    return " UNION ALL ".join(f"SELECT '{k}' AS kind, name, row_number() OVER (ORDER BY {order[KIND_SORTS[k]]}, name) AS place FROM {src} WHERE "
+                              + where.replace("is_negative", "neg") for k, where in KINDS.items())
+
+
+@query("wn_10_review_queue_every_filter", sel(_every_sql(), RV))
+def review_queue_every_filter(spark, sf):
+    """Place of each sample in the queue of every filter; the sorts take turns."""
+    rows = reviewed(spark, sf).withColumn("is_negative", F.col("is_negative") | F.col("gt").isNull())
+    rows = cut(rows.withColumns({c: F.round(c, 6) for c in ("iou", "err_mean", "gt_min_angle")}))
+    out = None
+    for kind, sort in KIND_SORTS.items():
+        part = R.review_queue(rows, kind, sort).select(F.lit(kind).alias("kind"), "name", F.monotonically_increasing_id().alias("at"))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("at"))).drop("at")
+
+
 @query("wn_11_limit_first", sel(
     "SELECT split, name FROM (SELECT split, name, row_number() OVER (PARTITION BY split ORDER BY sample_id) AS rn FROM quad_samples) z WHERE rn <= 50 "
     "UNION ALL SELECT 'all' AS split, name FROM (SELECT name FROM quad_samples ORDER BY sample_id LIMIT 50) y"))

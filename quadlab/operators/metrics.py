@@ -21,6 +21,7 @@ def evaluate_pairs(df: DataFrame, img_size: float = 224.0, exact_iou: bool = Tru
     df = with_polygon_iou(df, [("pred", "gt", "iou")]) if exact_iou else df.withColumn("iou", bbox_iou(pred, gt))
     e = C.corner_errors(pred, gt, img_size)
     return computed(df, {
+        "iou_bbox": bbox_iou(pred, gt),
         "corner_errs": F.when(gt.isNotNull() & pred.isNotNull(), F.array(*e)),
         "err_mean": C.mean4(e),
         "err_max": F.when(gt.isNotNull() & pred.isNotNull(), F.greatest(*e))})

@@ -42,6 +42,17 @@ def rounded_evals(evals: DataFrame) -> DataFrame:
                               "err_max": F.round("err_max", 2), "score": F.round("score", 4)})
 
 
+def in_evaluation_order(evals: DataFrame) -> DataFrame:
+    """The order of the evaluation file: greatest IoU first, then by name."""
+    return evals.orderBy(F.desc("iou"), "name")
+
+
+def worst_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` positives of largest error with both IoU kinds and the model's own score."""
+    cols = ("split", "name", "iou", "iou_bbox", "err_mean", "err_max", "score")
+    return rows.where("has_doc").select(*cols).orderBy(F.desc("err_mean"), "name").limit(n)
+
+
 def worst_cases(evals: DataFrame, min_err: float = 0.0, n: int = 0, by_iou: bool = False) -> DataFrame:
     rows = evals.where(F.col("err_mean") >= min_err) if min_err > 0 else evals
     rows = rows.orderBy(F.asc("iou") if by_iou else F.desc("err_mean"), "name")
@@ -68,11 +79,12 @@ def mine_hard_examples(rows: DataFrame, iou_below: float = 0.9, err_above: float
 
 
 def clean_splits_by_target(rows: DataFrame, outliers: DataFrame, target: float = 0.99, max_drop: float = 0.3,
-                           train_drop: float = 0.1, train_err_px: float | None = None) -> DataFrame:
+                           train_drop: float | None = None, train_err_px: float | None = None) -> DataFrame:
     """Keep or remove each sample, with the reason.
 
     Listed outliers and insane labels go first; then the fewest lowest-IoU validation rows until their
-    mean reaches the target, and the training rows with the largest error. Negatives stay.
+    mean reaches the target, and the training rows with the largest error: the share ``train_drop``, by default
+    the share that validation really lost. Negatives stay.
     """
     listed = outliers.select("name").distinct().withColumn("listed", F.lit(True))
     rows = rows.join(listed, "name", "left").withColumn("reason", F.when(F.col("has_doc"), (
@@ -82,6 +94,10 @@ def clean_splits_by_target(rows: DataFrame, outliers: DataFrame, target: float =
     sound = slim.where(F.col("has_doc") & F.col("reason").isNull())
     val = R.drop_min_until_mean(sound.where(F.col("split") == "val"), target, max_drop)
     val = val.withColumn("reason", F.when(F.col("dropped"), F.lit("low_iou_to_hit_target")))
+    if train_drop is None:
+        val = cut(val)
+        lost, n = val.agg(F.count_if("dropped"), F.count("*")).first()
+        train_drop = lost / n if n else 0.0
     train = R.drop_top_fraction(sound.where(F.col("split") != "val"), train_drop, threshold=train_err_px)
     train = train.withColumn("reason", F.when(F.col("dropped"), F.lit("large_error")))
     rest = slim.where(~F.col("has_doc") | F.col("reason").isNotNull())

@@ -85,7 +85,10 @@ def consensus_vote(samples: DataFrame, labels: DataFrame, preds: DataFrame, t: T
 
 
 def decision_counts(decisions: DataFrame) -> DataFrame:
+    """Counters of a vote; after ``min_total_guard`` those of the final membership."""
     a, neg = F.col("action"), F.col("is_negative")
+    if "in_split" in decisions.columns:
+        decisions = decisions.withColumn("kept", F.col("in_split"))
     return decisions.agg(
         F.count("*").alias("total"), F.count_if(~neg).alias("positives"), F.count_if(neg).alias("negatives"),
         F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"),
