@@ -19,6 +19,8 @@ class AdditiveModel:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Chance of label 1 for each row, by adding the bins' values."""
+        if not len(x):
+            return np.zeros(0)
         x = np.nan_to_num(np.asarray(x, dtype=float).reshape(len(x), -1))
         z = np.full(len(x), self.base)
         for j, t in enumerate(self.tables):
@@ -83,9 +85,9 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, pair_bins: int = 12, round
         rate: float = 0.1, leaves: int = 3, least: float = 4.0, ridge: float = 2.0) -> AdditiveModel:
     """Boost the features one after the other, round after round, each by a shallow tree on the current residuals;
     then pick the pairs that would still gain most and boost those in the same way. No rows give chance 0.5 for all."""
-    x, y = np.nan_to_num(np.asarray(x, dtype=float).reshape(len(y), -1)), np.asarray(y, dtype=float)
     if not len(y):
         return AdditiveModel()
+    x, y = np.nan_to_num(np.asarray(x, dtype=float).reshape(len(y), -1)), np.asarray(y, dtype=float)
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     model = AdditiveModel([_edges(v, bins) for v in x.T], float(np.log(share / (1 - share))))
     at = [np.searchsorted(e, v, side="right") for e, v in zip(model.edges, x.T)]

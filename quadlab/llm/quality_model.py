@@ -43,7 +43,7 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, mo
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.array(pdf["x"].tolist()).reshape(len(pdf), -1)
+            x = np.array(pdf["x"].tolist())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": model.score(x)})
 
     out = rows.withColumn("held_out", F.coalesce(remainder(folds) == held, F.lit(False))).select(F.col("doc_id").cast("string").alias("doc_id"), "held_out", "x")

@@ -70,7 +70,7 @@ def test_verdicts(spark):
 
 
 def test_verdicts_of_odd_rows(spark):
-    good = " ".join(f"word{i % 97} the" for i in range(200)) + "."
+    good = " ".join(f"word{i} the" for i in range(200)) + "."
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (None, good, 1), (3, good, 1), (3, good, 1)], "doc_id long, text string, votes int")
     got = sorted(((r.doc_id, r.n_words, r.base_failed) for r in quality_rules.judged(docs).collect()), key=str)
     assert got[-1] == (None, 400, False) and [g[:2] for g in got[:-1]] == [(1, 0), (2, 0), (3, 400), (3, 400)]
@@ -84,7 +84,7 @@ def test_additive_model_learns_shapes_and_pairs():
     y = (rng.random(6000) < 1 / (1 + np.exp(-z))).astype(int)
     m = additive_model.fit(x[:4000], y[:4000])
     assert (1, 2) in [(i, j) for i, j, _ in m.pairs]
-    assert auc(m.score(x[4000:]), y[4000:]) > 0.93
+    assert auc(m.score(x[4000:]), y[4000:]) > auc(z[4000:], y[4000:]) - 0.02
     assert (additive_model.fit(np.zeros((0, 3)), np.zeros(0)).score(x[:3, :3]) == 0.5).all()
     assert np.isfinite(m.score(np.full((2, 5), np.nan))).all()
 
