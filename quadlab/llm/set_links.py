@@ -17,18 +17,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                    & (100 * both >= percent * (F.size("sa") + F.size("sb") - both))).select("a", "b").distinct())
 
 
+def ordered_sets(sets: DataFrame) -> DataFrame:
+    """``id, n, e``: each set's size and its elements from rare to frequent, with their counts over all these sets."""
+    el = sets.select("id", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("s"), F.explode("shingles").alias("g"))
+    return (el.join(el.groupBy("g").agg(F.count("*").alias("c")), "g").groupBy("id", "n", "s")
+            .agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("e")).drop("s"))
+
+
 def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs ``a, b`` of different components: every pair that is alike enough is among them.
 
-    ``members`` has ``id, component, shingles``. Elements are ordered from rare to frequent; two sets that are alike share an element of
+    ``members`` has ``id, component`` and the columns of ``ordered_sets``. Two sets that are alike share an element of
     their prefixes, the first of them at places that leave room for the overlap they need. Sets that share only frequent elements
     behind many rare ones of their own, as edited copies of one text do, never meet; others meet once, at their first common element.
     """
-    el = members.select("id", "component", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("s"), F.explode("shingles").alias("g"))
-    ordered = (el.join(el.groupBy("g").agg(F.count("*").alias("c")), "g").groupBy("id", "component", "n", "s")
-               .agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("e")))
     prefix = F.expr(f"slice(e, 1, n - cast(ceil(n * {percent} / 100D) as int) + 1)")
-    kept = ordered.select("id", "component", "n", prefix.alias("e")).withColumn("first", F.transform(F.filter("e", lambda x: x["c"] > 1), lambda x: x["g"]))
+    kept = members.select("id", "component", "n", prefix.alias("e")).withColumn("first", F.transform(F.filter("e", lambda x: x["c"] > 1), lambda x: x["g"]))
     rows = written(kept.select("id", "component", "n", "first", F.posexplode("e").alias("i", "x")).where("x.c > 1")
                    .select("id", "component", "n", "first", "i", "x.g"))
     a, b = (rows.select("g", F.col("id").alias(s), *[F.col(c).alias(f"{x}{s}") for c, x in (("component", "c"), ("n", "n"), ("i", "i"), ("first", "f"))]) for s in "ab")
@@ -50,8 +54,9 @@ def components_of_alike(buckets: DataFrame, sets: DataFrame, percent: int) -> Da
     pairs = cut(buckets.join(pivot, "key").where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
     parts = cut(connected_components(confirmed(pairs, sets, percent)))
     open_ = _open(buckets, parts)
+    ordered = written(ordered_sets(sets.join(open_.select("id").distinct(), "id", "left_semi")))
     for p in ((100 + 2 * percent) // 3, percent):
-        more = confirmed(cut(prefix_pairs(sets.join(open_.select("id", "component").distinct(), "id"), p)), sets, percent)
+        more = confirmed(cut(prefix_pairs(ordered.join(open_.select("id", "component").distinct(), "id"), p)), sets, percent)
         parts = cut(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
         open_ = _open(open_.drop("component"), parts) if p != percent else open_
     return parts

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
 from quadlab.llm import components, line_dedup, near_dedup, passage_dedup, set_links
@@ -99,7 +100,7 @@ def test_prefixes_lose_no_pair(spark):
                 s.discard(x)
                 s.add(rng.randrange(10**9))
             sets[g * 100 + k] = s
-    members = spark.createDataFrame([(i, i, sorted(s)) for i, s in sets.items()], "id long, component long, shingles array<long>")
+    members = set_links.ordered_sets(spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, shingles array<long>")).withColumn("component", F.col("id"))
     found = {tuple(sorted((r.a, r.b))) for r in set_links.prefix_pairs(members, 85).collect()}
     want = {(x, y) for x in sets for y in sets if x < y and 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y])}
     assert want and want <= found
