@@ -50,11 +50,21 @@ def join_sources(samples: DataFrame, preds: DataFrame, sources: Sequence[str] =
 
 
 def source_pairs(preds: DataFrame) -> DataFrame:
-    """Each unordered pair of detected sources of one image, source_a < source_b, at most one row per source."""
-    one = preds.where(F.col("detected") == 1).groupBy(*KEY, "source").agg(F.max("coords").alias("coords"))
-    a = one.select(*KEY, F.col("source").alias("source_a"), F.col("coords").alias("a"))
-    b = one.select(*KEY, F.col("source").alias("source_b"), F.col("coords").alias("b"))
-    return a.join(b, KEY).where(F.col("source_a") < F.col("source_b"))
+    """Each unordered pair of detected sources of one image, source_a < source_b, at most one row per source.
+
+    The few sources of an image are gathered in one shuffle and paired in the row.
+    """
+    found = F.sort_array(F.collect_set(F.struct("source", "coords")))
+    rows = preds.where(F.col("detected") == 1).groupBy(*KEY).agg(found.alias("__all"))
+    # of equal sources the greatest coordinates stay
+    last = F.filter("__all", lambda x, i: F.coalesce(F.get("__all", i + 1)["source"] != x["source"], F.lit(True)))
+    rows = rows.select(*KEY, last.alias("__one"))
+
+    def pairs(x: Column, i: Column) -> Column:
+        after = F.slice("__one", i + 2, F.size("__one"))
+        return F.transform(after, lambda y: F.struct(x["source"].alias("source_a"), x["coords"].alias("a"),
+                                                     y["source"].alias("source_b"), y["coords"].alias("b")))
+    return rows.select(*KEY, F.inline(F.flatten(F.transform("__one", pairs))))
 
 
 def pairwise_iou(preds: DataFrame) -> DataFrame:
