@@ -136,7 +136,7 @@ def write_review_index(index: DataFrame, path: str) -> None:
 def write_version(df: DataFrame, table_path: str, dry_run: bool = False) -> str | None:
     """Write the next version of a table and keep the earlier ones; a dry run writes nothing.
 
-    The rows go to a folder of their own; the pointer file ``v=<n>`` that names it is created last and never replaced, so
+    The rows go to a folder of their own; the pointer file ``version-<n>`` that names it is created last and never replaced, so
     of two writers one takes the next number. An unfinished attempt leaves no pointer.
     """
     if dry_run:
@@ -150,7 +150,7 @@ def write_version(df: DataFrame, table_path: str, dry_run: bool = False) -> str
     while True:
         n += 1
         try:
-            out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{table_path}/v={n}"), False)
+            out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{table_path}/version-{n}"), False)
         except Py4JJavaError as e:
             if "FileAlreadyExists" not in str(e.java_exception):
                 raise
@@ -168,11 +168,11 @@ def latest_version(spark: SparkSession, table_path: str) -> int:
     if not fs.exists(path):
         return 0
     names = [s.getPath().getName() for s in fs.listStatus(path)]
-    return max([0, *(int(n[2:]) for n in names if n.startswith("v="))])
+    return max([0, *(int(n[8:]) for n in names if n.startswith("version-"))])
 
 
 def read_version(spark: SparkSession, table_path: str, version: int | None = None) -> DataFrame:
-    pointer = f"{table_path}/v={version or latest_version(spark, table_path)}"
+    pointer = f"{table_path}/version-{version or latest_version(spark, table_path)}"
     return spark.read.parquet(f"{table_path}/{spark.read.text(pointer).first()['value']}")
 
 
