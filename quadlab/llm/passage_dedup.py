@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quadlab.llm.common import fresh, written
 from quadlab.llm.set_links import components_of_alike
@@ -20,6 +20,8 @@ BANDS, ROWS, SEED = 5, 2, 113
 PERCENT, SHINGLE, MIN_WORDS = 80, 5, 25
 #: Words after which a sentence may end a paragraph inside a line.
 SHORT = 5
+#: Anchors are runs of GRAM words, the least hash of each GAP neighbours: two texts that share GRAM + GAP - 1 = 48 words share an anchor in them.
+GRAM, GAP = 16, 33
 
 _SENTENCES = re.compile(r"(?<=[.!?])(?=[\x20\x09\x0B-\x0D])")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -28,8 +30,8 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def paragraphs(text: str | None) -> Iterator[tuple[int, int, list[bytes]]]:
     """Start, end and words of each paragraph: a line, cut after about every other sentence.
 
-    Whether a sentence ends a paragraph depends on that sentence alone (its hash), so a passage is cut alike wherever it is copied to,
-    also into the middle of a line. A sentence without punctuation is cut after words chosen by their hash, about every 40 words.
+    Whether a sentence ends a paragraph depends on that sentence alone (its hash), so a passage is cut alike between the first and last cut
+    inside it, wherever it is copied to; its outer parts are fused with the words around them. A sentence without punctuation is cut after words chosen by their hash, about every 40 words.
     """
     at = 0
     for line in (text or "").split("\n"):
@@ -71,14 +73,41 @@ def _paragraph_shingles(h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
     return flat, starts
 
 
+class _Anchors:
+    """Places, hashes, and hashes up to the end of the next anchor, of the anchors of a text; what is chosen depends on the words around it alone."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n = len(h)
+        if n < GRAM + GAP - 1:
+            none = np.empty(0, dtype=np.int64)
+            return none.astype(np.int32), none, none.astype(np.int32), none
+        if len(self.up) < n:
+            base = 0x9E3779B97F4A7C15
+            self.up, self.down = (np.cumprod(np.full(2 * n, x, dtype=np.uint64)) for x in (base, pow(base, -1, 2**64)))
+        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * self.up[:n])))
+        grams = mixed((total[GRAM:] - total[:-GRAM]) * self.down[:n - GRAM + 1])
+        windows = np.lib.stride_tricks.sliding_window_view(grams, GAP)[:, ::-1]
+        at = np.unique(np.arange(GAP - 1, len(grams)) - windows.argmin(axis=1))
+        upto, segs = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.uint64)
+        upto[:-1] = at[1:] + GRAM
+        segs[:-1] = mixed((total[upto[:-1]] - total[at[:-1]]) * self.down[at[:-1]] + (upto[:-1] - at[:-1]).astype(np.uint64))
+        return at.astype(np.int32), grams[at].view(np.int64), upto.astype(np.int32), segs.view(np.int64)
+
+
 def paragraph_table(docs: DataFrame) -> DataFrame:
-    """``doc_id, th, k, start, end, n_words, h, bands`` of every paragraph; ``h`` names its sequence of lower-cased words."""
+    """``doc_id, th, k, start, end, at, n_words, h, bands`` of every paragraph; ``h`` names its sequence of lower-cased words, ``at`` is the place of its first word.
+
+    The first paragraph of a text has the text's anchors: ``places, grams, uptos, segs``.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, (a, b) = WordHashes(), permutations(BANDS * ROWS, SEED)
+        cache, anchors, (a, b) = WordHashes(), _Anchors(), permutations(BANDS * ROWS, SEED)
         band = np.arange(BANDS, dtype=np.uint64)[:, None]
 
         def encoded(rows: list[tuple], words: list[bytes]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=["doc_id", "th", "k", "start", "end", "n_words"])
+            out = pd.DataFrame(rows, columns=["doc_id", "th", "k", "start", "end", "at", "n_words"])
             h, lengths = cache.of(words), out["n_words"].to_numpy(dtype=np.int64)
             ends = lengths.cumsum()
             flat, starts = _paragraph_shingles(h, lengths)
@@ -89,15 +118,25 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
             names = [xxhash.xxh64_intdigest(h[e - n:e].tobytes(), seed=n) for e, n in zip(ends.tolist(), lengths.tolist())]
             out["h"] = np.array(names, dtype=np.uint64).view(np.int64)
             out["bands"] = list(np.ascontiguousarray(mixed(mixed(low[0::2]) * np.uint64(3) + low[1::2] + band).T).view(np.int64))
+            heads = np.flatnonzero(out["k"].to_numpy() == 0)
+            begins = (ends - lengths)[heads]
+            found = [anchors.of(h[i:j]) for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(h)])]
+            for c, name in enumerate(("places", "grams", "uptos", "segs")):
+                column = np.full(len(rows), None, dtype=object)
+                for i, x in zip(heads, found):
+                    column[i] = x[c]
+                out[name] = column
             return out
 
         with np.errstate(over="ignore"):
             for pdf in batches:
                 rows, words = [], []
                 for doc, th, text in zip(pdf["doc_id"], pdf["th"], pdf["text"]):
+                    at = 0
                     for k, (start, end, ws) in enumerate(paragraphs(text)):
-                        rows.append((doc, th, k, start, end, len(ws)))
+                        rows.append((doc, th, k, start, end, at, len(ws)))
                         words += ws
+                        at += len(ws)
                     if len(words) > 200_000:
                         yield encoded(rows, words)
                         rows, words = [], []
@@ -105,8 +144,8 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
                     yield encoded(rows, words)
 
     rows = docs.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return rows.mapInPandas(run, "doc_id string, th long, k int, start int, end int, n_words int, h long, bands array<long>").withColumn(
-        "doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInPandas(run, "doc_id string, th long, k int, start int, end int, at int, n_words int, h long, bands array<long>, "
+                                 "places array<int>, grams array<long>, uptos array<int>, segs array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -124,12 +163,90 @@ def _sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
     return at.select("h", F.expr("substring(text, start + 1, end - start)").alias("t")).dropDuplicates(["h"]).mapInPandas(run, "h long, shingles array<long>")
 
 
+def _same_text(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
+
+
+def _with_texts(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """``df``, which has one row for each ``doc_id, th``, with the texts."""
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), "text")
+    return df.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(["doc_id", "th"]).drop("d", "t")
+
+
+def _around(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, th, at, left, right``: hashes of the GAP words to both sides of the anchor at ``at``, the nearest first."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = WordHashes()
+        for pdf in batches:
+            rows = []
+            for doc, th, places, text in zip(pdf["doc_id"], pdf["th"], pdf["places"], pdf["text"]):
+                h = cache.of(text.encode("utf-8", "surrogatepass").lower().split()).view(np.int64)
+                rows += [(doc, th, at, h[max(0, at - GAP):at][::-1], h[at + GRAM:at + GRAM + GAP]) for at in places]
+            yield pd.DataFrame(rows, columns=["doc_id", "th", "at", "left", "right"])
+
+    places = asked.groupBy("doc_id", "th").agg(F.collect_set("at").alias("places"))
+    return (_with_texts(places, docs).withColumn("doc_id", F.col("doc_id").cast("string"))
+            .mapInPandas(run, "doc_id string, th long, at int, left array<long>, right array<long>").withColumn("doc_id", F.col("doc_id").cast("long")))
+
+
+def _exact(paras: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, th, at, upto, first_doc_id``: runs of words (by place) that stand earlier too, around the anchors that texts share.
+
+    Between two anchors a run is known by its hash; beyond the outer ones it is followed word by word along the first text with that anchor.
+    Inside one text a run ends where its earlier copy would overlap it.
+    """
+    row = F.explode(F.arrays_zip("places", "grams", "uptos", "segs")).alias("x")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", F.col("x.places").alias("at"), F.col("x.uptos").alias("upto"))
+    every = paras.where("k = 0").select("doc_id", "th", row).select(place.alias("own"), F.col("x.grams").alias("gram"), F.col("x.segs").alias("seg"))
+    first = every.groupBy("gram").agg(F.min("own").alias("kept"), F.max("own").alias("last")).where("kept != last").select("gram", "kept")
+    hits = written(every.join(first, "gram"))
+    segs = hits.where("own.upto > 0").groupBy("seg").agg(F.min("own").alias("from"), F.max("own").alias("last")).where("from != last").select("seg", "from")
+    inner = written(hits.where("own.upto > 0").select("own", "seg").join(segs, "seg").where((F.col("own") != F.col("from")) & (~_same_text("own", "from") | F.expr("own.at >= from.upto")))
+                    .select("own.doc_id", "own.th", "own.at", "own.upto", F.col("from.doc_id").alias("first_doc_id")))
+    again = hits.where((F.col("own") != F.col("kept")) & (~_same_text("own", "kept") | (F.col("own.at") >= F.col("kept.at") + GRAM))).select("own", "kept")
+    done = inner.select(F.struct("doc_id", "th").alias("i"), "at", (F.col("upto") - GRAM).alias("next"))
+    ends = written(again.join(done, _same_text("own", "i") & (F.col("own.at") == F.col("at")), "left_anti")
+                   .unionByName(again.join(done, _same_text("own", "i") & (F.col("own.at") == F.col("next")), "left_anti")).distinct())
+    asked = ends.select("own.doc_id", "own.th", "own.at").unionByName(ends.select("kept.doc_id", "kept.th", "kept.at")).distinct()
+    near = written(_around(asked, docs))
+    a, b = (near.select(F.struct("doc_id", "th").alias(s), F.col("at").alias(f"{s}_at"), F.col("left").alias(f"{s}_left"), F.col("right").alias(f"{s}_right")) for s in "ab")
+    both = (ends.join(a, _same_text("own", "a") & (F.col("own.at") == F.col("a_at"))).join(b, _same_text("kept", "b") & (F.col("kept.at") == F.col("b_at"))))
+
+    def run(side: str) -> Column:
+        same = F.zip_with(f"a_{side}", f"b_{side}", lambda x, y: x.eqNullSafe(y))
+        stop = F.array_position(same, False)
+        return F.when(stop > 0, stop - 1).otherwise(F.size(same)).cast("int")
+
+    room = F.when(_same_text("own", "kept"), F.col("own.at") - F.col("kept.at") - GRAM).otherwise(2 * GAP)
+    sides = both.select("own", "kept", F.least(run("left"), room).alias("l"), run("right").alias("r"), room.alias("room"))
+    outer = sides.select("own.doc_id", "own.th", (F.col("own.at") - F.col("l")).alias("at"),
+                         (F.col("own.at") + GRAM + F.least(F.col("r"), F.col("room") - F.col("l"))).alias("upto"), F.col("kept.doc_id").alias("first_doc_id"))
+    return inner.unionByName(outer)
+
+
+def _offsets(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, th, start, end, n_words, first_doc_id`` of spans of words."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, th, spans, text in zip(pdf["doc_id"], pdf["th"], pdf["spans"], pdf["text"]):
+                at = [m.span() for m in _WORD.finditer(text)]
+                rows += [(doc, th, at[s["at"]][0], at[s["upto"] - 1][1], s["upto"] - s["at"], s["first"]) for s in spans]
+            yield pd.DataFrame(rows, columns=["doc_id", "th", "start", "end", "n_words", "first_doc_id"])
+
+    lists = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "upto", F.col("first_doc_id").cast("string").alias("first"))).alias("spans"))
+    return (_with_texts(lists, docs).withColumn("doc_id", F.col("doc_id").cast("string"))
+            .mapInPandas(run, "doc_id string, th long, start int, end int, n_words int, first_doc_id string")
+            .withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("first_doc_id", F.col("first_doc_id").cast("long")))
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, th, start, end, n_words, first_doc_id`` of each passage to remove (code points, end exclusive).
 
     Paragraphs with the same words are one class; classes that share a band are compared on whole five-word shingle sets (``components_of_alike``);
     components of the links are clusters. Of each
-    cluster the first paragraph (by ``doc_id``, text, place) stays. Neighbouring paragraphs to remove are one passage, reported if it has ``min_words`` words.
+    cluster the first paragraph (by ``doc_id``, text, place) stays. Runs of equal words around shared anchors (``_exact``) are added, wherever lines and sentences
+    end: any 48 equal words hold an anchor. What overlaps or touches is one passage, reported if it has ``min_words`` words.
 
     Null or empty texts have no paragraphs; rows without ``doc_id`` come last in the order and report a null id; a repeated row repeats nothing (it is the same
     document); rows that share an id but not the text are told apart by ``th``. An empty table gives no rows.
@@ -148,13 +265,15 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     clusters = (reps.join(parts.withColumnRenamed("node", "h"), "h", "left").withColumn("cluster", F.coalesce("component", "h")))
     kept = clusters.groupBy("cluster").agg(F.min("first").alias("kept"), F.count("*").alias("n"), F.bool_or("again").alias("again")).where("n > 1 or again")
     gone = written(clusters.select("h", "cluster").join(kept.select("cluster", "kept"), "cluster").select("h", "kept"))
-    out = (paras.select("doc_id", "th", "k", "start", "end", "n_words", "h").join(gone, "h").where(~place.eqNullSafe(F.col("kept")))
-           .select("doc_id", "th", "k", "start", "end", "n_words", F.col("kept.doc_id").alias("first_doc_id")).distinct())
-    row = Window.partitionBy("doc_id", "th").orderBy("k")
-    runs = out.withColumn("run", F.col("k") - F.row_number().over(row))
-    return (runs.groupBy("doc_id", "th", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"),
-                                                    F.min("first_doc_id").alias("first_doc_id"))
-            .where(F.col("n_words") >= min_words).drop("run"))
+    alike = (paras.select("doc_id", "th", "k", "start", "end", "at", "n_words", "h").join(gone, "h").where(~place.eqNullSafe(F.col("kept")))
+             .select("doc_id", "th", "at", (F.col("at") + F.col("n_words")).alias("upto"), F.col("kept.doc_id").alias("first_doc_id")))
+    row = Window.partitionBy("doc_id", "th").orderBy("at", "upto")
+    before = F.max("upto").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    spans = alike.unionByName(_exact(paras, docs)).distinct().withColumn("new", F.coalesce((F.col("at") > before).cast("int"), F.lit(1)))
+    runs = spans.withColumn("run", F.sum("new").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = (runs.groupBy("doc_id", "th", "run").agg(F.min("at").alias("at"), F.max("upto").alias("upto"), F.min("first_doc_id").alias("first_doc_id"))
+              .where(F.col("upto") - F.col("at") >= min_words))
+    return _offsets(merged, docs)
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -139,6 +139,31 @@ def test_repeated_passages_are_found_and_others_left(spark):
     assert own[9] in clean[9] and len(clean[9]) < len(texts[9]) - 200
 
 
+@pytest.mark.parametrize("stop", [0, 9])
+def test_passages_copied_into_lines_are_found_whole(spark, stop):
+    rng = random.Random(11 + stop)
+
+    def text(n):
+        return [w + "." if stop and rng.randrange(stop) == 0 else w for w in prose(rng, n)]
+
+    texts, planted = [], {}
+    for i in range(40):
+        passage, hosts = text(51 + i % 10), [text(150), text(150)]
+        for k, host in enumerate(hosts):
+            at = rng.randrange(1, 149)
+            texts.append(host[:at] + passage + host[at:])
+            planted[2 * i + k] = (at, passage)
+    texts.append(["again"] * 300)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in passage_dedup.repeats(docs).collect()}
+    assert set(got) == {*range(1, 80, 2), 80}
+    for i in range(1, 80, 2):
+        at, passage = planted[i]
+        found = " ".join(texts[i])[got[i].start:got[i].end].split()
+        assert got[i].first_doc_id == i - 1 and " ".join(passage) in " ".join(found) and got[i].n_words == len(found) <= len(passage) + 2
+    assert passage_dedup.GRAM <= 300 - got[80].n_words < 300
+
+
 def test_passages_of_odd_rows(spark):
     rng = random.Random(4)
     text = ". ".join(" ".join(prose(rng, 10)) for _ in range(8)) + "."
