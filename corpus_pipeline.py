@@ -26,7 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with no benchmark item."""
-    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ FROM documents d LEFT JOIN o USING (doc_id)
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items they overlap with."""
-    found = decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True)
     return found.select("doc_id", "item_id", F.col("matched").cast("long").alias("matched"))
 
 

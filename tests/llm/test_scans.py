@@ -48,6 +48,35 @@ def test_overlaps_like_plain_version(spark):
     assert clean.columns == left.columns and {r.doc_id for r in clean.collect()} == set(range(len(docs))) - {i for i, _ in want}
 
 
+def test_overlaps_at_every_two_places(spark):
+    items = [[f"i{n}x{k}" for k in range(n)] for n in (40, 12, 11, 10, 3, 1)]
+    docs, want = [], {}
+
+    def put(words, item, matched, around=True):
+        own = [f"d{len(docs)}x{k}" for k in range(6)] if around else []
+        docs.append(" ".join(own[:3] + words + own[3:]))
+        if matched is not None:
+            want[len(docs) - 1, item] = matched
+
+    for item, words in enumerate([items[0][14:27], items[1], items[2]]):
+        n = len(words)
+        for a in range(n):
+            for b in range(a, n):
+                put(["other" if k in (a, b) else w for k, w in enumerate(words)], item, n - len({a, b}), around=(a + b) % 2 == 0)
+        put(["other" if k in (0, 4, 8) else w for k, w in enumerate(words)], item, None)
+        put(words[2:], item, n - 2, around=False)
+    for item in (3, 4, 5):
+        put(items[item], item, len(items[item]))
+        put(items[item], item, len(items[item]), around=False)
+        put(["other", *items[item][1:]], item, None)
+    left = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    right = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(9, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in D.overlaps(left, right, short_items=True).collect()}
+    assert got == want
+    clean = {r.doc_id for r in D.decontaminated(left, right, short_items=True).collect()}
+    assert clean == set(range(len(docs))) - {d for d, _ in want}
+
+
 def test_overlaps_of_odd_rows(spark):
     text = " ".join(f"q{i}" for i in range(20))
     docs = spark.createDataFrame([(1, text), (1, text), (1, "other"), (None, text), (None, None)], "doc_id long, text string")
