@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quadlab.llm.common import cut, fresh, written
 
 # Courtesy titles by gender, name endings by gender and script, and syllables by script.
-TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "Господин", "Г-н"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Госпожа", "Г-жа")}
+TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "Господин", "Г-н", "Dr", "Prof", "Sr", "M."), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Госпожа", "Г-жа", "Mme", "Sra")}
 ENDINGS = {"m_latin": ("or", "an", "ius", "elo"), "f_latin": ("ia", "ella", "ina", "ette"),
            "m_cyrillic": ("ан", "ор", "ей", "ил"), "f_cyrillic": ("ина", "ия", "ела", "ана"),
            "s_latin": ("sson", "well", "mont", "ler"), "s_cyrillic": ("енко", "ский", "ин", "ук")}
@@ -16,6 +16,7 @@ SYLLABLES = {"latin": ("ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
+_TITLE = "|".join(t.replace(".", r"(?=\.)") for g in TITLES.values() for t in sorted(g, key=len, reverse=True))
 #: Kinds in the order in which they are tried at one place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -23,12 +24,13 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?|\([0-9]{2,4}\))(?:[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?:[ .-][0-9]{2,4}){2,4})(?![0-9])",
-    "person": rf"(?<!\p{{L}})(?:{'|'.join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True))})\.? {_NAME}(?: {_NAME})?",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?|\([0-9]{2,4}\))(?:[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?:[ .-][0-9]{2,4}){2,4})(?![0-9])"
+             r"|(?<![0-9.-])(?:[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|0[0-9]{1,4}[ -][0-9]{5,8}|0[0-9]{1,4}(?:[ -][0-9]{2,4}){2,4})(?![0-9.-]*[0-9])",
+    "person": rf"(?<!\p{{L}})(?:{_TITLE})\.? (?:(?:{_NAME}|\p{{Lu}}\.) )*{_NAME}",
 }
 _ALL = "|".join(PATTERNS.values())
 #: Texts without any of these hold no entity.
-_HINT = "[0-9@]|" + "|".join(t for g in TITLES.values() for t in g)
+_HINT = "[0-9@]|" + "|".join(t.replace(".", r"\.") for g in TITLES.values() for t in g)
 
 
 def kind(m: Column) -> Column:
@@ -40,7 +42,7 @@ def kind(m: Column) -> Column:
 
 
 def _person(m: Column) -> Column:
-    """Names of a person as ``type, name``: given names carry gender and script, so that they are replaced alike."""
+    """Names of a person as ``type, name``, the last one the surname: given names carry gender and script, so that they are replaced alike."""
     parts = F.split(m, " ")
     title = F.regexp_replace(F.get(parts, 0), r"\.$", "")
     gender = F.when(title.isin(*TITLES["f"]), "f").otherwise("m")
@@ -49,8 +51,8 @@ def _person(m: Column) -> Column:
         script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
         return F.struct(F.concat_ws("_", role, script).alias("type"), F.lower(name).alias("name"))
 
-    both = F.array(entity(gender, F.get(parts, 1)), entity(F.lit("s"), F.get(parts, 2)))
-    return F.when(F.size(parts) > 2, both).otherwise(F.array(entity(F.lit("s"), F.get(parts, 1))))
+    given = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda name: entity(gender, name))
+    return F.concat(given, F.array(entity(F.lit("s"), F.element_at(parts, -1))))
 
 
 def entities(m: Column) -> Column:
@@ -91,7 +93,7 @@ def surrogate(key: str, attempt: Column) -> Column:
     """
     h, name, type_ = _digest(key, attempt), F.col("name"), F.col("type")
     chars = F.split(name, "")
-    keep = F.when(type_ == "iban", 2).when((type_ == "card") | ((type_ == "phone") & F.startswith(name, F.lit("+"))), 2 - (type_ == "card").cast("int")).otherwise(0)
+    keep = F.when(type_ == "iban", 2).when((type_ == "card") | ((type_ == "phone") & F.startswith(name, F.lit("+"))), 2 - (type_ == "card").cast("int")).when((type_ == "phone") & F.startswith(name, F.lit("0")), 1).otherwise(0)
     last = F.when(type_ == "email", F.length(F.regexp_extract(name, r"\.[^.]*$", 0))).otherwise(0)
 
     def swap(c: Column, i: Column) -> Column:
@@ -158,7 +160,8 @@ def _rendered(m: Column, known: Column) -> Column:
         return F.element_at(known, F.concat_ws("\x1f", e["type"], e["name"]))
 
     refers = entities(m)
-    names = F.array_join(F.transform(refers, lambda e: F.initcap(other(e))), " ")
+    names = F.array_join(F.transform(refers, lambda e: F.when(F.endswith(e["name"], F.lit(".")), F.concat(F.substr(F.initcap(other(e)), F.lit(1), F.lit(1)), F.lit(".")))
+                                     .otherwise(F.initcap(other(e)))), " ")
     title = F.get(F.split(m, " "), 0)
     rest = F.substr(m, F.length(title) + 2)
     person = F.concat_ws(" ", title, F.when(rest == F.upper(rest), F.upper(names)).otherwise(names))
@@ -174,7 +177,7 @@ def matches(text: Column) -> Column:
 def replaced(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and the kinds found in a new last column ``entity_kinds`` (one per match).
 
-    Kinds are those of ``PATTERNS``; a person is found by a courtesy title. Surrogates depend on ``key`` and the entity alone unless they collide; the same entity
+    Kinds are those of ``PATTERNS``; a person is found by a courtesy title, bare mentions of the name stay. Surrogates depend on ``key`` and the entity alone unless they collide; the same entity
     gets the same surrogate in every document and spelling. A null text stays null and has no kinds; repeated rows are treated
     alike; other columns pass through; an empty table gives no rows.
     """

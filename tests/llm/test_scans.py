@@ -167,6 +167,21 @@ def test_surrogates_keep_kind_format_and_reference(spark):
     assert pii.replaced(docs.limit(0), "key").count() == 0
 
 
+def test_national_phones_longer_names_and_titles(spark):
+    texts = ["555-123-4567", "555 123 4567", "030 1234567", "01 23 45 67 89", "Mr John Paul Smith", "Mr J. Smith", "Dr Smith", "Prof. Anna Smith", "M. Smith",
+             "Mme Smith", "Sr. Smith"]
+    docs = spark.createDataFrame([(i, f"see {t}, then") for i, t in enumerate(texts)] + [(99, "in 2024-12-31 at 1 000 000 m. Smith")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replaced(docs, "key").collect()}
+    assert got[99].text == "in 2024-12-31 at 1 000 000 m. Smith"
+    for i, t in enumerate(texts):
+        new = got[i].text.removeprefix("see ").removesuffix(", then")
+        assert got[i].entity_kinds == ["phone" if i < 4 else "person"], t
+        assert new != t and [len(x) for x in re.split("[ -]", new)] == [len(x) for x in re.split("[ -]", t)] if i < 4 else len(new.split()) == len(t.split()), t
+        assert i in (0, 1) or new[0] == t[0]
+        assert not re.search("John|Paul|Smith|Anna", new)
+    assert len({got[i].text.split(",")[0].split()[-1] for i in range(4, 11)}) == 1 and re.match(r"see Mr [A-Z]\. \w+, then$", got[5].text)
+
+
 def test_surrogates_are_distinct_and_never_real(spark):
     names = [(f"s_{k}", f"n{i}") for k in ("latin", "cyrillic") for i in range(600)] + [("ssn", f"{i:03d}1234{i % 100:02d}") for i in range(500)]
     names += [("email", f"{a}@{b}.de") for a in "abcdefgh" for b in "xyz"]
