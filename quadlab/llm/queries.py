@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quadlab.llm import (decontamination, line_dedup, near_dedup, packing, passage_dedup, pii, quality_model, quality_rules, secret_scan,
-                         toxicity)
+from quadlab.llm import (centroids, decontamination, line_dedup, near_dedup, packing, passage_dedup, pii, quality_model, quality_rules, secret_scan,
+                         toxicity, vector_codes)
 from quadlab.llm.common import table
 
 
@@ -136,7 +136,57 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+#: Components times 256, rounded down; the rows without a null, NaN or infinite component.
+_WHOLE = """SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+#: floor(s / n) of whole numbers.
+_FLOOR = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+
+
+def _op11_sql() -> str:
+    ctes = [f"k AS ({_WHOLE})", "v AS (SELECT vec_id, label, p, x[4 * p + 1:4 * p + 4] AS v FROM k, (SELECT unnest(range(16)) AS p))",
+            "b0 AS (SELECT p, e, v FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM v) WHERE e < 64)"]
+    square = " + ".join(f"(v.v[{i}] - b.v[{i}]) * (v.v[{i}] - b.v[{i}])" for i in range(1, 5))
+    for r in range(3):
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT vec_id, label, v.p, v.v, min(({square}, e)) AS m FROM v JOIN b{r} b ON b.p = v.p GROUP BY ALL)")
+        ctes.append(f"n{r} AS (SELECT p, e, list({_FLOOR} ORDER BY i) AS v FROM (SELECT p, m[2] AS e, i, sum(v[i]) AS s, count(*) AS n "
+                    f"FROM a{r}, (SELECT unnest(range(1, 5)) AS i) GROUP BY ALL) GROUP BY ALL)")
+        ctes.append(f"b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.v, b.v) AS v FROM b{r} b LEFT JOIN n{r} n USING (p, e))")
+    return f"""
+WITH {", ".join(ctes)},
+c AS (SELECT vec_id, label, string_agg(format('{{:02x}}', m[2]), '' ORDER BY p) AS code, CAST(sum(m[1]) AS BIGINT) AS error FROM a2 GROUP BY ALL),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, h
+"""
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    ctes = [f"k AS (SELECT vec_id, x FROM ({_WHOLE}) WHERE len(x) = 64)",
+            "b0 AS (SELECT c, x FROM (SELECT x, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM k) WHERE c < 40)"]
+    square = "CAST(list_sum(list_transform(list_zip(k.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    for r in range(6):
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(k.x) AS x, min(({square}, c)) AS m FROM k, b{r} b GROUP BY vec_id)")
+        ctes.append(f"n{r} AS (SELECT c, list({_FLOOR} ORDER BY i) AS x FROM (SELECT m[2] AS c, i, sum(x[i]) AS s, count(*) AS n "
+                    f"FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY c)")
+        ctes.append(f"b{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.x, b.x) AS x FROM b{r} b LEFT JOIN n{r} n USING (c))")
+    return f"""
+WITH {", ".join(ctes)}
+SELECT vec_id, CAST(m[2] AS INT) AS cluster, m[1] AS distance, CAST(sum(m[1]) OVER (PARTITION BY m[2]) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(b5.x, ',')) AS centroid_sha256
+FROM a5 JOIN b5 ON b5.c = m[2]
+"""
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_best_fit_packing, op3_quality_classifier, op4_line_dedup, op5_benchmark_decontamination, op6_toxicity, op7_quality_rules, op8_minhash_near_dedup, op9_pii, op10_secret_scan)}
+    op1_substring_dedup, op2_best_fit_packing, op3_quality_classifier, op4_line_dedup, op5_benchmark_decontamination, op6_toxicity, op7_quality_rules, op8_minhash_near_dedup, op9_pii, op10_secret_scan,
+    op11_vector_code_compression, op12_centroid_clustering)}
 ORACLES = {"op4_line_dedup": OP4_SQL, "op5_benchmark_decontamination": _op5_sql(), "op8_minhash_near_dedup": OP8_SQL,
-           "op10_secret_scan": _op10_sql()}
+           "op10_secret_scan": _op10_sql(), "op11_vector_code_compression": _op11_sql(), "op12_centroid_clustering": _op12_sql()}
