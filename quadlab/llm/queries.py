@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quadlab.llm import (centroids, decontamination, line_dedup, near_dedup, packing, passage_dedup, pii, quality_model, quality_rules, secret_scan,
-                         toxicity, vector_codes)
+                         sharding, toxicity, vector_codes)
 from quadlab.llm.common import table
 
 
@@ -185,8 +185,12 @@ FROM a5 JOIN b5 ON b5.c = m[2]
 """
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_best_fit_packing, op3_quality_classifier, op4_line_dedup, op5_benchmark_decontamination, op6_toxicity, op7_quality_rules, op8_minhash_near_dedup, op9_pii, op10_secret_scan,
-    op11_vector_code_compression, op12_centroid_clustering)}
+    op11_vector_code_compression, op12_centroid_clustering, op13_sharding)}
 ORACLES = {"op4_line_dedup": OP4_SQL, "op5_benchmark_decontamination": _op5_sql(), "op8_minhash_near_dedup": OP8_SQL,
            "op10_secret_scan": _op10_sql(), "op11_vector_code_compression": _op11_sql(), "op12_centroid_clustering": _op12_sql()}
