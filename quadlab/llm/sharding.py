@@ -13,6 +13,8 @@ from quadlab.operators.ranking import global_running
 SHARDS, OVERHEAD = 40, 16
 #: Children of a document in the tree of its equal texts, rounds of either kind at most, and the cells that moves between two shards fall in.
 FAN, ROUNDS, GAINS, CELLS = 64, 12, 3, 16
+#: Share by which linked documents may exceed an equal share while they move; what is over at the end, at the end of the order by text, is dealt out with the others.
+SLACK = 0.25
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
@@ -170,14 +172,14 @@ def _released(state: DataFrame, nodes: DataFrame, shards: int, quota: int) -> Da
 def shards_of(nodes: DataFrame, links: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``node, shard`` of every row of ``nodes`` (``node, size, text``), from links ``a, b`` between nodes.
 
-    Linked documents start where a hash of their node says and are propagated; a shard's quota is an equal share of all bytes. The others fill the rest.
+    Linked documents start where a hash of their node says and are propagated; a shard's quota is an equal share of all bytes, and some slack on the way. The others fill the rest.
     """
     total = nodes.agg(F.sum("size")).first()[0] or 0
     quota = -(-total // shards)
     ids = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     start = F.pmod(F.xxhash64("node", F.lit("start")), F.lit(shards)).cast("int")
     linked = written(nodes.select("node", "size").join(ids, "node", "left_semi").withColumn("shard", start))
-    state = _released(propagated(linked, links, shards, quota), nodes, shards, quota)
+    state = _released(propagated(linked, links, shards, quota + int(SLACK * quota)), nodes, shards, quota)
     fillers = nodes.select("node", "size", "text").join(state.select("node"), "node", "left_anti")
     return state.select("node", "shard").unionByName(filled(fillers, _bytes(state, shards)))
 
