@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,8 +19,9 @@ from quadlab.llm.common import written
 #: Pieces longer than a sequence over one of LONG_FROM go through the grouped configurations; the bound that needs fewest sequences holds.
 CAPACITY, GROUPS, LONG_FROM = 2048, 96, (5, 3, 2)
 #: Texts in these characters tokenize alike in both libraries that hold the vocabulary; others take the slower one.
-_PLAIN = re.compile(r"[\x00-\x7e\xa0-ɏ‐-‧]*")
-_EDGE = re.compile(r"  |\s[^\S ]|[^\S ]\s|^\s|\s$")
+_PLAIN = re.compile(r"[\x01-\x7e\xa1-ɏ‐-‧]*")
+#: White space other than single spaces and line ends between words: such texts are encoded whole.
+_ODD = (*"\t\x0b\x0c\r\x1c\x1d\x1e\x1f", "  ", "\n\n", " \n", "\n ")
 
 
 class _Encoder(dict):
@@ -45,39 +47,40 @@ class _Encoder(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        out = self[chunk] = np.array(self.fast.encode_ordinary(chunk), dtype="<u4").tobytes()
+        out = self[chunk] = array("I", self.fast.encode_ordinary(chunk)).tobytes()  # native order: little-endian on what Spark runs on
         return out
 
     def ids(self, text: str) -> bytes:
+        if not text:
+            return b""
         if self.fast is None or "<|" in text or not _PLAIN.fullmatch(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if _EDGE.search(text):
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _ODD):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
-        first, *rest = text.split(" ")
-        return self[first] + b"".join(map(self.__getitem__, [" " + w for w in rest]))
+        # one scan each: a chunk is a line end, or a word with the space before it
+        return b"".join(map(self.__getitem__, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of every row: its token ids, a closing 0, cut if longer than ``capacity``.
 
     The first piece of a long document is the short one. A null or empty text is the closing 0 alone. ``tokenizer_path`` must
-    exist on every executor. Single spaces between non-space characters always part tokens in this vocabulary, so chunks are
-    encoded once and remembered; texts with other white space around them are encoded whole.
+    exist on every executor. Single spaces and line ends between non-space characters always part tokens in this vocabulary, so chunks are
+    encoded once and remembered; texts with other white space are encoded whole.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _Encoder(tokenizer_path)
         for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = (enc.ids(text) if text else b"") + b"\0\0\0\0"
-                n = len(ids) // 4
-                at = 0
-                for piece in range(-(-n // capacity)):
-                    to = n - (-(-n // capacity) - piece - 1) * capacity
-                    part = ids[4 * at:4 * to]
-                    rows.append((doc, piece, at, to - at, zlib.crc32(part)) + ((np.frombuffer(part, "<i4"),) if with_ids else ()))
-                    at = to
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+            texts = [enc.ids(t or "") + b"\0\0\0\0" for t in pdf["text"]]
+            n = np.array([len(t) // 4 for t in texts])
+            pieces = -(-n // capacity)
+            row = np.repeat(np.arange(len(texts)), pieces)
+            piece = np.arange(len(row)) - np.repeat(pieces.cumsum() - pieces, pieces)
+            to = n[row] - (pieces[row] - piece - 1) * capacity
+            at = np.maximum(to - capacity, 0)
+            parts = [texts[r][4 * i:4 * j] for r, i, j in zip(row.tolist(), at.tolist(), to.tolist())]
+            out = {"doc_id": pdf["doc_id"].to_numpy()[row], "piece": piece, "start": at, "length": to - at, "ids_crc32": [zlib.crc32(p) for p in parts]}
+            yield pd.DataFrame(out | ({"ids": [np.frombuffer(p, "<i4") for p in parts]} if with_ids else {}))
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
         run, "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
