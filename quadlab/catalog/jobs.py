@@ -588,11 +588,3 @@ def decode_images(spark, sf):
     """The decode hook over text bytes instead of image bytes."""
     files = X.table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
     return scoring.decode_images(files, lambda b: [float(len(b))]).select("doc_id", F.get("grid", F.lit(0)).cast("bigint").alias("n_bytes"))
-
-
-@query("udaf_01_metric_accumulator", sel(
-    f"SELECT split, count(*) AS n, {q6('avg(iou)', 'mean_iou')}, {q6('avg(err_mean)', 'corner_error_px')} FROM ev WHERE has_doc GROUP BY split", EV))
-def metric_accumulator(spark, sf):
-    """Reset, update and compute are the partial and final phases of built-in aggregates."""
-    rows = ev(spark, sf).where("has_doc")
-    return rounded(rows.groupBy("split").agg(F.count("*").alias("n"), F.avg("iou").alias("mean_iou"), F.avg("err_mean").alias("corner_error_px")))

@@ -129,15 +129,45 @@ def deleted_overlays(index: DataFrame, existing: DataFrame) -> DataFrame:
     return index.join(existing.select("overlay_rel"), "overlay_rel", "left_anti")
 
 
-def fold_events(events: DataFrame) -> DataFrame:
-    """Per name: whether the last discard/undiscard leaves it discarded, and its last edit."""
+def review_rows(events: DataFrame) -> DataFrame:
+    """One row per event in the columns of the stored review state: the last gate and edit so far, with their places, and the number of edits."""
     gate = F.col("action").isin("discard", "undiscard")
     edit = F.col("action") == "modify"
-    return (events.groupBy("name").agg(
-        F.max_by("action", F.when(gate, F.col("seq"))).alias("gate"),
-        F.max_by("coords", F.when(edit, F.col("seq"))).alias("edited"),
-        F.count_if(edit).alias("n_edits"))
-        .select("name", F.coalesce(F.col("gate") == "discard", F.lit(False)).alias("discarded"), "edited", "n_edits"))
+    return events.select(
+        "name", F.when(gate, F.col("action")).alias("gate"), F.when(gate, F.col("seq")).alias("gate_seq"), F.when(edit, F.col("coords")).alias("edited"),
+        F.when(edit, F.col("seq")).alias("edit_seq"), edit.cast("bigint").alias("n_edits"))
+
+
+def folded(rows: DataFrame) -> DataFrame:
+    """Rows of the review state, one per name; folds of folds are folds, in any order."""
+    return rows.groupBy("name").agg(F.max_by("gate", "gate_seq").alias("gate"), F.max("gate_seq").alias("gate_seq"), F.max_by("edited", "edit_seq").alias("edited"),
+                                    F.max("edit_seq").alias("edit_seq"), F.sum("n_edits").alias("n_edits"))
+
+
+def review_state(state: DataFrame) -> DataFrame:
+    return state.select("name", F.coalesce(F.col("gate") == "discard", F.lit(False)).alias("discarded"), "edited", "n_edits")
+
+
+def fold_events(events: DataFrame) -> DataFrame:
+    """Per name: whether the last discard/undiscard leaves it discarded, and its last edit."""
+    return review_state(folded(review_rows(events)))
+
+
+def accepted_predictions(events: DataFrame, predictions: DataFrame) -> DataFrame:
+    """``events`` with each ``accept`` turned into the ``modify`` that it stands for: the prediction as it was when it was accepted.
+
+    ``predictions`` has every version of every prediction: ``name, version, seq, coords``. The one that counts is the last before the event, by ``seq`` and then version; what
+    is predicted later changes nothing, and an accept without a prediction before it is no edit. Of the accepts of a name only the last with a prediction
+    before it is looked up (edits before it are overruled anyway, but still counted), so the join has one row per name on its side.
+    """
+    first = predictions.where("coords is not null").groupBy("name").agg(F.min("seq").alias("__from"))
+    accepts = events.where("action = 'accept'").join(first, "name").where(F.col("__from") < F.col("seq")).select("name", "seq")
+    last = accepts.groupBy("name").agg(F.max("seq").alias("__at"))
+    shown = (predictions.where("coords is not null").join(last, "name").where(F.col("seq") < F.col("__at"))
+             .groupBy("name", "__at").agg(F.max_by("coords", F.struct("seq", "version")).alias("coords")))
+    edits = (accepts.join(shown, "name", "left").select("name", "seq", F.when(F.col("seq") == F.col("__at"), F.col("coords")).alias("coords")))
+    return (events.where("action is null or action <> 'accept'").select("name", "seq", "action", "coords")
+            .unionByName(edits.select("name", "seq", F.lit("modify").alias("action"), "coords")))
 
 
 def effective_labels(labelled: DataFrame, state: DataFrame) -> DataFrame:

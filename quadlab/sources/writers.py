@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quadlab.functions import names as N
 from quadlab.functions.geometry import fixed
+from quadlab.sources.versions import latest_version, read_version, write_version  # noqa: F401 - part of the sinks
 
 EIGHT = " ".join(["%.6f"] * 8)
 
@@ -133,49 +131,6 @@ def write_review_index(index: DataFrame, path: str) -> None:
     index.write.mode("overwrite").json(path)
 
 
-def write_version(df: DataFrame, table_path: str, dry_run: bool = False) -> str | None:
-    """Write the next version of a table and keep the earlier ones; a dry run writes nothing.
-
-    The rows go to a folder of their own; the pointer file ``version-<n>`` that names it is created last and never replaced, so
-    of two writers one takes the next number. An unfinished attempt leaves no pointer.
-    """
-    if dry_run:
-        return None
-    spark = df.sparkSession
-    folder = f"data-{uuid.uuid4().hex}"
-    df.write.parquet(f"{table_path}/{folder}")
-    jvm = spark._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(table_path).getFileSystem(spark._jsc.hadoopConfiguration())
-    n = latest_version(spark, table_path)
-    while True:
-        n += 1
-        try:
-            out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{table_path}/version-{n}"), False)
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" not in str(e.java_exception):
-                raise
-            continue
-        out.write(bytearray(folder.encode()))
-        out.close()
-        return f"{table_path}/{folder}"
-
-
-def latest_version(spark: SparkSession, table_path: str) -> int:
-    """Number of the newest version, 0 when there is none."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(table_path)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return 0
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    return max([0, *(int(n[8:]) for n in names if n.startswith("version-"))])
-
-
-def read_version(spark: SparkSession, table_path: str, version: int | None = None) -> DataFrame:
-    pointer = f"{table_path}/version-{version or latest_version(spark, table_path)}"
-    return spark.read.parquet(f"{table_path}/{spark.read.text(pointer).first()['value']}")
-
-
 def dataset_fingerprint(names: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Order-free key of a name list: row count and two independent hash sums.
 
