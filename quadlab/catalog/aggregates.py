@@ -196,9 +196,11 @@ def _dash_sql() -> str:
                        "ON x.pid = p.sample_id AND p.source = 'winner' AND p.detected = 1 WHERE x.has_gt"), *iou_ctes("wi", "wp")]))
 def review_dashboard(spark, sf):
     from quadlab.functions.overlap import with_polygon_iou
-    rows = reviewed(spark, sf)
-    second = J.pivot_sources(base(spark, sf)[2], ["winner"]).select("split", "name", "winner")
-    rows = with_polygon_iou(rows.join(second, ["split", "name"], "left"), [("winner", "gt", "iou_b")])
+    s, lab, p = base(spark, sf)
+    # both models in one pivot
+    wide = J.join_sources(J.join_labels(s, lab), p, ["teacher", "winner"]).withColumn("pred", F.coalesce("teacher", F.array_repeat(F.lit(0.0), 8)))
+    rows = W.apply_review_state(wide, J.fold_events(events(spark, sf)))
+    rows = with_polygon_iou(rows, [("winner", "gt", "iou_b")])
     rows = rows.withColumn("has_doc", ~F.col("is_negative") & F.col("gt").isNotNull())
     return rounded(M.review_dashboard(rows))
 

@@ -8,11 +8,13 @@ from quadlab.catalog.aggregates import EV, RUNS, model_runs, rounded
 from quadlab.catalog.jobs import CV, decisions
 from quadlab.catalog.joins import base, index
 from quadlab.catalog.shared import cols, num, q6, r6, sel, spread
-from quadlab.checkpoints import scratch_dir
+from quadlab.checkpoints import cut, scratch_dir
 from quadlab.functions import names as N
-from quadlab.operators import metrics as M
+from quadlab.operators import metrics as M, scoring
+from quadlab.operators.ranking import places
 from quadlab.plans import cleaning as K, consensus as V
-from quadlab.sources import readers as R, writers as W
+from quadlab.sources import readers as R, results, writers as W
+from quadlab.sources.versions import clean_versions, pinned_version, versions as versions_of
 
 # ---------------------------------------------------------------- readers
 
@@ -293,6 +295,27 @@ def label_line(spark, sf):
     return rows.select("name", W.label_line(F.col("coords")).alias("line0"), W.label_line(F.col("coords"), 1).alias("line1"))
 
 
+@query("snk_02_write_labels", sel(
+    f"SELECT name[:-5] AS stem, CASE WHEN sample_id % 7 = 1 THEN '' WHEN sample_id % 7 = 2 THEN {LINE.format(1)} ELSE {LINE.format(0)} END AS line FROM quad_samples WHERE g0 IS NOT NULL"))
+def write_labels(spark, sf):
+    """Labels of all samples, of which some are replaced by no label and others by a class-1 label."""
+    path, lab = scratch_dir(spark), X.labels(spark, sf).select("stem", "coords", "sample_id")
+    W.write_labels(lab, path)
+    W.write_labels(lab.where("sample_id % 7 = 1").select("stem", F.lit(None).cast("array<double>").alias("coords")), path)
+    W.write_labels(lab.where("sample_id % 7 = 2"), path, 1)
+    return W.read_label_table(spark, path)
+
+
+@query("snk_03_write_predictions", sel(
+    "SELECT split, source, name, row_number() OVER (PARTITION BY split, source ORDER BY sample_id) AS place FROM quad_predictions"))
+def write_predictions(spark, sf):
+    """The place of each line in its file: the order of the split."""
+    path = scratch_dir(spark)
+    W.write_predictions(X.predictions(spark, sf).withColumnRenamed("sample_id", "ord"), path)
+    rows = R.read_prediction_lines(spark, path).select("split", "source", "ord", F.split("line", " ")[0].alias("name"), F.concat_ws("_", "split", "source").alias("file"))
+    return places(rows, "file", ["ord"]).select("split", "source", "name", "place")
+
+
 @query("snk_03_prediction_line", sel(
     "SELECT printf('%s %d %.6f %.6f %.6f %.6f %.6f %.6f %.6f %.6f %.6f', name, detected, conf, " + ", ".join(f"c{i}" for i in range(8)) + ") AS line FROM quad_predictions"))
 def prediction_line(spark, sf):
@@ -300,10 +323,10 @@ def prediction_line(spark, sf):
     return p.select(W.prediction_line(F.col("name"), F.col("detected"), F.col("conf"), F.col("coords")).alias("line"))
 
 
-@query("snk_04_write_csv", sel("SELECT split, name, printf('%.6f', iou) AS iou, printf('%.2f', err_mean) AS err_mean, printf('%.2f', err_max) AS err_max FROM ev WHERE has_doc", EV))
+@query("snk_04_write_csv", sel("SELECT split, name, printf('%.6f', iou) AS iou, printf('%.2f', err_mean) AS err_mean, printf('%.2f', err_max) AS err_max, printf('%.4f', iou * 100 - err_mean) AS score FROM ev WHERE has_doc", EV))
 def write_csv(spark, sf):
     path = scratch_dir(spark)
-    W.write_csv(evals(spark, sf).drop("score"), path)
+    W.write_csv(evals(spark, sf), path)
     return spark.read.csv(path, header=True)
 
 
@@ -318,10 +341,12 @@ def write_summary(spark, sf):
 
 @query("snk_06_write_worst_report", sel(
     "SELECT printf('%-8s %-60s %8.4f %10.2f %10.2f %8.4f', split, name, iou, err_mean, err_max, iou * 100 - err_mean) AS line FROM ev WHERE has_doc UNION ALL "
-    "SELECT repeat('=', 110) UNION ALL SELECT printf('SUMMARY %s n=%d iou mean=%.4f min=%.4f max=%.4f err mean=%.2f min=%.2f max=%.2f lt90=%d lt80=%d', split, count(*), "
-    "avg(iou), min(iou), max(iou), avg(err_mean), min(err_mean), max(err_mean), count(*) FILTER (WHERE iou < 0.9), count(*) FILTER (WHERE iou < 0.8)) FROM ev WHERE has_doc GROUP BY split", EV))
+    "SELECT printf('%-8s %-60s %8s %10s %10s %8s', 'Split', 'Filename', 'IoU', 'Err_mean', 'Err_max', 'Score') UNION ALL SELECT repeat('=', 110) FROM range(3) UNION ALL SELECT '' UNION ALL SELECT 'SUMMARY' "
+    "UNION ALL SELECT unnest(['', upper(split) || ' (' || count(*) || ' images):', printf('  IoU:  mean=%.4f, min=%.4f, max=%.4f', avg(iou), min(iou), max(iou)), "
+    "printf('  Err:  mean=%.2fpx, min=%.2fpx, max=%.2fpx', avg(err_mean), min(err_mean), max(err_mean)), '  IoU < 0.9: ' || count(*) FILTER (WHERE iou < 0.9) || ' images', "
+    "'  IoU < 0.8: ' || count(*) FILTER (WHERE iou < 0.8) || ' images']) FROM ev WHERE has_doc GROUP BY split", EV))
 def write_worst_report(spark, sf):
-    """Every line of the report."""
+    """Every line of the report: header, rows, and a block per split."""
     path = scratch_dir(spark)
     rows = evals(spark, sf)
     W.write_worst_report(rows, M.split_summary(rows), path)
@@ -339,14 +364,23 @@ def write_candidate_lists(spark, sf):
 
 
 @query("snk_08_review_index", sel(
-    "SELECT s.split, s.name, CAST(starts_with(s.name, 'negative_') AS INT) AS negative, CASE WHEN z.sample_id IS NULL THEN 'missing_image' WHEN s.sample_id % 13 <> 0 THEN 'skipped_existing' ELSE 'written' END AS status "
-    "FROM quad_samples s LEFT JOIN image_sizes z ON s.sample_id = z.sample_id"))
+    "SELECT s.split, s.name, s.split || '/' || s.name[:-5] || '.jpg' AS overlay_rel, CAST(starts_with(s.name, 'negative_') AS INT) AS negative, CASE WHEN s.sample_id % 13 <> 0 THEN 'skipped_existing' "
+    "WHEN z.sample_id IS NULL THEN 'missing_image' WHEN s.sample_id % 5 = 0 THEN 'failed_open_image' ELSE 'written' END AS status FROM quad_samples s LEFT JOIN image_sizes z ON s.sample_id = z.sample_id"))
 def review_index(spark, sf):
     path = scratch_dir(spark)
     done = index(spark, sf)[1].select(F.regexp_replace("overlay_rel", "png$", "jpg").alias("overlay_rel"))
-    W.write_review_index(W.review_index(X.samples(spark, sf), X.sizes(spark, sf).select("name"), done), path)
-    out = spark.read.schema("split string, name string, is_negative boolean, status string").json(path)
-    return out.select("split", "name", num(F.col("is_negative")).alias("negative"), "status")
+    # every fifth image is empty, which the decoder refuses
+    images = X.sizes(spark, sf)
+    content = F.when(F.col("sample_id") % 5 == 0, F.lit("")).otherwise(F.col("name")).cast("binary")
+
+    def decode(contents):
+        if not all(contents):
+            raise ValueError("broken image")
+        return [[1.0]] * len(contents)
+    images = scoring.decode_images(images.select("name", content.alias("content")), decode).select("name", "status")
+    W.write_review_index(W.review_index(X.samples(spark, sf), images, done), path)
+    out = spark.read.schema("split string, name string, overlay_rel string, is_negative boolean, status string").json(path)
+    return out.select("split", "name", "overlay_rel", num(F.col("is_negative")).alias("negative"), "status")
 
 
 @query("snk_09_versions", sel("SELECT 1 AS version, count(*) AS n FROM quad_samples UNION ALL SELECT 2, count(*) FILTER (WHERE sample_id % 17 <> 0) FROM quad_samples"))
@@ -361,6 +395,42 @@ def versions(spark, sf):
     return out[0].unionByName(out[1])
 
 
+@query("snk_09_retention", sel("SELECT 7 AS version, count(*) AS n, sum(sample_id)::BIGINT AS total, true AS is_open FROM quad_samples WHERE sample_id % 6 <> 0 UNION ALL "
+                                "SELECT 1, count(*), sum(sample_id)::BIGINT, false FROM quad_samples WHERE sample_id % 7 <> 0"))
+def retention(spark, sf):
+    """Of seven versions the last two are kept; a reader that opened the first one still gets all of it after they are gone."""
+    path, s = scratch_dir(spark), X.samples(spark, sf).select("sample_id")
+    W.write_version(s.where("sample_id % 7 <> 0"), path)
+
+    def row(df, version, is_open):
+        return df.agg(F.lit(version).alias("version"), F.count("*").alias("n"), F.sum("sample_id").alias("total"), F.lit(is_open).alias("is_open"))
+    with pinned_version(spark, path) as first:
+        for k in range(6):
+            W.write_version(s.where(F.col("sample_id") % 6 != (k + 1) % 6), path, keep=2)
+        old = cut(row(first, 1, False))
+    clean_versions(spark, path, 2)
+    assert versions_of(spark, path) == [6, 7]
+    return row(W.read_version(spark, path), 7, True).unionByName(old)
+
+
+@query("snk_10_reused_result", sel("SELECT split, n, 1 + changed AS runs FROM (SELECT split, count(*) AS n FROM quad_samples GROUP BY split) a, (SELECT unnest([0, 1]) AS changed) b"))
+def reused_result(spark, sf):
+    """A result is computed once for the same names and parameters, wherever they are stored, and again when a name changes."""
+    store, names = scratch_dir(spark), X.samples(spark, sf).select("split", "name")
+    runs = []
+
+    def count():
+        runs.append(1)
+        return names.groupBy("split").agg(F.count("*").alias("n"), F.lit(len(runs)).alias("runs"))
+    for part in (4, 3):
+        at = scratch_dir(spark)
+        names.repartition(part).write.parquet(at)
+        for _ in range(2):
+            first = results.reused(spark.read.parquet(at), store, {"by": "split"}, count)
+    changed = names.select(F.when(F.col("name") == "MIDV_a_10.jpg", "other.jpg").otherwise(F.col("name")).alias("name"))
+    return first.unionByName(results.reused(changed, store, {"by": "split"}, count))
+
+
 @query("snk_10_dataset_fingerprint", sel(
     "SELECT split, count(*) AS n, CAST(sum(CAST(('0x' || substr(md5(name), 1, 13)) AS BIGINT)) AS VARCHAR) AS h1, "
     "CAST(sum(CAST(('0x' || substr(md5(name), 14, 13)) AS BIGINT)) AS VARCHAR) AS h2 FROM quad_samples GROUP BY split"))

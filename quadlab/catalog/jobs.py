@@ -1,5 +1,6 @@
 """JOB-*: whole jobs, and the counters that belong to them (AG-11, AG-19)."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quadlab import fixtures as X
@@ -9,7 +10,7 @@ from quadlab.catalog.arrays import quality
 from quadlab.catalog.compare import bbox_sql
 from quadlab.catalog.geometry import (
     A as ANGLES, B, CORNER_TESTS, LAB, QUAD_TESTS, TOUCH_TESTS, angle_sql, convex_sql, issue_rows, sane_sql)
-from quadlab.catalog.joins import OLD_NEW, base, index, runs
+from quadlab.catalog.joins import OLD_NEW, base, events, index, runs
 from quadlab.catalog.ranking import hard_sql
 from quadlab.catalog.sets import HASH, SEED
 from quadlab.catalog.shared import (
@@ -17,7 +18,7 @@ from quadlab.catalog.shared import (
 from quadlab.checkpoints import cut
 from quadlab.functions import geometry as G
 from quadlab.operators import joins as J, metrics as M, scoring, sampling as S
-from quadlab.operators.ranking import global_running
+from quadlab.operators.ranking import global_running, places
 from quadlab.plans import audit as A, cleaning as K, consensus as V, relabel as L, review as W
 
 # ---------------------------------------------------------------- consensus
@@ -300,9 +301,13 @@ def worst_cases(spark, sf):
     return K.worst_cases(rounded(K.full_evaluation(*base(spark, sf), "teacher")), 5.0, 200).select("name", "iou", "err_mean", "err_max")
 
 
-@query("job_12_find_outliers", sel(f"SELECT split, name, {EVALS} FROM ev WHERE has_doc AND err_mean >= 10", EV))
+@query("job_12_find_outliers", sel(f"SELECT split, name, {EVALS}, {q6('iou * 100 - err_mean', 'score')}, "
+                                    "row_number() OVER (ORDER BY round(err_mean, 6) DESC, name) AS place FROM ev WHERE has_doc AND err_mean >= 10", EV))
 def find_outliers(spark, sf):
-    return rounded(K.find_outliers(K.full_evaluation(*base(spark, sf), "teacher"), 10.0).drop("score"))
+    """All columns, and the place of each row in the order of the result."""
+    rows = rounded(K.find_outliers(K.full_evaluation(*base(spark, sf), "teacher"), 10.0))
+    # the order is part of the result: rows carry the number of their task and their place in it
+    return places(rows.withColumns({"all": F.lit(0), "at": F.monotonically_increasing_id()}), "all", ["at"]).drop("all", "at")
 
 
 @query("job_13_mine_hard_examples", sel(hard_sql("SELECT * FROM ev WHERE has_doc AND (iou < 0.9 OR err_mean > 15)"), EV))
@@ -504,14 +509,15 @@ def _relabel_sql() -> tuple[str, list]:
             ("ro", ccw_sql("(SELECT * FROM rl WHERE hit)", "c", "d", "sample_id"))]
     # least sum of the four angle-ordered corners is the first corner of the new label
     s = [f"d{2*i} + d{2*i+1}" for i in range(4)]
-    first = f"[{', '.join(f'd{2*i}' for i in range(4))}][list_position([{', '.join(s)}], least({', '.join(s)}))]"
-    return (f"SELECT r.name, CASE WHEN hit THEN 'relabelled' ELSE 'not_detected' END AS status, CASE WHEN hit THEN least(greatest({first}, 0e0), 1e0) ELSE g0 END AS x0 "
-            f"FROM rl r LEFT JOIN ro o ON r.sample_id = o.sample_id", ctes)
+    at = f"list_position([{', '.join(s)}], least({', '.join(s)}))"
+    rolled = [f"[{', '.join(f'd{2*i + j % 2}' for i in range(4))}][({at} - 1 + {j // 2}) % 4 + 1]" for j in range(8)]
+    x = ", ".join(f"CASE WHEN hit THEN least(greatest({r}, 0e0), 1e0) ELSE g{j} END AS x{j}" for j, r in enumerate(rolled))
+    return (f"SELECT r.split, r.name, CASE WHEN hit THEN 'relabelled' ELSE 'not_detected' END AS status, {x} FROM rl r LEFT JOIN ro o ON r.sample_id = o.sample_id", ctes)
 
 
 @query("job_22_relabel_by_prefix", sel(*_relabel_sql()))
 def relabel_by_prefix(spark, sf):
-    return L.relabel_by_prefix(*base(spark, sf), ["receipt", "book"]).select("name", "status", F.get("coords", F.lit(0)).alias("x0"))
+    return L.relabel_by_prefix(*base(spark, sf), ["receipt", "book"]).select("split", "name", "status", *spread(F.col("coords"), "x"))
 
 
 @query("job_22_relabel_only_if_empty", sel(
@@ -542,6 +548,34 @@ def apply_review_state(spark, sf):
     return reviewed(spark, sf).select("name", num(F.col("discarded")).alias("discarded"), num(F.col("modified")).alias("modified"), r6("iou"), r6("err_mean"))
 
 
+def _accept_sql() -> tuple[str, list]:
+    c = ", ".join(f"c{i}" for i in range(8))
+    ctes = [("ac", "SELECT seq, sample_id, shift, CASE WHEN action = 'modify' AND seq % 3 = 0 THEN 'accept' ELSE action END AS action FROM review_events"),
+            ("ph", f"SELECT sample_id, {c}, CASE source WHEN 'teacher' THEN sample_id * 13 % 300 WHEN 'winner' THEN 300 + sample_id * 29 % 5000 ELSE 1000000000 END AS pseq FROM quad_predictions WHERE detected = 1"),
+            ("lk", f"SELECT a.seq, a.sample_id, {c}, row_number() OVER (PARTITION BY a.seq ORDER BY pseq DESC) AS rn FROM ac a JOIN ph p ON p.sample_id = a.sample_id AND p.pseq < a.seq WHERE a.action = 'accept'"),
+            ("ed", f"SELECT seq, sample_id, shift, {', '.join(f'NULL::DOUBLE AS c{i}' for i in range(8))} FROM ac WHERE action = 'modify' UNION ALL SELECT seq, sample_id, NULL, {c} FROM lk WHERE rn = 1"),
+            ("le", f"SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY seq DESC) AS rn, count(*) OVER (PARTITION BY sample_id) AS n_edits FROM ed"),
+            ("gs", "SELECT sample_id, coalesce(max_by(action, seq) FILTER (WHERE action IN ('discard', 'undiscard')) = 'discard', false) AS discarded FROM ac GROUP BY sample_id")]
+    hit = "l.sample_id IS NOT NULL AND NOT coalesce(g.discarded, false)"
+    e = ", ".join(f"CASE WHEN {hit} THEN coalesce(l.c{i}, g{i} + l.shift) ELSE g{i} END AS e{i}" for i in range(8))
+    return (f"SELECT s.name, CAST(coalesce(g.discarded, false) AS INT) AS discarded, CAST({hit} AS INT) AS modified, coalesce(l.n_edits, 0) AS n_edits, {e} FROM quad_samples s "
+            "LEFT JOIN gs g ON g.sample_id = s.sample_id LEFT JOIN le l ON l.sample_id = s.sample_id AND l.rn = 1 WHERE s.g0 IS NOT NULL", ctes)
+
+
+@query("job_26_accept_prediction", sel(*_accept_sql()))
+def accept_prediction(spark, sf):
+    """Every third edit accepts the prediction shown then: of three versions the last one before the event; the third comes too late for all."""
+    s, lab, _ = base(spark, sf)
+    ev_ = events(spark, sf).withColumn("action", F.when((F.col("action") == "modify") & (F.col("seq") % 3 == 0), "accept").otherwise(F.col("action")))
+    k = F.col("sample_id")
+    shown = X.predictions(spark, sf).where("detected = 1").select(
+        "name", F.when(F.col("source") == "teacher", 1).when(F.col("source") == "winner", 2).otherwise(3).alias("version"), "coords",
+        F.when(F.col("source") == "teacher", k * 13 % 300).when(F.col("source") == "winner", k * 29 % 5000 + 300).otherwise(F.lit(1000000000)).alias("seq"))
+    state = J.fold_events(J.accepted_predictions(ev_, shown))
+    rows = J.effective_labels(J.join_labels(s, lab, "inner"), state).join(state.select("name", "n_edits"), "name", "left")
+    return rows.select("name", num(F.col("discarded")).alias("discarded"), num(F.col("modified")).alias("modified"), F.coalesce("n_edits", F.lit(0)).alias("n_edits"), *spread(F.col("effective"), "e"))
+
+
 @query("job_26_cleaned_split", sel("SELECT split, name FROM rv WHERE NOT discarded", reviewed_ctes()))
 def cleaned_split(spark, sf):
     return W.cleaned_split(reviewed(spark, sf)).select("split", "name")
@@ -555,9 +589,9 @@ def edited_labels(spark, sf):
 def toy_predictor():
     """Stands in for a user's model: a box and a score that follow from the sample number."""
     def predict(batch):
-        k = batch["sample_id"]
+        k = batch["sample_id"].to_numpy()
         x, y = (k % 97) / 1024.0, (k % 89) / 1024.0
-        batch["coords"] = [[a, b, a + 0.5, b, a + 0.5, b + 0.5, a, b + 0.5] for a, b in zip(x, y)]
+        batch["coords"] = list(np.stack([x, y, x + 0.5, y, x + 0.5, y + 0.5, x, y + 0.5], axis=1))
         batch["score"] = (k % 64) / 64.0
         return batch
     return predict
@@ -571,20 +605,33 @@ def scored(spark, sf):
     return scoring.score(s, toy_predictor, SCORED)
 
 
-@query("udf_01_score", sel("SELECT name, (sample_id % 97) / 1024e0 AS x0, (sample_id % 64) / 64e0 AS score FROM quad_samples"))
+TOY = ["(sample_id % 97) / 1024e0" + " + 0.5e0" * (i in (2, 4)) if i % 2 == 0 else "(sample_id % 89) / 1024e0" + " + 0.5e0" * (i in (5, 7)) for i in range(8)]
+
+
+@query("udf_01_score", sel("SELECT name, (sample_id % 64) / 64e0 AS score, " + ", ".join(f"{x} AS x{i}" for i, x in enumerate(TOY)) + " FROM quad_samples"))
 def score(spark, sf):
-    return scored(spark, sf).select("name", F.get("coords", F.lit(0)).alias("x0"), "score")
+    return scored(spark, sf).select("name", "score", *spread(F.col("coords"), "x"))
 
 
 @query("job_28_pseudo_label_table", sel(
     f"SELECT split, name, CAST(NOT {NEG} AND sample_id % 64 >= 32 AS INT) AS detected, CASE WHEN NOT {NEG} AND sample_id % 64 >= 32 THEN (sample_id % 64) / 64e0 ELSE 0e0 END AS conf, "
-    f"CASE WHEN NOT {NEG} AND sample_id % 64 >= 32 THEN (sample_id % 97) / 1024e0 ELSE -1e0 END AS x0 FROM quad_samples"))
+    + ", ".join(f"CASE WHEN NOT {NEG} AND sample_id % 64 >= 32 THEN {x} ELSE -1e0 END AS x{i}" for i, x in enumerate(TOY)) + " FROM quad_samples"))
 def pseudo_label_table(spark, sf):
-    return scoring.pseudo_labels(scored(spark, sf), 0.5, G.order_tlbr_angle).select("split", "name", "detected", "conf", F.get("coords", F.lit(0)).alias("x0"))
+    return scoring.pseudo_labels(scored(spark, sf), 0.5, G.order_tlbr_angle).select("split", "name", "detected", "conf", *spread(F.col("coords"), "x"))
+
+
+def toy_decoder(contents):
+    """Stands in for an image decoder: the length of each content; one that starts with a letter from a to e can't be opened."""
+    sizes = [len(c) for c in contents]
+    if any(c[:1] in b"abcde" and c for c in contents):
+        raise ValueError("broken image")
+    return [[float(n)] for n in sizes]
 
 
-@query("udf_02_decode_images", "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM documents")
+@query("udf_02_decode_images", "SELECT doc_id, CASE WHEN text IS NULL OR left(text, 1) IN ('a', 'b', 'c', 'd', 'e') THEN NULL ELSE CAST(octet_length(encode(text)) AS BIGINT) END AS n_bytes, "
+       "CASE WHEN text IS NULL OR left(text, 1) IN ('a', 'b', 'c', 'd', 'e') THEN 'failed_open_image' ELSE 'ok' END AS status FROM documents")
 def decode_images(spark, sf):
-    """The decode hook over text bytes instead of image bytes."""
+    """The decode hook over text bytes instead of image bytes; broken ones are rows with a status."""
     files = X.table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    return scoring.decode_images(files, lambda b: [float(len(b))]).select("doc_id", F.get("grid", F.lit(0)).cast("bigint").alias("n_bytes"))
+    out = scoring.decode_images(files, toy_decoder, most_bytes=1 << 20)
+    return out.select("doc_id", F.get("grid", F.lit(0)).cast("bigint").alias("n_bytes"), "status")

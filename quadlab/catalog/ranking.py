@@ -1,15 +1,15 @@
 """WN-*: ranking, cuts, top-k and paging."""
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from quadlab import fixtures as X
 from quadlab.catalog import query
 from quadlab.catalog.aggregates import EV, RUNS, ev, model_runs, reviewed, reviewed_ctes, rounded
 from quadlab.catalog.compare import category_sql, categorized
 from quadlab.catalog.geometry import angle_sql
-from quadlab.catalog.shared import num, q6, r6, sel
-from quadlab.checkpoints import cut
+from quadlab.catalog.shared import corner_err, num, q6, r6, sel
 from quadlab.operators import ranking as R
+from quadlab.operators.quantiles import aggregate, percentile
 
 
 def positives(spark, sf):
@@ -87,11 +87,16 @@ def ordered_union_distinct(spark, sf):
 
 
 @query("wn_07_rank_leaderboard", sel(
-    f"SELECT model, dataset, {q6('mean_iou', 'mean_iou')}, {q6('recall_95', 'recall_95')}, CAST(rank() OVER (ORDER BY mean_iou DESC, recall_95 DESC, "
-    f"recall_99 DESC) AS INT) AS rank FROM mm", RUNS))
+    f"SELECT model, dataset, {q6('mean_iou', 'mean_iou')}, {q6('recall_95', 'recall_95')}, {q6('recall_99', 'recall_99')}, {q6('p95', 'corner_error_p95_px')}, "
+    f"CAST(rank() OVER (ORDER BY q, recall_95 DESC, recall_99 DESC, p95) AS INT) AS rank FROM (SELECT *, -round(mean_iou, 2) AS q FROM mm) m JOIN pp USING (model, dataset)",
+    [*RUNS, ("pp", "SELECT model, dataset, quantile_cont(e, 0.95) AS p95 FROM (SELECT model, dataset, unnest([" + ", ".join(corner_err("a", "b")) + "]) AS e FROM mr) u GROUP BY model, dataset")]))
 def rank_leaderboard(spark, sf):
-    runs = model_runs(spark, sf)[0].withColumn("corner_error_p95_px", F.lit(0.0))
-    return rounded(R.rank_leaderboard(runs)).select("model", "dataset", "mean_iou", "recall_95", "rank")
+    """Ranked by mean IoU to two decimals, so that the later keys decide between close models."""
+    runs, rows = model_runs(spark, sf)
+    errs = aggregate(rows, ["source", "split"], [F.count("*").alias("__n")], [percentile("corner_error_p95_px", 0.95, *[F.get("corner_errs", F.lit(i)) for i in range(4)])], inputs=["corner_errs"])
+    runs = runs.join(errs.select(F.col("source").alias("model"), F.col("split").alias("dataset"), "corner_error_p95_px"), ["model", "dataset"])
+    ranked = R.rank_leaderboard(runs.withColumns({"exact": F.col("mean_iou"), "mean_iou": F.round("mean_iou", 2)}))
+    return rounded(ranked.withColumn("mean_iou", F.col("exact"))).select("model", "dataset", "mean_iou", "recall_95", "recall_99", "corner_error_p95_px", "rank")
 
 
 TRAIN = ("e", "SELECT *, coalesce(max(mean_iou) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM train_history")
@@ -103,7 +108,7 @@ TRAIN = ("e", "SELECT *, coalesce(max(mean_iou) OVER (ORDER BY epoch ROWS BETWEE
     "max(mean_iou) OVER (ORDER BY epoch) AS best_value, CAST(max(CASE WHEN mean_iou > prior THEN epoch ELSE 0 END) OVER (ORDER BY epoch) AS INT) AS best_epoch FROM e) z",
     [TRAIN]))
 def training_events(spark, sf):
-    rows = R.training_events(X.train_history(spark, sf), 4)
+    rows = R.training_events(X.train_history(spark, sf).withColumn("run", F.lit("only")), 4, ["run"])
     return rows.select("epoch", r6("best_value"), num(F.col("improved")).alias("improved"), "best_epoch", "since_best", "stop_epoch")
 
 
@@ -118,7 +123,7 @@ def _lr_sql() -> str:
 
 @query("wn_08_lr_events", _lr_sql())
 def lr_events(spark, sf):
-    return R.lr_events(X.train_history(spark, sf), 3, 5).select("epoch", num(F.col("lr_cut")).alias("lr_cut"))
+    return R.lr_events(X.train_history(spark, sf).withColumn("run", F.lit("only")), 3, 5, by=["run"]).select("epoch", num(F.col("lr_cut")).alias("lr_cut"))
 
 
 @query("wn_09_candidate_order", sel(
@@ -187,12 +192,7 @@ def _every_sql() -> str:
 def review_queue_every_filter(spark, sf):
     """Place of each sample in the queue of every filter; the sorts take turns."""
     rows = reviewed(spark, sf).withColumn("is_negative", F.col("is_negative") | F.col("gt").isNull())
-    rows = cut(rows.withColumns({c: F.round(c, 6) for c in ("iou", "err_mean", "gt_min_angle")}))
-    out = None
-    for kind, sort in KIND_SORTS.items():
-        part = R.review_queue(rows, kind, sort).select(F.lit(kind).alias("kind"), "name", F.monotonically_increasing_id().alias("at"))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("at"))).drop("at")
+    return R.queue_places(rows.withColumns({c: F.round(c, 6) for c in ("iou", "err_mean", "gt_min_angle")}), KIND_SORTS)
 
 
 @query("wn_11_limit_first", sel(

@@ -15,13 +15,12 @@ from quadlab.functions.overlap import bbox_iou, with_polygon_iou
 from quadlab.operators.quantiles import aggregate, percentile
 
 
-def evaluate_pairs(df: DataFrame, img_size: float = 224.0, exact_iou: bool = True) -> DataFrame:
-    """Add iou, iou_bbox, err_mean, err_max and corner_errs from the columns gt and pred."""
+def evaluate_pairs(df: DataFrame, img_size: float = 224.0, exact_iou: bool = True, with_bbox: bool = False) -> DataFrame:
+    """Add iou, err_mean, err_max and corner_errs (and iou_bbox) from the columns gt and pred."""
     gt, pred = F.col("gt"), F.col("pred")
     df = with_polygon_iou(df, [("pred", "gt", "iou")]) if exact_iou else df.withColumn("iou", bbox_iou(pred, gt))
     e = C.corner_errors(pred, gt, img_size)
-    return computed(df, {
-        "iou_bbox": bbox_iou(pred, gt),
+    return computed(df, ({"iou_bbox": bbox_iou(pred, gt)} if with_bbox else {}) | {
         "corner_errs": F.when(gt.isNotNull() & pred.isNotNull(), F.array(*e)),
         "err_mean": C.mean4(e),
         "err_max": F.when(gt.isNotNull() & pred.isNotNull(), F.greatest(*e))})

@@ -40,6 +40,17 @@ def global_running(df: DataFrame, order: Sequence[str], sums: Sequence[str] = ()
     return rows.drop("__pid", "__id", "__n", *[f"__s_{c}" for c in sums])
 
 
+def places(df: DataFrame, by: str, order: Sequence[str], out: str = "place") -> DataFrame:
+    """Add the 1-based position in ``order`` within each value of ``by``.
+
+    Positions are global ones less those of the values before, so a value with any share of the rows is spread over tasks. Of ``by`` one row a value is broadcast.
+    """
+    rows = global_running(df, [by, *order], out="__at")
+    first = rows.groupBy(by).agg(F.min("__at").alias("__first"))
+    return (rows.join(F.broadcast(first.withColumnRenamed(by, "__by")), F.col(by).eqNullSafe(F.col("__by")))
+            .withColumn(out, F.col("__at") - F.col("__first") + 1).drop("__at", "__first", "__by"))
+
+
 def _bucketed(df: DataFrame, value: str, descending: bool = False) -> tuple[DataFrame, list]:
     """Tag rows with an equal-width bucket of ``value`` and return the histogram (at most BUCKETS rows).
 
@@ -172,11 +183,13 @@ def rank_leaderboard(df: DataFrame) -> DataFrame:
     return df.withColumn("rank", F.rank().over(w))
 
 
-def training_events(history: DataFrame, patience: int, by: Sequence[str] = (), value: str = "mean_iou") -> DataFrame:
+def training_events(history: DataFrame, patience: int, by: Sequence[str], value: str = "mean_iou") -> DataFrame:
     """Per epoch: running best, whether it improved (strictly), best epoch so far, epochs since, early stop.
 
-    One run is its epochs, a short sequence; runs are independent windows.
+    ``by`` names the run. One run is its epochs, a short sequence; runs are independent windows.
     """
+    if not by:
+        raise ValueError("name the columns that tell runs apart")
     w = Window.partitionBy(*by).orderBy("epoch")
     prior = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -191,7 +204,7 @@ def training_events(history: DataFrame, patience: int, by: Sequence[str] = (), v
 
 
 def lr_events(history: DataFrame, lr_patience: int, warmup: int, lr: float = 1.0, factor: float = 0.5,
-              min_lr: float = 0.0, by: Sequence[str] = (), value: str = "mean_iou") -> DataFrame:
+              min_lr: float = 0.0, *, by: Sequence[str], value: str = "mean_iou") -> DataFrame:
     """Epochs at which the learning rate is cut (``lr_cut``) and the rate after each epoch (``lr``).
 
     A cut comes each time ``lr_patience`` epochs pass without a new best. The counter restarts at a new
@@ -259,6 +272,21 @@ def review_queue(df: DataFrame, kind: str = "all", sort: str = "iou_asc", acute_
     return df.where(review_filter(kind, acute_deg)).orderBy(F.desc(col) if desc else F.asc(col), "name")
 
 
+def queue_places(df: DataFrame, sorts: dict[str, str], acute_deg: float = 60.0) -> DataFrame:
+    """``kind, name, place``: where each row stands in the queue of every filter it passes, each filter under its own sort.
+
+    All queues are one table (at most one row per row and filter), placed in one pass.
+    """
+    def entry(kind: str) -> Column:
+        col, desc = SORTS[sorts[kind]]
+        key = F.lit(0.0) if col == "name" else F.col(col).cast("double")
+        # ascending: missing ones first; descending: last
+        missing = key.isNull() if desc else key.isNotNull()
+        return F.when(review_filter(kind, acute_deg), F.struct(F.lit(kind).alias("kind"), missing.alias("__late"), (-key if desc else key).alias("__key")))
+    rows = df.select("name", F.explode(F.array_compact(F.array(*map(entry, sorts)))).alias("q")).select("name", "q.*")
+    return places(rows, "kind", ["__late", "__key", "name"]).select("kind", "name", "place")
+
+
 def limit_first(df: DataFrame, n: int, order: str = "ord", by: Sequence[str] = ()) -> DataFrame:
     if not by:
         return df.orderBy(order).limit(n)

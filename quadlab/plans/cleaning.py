@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quadlab.checkpoints import cut
 from quadlab.functions import compare as C, geometry as G, names as N
+from quadlab.functions.overlap import bbox_iou
 from quadlab.operators import ranking as R, sampling as S
 from quadlab.operators.joins import join_labels, join_predictions, join_runs
 from quadlab.operators.metrics import evaluate_pairs, negative_ratio
@@ -49,8 +50,8 @@ def in_evaluation_order(evals: DataFrame) -> DataFrame:
 
 def worst_rows(rows: DataFrame, n: int) -> DataFrame:
     """The ``n`` positives of largest error with both IoU kinds and the model's own score."""
-    cols = ("split", "name", "iou", "iou_bbox", "err_mean", "err_max", "score")
-    return rows.where("has_doc").select(*cols).orderBy(F.desc("err_mean"), "name").limit(n)
+    worst = rows.where("has_doc").orderBy(F.desc("err_mean"), "name").limit(n)
+    return worst.select("split", "name", "iou", bbox_iou(F.col("pred"), F.col("gt")).alias("iou_bbox"), "err_mean", "err_max", "score")
 
 
 def worst_cases(evals: DataFrame, min_err: float = 0.0, n: int = 0, by_iou: bool = False) -> DataFrame:

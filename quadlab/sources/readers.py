@@ -166,14 +166,19 @@ def last_wins(rows: DataFrame, keys: Sequence[str], ord_col: str = "ord") -> Dat
             .select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest]))
 
 
-def read_predictions(spark: SparkSession, path: str | Sequence[str], mode: str = "strict",
-                     wanted: DataFrame | None = None) -> DataFrame:
-    """Files (or directories of part files) are named ``<split>_<source>``; ``wanted`` keeps only its names."""
+def read_prediction_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``split, source, ord, line`` of files (or directories of part files) named ``<split>_<source>``."""
     lines = read_lines(spark, path, "[!._]*")
     parent = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
     key = N.stem(F.when(F.col("file").startswith("part-"), F.regexp_replace(parent, r"^\w+=", "")).otherwise(F.col("file")))
-    rows = lines.select(F.substring_index(key, "_", 1).alias("split"),
+    return lines.select(F.substring_index(key, "_", 1).alias("split"),
                         F.regexp_extract(key, r"^[^_]+_(.*)$", 1).alias("source"), "ord", "line")
+
+
+def read_predictions(spark: SparkSession, path: str | Sequence[str], mode: str = "strict",
+                     wanted: DataFrame | None = None) -> DataFrame:
+    """Prediction rows of those files; ``wanted`` keeps only its names."""
+    rows = read_prediction_lines(spark, path)
     if wanted is not None:
         first = F.regexp_extract("line", r"^\s*(\S+)", 1)
         rows = rows.withColumn("name", first).join(wanted.select("name"), "name", "left_semi").drop("name")

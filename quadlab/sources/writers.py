@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quadlab.functions import names as N
 from quadlab.functions.geometry import fixed
+from quadlab.sources.upsert import read_upserted, upsert
 from quadlab.sources.versions import latest_version, read_version, write_version  # noqa: F401 - part of the sinks
 
 EIGHT = " ".join(["%.6f"] * 8)
@@ -47,15 +48,35 @@ def write_lines(df: DataFrame, line: Column, path: str, by: Column | None = None
         df.select(by.alias("part"), line.alias("value")).write.mode("overwrite").partitionBy("part").text(path)
 
 
-def write_labels(df: DataFrame, path: str, cls: int = 0) -> None:
-    """Label table (stem, line); labels are rows of one table, not one file each."""
-    df.select("stem", label_line(F.col("coords"), cls).alias("line")).write.mode("overwrite").parquet(path)
+def write_labels(df: DataFrame, path: str, cls: int = 0) -> int:
+    """Put labels (``stem``, ``coords``) into the label table at ``path``, in place of earlier ones of the same stems; the number of the write.
+
+    Labels are rows (stem, line) of a keyed table, not one file each. Only the buckets with these stems are written anew and all take effect at once, so a write that fails leaves the old
+    labels readable. Of rows that share a stem, the greatest line stays.
+    """
+    n = latest_version(df.sparkSession, path)
+    lines = df.select("stem", label_line(F.col("coords"), cls).alias("line"), F.lit(n).cast("long").alias("written"))
+    last = F.max(F.struct("written", "line")).alias("last")
+    upsert(lines, path, "stem", lambda rows: rows.groupBy("stem").agg(last).select("stem", "last.line", "last.written"), n)
+    return n
+
+
+def read_label_table(spark: SparkSession, path: str) -> DataFrame:
+    """``stem, line`` of the label table."""
+    return read_upserted(spark, path).select("stem", "line")
 
 
-def write_predictions(df: DataFrame, path: str) -> None:
-    """Text directories ``<path>/<split>_<source>`` of 11-token lines."""
+def write_predictions(df: DataFrame, path: str, order: str = "ord") -> None:
+    """Text directories ``<path>/part=<split>_<source>`` of 11-token lines in the order of column ``order`` (by name without it).
+
+    Rows are range-partitioned by file and order, so a file has few parts, in order, and any number of tasks writes it.
+    """
     line = prediction_line(F.col("name"), F.col("detected"), F.col("conf"), F.col("coords"))
-    write_lines(df, line, path, F.concat_ws("_", "split", "source"))
+    n = df.sparkSession.sparkContext.defaultParallelism
+    key = order if order in df.columns else "name"
+    rows = df.select(F.concat_ws("_", "split", "source").alias("part"), F.col(key).alias("at"), line.alias("value"))
+    (rows.repartitionByRange(n, "part", "at").sortWithinPartitions("part", "at").select("part", "value")
+     .write.mode("overwrite").partitionBy("part").text(path))
 
 
 EVAL_DECIMALS = {"iou": 6, "err_mean": 2, "err_max": 2, "score": 4}
@@ -82,19 +103,25 @@ def write_summary(counts: DataFrame, path: str, **params) -> None:
 
 
 def worst_report_rows(evals: DataFrame, summary: DataFrame) -> DataFrame:
-    """Rows, then a ruler and one summary line per split: (part, key, line) to be ordered by part, key."""
+    """Header, rows, and a summary block per split: (part, key, line) to be ordered by part, error (greatest first) and name."""
+    def fixed_lines(part: int, *lines: str) -> DataFrame:
+        spark = evals.sparkSession
+        return spark.createDataFrame([(part, (float(-i), ""), x) for i, x in enumerate(lines)], "part int, key struct<err_mean: double, name: string>, line string")
     rows = evals.select(
         F.lit(0).alias("part"), F.struct("err_mean", "name").alias("key"),
         fixed("%-8s %-60s %8.4f %10.2f %10.2f %8.4f", *[F.col(c) for c in (
             "split", "name", "iou", "err_mean", "err_max", "score")]).alias("line"))
-    ruler = summary.select(F.lit(1).alias("part"), F.struct(F.lit(0.0).alias("err_mean"), F.lit("").alias("name")).alias("key"),
-                           F.lit("=" * 110).alias("line")).limit(1)
-    tail = summary.select(
-        F.lit(2).alias("part"), F.struct(F.lit(0.0).alias("err_mean"), F.col("split").alias("name")).alias("key"),
-        fixed("SUMMARY %s n=%d iou mean=%.4f min=%.4f max=%.4f err mean=%.2f min=%.2f max=%.2f lt90=%d lt80=%d",
-              *[F.col(c) for c in ("split", "n", "iou_mean", "iou_min", "iou_max", "err_mean", "err_min", "err_max",
-                                   "n_iou_lt_90", "n_iou_lt_80")]).alias("line"))
-    return rows.unionByName(ruler).unionByName(tail)
+    head = fixed_lines(-1, f"{'Split':<8} {'Filename':<60} {'IoU':>8} {'Err_mean':>10} {'Err_max':>10} {'Score':>8}", "=" * 110)
+    title = fixed_lines(1, "", "=" * 110, "SUMMARY", "=" * 110)
+    block = F.array(
+        F.lit(""), F.format_string("%s (%d images):", F.upper("split"), "n"),
+        fixed("  IoU:  mean=%.4f, min=%.4f, max=%.4f", *map(F.col, ("iou_mean", "iou_min", "iou_max"))),
+        fixed("  Err:  mean=%.2fpx, min=%.2fpx, max=%.2fpx", *map(F.col, ("err_mean", "err_min", "err_max"))),
+        F.format_string("  IoU < 0.9: %d images", "n_iou_lt_90"), F.format_string("  IoU < 0.8: %d images", "n_iou_lt_80"))
+    # the blocks follow one another by split: one row per split, so its rank needs no distribution
+    tail = (summary.withColumn("at", F.row_number().over(Window.orderBy("split"))).select("at", F.posexplode(block).alias("i", "line"))
+            .select(F.lit(2).alias("part"), F.struct((-F.col("at") * 10 - F.col("i")).cast("double").alias("err_mean"), F.lit("").alias("name")).alias("key"), "line"))
+    return head.unionByName(rows).unionByName(title).unionByName(tail)
 
 
 def write_worst_report(evals: DataFrame, summary: DataFrame, path: str) -> None:
@@ -113,18 +140,20 @@ def write_candidate_lists(df: DataFrame, path: str) -> None:
 
 
 def review_index(samples: DataFrame, images: DataFrame, existing: DataFrame) -> DataFrame:
-    """Index rows with a status: missing_image, skipped_existing or written.
+    """Index rows with a status: skipped_existing, missing_image, failed_open_image or written, the first that holds.
 
-    ``images``: name; ``existing``: overlay_rel already rendered. Both are sets.
+    ``images``: name and, where known, ``status`` (``failed_open_image`` of ``decode_images``); ``existing``: overlay_rel already rendered. Both are sets.
     """
+    if "status" not in images.columns:
+        images = images.withColumn("status", F.lit("ok"))
     overlay = F.concat("split", F.lit("/"), N.stem(F.col("name")), F.lit(".jpg"))
-    have = images.select("name", F.lit(1).alias("has_image"))
+    have = images.select("name", F.coalesce("status", F.lit("ok")).alias("image"))
     done = existing.select("overlay_rel", F.lit(1).alias("has_overlay"))
     return (samples.select("split", "name", "is_negative", overlay.alias("overlay_rel"))
             .join(have, "name", "left").join(done, "overlay_rel", "left")
-            .withColumn("status", F.when(F.col("has_image").isNull(), "missing_image")
-                        .when(F.col("has_overlay") == 1, "skipped_existing").otherwise("written"))
-            .drop("has_image", "has_overlay"))
+            .withColumn("status", F.when(F.col("has_overlay") == 1, "skipped_existing").when(F.col("image").isNull(), "missing_image")
+                        .when(F.col("image") == "failed_open_image", F.col("image")).otherwise("written"))
+            .drop("image", "has_overlay"))
 
 
 def write_review_index(index: DataFrame, path: str) -> None:

@@ -161,6 +161,30 @@ def test_lr_events(spark, patience, warmup):
             if hit:
                 lr, count = max(lr * 0.5, 0.1), 0
         want.append((epoch + 1, hit, lr))
-    df = spark.createDataFrame([(i + 1, v) for i, v in enumerate(values)], "epoch int, mean_iou double")
-    got = R.lr_events(df, patience, warmup, 1.0, 0.5, 0.1).orderBy("epoch").collect()
+    df = spark.createDataFrame([("a", i + 1, v) for i, v in enumerate(values)], "run string, epoch int, mean_iou double")
+    with pytest.raises(ValueError):
+        R.training_events(df, 3, [])
+    got = R.lr_events(df, patience, warmup, 1.0, 0.5, 0.1, by=["run"]).orderBy("epoch").collect()
     assert [(r.epoch, r.lr_cut, r.lr) for r in got] == [(e, h, pytest.approx(x)) for e, h, x in want]
+
+
+def test_places_in_groups_of_any_share(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot"] * 6 + ["a", "b", None]), rng.choice([None, *range(9)]), i) for i in range(400)]
+    got = R.places(spark.createDataFrame(rows, "g string, v int, id int"), "g", ["v", "id"]).collect()
+    want = {}
+    for g in {r[0] for r in rows}:
+        part = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {r[2]: i + 1 for i, r in enumerate(part)}
+    assert {r.id: r.place for r in got} == want and len(got) == 400
+
+
+def test_queue_places_follow_each_filters_sort(spark):
+    rng = random.Random(9)
+    rows = [(f"n{i:03}", rng.random() < 0.2, rng.random() < 0.2, rng.random() < 0.3, rng.choice(["train", "val"]), rng.choice([None, round(rng.random(), 2)]),
+             rng.choice([None, rng.randrange(30) / 1.0]), rng.choice([None, rng.randrange(40, 90) / 1.0])) for i in range(150)]
+    df = spark.createDataFrame(rows, "name string, is_negative boolean, discarded boolean, modified boolean, split string, iou double, err_mean double, gt_min_angle double")
+    sorts = {"all": "iou_asc", "low_iou": "name", "high_error": "error_desc", "acute_gt": "gt_angle_desc", "discarded": "iou_desc", "train": "error_asc"}
+    got = sorted((r.kind, r.place, r.name) for r in R.queue_places(df, sorts).collect())
+    want = [(k, i + 1, r.name) for k, s in sorts.items() for i, r in enumerate(R.review_queue(df, k, s).collect())]
+    assert got == sorted(want)

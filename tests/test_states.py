@@ -1,13 +1,14 @@
 """Versions, keyed tables, kept results and the stored report: replays, failures, readers, and equality with the work done at once."""
 
+import os
 import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quadlab.operators import accumulator as A, joins as J, metrics as M
-from quadlab.sources import results, versions as V
+from quadlab.operators import accumulator as A, joins as J, metrics as M, scoring
+from quadlab.sources import results, versions as V, writers as W
 from quadlab.sources.upsert import read_upserted, upsert
 from quadlab.streaming import running as S
 
@@ -181,3 +182,62 @@ def test_an_accepted_prediction_is_what_was_shown_then(spark):
     out = J.fold_events(J.accepted_predictions(spark.createDataFrame(events, EVENTS), spark.createDataFrame(preds, "name string, version int, seq long, coords array<double>")))
     got = {r.name: (r.discarded, r.edited, r.n_edits) for r in out.collect()}
     assert got == {"a": (False, [0.3], 2), "d": (False, [9.0], 2), "e": (True, None, 0), "b": (True, None, 0)}
+
+
+def test_a_predictor_is_built_once_per_worker(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def factory():
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+
+        def predict(batch):
+            batch["pid"] = os.getpid()
+            return batch
+        return predict
+
+    def other():
+        return lambda batch: batch.assign(pid=-1)
+
+    rows = spark.range(0, 640, 1, 64)
+    got = scoring.score(rows, factory, "id long, pid long").collect()
+    loads = open(log).read().split()
+    assert len(got) == 640 and len(loads) == len(set(loads)) and {str(r.pid) for r in got} <= set(loads)
+    assert {r.pid for r in scoring.score(rows, other, "id long, pid long").collect()} == {-1}
+    scoring.score(rows, factory, "id long, pid long").collect()
+    again = open(log).read().split()
+    assert len(again) == len(set(again))
+
+
+def test_broken_images_are_rows_and_batches_are_bounded(spark):
+    def decode(contents):
+        assert len(contents) == 1 or sum(map(len, contents)) <= 100
+        if any(c.startswith(b"!") for c in contents):
+            raise OSError("broken")
+        return [[float(len(c)), 1.0] for c in contents]
+
+    rows = [(i, (b"!" if i % 7 == 0 else b"x") * (1 + i % 60), "z") for i in range(200)] + [(200, None, "z"), (201, b"", "z"), (202, b"y" * 500, "z")]
+    files = spark.createDataFrame(rows, "id int, content binary, pid string")
+    got = {r.id: r for r in scoring.decode_images(files, decode, most_bytes=100).collect()}
+    assert len(got) == 203 and got[201].grid == [0.0, 1.0] and got[202].grid == [500.0, 1.0]
+    for i, c, _ in rows:
+        bad = c is None or c.startswith(b"!")
+        assert got[i].status == ("failed_open_image" if bad else "ok") and (got[i].grid is None) == bad and got[i].pid == "z"
+    assert scoring.decode_images(files.limit(0), decode).count() == 0
+    with pytest.raises(ValueError):
+        scoring.decode_images(files.withColumnRenamed("pid", "status"), decode)
+
+
+def test_labels_are_replaced_at_once_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "labels")
+    quad = [0.125 * i for i in range(8)]
+    W.write_labels(spark.createDataFrame([("a", quad), ("b", quad), ("c", None)], "stem string, coords array<double>"), path)
+    before = sorted(map(tuple, W.read_label_table(spark, path).collect()))
+    assert [s for s, _ in before] == ["a", "b", "c"] and before[2][1] == "" and before[0][1].startswith("0 0.000000 0.125000")
+    broken = spark.createDataFrame([("a", quad)], "stem string, coords array<double>").withColumn("coords", F.when(F.col("stem") == "a", F.raise_error(F.lit("stopped"))).cast("array<double>"))
+    with pytest.raises(Exception):
+        W.write_labels(broken, path)
+    assert sorted(map(tuple, W.read_label_table(spark, path).collect())) == before
+    W.write_labels(spark.createDataFrame([("a", None), ("d", quad)], "stem string, coords array<double>"), path, 1)
+    after = dict(map(tuple, W.read_label_table(spark, path).collect()))
+    assert after["a"] == "" and after["b"] == before[1][1] and after["d"].startswith("1 ") and len(after) == 4
