@@ -31,7 +31,7 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("url_password", r"[a-z]+://[A-Za-z0-9._-]+:[^\x20\x09-\x0D@/]+@", 0, 10),
+    Rule("url_password", r"(?<![a-z])[a-z]+://[A-Za-z0-9._-]+:[^\x20\x09-\x0D@/]+@", 0, 10),
 )
 
 _MOST = 64

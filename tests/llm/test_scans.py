@@ -2,9 +2,12 @@
 
 import random
 import re
+import time
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quadlab.llm import decontamination as D, pii, secret_scan as S
 
 
@@ -185,8 +188,48 @@ def test_national_phones_longer_names_and_titles(spark):
 def test_surrogates_are_distinct_and_never_real(spark):
     names = [(f"s_{k}", f"n{i}") for k in ("latin", "cyrillic") for i in range(600)] + [("ssn", f"{i:03d}1234{i % 100:02d}") for i in range(500)]
     names += [("email", f"{a}@{b}.de") for a in "abcdefgh" for b in "xyz"]
-    got = pii.surrogates(spark.createDataFrame(names, "type string, name string"), "k").collect()
+    names = [(t, n) for t, n in names]
+    table = spark.createDataFrame(names, "type string, name string").withColumn("gender", F.lit("n"))
+    got = pii.surrogates(table, "k").collect()
     assert {(r.type, r.name) for r in got} == set(names)
     assert len({(r.type, r.other) for r in got}) == len(names) and not {(r.type, r.other) for r in got} & set(names)
-    other = pii.surrogates(spark.createDataFrame(names, "type string, name string"), "k2").collect()
+    other = pii.surrogates(table, "k2").collect()
     assert {r.other for r in other} != {r.other for r in got}
+
+
+def test_titles_genders_and_bare_mentions_of_a_person(spark):
+    texts = {1: "Dr Anna Smith met Ms Anna Smith. Smith left; Anna's hat, SMITH and Smithson stayed.",
+             2: "Prof. Maria Curie", 3: "Herr Dr Müller", 4: "Mr Ludwig von Mises and Mises", 5: "Sir John Doe, John Doe", 6: "Smith and Anna of no title",
+             7: "Mr Dr. Paul Ng", 8: "call 1-800-555-0199 now"}
+    got = {r.doc_id: r.text for r in pii.replaced(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "k").collect()}
+    m = re.match(r"Dr (\w+) (\w+) met Ms (\w+) (\w+)\. (\w+) left; (\w+)'s hat, ([A-Z]+) and Smithson stayed\.$", got[1])
+    assert m and m[1] == m[3] == m[6] and m[2] == m[4] == m[5] == m[7].capitalize() and m[1].endswith(pii.ENDINGS["f_latin"]) and "Anna" not in got[1]
+    assert re.match(r"Prof\. (\w+) (\w+)$", got[2])[1].endswith(pii.ENDINGS["n_latin"])
+    assert re.match(r"Herr Dr (\w+)$", got[3]) and "Müller" not in got[3]
+    v = re.match(r"Mr (\w+) von (\w+) and (\w+)$", got[4])
+    assert v and v[2] == v[3] != "Mises" and v[1].endswith(pii.ENDINGS["m_latin"])
+    d = re.match(r"Sir (\w+) (\w+), (\w+) (\w+)$", got[5])
+    assert d and (d[1], d[2]) == (d[3], d[4]) and d[2] != "Doe"
+    assert got[6] == texts[6] and re.match(r"Mr Dr\. \w+ \w+$", got[7]) and "Paul" not in got[7]
+    assert re.match(r"call 1-\d{3}-\d{3}-\d{4} now$", got[8]) and "0199" not in got[8]
+
+
+def test_ibans_keep_their_check(spark):
+    def rest(s):
+        s = s.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+    good, bad = "GB82 WEST 1234 5698 7654 32", "GB83 WEST 1234 5698 7654 32"
+    got = {r.doc_id: r.text for r in pii.replaced(spark.createDataFrame([(1, good), (2, bad)], "doc_id long, text string"), "k").collect()}
+    assert rest(good) == 1 != rest(bad)
+    assert rest(got[1]) == 1 != rest(got[2]) and got[1][:2] == "GB" and "WEST" not in got[1] + got[2]
+
+
+def test_very_long_runs_neither_crash_nor_crawl(spark):
+    n = 300_000
+    runs = ["Mr " + "Abcdefg " * (n // 8), "x@" + "ab." * (n // 3) + "de", "a" * n, "7" * n, "a." * (n // 2), "J. " * (n // 3), "1 " * (n // 2), "a" * n + " http://x", "ab@" * (n // 3)]
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r for r in pii.replaced(docs, "k").collect()}
+    assert len(got) == len(runs) and got[2].text == runs[2] and "Abcdefg" not in got[0].text and "person" in got[0].entity_kinds
+    assert S.base_digest(docs).count() == len(runs)
+    assert time.time() - start < 120
