@@ -302,10 +302,10 @@ def worst_cases(spark, sf):
 
 
 @query("job_12_find_outliers", sel(f"SELECT split, name, {EVALS}, {q6('iou * 100 - err_mean', 'score')}, "
-                                    "row_number() OVER (ORDER BY round(err_mean, 6) DESC, name) AS place FROM ev WHERE has_doc AND err_mean >= 10", EV))
+                                    "row_number() OVER (ORDER BY round(err_mean, 6) DESC, name) AS place FROM ev WHERE has_doc AND round(err_mean, 6) >= 10", EV))
 def find_outliers(spark, sf):
     """All columns, and the place of each row in the order of the result."""
-    rows = rounded(K.find_outliers(K.full_evaluation(*base(spark, sf), "teacher"), 10.0))
+    rows = K.find_outliers(rounded(K.full_evaluation(*base(spark, sf), "teacher")), 10.0)
     # the order is part of the result: rows carry the number of their task and their place in it
     return places(rows.withColumns({"all": F.lit(0), "at": F.monotonically_increasing_id()}), "all", ["at"]).drop("all", "at")
 
