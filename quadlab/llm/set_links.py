@@ -28,16 +28,23 @@ def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs ``a, b`` of different components: every pair that is alike enough is among them.
 
     ``members`` has ``id, component`` and the columns of ``ordered_sets``. Two sets that are alike share an element of
-    their prefixes, the first of them at places that leave room for the overlap they need. Sets that share only frequent elements
-    behind many rare ones of their own, as edited copies of one text do, never meet; others meet once, at their first common element.
+    their prefixes, the first of them at places that leave room for the overlap they need. The smaller set of a pair (of equal ones, that with the smaller id) needs
+    only the shorter prefix that leaves out what it could not miss in a set of its size or larger, so sets that share only frequent elements
+    behind many rare ones of their own, as edited copies of one text and pages of one template do, never meet; others meet once, at their first common element.
     """
-    prefix = F.expr(f"slice(e, 1, n - cast(ceil(n * {percent} / 100D) as int) + 1)")
-    kept = members.select("id", "component", "n", prefix.alias("e")).withColumn("first", F.transform(F.filter("e", lambda x: x["c"] > 1), lambda x: x["g"]))
-    rows = written(kept.select("id", "component", "n", "first", F.posexplode("e").alias("i", "x")).where("x.c > 1")
-                   .select("id", "component", "n", "first", "i", "x.g"))
-    a, b = (rows.select("g", F.col("id").alias(s), *[F.col(c).alias(f"{x}{s}") for c, x in (("component", "c"), ("n", "n"), ("i", "i"), ("first", "f"))]) for s in "ab")
-    return (a.join(b, "g").where(f"ca < cb and least(na, nb) * 100 >= greatest(na, nb) * {percent} and "
-                                 f"{100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb) and array_intersect(fa, fb)[0] = g").select("a", "b").distinct())
+    whole = F.expr(f"n - cast(ceil(n * {percent} / 100D) as int) + 1")
+    short = F.expr(f"n - cast(ceil(2 * n * {percent} / {100 + percent}D) as int) + 1")
+    kept = members.select("id", "component", "n", short.alias("short"), F.slice("e", F.lit(1), whole).alias("e"))
+    shared = F.filter("e", lambda x: x["c"] > 1)
+    kept = kept.withColumns({"first": F.transform(shared, lambda x: x["g"]),
+                             "head": F.transform(F.filter(F.slice("e", F.lit(1), F.col("short")), lambda x: x["c"] > 1), lambda x: x["g"])})
+    rows = written(kept.select("id", "component", "n", "first", "head", "short", F.posexplode("e").alias("i", "x")).where("x.c > 1")
+                   .select("id", "component", "n", "first", "head", "short", "i", "x.g"))
+    a = rows.where("i < short").select("g", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("head").alias("fa"))
+    b = rows.select("g", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("first").alias("fb"))
+    return (a.join(b, "g").where(f"ca != cb and (na < nb or na = nb and a < b) and na * 100 >= nb * {percent} and "
+                                 f"{100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb) and array_intersect(fa, fb)[0] = g")
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def components_of_alike(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
