@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -40,4 +41,22 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def checked(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of a few narrow columns, to be joined: broadcast if it has at most ``most`` rows, else left to a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that no later step reads, and let Spark's cleaner drop the shuffles of finished steps."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    for df in tables[:1]:
+        df.sparkSession._jvm.System.gc()

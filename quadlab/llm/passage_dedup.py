@@ -2,59 +2,61 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quadlab.llm.common import fresh, written
+from quadlab.llm.common import checked, fresh, release, written
 from quadlab.llm.set_links import components_of_alike
-from quadlab.llm.shingles import WordHashes, minhashes, mixed, permutations, shingle_hashes
+from quadlab.llm.shingles import WordHashes, mixed, permutations, shingle_hashes
 
 #: Five bands of two rows meet 99.4 % of the paragraph pairs at a similarity of 0.8, and 99.98 % at 0.9.
 BANDS, ROWS, SEED = 5, 2, 113
 #: Similarity (percent) of five-word shingle sets, and how many words a removed passage has at least.
 PERCENT, SHINGLE, MIN_WORDS = 80, 5, 25
-#: Words after which a sentence may end a paragraph inside a line.
-SHORT = 5
+#: One of so many sentence ends, and one of so many other words, end a paragraph inside a line.
+SENTENCES, OTHERS = 16, 512
 #: Anchors are runs of GRAM words, the least hash of each GAP neighbours: two texts that share GRAM + GAP - 1 = 48 words share an anchor in them.
 GRAM, GAP = 16, 33
 
-_SENTENCES = re.compile(r"(?<=[.!?])(?=[\x20\x09\x0B-\x0D])")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-
-def paragraphs(text: str | None) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Start, end and words of each paragraph: a line, cut after about every other sentence.
-
-    Whether a sentence ends a paragraph depends on that sentence alone (its hash), so a passage is cut alike between the first and last cut
-    inside it, wherever it is copied to; its outer parts are fused with the words around them. A sentence without punctuation is cut after words chosen by their hash, about every 40 words.
-    """
-    at = 0
-    for line in (text or "").split("\n"):
-        start, held = at, []
-        where = at
-        for sentence in _SENTENCES.split(line):
-            words = sentence.encode("utf-8", "surrogatepass").lower().split()
-            if len(words) > 80:
-                for m in _WORD.finditer(sentence):
-                    w = m[0].encode("utf-8", "surrogatepass").lower()
-                    held.append(w)
-                    if xxhash.xxh64_intdigest(w) % 40 == 0 and len(held) >= SHORT:
-                        yield start, where + m.end(), held
-                        start, held = where + m.end(), []
-            else:
-                held += words
-            where += len(sentence)
-            if len(words) >= SHORT and held and xxhash.xxh64_intdigest(b" ".join(words)) % 2 == 0:
-                yield start, where, held
-                start, held = where, []
-        if held:
-            yield start, where, held
-        at += len(line) + 1
+class Words:
+    """The words of a text: hashes of their lower-cased forms, where they begin and end (code points), and after which a paragraph ends."""
+
+    def __init__(self, text: str, cache: WordHashes):
+        raw = text.encode("utf-8", "surrogatepass")
+        b = np.frombuffer(raw, dtype=np.uint8)
+        space = np.concatenate(([True], (b == 32) | ((b >= 9) & (b <= 13)), [True]))
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        first, last = edges[0::2], edges[1::2] - 1
+        chars = np.cumsum((b & 0xC0) != 0x80)
+        self.h = cache.of(raw.lower().split())
+        self.n = len(self.h)
+        self.start, self.end = chars[first] - 1, chars[last]
+        self.lines = np.searchsorted(first, np.flatnonzero(b == 10))
+        end = b[last]
+        self.stops = (end == 33) | (end == 46) | (end == 63)
+
+    def bounds(self) -> np.ndarray:
+        """Where paragraphs begin, and the number of words: line ends, and inside a line places chosen by a hash of the two words before, so that copies are cut alike wherever they stand."""
+        before = np.concatenate((np.zeros(1, dtype=np.uint64), self.h[:-1]))
+        pick = mixed(self.h + np.uint64(3) * before)
+        inside = np.flatnonzero((self.stops & (pick % np.uint64(SENTENCES) == 0)) | (pick % np.uint64(OTHERS) == 1)) + 1
+        return np.unique(np.concatenate(([0], self.lines, inside, [self.n])))
+
+
+def paragraphs(text: str | None) -> list[tuple[int, int, int]]:
+    """Start, end (code points) and number of words of each paragraph."""
+    if not text:
+        return []
+    with np.errstate(over="ignore"):
+        w = Words(text, WordHashes())
+        b = w.bounds().tolist()
+    return [(int(w.start[i]), int(w.end[j - 1]), j - i) for i, j in zip(b, b[1:])]
 
 
 def _paragraph_shingles(h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,16 +76,18 @@ def _paragraph_shingles(h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
 
 
 class _Anchors:
-    """Places, hashes, and hashes up to the end of the next anchor, of the anchors of a text; what is chosen depends on the words around it alone."""
+    """Anchors of a text, chosen by the words around them alone, and hashes of the stretches between them.
+
+    A stretch reaches from an anchor's first word to the next anchor's last one; the outer ones reach to the ends of the text. There is one more of them than of anchors.
+    """
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
-    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        n = len(h)
+    def of(self, w: Words) -> dict[str, np.ndarray] | None:
+        n, h = w.n, w.h
         if n < GRAM + GAP - 1:
-            none = np.empty(0, dtype=np.int64)
-            return none.astype(np.int32), none, none.astype(np.int32), none
+            return None
         if len(self.up) < n:
             base = 0x9E3779B97F4A7C15
             self.up, self.down = (np.cumprod(np.full(2 * n, x, dtype=np.uint64)) for x in (base, pow(base, -1, 2**64)))
@@ -91,153 +95,174 @@ class _Anchors:
         grams = mixed((total[GRAM:] - total[:-GRAM]) * self.down[:n - GRAM + 1])
         windows = np.lib.stride_tricks.sliding_window_view(grams, GAP)[:, ::-1]
         at = np.unique(np.arange(GAP - 1, len(grams)) - windows.argmin(axis=1))
-        upto, segs = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.uint64)
-        upto[:-1] = at[1:] + GRAM
-        segs[:-1] = mixed((total[upto[:-1]] - total[at[:-1]]) * self.down[at[:-1]] + (upto[:-1] - at[:-1]).astype(np.uint64))
-        return at.astype(np.int32), grams[at].view(np.int64), upto.astype(np.int32), segs.view(np.int64)
+        low, high = np.concatenate(([0], at)), np.concatenate((at + GRAM, [n]))
+
+        def named(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return mixed((total[j] - total[i]) * self.down[i] + (j - i).astype(np.uint64)).view(np.int64)
+
+        segs = named(low, high)
+        before, after = np.maximum(at - GAP, 0), np.minimum(at + GRAM + GAP, n)
+        return {"at": at.astype(np.int32), "gram": grams[at].view(np.int64), "right": segs[1:], "head": np.where(low[:-1] == 0, segs[:-1], 0), "before": named(before, at),
+                "after": named(at + GRAM - 1, after), "low": low[:-1].astype(np.int32), "high": high[1:].astype(np.int32),
+                "start": w.start[at].astype(np.int32), "end": w.end[at + GRAM - 1].astype(np.int32),
+                "left_start": w.start[low[:-1]].astype(np.int32), "right_end": w.end[high[1:] - 1].astype(np.int32)}
+
+
+_ANCHOR = {"at": "int", "gram": "long", "right": "long", "head": "long", "before": "long", "after": "long", "low": "int", "high": "int", "start": "int", "end": "int", "left_start": "int", "right_end": "int"}
 
 
 def paragraph_table(docs: DataFrame) -> DataFrame:
     """``doc_id, th, k, start, end, at, n_words, h, bands`` of every paragraph; ``h`` names its sequence of lower-cased words, ``at`` is the place of its first word.
 
-    The first paragraph of a text has the text's anchors: ``places, grams, uptos, segs``.
+    The first paragraph of a text has the text's anchors, one array a field (``a_at``, ``a_gram``, ...).
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, anchors, (a, b) = WordHashes(), _Anchors(), permutations(BANDS * ROWS, SEED)
         band = np.arange(BANDS, dtype=np.uint64)[:, None]
 
-        def encoded(rows: list[tuple], words: list[bytes]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=["doc_id", "th", "k", "start", "end", "at", "n_words"])
-            h, lengths = cache.of(words), out["n_words"].to_numpy(dtype=np.int64)
-            ends = lengths.cumsum()
+        def encoded(texts: list[tuple], hashes: list[np.ndarray], rows: list[np.ndarray]) -> pd.DataFrame:
+            counts = np.array([len(r) for r in rows])
+            heads = counts.cumsum() - counts
+            of = np.repeat(np.arange(len(texts)), counts)
+            start, end, at, lengths = np.concatenate(rows).T
+            h = np.concatenate(hashes)
             flat, starts = _paragraph_shingles(h, lengths)
-            low = np.empty((BANDS * ROWS, len(rows)), dtype=np.uint64)
+            low = np.empty((BANDS * ROWS, len(of)), dtype=np.uint64)
             for i in range(BANDS * ROWS):
                 x = flat * a[i] + b[i]
                 low[i] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts)
+            ends = lengths.cumsum()
             names = [xxhash.xxh64_intdigest(h[e - n:e].tobytes(), seed=n) for e, n in zip(ends.tolist(), lengths.tolist())]
-            out["h"] = np.array(names, dtype=np.uint64).view(np.int64)
-            out["bands"] = list(np.ascontiguousarray(mixed(mixed(low[0::2]) * np.uint64(3) + low[1::2] + band).T).view(np.int64))
-            heads = np.flatnonzero(out["k"].to_numpy() == 0)
-            begins = (ends - lengths)[heads]
-            found = [anchors.of(h[i:j]) for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(h)])]
-            for c, name in enumerate(("places", "grams", "uptos", "segs")):
-                column = np.full(len(rows), None, dtype=object)
-                for i, x in zip(heads, found):
-                    column[i] = x[c]
-                out[name] = column
-            return out
+            out = {"doc_id": [texts[i][0] for i in of], "th": [texts[i][1] for i in of], "k": np.arange(len(of)) - heads[of], "start": start, "end": end, "at": at, "n_words": lengths,
+                   "h": np.array(names, dtype=np.uint64).view(np.int64),
+                   "bands": list(np.ascontiguousarray(mixed(mixed(low[0::2]) * np.uint64(3) + low[1::2] + band).T).view(np.int64))}
+            for f in _ANCHOR:
+                column = np.full(len(of), None, dtype=object)
+                for i, t in zip(heads.tolist(), texts):
+                    column[i] = t[2] and t[2][f]
+                out[f"a_{f}"] = column
+            return pd.DataFrame(out)
 
         with np.errstate(over="ignore"):
             for pdf in batches:
-                rows, words = [], []
+                texts, hashes, rows, held = [], [], [], 0
                 for doc, th, text in zip(pdf["doc_id"], pdf["th"], pdf["text"]):
-                    at = 0
-                    for k, (start, end, ws) in enumerate(paragraphs(text)):
-                        rows.append((doc, th, k, start, end, at, len(ws)))
-                        words += ws
-                        at += len(ws)
-                    if len(words) > 200_000:
-                        yield encoded(rows, words)
-                        rows, words = [], []
-                if rows:
-                    yield encoded(rows, words)
+                    w = Words(text, cache)
+                    if not w.n:
+                        continue
+                    cut = w.bounds()
+                    texts.append((doc, th, anchors.of(w)))
+                    hashes.append(w.h)
+                    rows.append(np.stack((w.start[cut[:-1]], w.end[cut[1:] - 1], cut[:-1], np.diff(cut)), axis=1))
+                    held += w.n
+                    if held > 200_000:
+                        yield encoded(texts, hashes, rows)
+                        texts, hashes, rows, held = [], [], [], 0
+                if texts:
+                    yield encoded(texts, hashes, rows)
 
     rows = docs.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return rows.mapInPandas(run, "doc_id string, th long, k int, start int, end int, at int, n_words int, h long, bands array<long>, "
-                                 "places array<int>, grams array<long>, uptos array<int>, segs array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
+    more = "".join(f", a_{f} array<{t}>" for f, t in _ANCHOR.items())
+    return rows.mapInPandas(run, f"doc_id string, th long, k int, start int, end int, at int, n_words int, h long, bands array<long>{more}").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """``h, shingles`` of each class, from the text of its first paragraph."""
+def _looked_up(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """What ``asked`` (``doc_id, th, kind, at, n, name``) wants to know of texts, in one pass over them.
+
+    Kind 2: ``words``, the distinct shingles of the ``n`` words from ``at``. Kinds 0 and 1: of the GAP words to the left or right of an anchor at ``at``, the nearest
+    first, ``levels`` (hashes of the first one, two, ... of them) and ``chars`` (their outer ends).
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         with np.errstate(over="ignore"):
+            weights = mixed(np.arange(1, GAP + 1, dtype=np.uint64))
             for pdf in batches:
-                sets = [np.unique(shingle_hashes(cache.of(t.encode("utf-8", "surrogatepass").lower().split()), SHINGLE)).view(np.int64) for t in pdf["t"]]
-                yield pd.DataFrame({"h": pdf["h"], "shingles": sets})
-
+                rows = []
+                for doc, th, asked, text in zip(pdf["doc_id"], pdf["th"], pdf["asked"], pdf["text"]):
+                    w = Words(text, cache)
+                    for x in asked:
+                        kind, at, n = x["kind"], x["at"], x["n"]
+                        if kind == 2:
+                            rows.append((doc, th, kind, at, x["name"], np.unique(shingle_hashes(w.h[at:at + n], SHINGLE)).view(np.int64), None, None))
+                            continue
+                        side = slice(max(0, at - GAP), at) if kind == 0 else slice(at + GRAM, at + GRAM + GAP)
+                        near, chars = w.h[side], (w.start if kind == 0 else w.end)[side]
+                        if kind == 0:
+                            near, chars = near[::-1], chars[::-1]
+                        levels = mixed(np.cumsum(mixed(near + weights[:len(near)])))
+                        rows.append((doc, th, kind, at, x["name"], None, levels.view(np.int64), chars.astype(np.int32)))
+                yield pd.DataFrame(rows, columns=["doc_id", "th", "kind", "at", "name", "words", "levels", "chars"])
+
+    lists = asked.groupBy("doc_id", "th").agg(F.collect_set(F.struct("kind", "at", "n", "name")).alias("asked"))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), "text")
-    at = reps.select("h", "first.doc_id", "first.th", "first.start", "first.end").join(
-        texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-    return at.select("h", F.expr("substring(text, start + 1, end - start)").alias("t")).dropDuplicates(["h"]).mapInPandas(run, "h long, shingles array<long>")
+    rows = lists.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select(F.col("doc_id").cast("string").alias("doc_id"), "th", "asked", "text")
+    return (rows.mapInPandas(run, "doc_id string, th long, kind int, at int, name long, words array<long>, levels array<long>, chars array<int>")
+            .withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 def _same_text(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
 
 
-def _with_texts(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """``df``, which has one row for each ``doc_id, th``, with the texts."""
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), "text")
-    return df.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(["doc_id", "th"]).drop("d", "t")
-
-
-def _around(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc_id, th, at, left, right``: hashes of the GAP words to both sides of the anchor at ``at``, the nearest first."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
-        for pdf in batches:
-            rows = []
-            for doc, th, places, text in zip(pdf["doc_id"], pdf["th"], pdf["places"], pdf["text"]):
-                h = cache.of(text.encode("utf-8", "surrogatepass").lower().split()).view(np.int64)
-                rows += [(doc, th, at, h[max(0, at - GAP):at][::-1], h[at + GRAM:at + GRAM + GAP]) for at in places]
-            yield pd.DataFrame(rows, columns=["doc_id", "th", "at", "left", "right"])
+def _own(at: str) -> Column:
+    """Where something stands, in the order that says which copy is the first."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", F.col(at).alias("at"))
 
-    places = asked.groupBy("doc_id", "th").agg(F.collect_set("at").alias("places"))
-    return (_with_texts(places, docs).withColumn("doc_id", F.col("doc_id").cast("string"))
-            .mapInPandas(run, "doc_id string, th long, at int, left array<long>, right array<long>").withColumn("doc_id", F.col("doc_id").cast("long")))
 
+class _Exact:
+    """Runs of words that stand earlier too, around the anchors that texts share.
 
-def _exact(paras: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc_id, th, at, upto, first_doc_id``: runs of words (by place) that stand earlier too, around the anchors that texts share.
-
-    Between two anchors a run is known by its hash; beyond the outer ones it is followed word by word along the first text with that anchor.
-    Inside one text a run ends where its earlier copy would overlap it.
+    Stretches between anchors are known by their hashes. Where a run ends between two anchors (an end), it is followed word by word, as far as any earlier text shares them: of all texts with
+    the anchor, one for each sequence of GAP words beside it is asked; the hashes of the first one, two, ... words around the anchor meet in an aggregation.
     """
-    row = F.explode(F.arrays_zip("places", "grams", "uptos", "segs")).alias("x")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", F.col("x.places").alias("at"), F.col("x.uptos").alias("upto"))
-    every = paras.where("k = 0").select("doc_id", "th", row).select(place.alias("own"), F.col("x.grams").alias("gram"), F.col("x.segs").alias("seg"))
-    first = every.groupBy("gram").agg(F.min("own").alias("kept"), F.max("own").alias("last")).where("kept != last").select("gram", "kept")
-    hits = written(every.join(first, "gram"))
-    segs = hits.where("own.upto > 0").groupBy("seg").agg(F.min("own").alias("from"), F.max("own").alias("last")).where("from != last").select("seg", "from")
-    inner = written(hits.where("own.upto > 0").select("own", "seg").join(segs, "seg").where((F.col("own") != F.col("from")) & (~_same_text("own", "from") | F.expr("own.at >= from.upto")))
-                    .select("own.doc_id", "own.th", "own.at", "own.upto", F.col("from.doc_id").alias("first_doc_id")))
-    again = hits.where((F.col("own") != F.col("kept")) & (~_same_text("own", "kept") | (F.col("own.at") >= F.col("kept.at") + GRAM))).select("own", "kept")
-    done = inner.select(F.struct("doc_id", "th").alias("i"), "at", (F.col("upto") - GRAM).alias("next"))
-    ends = written(again.join(done, _same_text("own", "i") & (F.col("own.at") == F.col("at")), "left_anti")
-                   .unionByName(again.join(done, _same_text("own", "i") & (F.col("own.at") == F.col("next")), "left_anti")).distinct())
-    asked = ends.select("own.doc_id", "own.th", "own.at").unionByName(ends.select("kept.doc_id", "kept.th", "kept.at")).distinct()
-    near = written(_around(asked, docs))
-    a, b = (near.select(F.struct("doc_id", "th").alias(s), F.col("at").alias(f"{s}_at"), F.col("left").alias(f"{s}_left"), F.col("right").alias(f"{s}_right")) for s in "ab")
-    both = (ends.join(a, _same_text("own", "a") & (F.col("own.at") == F.col("a_at"))).join(b, _same_text("kept", "b") & (F.col("kept.at") == F.col("b_at"))))
-
-    def run(side: str) -> Column:
-        same = F.zip_with(f"a_{side}", f"b_{side}", lambda x, y: x.eqNullSafe(y))
-        stop = F.array_position(same, False)
-        return F.when(stop > 0, stop - 1).otherwise(F.size(same)).cast("int")
-
-    room = F.when(_same_text("own", "kept"), F.col("own.at") - F.col("kept.at") - GRAM).otherwise(2 * GAP)
-    sides = both.select("own", "kept", F.least(run("left"), room).alias("l"), run("right").alias("r"), room.alias("room"))
-    outer = sides.select("own.doc_id", "own.th", (F.col("own.at") - F.col("l")).alias("at"),
-                         (F.col("own.at") + GRAM + F.least(F.col("r"), F.col("room") - F.col("l"))).alias("upto"), F.col("kept.doc_id").alias("first_doc_id"))
-    return inner.unionByName(outer)
-
-
-def _offsets(spans: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc_id, th, start, end, n_words, first_doc_id`` of spans of words."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, th, spans, text in zip(pdf["doc_id"], pdf["th"], pdf["spans"], pdf["text"]):
-                at = [m.span() for m in _WORD.finditer(text)]
-                rows += [(doc, th, at[s["at"]][0], at[s["upto"] - 1][1], s["upto"] - s["at"], s["first"]) for s in spans]
-            yield pd.DataFrame(rows, columns=["doc_id", "th", "start", "end", "n_words", "first_doc_id"])
 
-    lists = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "upto", F.col("first_doc_id").cast("string").alias("first"))).alias("spans"))
-    return (_with_texts(lists, docs).withColumn("doc_id", F.col("doc_id").cast("string"))
-            .mapInPandas(run, "doc_id string, th long, start int, end int, n_words int, first_doc_id string")
-            .withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("first_doc_id", F.col("first_doc_id").cast("long")))
+    def __init__(self, paras: DataFrame):
+        row = F.explode(F.arrays_zip(*[F.col(f"a_{f}").alias(f) for f in _ANCHOR])).alias("x")
+        every = paras.where("k = 0 and a_at is not null").select("doc_id", "th", row).select("doc_id", "th", *[F.col(f"x.{f}").alias(f) for f in _ANCHOR])
+        shared = written(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+        hits = written(every.join(checked(shared), "gram").withColumn("own", _own("at")))
+        stretches = hits.select("doc_id", "th", "at", F.col("high").alias("upto"), F.col("start"), F.col("right_end").alias("end"), F.col("right").alias("seg")).unionByName(
+            hits.where("low = 0").select("doc_id", "th", F.col("low").alias("at"), (F.col("at") + GRAM).alias("upto"), F.col("left_start").alias("start"), "end", F.col("head").alias("seg")))
+        stretches = stretches.withColumn("own", _own("at")).withColumn("own", F.col("own").withField("upto", F.col("upto")))
+        firsts = written(stretches.groupBy("seg").agg(F.min("own").alias("from"), F.count("*").alias("n")).where("n > 1").select("seg", "from"))
+        self.inner = written(stretches.join(firsts, "seg").where((F.col("own") != F.col("from")) & (~_same_text("own", "from") | F.expr("own.at >= from.upto")))
+                             .select("doc_id", "th", "at", "upto", "start", "end", F.col("from.doc_id").alias("first_doc_id")))
+        kept = written(hits.groupBy("gram").agg(F.min("own").alias("kept")))
+        done = self.inner.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("at").alias("from"), "upto")
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
+        slim = hits.select("gram", "doc_id", "th", "at", "start", "end", "own")
+        ends = [slim.join(done, same & (F.col("at") + GRAM == F.col("upto")), "left_anti"), slim.join(done, same & (F.col("at") == F.col("from")), "left_anti")]
+        self.ends = written(reduce(DataFrame.unionByName, [e.withColumn("kind", F.lit(i)) for i, e in enumerate(ends)])
+                            .join(kept, "gram").where((F.col("own") != F.col("kept")) & (~_same_text("own", "kept") | (F.col("own.at") >= F.col("kept.at") + GRAM))))
+        grams = self.ends.select("kind", "gram").distinct()
+        sides = hits.select("gram", "own", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("before").alias("around")), F.struct(F.lit(1).alias("kind"), F.col("after").alias("around")))).alias("s"))
+        self.refs = written(sides.select("gram", "own", "s.kind", "s.around").join(grams, ["kind", "gram"], "left_semi")
+                            .groupBy("kind", "gram", "around").agg(F.min("own").alias("own")).drop("around"))
+        release(shared, hits, firsts, kept)
+
+    def asked(self) -> DataFrame:
+        """The contexts that are needed: of ends, and of what they may be copied from. They are named by their anchor."""
+        rows = self.refs.select("kind", "own", "gram").unionByName(self.ends.select("kind", "own", "gram"))
+        return rows.select("own.doc_id", "own.th", "kind", "own.at", F.lit(0).alias("n"), F.col("gram").alias("name")).distinct()
+
+    def spans(self, known: DataFrame) -> DataFrame:
+        """``doc_id, th, at, upto, start, end, first_doc_id``: runs of words by place."""
+        placed = known.where("kind < 2").withColumn("own", _own("at")).select("kind", "own", F.col("name").alias("gram"), "levels", "chars")
+        key = F.xxhash64("kind", "gram", "level", "hash").alias("key")
+        first = written(placed.select("own", "kind", "gram", F.posexplode("levels").alias("level", "hash")).groupBy(key)
+                        .agg(F.min("own").alias("source"), F.count("*").alias("n")).where("n > 1").select("key", "source"))
+        asking = placed.join(self.ends.select("kind", "own"), ["kind", "own"], "left_semi").select("own", "kind", "gram", F.posexplode("levels").alias("level", "hash"))
+        best = (asking.select("kind", "own", "level", key).join(first, "key").where((F.col("own") != F.col("source")) & (~_same_text("own", "source") | (F.col("own.at") >= F.col("source.at") + GRAM)))
+                .groupBy("kind", "own").agg(F.max(F.struct((F.col("level") + 1).alias("run"), "source")).alias("best")))
+        both = self.ends.join(best, ["kind", "own"], "left").join(placed.select("kind", "own", "chars"), ["kind", "own"])
+        both = both.withColumns({"source": F.coalesce("best.source", "kept"), "run": F.coalesce("best.run", F.lit(0))})
+        room = F.when(_same_text("own", "source"), F.floor((F.col("own.at") - F.col("source.at") - GRAM) / 2).cast("int")).otherwise(GAP)
+        found = both.withColumn("l", F.least("run", room)).withColumn("edge", F.get("chars", F.col("l") - 1))
+        left = F.col("kind") == 0
+        outer = found.select("own.doc_id", "own.th", F.when(left, F.col("own.at") - F.col("l")).otherwise(F.col("own.at")).cast("int").alias("at"),
+                             (F.col("own.at") + GRAM + F.when(left, 0).otherwise(F.col("l"))).cast("int").alias("upto"), F.when(left & (F.col("l") > 0), F.col("edge")).otherwise(F.col("start")).alias("start"),
+                             F.when(~left & (F.col("l") > 0), F.col("edge")).otherwise(F.col("end")).alias("end"), F.col("source.doc_id").alias("first_doc_id"))
+        return self.inner.unionByName(outer)
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -245,35 +270,44 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Paragraphs with the same words are one class; classes that share a band are compared on whole five-word shingle sets (``components_of_alike``);
     components of the links are clusters. Of each
-    cluster the first paragraph (by ``doc_id``, text, place) stays. Runs of equal words around shared anchors (``_exact``) are added, wherever lines and sentences
+    cluster the first paragraph (by ``doc_id``, text, place) stays. Runs of equal words around shared anchors (``_Exact``) are added, wherever lines and sentences
     end: any 48 equal words hold an anchor. What overlaps or touches is one passage, reported if it has ``min_words`` words.
 
     Null or empty texts have no paragraphs; rows without ``doc_id`` come last in the order and report a null id; a repeated row repeats nothing (it is the same
     document); rows that share an id but not the text are told apart by ``th``. An empty table gives no rows.
     """
     paras = written(paragraph_table(docs))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "k", "start", "end")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "k", "start", "end", "at", "n_words")
     banded = paras.select("h", F.explode("bands").alias("band"))
-    open_ = banded.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select("band")
-    buckets = written(banded.join(open_, "band").select(F.col("band").alias("key"), F.col("h").alias("id")).distinct())
+    open_ = written(banded.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select("band"))
+    buckets = written(banded.join(checked(open_), "band").select(F.col("band").alias("key"), F.col("h").alias("id")).distinct())
+    release(open_)
     near = buckets.select(F.col("id").alias("h")).distinct()
-    counted = paras.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    reps = written(counted.where("first != last").select("h", "first", F.lit(True).alias("again"))
-                   .unionByName(counted.where("first = last").join(near, "h", "left_semi").select("h", "first", F.lit(False).alias("again"))))
-    sets = written(_sets(reps.join(near, "h", "left_semi"), docs).withColumnRenamed("h", "id"))
+    counted = paras.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    reps = written(counted.join(near.withColumn("near", F.lit(True)), "h", "left").where("n > 1 or near")
+                   .select("h", "first", (F.col("n") > 1).alias("again"), F.col("near").isNotNull().alias("near")))
+    exact = _Exact(paras)
+    asked = exact.asked().unionByName(reps.where("near").select("first.doc_id", "first.th", F.lit(2).alias("kind"), "first.at", F.col("first.n_words").alias("n"), F.col("h").alias("name")))
+    known = written(_looked_up(asked, docs))
+    release()
+    sets = known.where("kind = 2").select(F.col("name").alias("id"), F.col("words").alias("shingles")).dropDuplicates(["id"])
     parts = components_of_alike(buckets, sets, PERCENT)
     clusters = (reps.join(parts.withColumnRenamed("node", "h"), "h", "left").withColumn("cluster", F.coalesce("component", "h")))
     kept = clusters.groupBy("cluster").agg(F.min("first").alias("kept"), F.count("*").alias("n"), F.bool_or("again").alias("again")).where("n > 1 or again")
     gone = written(clusters.select("h", "cluster").join(kept.select("cluster", "kept"), "cluster").select("h", "kept"))
-    alike = (paras.select("doc_id", "th", "k", "start", "end", "at", "n_words", "h").join(gone, "h").where(~place.eqNullSafe(F.col("kept")))
-             .select("doc_id", "th", "at", (F.col("at") + F.col("n_words")).alias("upto"), F.col("kept.doc_id").alias("first_doc_id")))
+    alike = written(paras.select("doc_id", "th", "k", "start", "end", "at", "n_words", "h").join(gone, "h").where(~place.eqNullSafe(F.col("kept")))
+             .select("doc_id", "th", "at", (F.col("at") + F.col("n_words")).alias("upto"), "start", "end", F.col("kept.doc_id").alias("first_doc_id")))
+    release(paras, buckets, reps, gone)
+    spans = written(alike.unionByName(exact.spans(known)).distinct())
+    release(alike, known, exact.inner, exact.ends, exact.refs)
     row = Window.partitionBy("doc_id", "th").orderBy("at", "upto")
     before = F.max("upto").over(row.rowsBetween(Window.unboundedPreceding, -1))
-    spans = alike.unionByName(_exact(paras, docs)).distinct().withColumn("new", F.coalesce((F.col("at") > before).cast("int"), F.lit(1)))
-    runs = spans.withColumn("run", F.sum("new").over(row.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = (runs.groupBy("doc_id", "th", "run").agg(F.min("at").alias("at"), F.max("upto").alias("upto"), F.min("first_doc_id").alias("first_doc_id"))
-              .where(F.col("upto") - F.col("at") >= min_words))
-    return _offsets(merged, docs)
+    runs = (spans.withColumn("new", F.coalesce((F.col("at") > before).cast("int"), F.lit(1)))
+            .withColumn("run", F.sum("new").over(row.rowsBetween(Window.unboundedPreceding, 0))))
+    merged = runs.groupBy("doc_id", "th", "run").agg(F.min("at").alias("at"), F.max("upto").alias("upto"), F.min("start").alias("start"), F.max("end").alias("end"),
+                                                     F.min("first_doc_id").alias("first_doc_id"))
+    return (merged.withColumn("n_words", F.col("upto") - F.col("at")).where(F.col("n_words") >= min_words)
+            .select("doc_id", "th", "start", "end", "n_words", "first_doc_id"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
