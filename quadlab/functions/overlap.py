@@ -20,6 +20,9 @@ from quadlab.functions import geometry as G
 from quadlab.functions.fence import computed
 
 SNAP = 1e-14
+#: Steps of an IoU. The sum of sixteen terms is good to some 1e-15, so a ratio of exactly 0.75 may come out just below it; on
+#: this grid it is 0.75 again, and equal quads have equal IoUs.
+GRID = 1e13
 
 
 # The per-quad steps below are SQL text over a named column: one call builds what would otherwise be
@@ -127,8 +130,8 @@ def ring_area(r: Column) -> Column:
 
 def _ratio(inter: Column, area_a: Column, area_b: Column) -> Column:
     def ratio(v: Column) -> Column:
-        return F.when((v["u"] <= 0) | (v["i"] <= SNAP), F.lit(0.0)).otherwise(
-            F.least(F.try_divide(v["i"], v["u"]), F.lit(1.0)))
+        exact = F.least(F.try_divide(v["i"], v["u"]), F.lit(1.0))
+        return F.when((v["u"] <= 0) | (v["i"] <= SNAP), F.lit(0.0)).otherwise(F.rint(exact * GRID) / GRID)
     return G.let(F.struct(inter.alias("i"), (area_a + area_b - inter).alias("u")), ratio)
 
 

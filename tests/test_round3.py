@@ -5,7 +5,10 @@ import dis
 import sys
 import types
 
+from pyspark.sql import functions as F
+
 import __spark_entry__  # noqa: F401 - loads the catalog
+from quadlab.functions.overlap import with_polygon_iou
 
 
 def _names(code):
@@ -22,3 +25,15 @@ def test_every_global_name_is_defined():
         for fn in [f for f in vars(module).values() if isinstance(f, types.FunctionType) and f.__code__.co_filename == module.__file__]:
             lost += [(module.__name__, fn.__name__, n) for n in _names(fn.__code__) if not hasattr(module, n) and not hasattr(builtins, n)]
     assert not lost
+
+
+def test_iou_at_a_threshold(spark):
+    """A quad and its lower part: the IoU is exactly the bound, whatever the order of the sum."""
+    rows, h = [], 0.625
+    for i, share in enumerate((0.5, 0.75, 0.8, 0.9, 0.95)):
+        for j in range(60):
+            x, y, w = j / 1024, (7 * j % 50) / 1024, 0.4 + j / 512
+            rows.append((share, [x, y, x + w, y, x + w, y + h, x, y + h], [x, y, x + w, y, x + w, y + h * share, x, y + h * share]))
+    df = spark.createDataFrame(rows, "share double, a array<double>, b array<double>")
+    out = with_polygon_iou(df, [("a", "b", "iou")])
+    assert out.where(F.col("iou") != F.col("share")).count() == 0
