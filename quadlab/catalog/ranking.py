@@ -193,7 +193,7 @@ def _every_sql() -> str:
 def review_queue_every_filter(spark, sf):
     """Place of each sample in the queue of every filter; the sorts take turns."""
     rows = reviewed(spark, sf).withColumn("is_negative", F.col("is_negative") | F.col("gt").isNull())
-    return R.queue_places(rows.withColumns({c: F.round(c, 6) for c in ("iou", "err_mean", "gt_min_angle")}), KIND_SORTS)
+    return R.queue_places(rows, KIND_SORTS, digits=6)
 
 
 @query("wn_11_limit_first", sel(

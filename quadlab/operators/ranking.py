@@ -272,14 +272,15 @@ def review_queue(df: DataFrame, kind: str = "all", sort: str = "iou_asc", acute_
     return df.where(review_filter(kind, acute_deg)).orderBy(F.desc(col) if desc else F.asc(col), "name")
 
 
-def queue_places(df: DataFrame, sorts: dict[str, str], acute_deg: float = 60.0) -> DataFrame:
+def queue_places(df: DataFrame, sorts: dict[str, str], acute_deg: float = 60.0, digits: int | None = None) -> DataFrame:
     """``kind, name, place``: where each row stands in the queue of every filter it passes, each filter under its own sort.
 
-    All queues are one table (at most one row per row and filter), placed in one pass.
+    ``digits`` rounds the sort keys, so that values equal to so many decimals go by name; filters see the values as they are. All queues are one table (at most one row per row and filter), placed in one pass.
     """
     def entry(kind: str) -> Column:
         col, desc = SORTS[sorts[kind]]
         key = F.lit(0.0) if col == "name" else F.col(col).cast("double")
+        key = key if digits is None else F.round(key, digits)
         # ascending: missing ones first; descending: last
         missing = key.isNull() if desc else key.isNotNull()
         return F.when(review_filter(kind, acute_deg), F.struct(F.lit(kind).alias("kind"), missing.alias("__late"), (-key if desc else key).alias("__key")))

@@ -8,7 +8,10 @@ import types
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401 - loads the catalog
+from quadlab.functions.geometry import fixed
 from quadlab.functions.overlap import with_polygon_iou
+from quadlab.operators.ranking import queue_places
+from quadlab.sources.readers import _csv
 
 
 def _names(code):
@@ -37,3 +40,26 @@ def test_iou_at_a_threshold(spark):
     df = spark.createDataFrame(rows, "share double, a array<double>, b array<double>")
     out = with_polygon_iou(df, [("a", "b", "iou")])
     assert out.where(F.col("iou") != F.col("share")).count() == 0
+
+
+def test_decimals_of_the_binary_value(spark):
+    """Halves that only the shortest decimal shows are no halves."""
+    values = [0.075, 0.125, 0.375, 1.005, 2.675, 0.0, 64.84375, -0.075, -0.125, 1e-9, 123456.785, 1e18, None]
+    values += [i * 0.005 for i in range(400)] + [i / 8192 for i in range(400)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", fixed("%.2f", F.col("v")).alias("t"), fixed("%.6f", F.col("v")).alias("u")).collect()
+    assert [(r.t, r.u) for r in rows if r.v is not None] == [(f"{r.v:.2f}", f"{r.v:.6f}") for r in rows if r.v is not None]
+
+
+def test_queue_filters_see_values_as_they_are(spark):
+    """0.7499999 is 0.75 to six decimals, but below it."""
+    row = ("a", 0.7499999, 1.0, 80.0, False, False, False, "train")
+    df = spark.createDataFrame([row], "name string, iou double, err_mean double, gt_min_angle double, is_negative boolean, discarded boolean, modified boolean, split string")
+    got = queue_places(df, {"low_iou": "iou_asc", "medium_iou": "iou_asc"}, digits=6).collect()
+    assert [(r.kind, r.name, r.place) for r in got] == [("low_iou", "a", 1)]
+
+
+def test_csv_lines_are_not_shuffled_by_file(spark, tmp_path):
+    spark.range(100).write.csv(str(tmp_path / "t"), header=True)
+    df = _csv(spark, str(tmp_path / "t"))
+    assert df.count() == 100
+    assert "Exchange hashpartitioning(file" not in df._jdf.queryExecution().toString().replace("#", " #").replace("hashpartitioning(file #", "hashpartitioning(file")
