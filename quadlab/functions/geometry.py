@@ -288,10 +288,36 @@ def quad_is_sane(q: Column) -> Column:
 
 # ---------------------------------------------------------------- issue lists
 
+def printed(v: Column, digits: int) -> Column:
+    """``v`` to ``digits`` decimals as the text files print it: the exact binary value decides, only a true half goes to even.
+
+    0.075 is a little less than its decimal and prints as 0.07. The product with the power of ten is split into itself and its
+    rounding error (Dekker), so the comparison with the half is exact.
+    """
+    scale, split = 10.0 ** digits, 134217729.0
+    high = scale * split - (scale * split - scale)
+    low = scale - high
+
+    def rounded(a: Column) -> Column:
+        def parts(x: Column) -> Column:
+            upper = x * split - (x * split - x)
+            lower, p = x - upper, x * scale
+            err = ((upper * high - p) + upper * low + lower * high) + lower * low
+            return F.struct(p.alias("p"), err.alias("e"), F.floor(p).cast("double").alias("f"))
+
+        def pick(c: Column) -> Column:
+            over = c["p"] - c["f"] - 0.5
+            up = (over > 0) | ((over == 0) & ((c["e"] > 0) | ((c["e"] == 0) & (c["f"] % 2 == 1))))
+            return (c["f"] + F.when(up, 1.0).otherwise(0.0)) / scale
+        return let(parts(a), pick)
+    r = rounded(F.abs(v))
+    return F.when(F.abs(v) < 1e15 / scale, F.when(v < 0, -r).otherwise(r)).otherwise(v)
+
+
 def fixed(template: str, *values: Column) -> Column:
-    """``format_string`` that rounds halves to even, as the text files do, instead of up."""
+    """``format_string`` that rounds as the text files do (see :func:`printed`), not by the shortest decimal."""
     digits = [d for d in re.findall(r"%[-0-9]*(?:\.(\d+))?[a-z]", template)]
-    return F.format_string(template, *[F.bround(v, int(d)) if d else v for v, d in zip(values, digits)])
+    return F.format_string(template, *[printed(v.cast("double"), int(d)) if d else v for v, d in zip(values, digits)])
 
 
 def _issues(*items: tuple[Column, Column]) -> Column:
