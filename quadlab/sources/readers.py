@@ -212,7 +212,8 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
     cells = {h: [c.strip() for c in next(csv.reader([h]))] for h in known}
     width = max(map(len, cells.values()), default=1)
     ddl = ", ".join(f"c{i} string" for i in range(width))
-    rows = lines.join(heads, "file").where("value != head").withColumn("r", F.from_csv("value", ddl))
+    # one row a file, as the file list itself; a shuffle by file would bring a large file into one task
+    rows = lines.join(F.broadcast(heads), "file").where("value != head").withColumn("r", F.from_csv("value", ddl))
     place = F.struct("file", "at", "seq").alias("ord")
 
     def column(name: str) -> Column:
