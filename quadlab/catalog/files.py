@@ -191,14 +191,16 @@ def read_review_index(spark, sf):
 
 @query("src_08_read_nested_report", sel("SELECT name, CASE WHEN detected = 1 THEN 'OK' ELSE 'NO_DOCUMENT' END AS status, conf, " + cols("c") + " FROM quad_predictions WHERE source = 'teacher'"))
 def read_nested_report(spark, sf):
-    """Reports of at most 1000 consecutive samples each; an earlier report holds other entries of the same names."""
+    """Reports of at most 1000 consecutive samples each; earlier reports hold other entries of the same names."""
     path = scratch_dir(spark)
     p = X.predictions(spark, sf).where("source = 'teacher'")
     s = F.struct(F.col("name").alias("filename"), F.when(F.col("detected") == 1, "OK").otherwise("NO_DOCUMENT").alias("detector_status"),
                  F.col("conf").alias("detector_confidence"), F.col("coords").alias("pred_norm8"))
     old = s.withField("detector_status", F.lit("OLD"))
-    both = p.select((F.floor(F.col("sample_id") / 1000) + 1).alias("part"), s.alias("s")).unionByName(
-        p.select(F.lit(0).cast("bigint").alias("part"), F.explode(F.array_repeat(old, 2)).alias("s")).where(F.col("s.filename") != ""))
+    # folders of earlier reports sort first
+    part = F.floor(F.col("sample_id") / 1000).cast("string")
+    both = p.select(F.concat(F.lit("new-"), part).alias("part"), s.alias("s")).unionByName(
+        p.select(F.concat(F.lit("earlier-"), part).alias("part"), F.explode(F.array_repeat(old, 2)).alias("s")).where(F.col("s.filename") != ""))
     (both.groupBy("part").agg(F.collect_list("s").alias("samples"))
      .select("part", F.to_json(F.struct(F.struct(F.lit(0.97).alias("iou_threshold")).alias("params"), "samples")).alias("value"))
      .write.partitionBy("part").text(path))
