@@ -77,8 +77,8 @@ def _sumdiff_sql(v: list[str]) -> list[str]:
 
 @query("src_03_read_labels", sel(_label_sql()))
 def read_labels(spark, sf):
-    """The five label modes over the same lines."""
-    lines = label_lines(spark, sf)
+    """The five label modes over the same lines, which are stored as five passes read them."""
+    lines = cut(label_lines(spark, sf))
     out = None
     for mode in ("strict", "lenient", "exact", "class0", "multi"):
         part = R.labels_from_lines(lines, mode).select(F.lit(mode).alias("mode"), "stem", *spread(F.col("coords"), "x"))
@@ -119,7 +119,8 @@ NAN_FIRST = ", ".join(f"CASE WHEN sample_id % 11 = 0 THEN {'NULL' if i == 0 else
     f"SELECT 'lenient', source, name, CASE WHEN sample_id % 77 = 0 OR sample_id % 11 = 0 OR sample_id % 7 = 0 THEN 1 ELSE detected END, "
     f"CASE WHEN sample_id % 11 = 0 OR sample_id % 7 = 0 THEN 0.75e0 ELSE {CONF6} END, {NAN_FIRST} FROM quad_predictions"))
 def prediction_rules(spark, sf):
-    lines = prediction_lines(spark, sf)
+    # four passes read the lines
+    lines = cut(prediction_lines(spark, sf))
     out = None
     for mode in ("strict", "keep", "detected_only", "lenient"):
         x = [F.nanvl(F.get("coords", F.lit(i)), F.lit(None).cast("double")).alias(f"x{i}") for i in range(8)]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quadlab.checkpoints import cut
 from quadlab.functions import names as N
+from quadlab.functions.fence import computed
 from quadlab.functions.geometry import clip01, is_finite_quad, order_tlbr_sumdiff
 from quadlab.schema import SPLIT_VARIANTS
 
@@ -82,7 +83,10 @@ def resolve_split(variants: DataFrame, order: Sequence[str] = SPLIT_VARIANTS) ->
 def parse_label_line(line: Column, mode: str = "strict", clip: bool = True) -> Column:
     """Eight coordinates of one label line, or null when the line is not valid in this mode."""
     t = _tokens(line)
-    coords = _numbers(t, 2, 8)
+    return _label_coords(t, _numbers(t, 2, 8), mode, clip)
+
+
+def _label_coords(t: Column, coords: Column, mode: str, clip: bool) -> Column:
     cls = F.get(t, F.lit(0))
     enough = F.size(t) == 9 if mode == "exact" else F.size(t) >= 9
     ok = enough & is_finite_quad(coords)
@@ -105,10 +109,11 @@ def labels_from_lines(lines: DataFrame, mode: str = "strict", clip: bool = True)
     strict, exact: the first non-blank line. lenient: the physical first line, any class.
     class0: the first line of class 0. multi: every parsable line, one row each.
     """
-    lines = lines.withColumn("blank", F.trim("line") == "")
-    cls = F.get(_tokens(F.col("line")), F.lit(0)).try_cast("int")
-    parsed = lines.select("stem", "ord", "blank", cls.alias("class"),
-                          parse_label_line(F.col("line"), mode, clip).alias("coords"))
+    # a line is split once and its numbers are read once, whatever refers to them
+    lines = computed(lines.withColumn("blank", F.trim("line") == ""), {"t": _tokens(F.col("line"))}, ["stem", "ord", "blank"])
+    lines = computed(lines, {"x": _numbers(F.col("t"), 2, 8)})
+    parsed = computed(lines, {"class": F.get("t", F.lit(0)).try_cast("int"), "coords": _label_coords(F.col("t"), F.col("x"), mode, clip)},
+                      ["stem", "ord", "blank"])
     if mode == "multi":
         return parsed.where(F.col("coords").isNotNull()).select("stem", "class", "coords", "ord")
     if mode == "lenient":
@@ -135,9 +140,10 @@ def parse_predictions(lines: DataFrame, mode: str = "strict") -> DataFrame:
     keep: 11 tokens, finite numbers, coordinates as given. detected_only: detected rows with no negative coordinate.
     lenient: 3 tokens suffice, bad numbers become 0.
     """
-    t = _tokens(F.col("line"))
-    rows = lines.select("split", "source", "ord", t.alias("t")).where(F.get("t", F.lit(0)) != "")
-    coords = _numbers(F.col("t"), 4, 8)
+    # a line is split once and its numbers are read once, whatever refers to them
+    rows = computed(lines, {"t": _tokens(F.col("line"))}, ["split", "source", "ord"]).where(F.get("t", F.lit(0)) != "")
+    rows = computed(rows, {"x": _numbers(F.col("t"), 4, 8)})
+    coords = F.col("x")
     flag, conf = F.get("t", F.lit(1)), F.get("t", F.lit(2))
     if mode == "lenient":
         rows = rows.where(F.size("t") >= 3).select(

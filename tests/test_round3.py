@@ -11,7 +11,7 @@ import __spark_entry__  # noqa: F401 - loads the catalog
 from quadlab.functions.geometry import fixed
 from quadlab.functions.overlap import with_polygon_iou
 from quadlab.operators.ranking import queue_places
-from quadlab.sources.readers import _csv
+from quadlab.sources.readers import _csv, parse_predictions
 
 
 def _names(code):
@@ -63,3 +63,11 @@ def test_csv_lines_are_not_shuffled_by_file(spark, tmp_path):
     df = _csv(spark, str(tmp_path / "t"))
     assert df.count() == 100
     assert "Exchange hashpartitioning(file" not in df._jdf.queryExecution().toString().replace("#", " #").replace("hashpartitioning(file #", "hashpartitioning(file")
+
+
+def test_prediction_lines_are_split_once(spark, tmp_path):
+    spark.createDataFrame([("val", "teacher", 1, "a 1 0.5" + " 0.5" * 8)], "split string, source string, ord int, line string").write.parquet(str(tmp_path / "t"))
+    df = parse_predictions(spark.read.parquet(str(tmp_path / "t")), "strict")
+    assert [(r.name, r.detected, r.conf, r.coords) for r in df.collect()] == [("a", 1, 0.5, [0.5] * 8)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
