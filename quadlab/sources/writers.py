@@ -74,8 +74,9 @@ def write_predictions(df: DataFrame, path: str, order: str = "ord") -> None:
     line = prediction_line(F.col("name"), F.col("detected"), F.col("conf"), F.col("coords"))
     n = df.sparkSession.sparkContext.defaultParallelism
     key = order if order in df.columns else "name"
-    rows = df.select(F.concat_ws("_", "split", "source").alias("part"), F.col(key).alias("at"), line.alias("value"))
-    (rows.repartitionByRange(n, "part", "at").sortWithinPartitions("part", "at").select("part", "value")
+    # lines are made after the shuffle: its sample of the keys reads all rows once more
+    rows = df.select(F.concat_ws("_", "split", "source").alias("part"), F.col(key).alias("at"), "name", "detected", "conf", "coords")
+    (rows.repartitionByRange(n, "part", "at").sortWithinPartitions("part", "at").select("part", line.alias("value"))
      .write.mode("overwrite").partitionBy("part").text(path))
 
 
