@@ -3,8 +3,8 @@
 The rows are written once, with the columns that are needed. A first pass computes the ordinary aggregates and, with a mergeable
 sketch per value column, a bracket around each wanted rank; its result has one row per group. A second pass counts the rows below each
 bracket and in each of ``CELLS`` equal parts of it; a third orders only the distinct values of the part that the rank
-falls in, about one in ten million of a large group's. No group is collected, and one plan serves every size: a group too small for its sketch to
-bracket a rank safely has the whole line as its bracket.
+falls in, about one in ten million of a large group's. No group is collected or brought into one task: the brackets of up to ``FEW_GROUPS`` groups are broadcast,
+those of more are repeated under ``SALTS`` salts. A group too small for its sketch to bracket a rank safely has the whole line as its bracket.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from quadlab.checkpoints import cut
 ACCURACY = 10000
 #: Equal parts of a bracket.
 CELLS = 4096
+#: Up to so many groups their brackets are sent to all tasks.
+FEW_GROUPS = 10000
+#: Beyond, the rows of a group are dealt over so many tasks.
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -71,6 +75,15 @@ def aggregate(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], percenti
                         bound(s.p + margin, F.greatest, F.lit(inf)).alias("hi"))
     bounds = first.select(*keys, *[bracket(s).alias(f"__b{i}") for i, s in enumerate(percentiles)])
 
+    # a join by the keys would bring all rows of a group into one task
+    few = first.count() <= FEW_GROUPS
+
+    def beside(rows: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+        if few:
+            return rows.join(F.broadcast(side), on)
+        salted = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [*on, "__salt"]).drop("__salt")
+
     # a row below a bracket only counts (cell -1); one above it is not needed
     tags = []
     for i, s in enumerate(percentiles):
@@ -80,14 +93,14 @@ def aggregate(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], percenti
             part = F.floor((v - lo) / (hi - lo) * CELLS)
             cell = F.when(v < lo, -1).when((hi == inf) | (lo == -inf) | (hi == lo), 0).otherwise(F.least(part, F.lit(CELLS - 1)))
             tags.append(F.when(v <= hi, F.struct(F.lit(i).alias("i"), n.alias("n"), v.alias("v"), cell.cast("int").alias("cell"))))
-    tagged = rows.join(bounds, keys).select(*keys, F.explode(F.array_compact(F.array(*tags))).alias("t")).select(*keys, "t.*")
+    tagged = beside(rows, bounds, keys).select(*keys, F.explode(F.array_compact(F.array(*tags))).alias("t")).select(*keys, "t.*")
     p = F.get(F.array(*[F.lit(s.p) for s in percentiles]), F.col("i"))
     cells = Window.partitionBy(*keys, "i").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     counted = (tagged.groupBy(*keys, "i", "n", "cell").agg(F.count("*").alias("c"))
                .withColumns({"cum": F.sum("c").over(cells), "pos": (F.col("n") - 1) * p}))
     wanted = (counted.where((F.col("cum") > F.floor("pos")) & (F.col("cum") - F.col("c") <= F.ceil("pos")))
               .select(*keys, "i", "cell", "pos", (F.col("cum") - F.col("c")).alias("before")))
-    hist = tagged.join(wanted, [*keys, "i", "cell"]).groupBy(*keys, "i", "pos", "before", "v").agg(F.count("*").alias("c"))
+    hist = beside(tagged, wanted, [*keys, "i", "cell"]).groupBy(*keys, "i", "pos", "before", "v").agg(F.count("*").alias("c"))
     line = Window.partitionBy(*keys, "i")
     run = line.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = hist.withColumn("cum", F.sum("c").over(run) + F.min("before").over(line))

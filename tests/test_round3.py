@@ -2,6 +2,7 @@
 
 import builtins
 import dis
+import re
 import sys
 import types
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 import __spark_entry__  # noqa: F401 - loads the catalog
 from quadlab.functions.geometry import fixed
 from quadlab.functions.overlap import with_polygon_iou
+from quadlab.operators import quantiles
+from quadlab.operators.quantiles import aggregate, exact_percentiles, percentile
 from quadlab.operators.ranking import queue_places
 from quadlab.sources.readers import _csv, parse_predictions
 
@@ -71,3 +74,28 @@ def test_prediction_lines_are_split_once(spark, tmp_path):
     assert [(r.name, r.detected, r.conf, r.coords) for r in df.collect()] == [("a", 1, 0.5, [0.5] * 8)]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_percentiles_do_not_bring_a_group_into_one_task(spark):
+    """Brackets go to the rows, even where Spark would shuffle both sides by the group."""
+    df = spark.range(1000).selectExpr("0 AS g", "CAST(id * 37 % 1000 AS DOUBLE) AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = exact_percentiles(df, {"p50": 0.5, "p95": 0.95}, "v", ["g"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= 2
+        assert [(r.p50, round(r.p95, 6)) for r in out.collect()] == [(499.5, 949.05)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_percentiles_of_many_groups(spark, monkeypatch):
+    """Beyond the number of groups that is broadcast, rows are dealt by salts; the values are the same."""
+    df = spark.range(3000).selectExpr("id % 3 AS g", "CAST(id * 37 % 1000 AS DOUBLE) AS v", "IF(id % 5 = 0, NULL, CAST(id AS DOUBLE)) AS w")
+    specs = [percentile("v10", 0.1, "v"), percentile("both", 0.9, "v", "w")]
+
+    def run():
+        return sorted(tuple(r) for r in aggregate(df, ["g"], [F.count("*").alias("n")], specs, 100).collect())
+    want = run()
+    monkeypatch.setattr(quantiles, "FEW_GROUPS", 0)
+    assert run() == want
