@@ -56,7 +56,8 @@ def _flat(points: Column) -> Column:
     return F.flatten(F.transform(points, lambda p: F.array(p["x"], p["y"])))
 
 
-def _ccw_points(q: Column) -> Column:
+def ccw_points(q: Column) -> Column:
+    """Corners sorted by angle, as structs with x and y; of a null quad four structs of nulls."""
     px, py = xs(q), ys(q)
     cx = (px[0] + px[1] + px[2] + px[3]) / F.lit(4.0)
     cy = (py[0] + py[1] + py[2] + py[3]) / F.lit(4.0)
@@ -69,7 +70,7 @@ def _ccw_points(q: Column) -> Column:
 
 def order_ccw(q: Column) -> Column:
     """Corners sorted by angle about the vertex mean."""
-    return F.when(q.isNotNull(), _flat(_ccw_points(q)))
+    return F.when(q.isNotNull(), _flat(ccw_points(q)))
 
 
 def order_tlbr_angle(q: Column) -> Column:
@@ -82,7 +83,7 @@ def order_tlbr_angle(q: Column) -> Column:
             F.get(r, F.lit(1))["y"] > F.get(r, F.lit(3))["y"],
             F.concat(F.slice(r, 1, 1), F.reverse(F.slice(r, 2, 3))),
         ).otherwise(r))
-    return F.when(q.isNotNull(), _flat(let(_ccw_points(q), rotate)))
+    return F.when(q.isNotNull(), _flat(let(ccw_points(q), rotate)))
 
 
 def order_tlbr_sumdiff(q: Column) -> Column:

@@ -5,9 +5,10 @@ common to two rings is half the signed sum, over all pairs of their edges, of th
 the two edges where their x-ranges overlap. That needs no clipping, no convexity test and no
 branches: sixteen short terms for two quads, each continuous in the coordinates.
 
-The sixteen terms are too long for one JIT-compiled method. The projection that holds them also
-holds the null check (a lambda), which keeps it out of whole-stage code; Spark then writes each
-repeated sub-expression as its own small method, about five times faster than one large method.
+The sixteen terms are too long for one JIT-compiled method, and so are the corner orders and the
+edges of several quads. Each of these projections holds a lambda, which keeps it out of whole-stage
+code; Spark then writes each repeated sub-expression as its own small method, about five times
+faster than one large method. The lambdas are short, since Spark interprets what is in them.
 """
 
 from __future__ import annotations
@@ -36,11 +37,24 @@ def _y(q: str, i: int) -> str:
     return f"get(`{q}`, {2 * (i % 4) + 1})"
 
 
-def _edge_columns(q: str, tag: str) -> list[str]:
+def _px(q: str, i: int) -> str:
+    return f"get(`{q}`, {i % 4}).x"
+
+
+def _py(q: str, i: int) -> str:
+    return f"get(`{q}`, {i % 4}).y"
+
+
+def _alone(flag: str) -> str:
+    """The same truth value by a lambda: keeps the projection out of whole-stage code."""
+    return f"exists(array({flag}), c -> c)"
+
+
+def _edge_columns(q: str, tag: str, x=_x, y=_y) -> list[str]:
     """Per edge: left x, right x, y at the left end, slope, direction."""
     out = []
     for i in range(4):
-        x0, y0, x1, y1 = _x(q, i), _y(q, i), _x(q, i + 1), _y(q, i + 1)
+        x0, y0, x1, y1 = x(q, i), y(q, i), x(q, i + 1), y(q, i + 1)
         parts = {
             "l": f"least({x0}, {x1})",
             "r": f"greatest({x0}, {x1})",
@@ -52,8 +66,8 @@ def _edge_columns(q: str, tag: str) -> list[str]:
     return out
 
 
-def _area(q: str) -> str:
-    terms = [f"({_x(q, i)} * {_y(q, i + 1)} - {_x(q, i + 1)} * {_y(q, i)})" for i in range(4)]
+def _area(q: str, x=_x, y=_y) -> str:
+    terms = [f"({x(q, i)} * {y(q, i + 1)} - {x(q, i + 1)} * {y(q, i)})" for i in range(4)]
     return f"abs({' + '.join(terms)}) * 0.5D"
 
 
@@ -128,11 +142,13 @@ def ring_area(r: Column) -> Column:
     return F.abs(total) * 0.5
 
 
+def _on_grid(inter: Column, union: Column) -> Column:
+    exact = F.least(F.try_divide(inter, union), F.lit(1.0))
+    return F.when((union <= 0) | (inter <= SNAP), F.lit(0.0)).otherwise(F.rint(exact * GRID) / GRID)
+
+
 def _ratio(inter: Column, area_a: Column, area_b: Column) -> Column:
-    def ratio(v: Column) -> Column:
-        exact = F.least(F.try_divide(v["i"], v["u"]), F.lit(1.0))
-        return F.when((v["u"] <= 0) | (v["i"] <= SNAP), F.lit(0.0)).otherwise(F.rint(exact * GRID) / GRID)
-    return G.let(F.struct(inter.alias("i"), (area_a + area_b - inter).alias("u")), ratio)
+    return G.let(F.struct(inter.alias("i"), (area_a + area_b - inter).alias("u")), lambda v: _on_grid(v["i"], v["u"]))
 
 
 def with_polygon_iou(df: DataFrame, pairs: Sequence[tuple[str, str, str]], order: str = "raw",
@@ -152,36 +168,42 @@ def with_polygon_iou(df: DataFrame, pairs: Sequence[tuple[str, str, str]], order
     names = [f"`{c}`" for c in keep]
 
     # 1. the ring of every quad; corners in angle order never cross
+    ok = [f"`{q}` IS NOT NULL AND forall(`{q}`, c -> c IS NOT NULL) AS {tag[q]}ok" for q in quads]
     if order == "ccw":
-        rings = df.withColumns({f"{tag[q]}g": G.order_ccw(F.col(q)) for q in quads})
+        rings = df.selectExpr("*", *ok).withColumns({f"{tag[q]}g": G.ccw_points(F.col(q)) for q in quads})
         tangled = {q: "false" for q in quads}
+        x, y = _px, _py
     else:
-        flagged = df.selectExpr("*", *[f"{_tangled(q)} AS {tag[q]}x" for q in quads])
+        flagged = df.selectExpr("*", *ok, *[f"{_tangled(q)} AS {tag[q]}x" for q in quads])
         whole = mode != "largest"
         rings = flagged.withColumns({f"{tag[q]}g": F.col(q) if whole else F.when(
             F.col(f"{tag[q]}x"), G.largest_piece(F.col(q))).otherwise(F.col(q)) for q in quads})
         tangled = {q: f"{tag[q]}x" for q in quads}
+        x, y = _x, _y
 
     # 2. edges and areas
+    def carried(q: str) -> str:
+        flag = f"{tag[q]}ok"
+        return f"{_alone(flag) if q == quads[0] else flag} AS {flag}"
     exprs = list(names)
     for q in quads:
-        exprs += _edge_columns(f"{tag[q]}g", tag[q])
-        exprs += [f"{_area(f'{tag[q]}g')} AS {tag[q]}a", f"{tangled[q]} AS {tag[q]}t"]
+        exprs += _edge_columns(f"{tag[q]}g", tag[q], x, y)
+        exprs += [f"{_area(f'{tag[q]}g', x, y)} AS {tag[q]}a", f"{tangled[q]} AS {tag[q]}t", carried(q)]
     edged = rings.selectExpr(*exprs)
 
-    # 3. overlap areas, next to the null check (see the module text)
+    # 3. overlap areas
     exprs = list(names)
     for q in quads:
-        exprs += [f"`{q}` IS NOT NULL AND forall(`{q}`, c -> c IS NOT NULL) AS {tag[q]}ok", f"{tag[q]}a", f"{tag[q]}t"]
+        exprs += [carried(q), f"{tag[q]}a", f"{tag[q]}t"]
     exprs += [f"{overlap_area_expr(tag[a], tag[b])} AS __i{n}" for n, (a, b, _) in enumerate(pairs)]
-    crossed = edged.selectExpr(*exprs)
+    crossed = edged.selectExpr(*exprs).selectExpr("*", *[f"{tag[a]}a + {tag[b]}a - __i{n} AS __u{n}" for n, (a, b, _) in enumerate(pairs)])
 
     # 4. ratio and the special modes
     results: dict[str, Column] = {}
     for n, (a, b, name) in enumerate(pairs):
         ta, tb = tag[a], tag[b]
         area_a, area_b = F.col(f"{ta}a"), F.col(f"{tb}a")
-        iou = _ratio(F.col(f"__i{n}"), area_a, area_b)
+        iou = _on_grid(F.col(f"__i{n}"), F.col(f"__u{n}"))
         ok = F.col(f"{ta}ok") & F.col(f"{tb}ok")
         mixed = F.col(f"{ta}t") | F.col(f"{tb}t")
         if order == "ccw":

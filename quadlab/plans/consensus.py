@@ -75,7 +75,9 @@ def decide(cand: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
                              "max_pairwise_iou": F.when(F.col("n_polys") >= 2, F.col("max_iou"))})
     new = (F.when(F.col("chosen_source") == "teacher", F.col("teacher"))
            .when(F.col("chosen_source") == "winner", F.col("winner")))
-    rows = computed(rows, {"new_coords": F.when(new.isNotNull(), clip01(order_tlbr_angle(new)))})
+    # chosen in a projection of its own: the order reads each coordinate many times
+    rows = rows.withColumn("__new", new)
+    rows = computed(rows, {"new_coords": F.when(F.col("__new").isNotNull(), clip01(order_tlbr_angle(F.col("__new"))))}).drop("__new")
     conf = {f"{s}_conf": F.when(F.col(f"has_{s}"), F.col(f"{s}_conf")) for s in QUADS[1:]}
     return rows.withColumns(conf).drop("pick", "max_iou")
 

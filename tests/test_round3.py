@@ -99,3 +99,19 @@ def test_percentiles_of_many_groups(spark, monkeypatch):
     want = run()
     monkeypatch.setattr(quantiles, "FEW_GROUPS", 0)
     assert run() == want
+
+
+def test_iou_of_four_quads_makes_no_huge_method(spark, capsys):
+    """The JVM interprets methods of more than 8000 bytes."""
+    quads = ["a", "b", "c", "d"]
+    row = [[0.1, 0.1, 0.9, 0.1, 0.9, 0.9, 0.1, 0.9 - i / 10] for i in range(4)]
+    df = spark.createDataFrame([row], ", ".join(f"{q} array<double>" for q in quads))
+    pairs = [(p, q, f"iou_{p}{q}") for i, p in enumerate(quads) for q in quads[i + 1:]]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for order in ("ccw", "raw"):
+            with_polygon_iou(df, pairs, order=order).explain("codegen")
+            sizes = re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)
+            assert sizes and max(map(int, sizes)) <= 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
