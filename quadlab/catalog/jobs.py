@@ -102,7 +102,10 @@ def decision_counts(spark, sf):
     "count(*) FILTER (WHERE action = 'keep_gt_protected') AS dropped_attempted_protected FROM cv", CV))
 def guarded_counts(spark, sf):
     """A minimum above the sample count restores every row, and the counters say so."""
-    return V.decision_counts(V.min_total_guard(decisions(spark, sf), 1 << 40))
+    # the guard reads the rows twice; of the quads only their presence counts
+    present = [F.when(F.col(c).isNotNull(), F.lit(1)).alias(c) for c in ("gt", "new_coords")]
+    d = cut(decisions(spark, sf).select("is_negative", "action", "kept", "protected", *present))
+    return V.decision_counts(V.min_total_guard(d, 1 << 40))
 
 
 @query("job_02_min_total_guard", sel(

@@ -9,6 +9,7 @@ import types
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401 - loads the catalog
+from quadlab.catalog import QUERIES
 from quadlab.functions.geometry import fixed
 from quadlab.functions.overlap import with_polygon_iou
 from quadlab.operators import quantiles
@@ -115,3 +116,9 @@ def test_iou_of_four_quads_makes_no_huge_method(spark, capsys):
             assert sizes and max(map(int, sizes)) <= 8000
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_guarded_counts_decide_once(spark):
+    """The guard reads the decisions twice; they are stored, not made twice."""
+    df = QUERIES["ag_11_guarded_counts"](spark, "/root/testdata/sf0.001")
+    assert "ATAN2" not in df._jdf.queryExecution().optimizedPlan().toString()
