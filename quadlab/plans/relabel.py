@@ -40,7 +40,9 @@ def new_candidates(labelled: DataFrame, preds: DataFrame, known: DataFrame, sour
     ``labelled``: split, name, gt. A row is new when detected, IoU >= threshold and not in ``known``.
     """
     rows = join_predictions(labelled.where(F.col("gt").isNotNull()), preds, source)
-    rows = rows.withColumns({"g": order_tlbr_sumdiff(F.col("gt")), "p": order_tlbr_sumdiff(clip01(F.col("pred")))})
+    # clipped in a projection of its own: the order reads each coordinate many times
+    rows = rows.withColumn("__clipped", clip01(F.col("pred")))
+    rows = rows.withColumns({"g": order_tlbr_sumdiff(F.col("gt")), "p": order_tlbr_sumdiff(F.col("__clipped"))}).drop("__clipped")
     rows = with_membership(with_polygon_iou(rows, [("p", "g", "iou")]), known, "in_known")
     return rows.select("split", "name", "in_known", "detected", "iou",
                        ((F.col("in_known") == 0) & F.coalesce(F.col("iou") >= threshold, F.lit(False))).alias("is_new"))

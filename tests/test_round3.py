@@ -122,3 +122,9 @@ def test_guarded_counts_decide_once(spark):
     """The guard reads the decisions twice; they are stored, not made twice."""
     df = QUERIES["ag_11_guarded_counts"](spark, "/root/testdata/sf0.001")
     assert "ATAN2" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_predictions_are_clipped_once(spark):
+    """The clipped corners are a column, not repeated for each coordinate that is read."""
+    df = QUERIES["job_18_new_candidates"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("transform(") < 20
