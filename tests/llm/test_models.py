@@ -77,6 +77,16 @@ def test_verdicts_of_odd_rows(spark):
     assert quality_rules.judged(docs.limit(0)).count() == 0 and quality_rules.good_documents(docs).columns == docs.columns
 
 
+def test_texts_are_not_shuffled_for_verdicts(spark):
+    good = " ".join(f"word{i} the" for i in range(200)) + "."
+    docs = spark.createDataFrame([(1, None, [1], 1), (None, good, None, 2), (3, good, [2, None], 3), (3, good, [2, None], 3), (3, "bad", [3], 4)],
+                                 "doc_id long, text string, __r array<int>, votes int")
+    left = quality_rules.good_documents(docs)
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(None, good, None, 2), (3, good, [2, None], 3), (3, good, [2, None], 3)], key=str)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_additive_model_learns_shapes_and_pairs():
     rng = np.random.default_rng(3)
     x = rng.random((6000, 5))
