@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -22,31 +23,61 @@ PERCENT, SHINGLE, MIN_WORDS = 80, 5, 25
 SENTENCES, OTHERS = 16, 512
 #: Anchors are runs of GRAM words, the least hash of each GAP neighbours: two texts that share GRAM + GAP - 1 = 48 words share an anchor in them.
 GRAM, GAP = 16, 33
+#: Texts are read together, up to about so many characters at once.
+TOGETHER = 1_000_000
 
 
 class Words:
-    """The words of a text: hashes of their lower-cased forms, where they begin and end (code points), and after which a paragraph ends."""
+    """The words of several texts, one text after the other: hashes of their lower-cased forms, where they begin and end in their text (code points), and after which a paragraph ends.
 
-    def __init__(self, text: str, cache: WordHashes):
-        raw = text.encode("utf-8", "surrogatepass")
+    The words of text ``i`` are those from ``first[i]`` up to ``upto[i]``; each distinct word is hashed once.
+    """
+
+    def __init__(self, texts: list[str], cache: WordHashes):
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        raw = b" ".join(raws)
+        heads = np.cumsum([0] + [len(r) + 1 for r in raws])[:-1]
         b = np.frombuffer(raw, dtype=np.uint8)
         space = np.concatenate(([True], (b == 32) | ((b >= 9) & (b <= 13)), [True]))
         edges = np.flatnonzero(space[1:] != space[:-1])
         first, last = edges[0::2], edges[1::2] - 1
-        chars = np.cumsum((b & 0xC0) != 0x80)
-        self.h = cache.of(raw.lower().split())
-        self.n = len(self.h)
-        self.start, self.end = chars[first] - 1, chars[last]
+        self.n = len(first)
+        ends = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(last - first + 1, dtype=np.int64)))
+        letters = np.frombuffer(raw.lower(), dtype=np.uint8)[~space[1:-1]]
+        coded = pa.Array.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+        self.h = cache.of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        self.first = np.searchsorted(first, heads)
+        self.upto = np.append(self.first[1:], self.n)
+        counts = self.upto - self.first
+        chars = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum((b & 0xC0) != 0x80)))
+        base = np.repeat(chars[heads], counts)
+        self.start, self.end = chars[first] - base, chars[last + 1] - base
         self.lines = np.searchsorted(first, np.flatnonzero(b == 10))
         end = b[last]
-        self.stops = (end == 33) | (end == 46) | (end == 63)
+        # after which words a paragraph ends inside a line: places chosen by a hash of the two words before, so that copies are cut alike wherever they stand
+        before = np.zeros(self.n, dtype=np.uint64)
+        before[1:] = self.h[:-1]
+        before[self.first[counts > 0]] = 0
+        pick = mixed(self.h + np.uint64(3) * before)
+        stops = (end == 33) | (end == 46) | (end == 63)
+        self.inside = np.flatnonzero((stops & (pick % np.uint64(SENTENCES) == 0)) | (pick % np.uint64(OTHERS) == 1)) + 1
 
     def bounds(self) -> np.ndarray:
-        """Where paragraphs begin, and the number of words: line ends, and inside a line places chosen by a hash of the two words before, so that copies are cut alike wherever they stand."""
-        before = np.concatenate((np.zeros(1, dtype=np.uint64), self.h[:-1]))
-        pick = mixed(self.h + np.uint64(3) * before)
-        inside = np.flatnonzero((self.stops & (pick % np.uint64(SENTENCES) == 0)) | (pick % np.uint64(OTHERS) == 1)) + 1
-        return np.unique(np.concatenate(([0], self.lines, inside, [self.n])))
+        """Where paragraphs begin, and the number of words: at line ends, at ``inside`` and where a text begins."""
+        return np.unique(np.concatenate((self.first, self.lines, self.inside, [self.n])))
+
+
+def together(rows: Iterator[tuple], text: int) -> Iterator[list[tuple]]:
+    """``rows`` in lists whose texts, at place ``text``, have about TOGETHER characters."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[text]) + 1
+        if size > TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def paragraphs(text: str | None) -> list[tuple[int, int, int]]:
@@ -54,7 +85,7 @@ def paragraphs(text: str | None) -> list[tuple[int, int, int]]:
     if not text:
         return []
     with np.errstate(over="ignore"):
-        w = Words(text, WordHashes())
+        w = Words([text], WordHashes())
         b = w.bounds().tolist()
     return [(int(w.start[i]), int(w.end[j - 1]), j - i) for i, j in zip(b, b[1:])]
 
@@ -84,28 +115,35 @@ class _Anchors:
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
-    def of(self, w: Words) -> dict[str, np.ndarray] | None:
+    def of(self, w: Words) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """The anchors of all texts, one after the other, and which text each is of."""
         n, h = w.n, w.h
-        if n < GRAM + GAP - 1:
-            return None
         if len(self.up) < n:
             base = 0x9E3779B97F4A7C15
             self.up, self.down = (np.cumprod(np.full(2 * n, x, dtype=np.uint64)) for x in (base, pow(base, -1, 2**64)))
         total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * self.up[:n])))
-        grams = mixed((total[GRAM:] - total[:-GRAM]) * self.down[:n - GRAM + 1])
-        windows = np.lib.stride_tricks.sliding_window_view(grams, GAP)[:, ::-1]
-        at = np.unique(np.arange(GAP - 1, len(grams)) - windows.argmin(axis=1))
-        low, high = np.concatenate(([0], at)), np.concatenate((at + GRAM, [n]))
+        at, grams = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        if n >= GRAM + GAP - 1:
+            grams = mixed((total[GRAM:] - total[:-GRAM]) * self.down[:n - GRAM + 1])
+            # the windows that lie in one text, by their last gram
+            whole = np.concatenate([np.arange(i + GAP - 1, j - GRAM + 1) for i, j in zip(w.first.tolist(), w.upto.tolist())])
+            windows = np.lib.stride_tricks.sliding_window_view(grams, GAP)[:, ::-1]
+            at = np.unique(whole - windows.argmin(axis=1)[whole - GAP + 1])
+        of = np.searchsorted(w.first, at, side="right") - 1
+        first, upto = w.first[of], w.upto[of]
+        next_ = np.append(of[1:] == of[:-1], False) if len(of) else np.empty(0, dtype=bool)
+        low, high = first.copy(), upto.copy()
+        low[1:][next_[:-1]] = at[:-1][next_[:-1]]
+        high[next_] = at[1:][next_[:-1]] + GRAM
 
         def named(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return mixed((total[j] - total[i]) * self.down[i] + (j - i).astype(np.uint64)).view(np.int64)
 
-        segs = named(low, high)
-        before, after = np.maximum(at - GAP, 0), np.minimum(at + GRAM + GAP, n)
-        return {"at": at.astype(np.int32), "gram": grams[at].view(np.int64), "right": segs[1:], "head": np.where(low[:-1] == 0, segs[:-1], 0), "before": named(before, at),
-                "after": named(at + GRAM - 1, after), "low": low[:-1].astype(np.int32), "high": high[1:].astype(np.int32),
+        before, after = np.maximum(at - GAP, first), np.minimum(at + GRAM + GAP, upto)
+        return {"at": (at - first).astype(np.int32), "gram": grams[at].view(np.int64), "right": named(at, high), "head": np.where(low == first, named(low, at + GRAM), 0), "before": named(before, at),
+                "after": named(at + GRAM - 1, after), "low": (low - first).astype(np.int32), "high": (high - first).astype(np.int32),
                 "start": w.start[at].astype(np.int32), "end": w.end[at + GRAM - 1].astype(np.int32),
-                "left_start": w.start[low[:-1]].astype(np.int32), "right_end": w.end[high[1:] - 1].astype(np.int32)}
+                "left_start": w.start[low].astype(np.int32), "right_end": w.end[high - 1].astype(np.int32)}, of
 
 
 _ANCHOR = {"at": "int", "gram": "long", "right": "long", "head": "long", "before": "long", "after": "long", "low": "int", "high": "int", "start": "int", "end": "int", "left_start": "int", "right_end": "int"}
@@ -120,46 +158,39 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
         cache, anchors, (a, b) = WordHashes(), _Anchors(), permutations(BANDS * ROWS, SEED)
         band = np.arange(BANDS, dtype=np.uint64)[:, None]
 
-        def encoded(texts: list[tuple], hashes: list[np.ndarray], rows: list[np.ndarray]) -> pd.DataFrame:
-            counts = np.array([len(r) for r in rows])
-            heads = counts.cumsum() - counts
-            of = np.repeat(np.arange(len(texts)), counts)
-            start, end, at, lengths = np.concatenate(rows).T
-            h = np.concatenate(hashes)
-            flat, starts = _paragraph_shingles(h, lengths)
+        def encoded(ids: list, ths: list, w: Words) -> pd.DataFrame:
+            bounds = w.bounds()
+            first, lengths = bounds[:-1], np.diff(bounds)
+            of = np.searchsorted(w.first, first, side="right") - 1
+            heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            flat, starts = _paragraph_shingles(w.h, lengths)
             low = np.empty((BANDS * ROWS, len(of)), dtype=np.uint64)
             for i in range(BANDS * ROWS):
                 x = flat * a[i] + b[i]
                 low[i] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts)
-            ends = lengths.cumsum()
-            names = [xxhash.xxh64_intdigest(h[e - n:e].tobytes(), seed=n) for e, n in zip(ends.tolist(), lengths.tolist())]
-            out = {"doc_id": [texts[i][0] for i in of], "th": [texts[i][1] for i in of], "k": np.arange(len(of)) - heads[of], "start": start, "end": end, "at": at, "n_words": lengths,
+            raw = memoryview(w.h.tobytes())
+            names = [xxhash.xxh64_intdigest(raw[8 * i:8 * (i + n)], seed=n) for i, n in zip(first.tolist(), lengths.tolist())]
+            out = {"doc_id": [ids[i] for i in of], "th": [ths[i] for i in of], "k": np.arange(len(of)) - np.repeat(heads, np.diff(np.append(heads, len(of)))),
+                   "start": w.start[first], "end": w.end[bounds[1:] - 1], "at": first - w.first[of], "n_words": lengths,
                    "h": np.array(names, dtype=np.uint64).view(np.int64),
                    "bands": list(np.ascontiguousarray(mixed(mixed(low[0::2]) * np.uint64(3) + low[1::2] + band).T).view(np.int64))}
-            for f in _ANCHOR:
+            found, text = anchors.of(w)
+            cuts = np.stack((np.searchsorted(text, of[heads]), np.searchsorted(text, of[heads], side="right")), axis=1).tolist()
+            for f, values in found.items():
                 column = np.full(len(of), None, dtype=object)
-                for i, t in zip(heads.tolist(), texts):
-                    column[i] = t[2] and t[2][f]
+                for i, (x, y) in zip(heads.tolist(), cuts):
+                    if y > x:
+                        column[i] = values[x:y]
                 out[f"a_{f}"] = column
             return pd.DataFrame(out)
 
         with np.errstate(over="ignore"):
             for pdf in batches:
-                texts, hashes, rows, held = [], [], [], 0
-                for doc, th, text in zip(pdf["doc_id"], pdf["th"], pdf["text"]):
-                    w = Words(text, cache)
-                    if not w.n:
-                        continue
-                    cut = w.bounds()
-                    texts.append((doc, th, anchors.of(w)))
-                    hashes.append(w.h)
-                    rows.append(np.stack((w.start[cut[:-1]], w.end[cut[1:] - 1], cut[:-1], np.diff(cut)), axis=1))
-                    held += w.n
-                    if held > 200_000:
-                        yield encoded(texts, hashes, rows)
-                        texts, hashes, rows, held = [], [], [], 0
-                if texts:
-                    yield encoded(texts, hashes, rows)
+                for rows in together(zip(pdf["doc_id"], pdf["th"], pdf["text"]), 2):
+                    ids, ths, texts = map(list, zip(*rows))
+                    w = Words(texts, cache)
+                    if w.n:
+                        yield encoded(ids, ths, w)
 
     rows = docs.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     more = "".join(f", a_{f} array<{t}>" for f, t in _ANCHOR.items())
@@ -178,19 +209,20 @@ def _looked_up(asked: DataFrame, docs: DataFrame) -> DataFrame:
             weights = mixed(np.arange(1, GAP + 1, dtype=np.uint64))
             for pdf in batches:
                 rows = []
-                for doc, th, asked, text in zip(pdf["doc_id"], pdf["th"], pdf["asked"], pdf["text"]):
-                    w = Words(text, cache)
-                    for x in asked:
-                        kind, at, n = x["kind"], x["at"], x["n"]
-                        if kind == 2:
-                            rows.append((doc, th, kind, at, x["name"], np.unique(shingle_hashes(w.h[at:at + n], SHINGLE)).view(np.int64), None, None))
-                            continue
-                        side = slice(max(0, at - GAP), at) if kind == 0 else slice(at + GRAM, at + GRAM + GAP)
-                        near, chars = w.h[side], (w.start if kind == 0 else w.end)[side]
-                        if kind == 0:
-                            near, chars = near[::-1], chars[::-1]
-                        levels = mixed(np.cumsum(mixed(near + weights[:len(near)])))
-                        rows.append((doc, th, kind, at, x["name"], None, levels.view(np.int64), chars.astype(np.int32)))
+                for some in together(zip(pdf["doc_id"], pdf["th"], pdf["asked"], pdf["text"]), 3):
+                    w = Words([r[3] for r in some], cache)
+                    for (doc, th, asked, _), first, upto in zip(some, w.first.tolist(), w.upto.tolist()):
+                        for x in asked:
+                            kind, at, n = x["kind"], first + x["at"], x["n"]
+                            if kind == 2:
+                                rows.append((doc, th, kind, x["at"], x["name"], np.unique(shingle_hashes(w.h[at:at + n], SHINGLE)).view(np.int64), None, None))
+                                continue
+                            side = slice(max(first, at - GAP), at) if kind == 0 else slice(at + GRAM, min(at + GRAM + GAP, upto))
+                            near, chars = w.h[side], (w.start if kind == 0 else w.end)[side]
+                            if kind == 0:
+                                near, chars = near[::-1], chars[::-1]
+                            levels = mixed(np.cumsum(mixed(near + weights[:len(near)])))
+                            rows.append((doc, th, kind, x["at"], x["name"], None, levels.view(np.int64), chars.astype(np.int32)))
                 yield pd.DataFrame(rows, columns=["doc_id", "th", "kind", "at", "name", "words", "levels", "chars"])
 
     lists = asked.groupBy("doc_id", "th").agg(F.collect_set(F.struct("kind", "at", "n", "name")).alias("asked"))
@@ -236,8 +268,9 @@ class _Exact:
                             .join(kept, "gram").where((F.col("own") != F.col("kept")) & (~_same_text("own", "kept") | (F.col("own.at") >= F.col("kept.at") + GRAM))))
         grams = self.ends.select("kind", "gram").distinct()
         sides = hits.select("gram", "own", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("before").alias("around")), F.struct(F.lit(1).alias("kind"), F.col("after").alias("around")))).alias("s"))
-        self.refs = written(sides.select("gram", "own", "s.kind", "s.around").join(grams, ["kind", "gram"], "left_semi")
-                            .groupBy("kind", "gram", "around").agg(F.min("own").alias("own")).drop("around"))
+        # aggregated before the join by anchor, which would bring all copies of a very frequent passage into one task; a semi-join would be moved below the aggregation
+        self.refs = written(sides.select("gram", "own", "s.kind", "s.around").groupBy("kind", "gram", "around").agg(F.min("own").alias("own"))
+                            .join(grams, ["kind", "gram"]).drop("around"))
         release(shared, hits, firsts, kept)
 
     def asked(self) -> DataFrame:

@@ -3,11 +3,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
 from quadlab.llm import components, line_dedup, near_dedup, passage_dedup, set_links
+from quadlab.llm.shingles import WordHashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __h string, __d long"
 
@@ -125,6 +127,30 @@ def test_paragraphs_hold_every_word_once(text):
     assert all(a[1] <= b[0] for a, b in zip(got, got[1:])) and all("\n" not in text[s:e] for s, e, _ in got)
 
 
+def test_texts_are_read_together_as_if_alone():
+    hashed = []
+
+    class Counted(WordHashes):
+        def of(self, words):
+            hashed.extend(words)
+            return super().of(words)
+
+    rng = np.random.default_rng(7)
+    texts = ["", " ", "\n\n", "é ü.\nB", "end.\n", *[" ".join(f"W{i}" for i in rng.integers(0, 90, n)) for n in (47, 48, 300, 2000)], "\n x", ""]
+    with np.errstate(over="ignore"):
+        w = passage_dedup.Words(texts, Counted())
+        assert len(hashed) == len(set(hashed)) == len({x for t in texts for x in t.lower().split()})
+        found, of = passage_dedup._Anchors().of(w)
+        for i, t in enumerate(texts):
+            alone = passage_dedup.Words([t], WordHashes())
+            part = slice(w.first[i], w.upto[i])
+            assert all(np.array_equal(getattr(w, f)[part], getattr(alone, f)) for f in ("h", "start", "end"))
+            b = w.bounds()
+            assert np.array_equal(np.unique(np.append(b[(b >= w.first[i]) & (b < w.upto[i])] - w.first[i], alone.n)), alone.bounds())
+            own = passage_dedup._Anchors().of(alone)[0]
+            assert all(np.array_equal(v[of == i], own[f]) for f, v in found.items())
+
+
 def test_repeated_passages_are_found_and_others_left(spark):
     rng = random.Random(3)
     own = [". ".join(" ".join(prose(rng, 9)) for _ in range(30)) + "." for _ in range(12)]
