@@ -2,7 +2,7 @@
 
 The rows are written once, with the columns that are needed. A first pass computes the ordinary aggregates and, with a mergeable
 sketch per value column, a bracket around each wanted rank; its result has one row per group. A second pass counts the rows below each
-bracket and in each of ``CELLS`` equal parts of it; a third orders only the distinct values of the part that the rank
+bracket, and those in each of ``CELLS`` equal parts of it, for which only rows inside a bracket are exploded; a third orders only the distinct values of the part that the rank
 falls in, about one in ten million of a large group's. No group is collected or brought into one task: the brackets of up to ``FEW_GROUPS`` groups are broadcast,
 those of more are repeated under ``SALTS`` salts. A group too small for its sketch to bracket a rank safely has the whole line as its bracket.
 """
@@ -84,20 +84,28 @@ def aggregate(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], percenti
         salted = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         return rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [*on, "__salt"]).drop("__salt")
 
-    # a row below a bracket only counts (cell -1); one above it is not needed
-    tags = []
+    # a row below a bracket only counts (cell -1); one above it is not needed. Beside broadcast brackets rows below are counted by a pass of their own, so that
+    # only the few rows inside a bracket are exploded; a shuffled join is not made once more for that
+    beside_all = beside(rows, bounds, keys)
+    tags, below, inside = [], [], F.lit(False)
     for i, s in enumerate(percentiles):
         lo, hi, n = (F.col(f"__b{i}.{f}") for f in ("lo", "hi", "n"))
+        under = F.lit(0)
         for v in s.values:
             v = v.cast("double")
             part = F.floor((v - lo) / (hi - lo) * CELLS)
             cell = F.when(v < lo, -1).when((hi == inf) | (lo == -inf) | (hi == lo), 0).otherwise(F.least(part, F.lit(CELLS - 1)))
-            tags.append(F.when(v <= hi, F.struct(F.lit(i).alias("i"), n.alias("n"), v.alias("v"), cell.cast("int").alias("cell"))))
-    tagged = beside(rows, bounds, keys).select(*keys, F.explode(F.array_compact(F.array(*tags))).alias("t")).select(*keys, "t.*")
+            needed = (v >= lo) & (v <= hi) if few else v <= hi
+            tags.append(F.when(needed, F.struct(F.lit(i).alias("i"), n.alias("n"), v.alias("v"), cell.cast("int").alias("cell"))))
+            under, inside = under + F.count_if(v < lo), inside | needed
+        below.append(F.struct(F.lit(i).alias("i"), F.min(n).alias("n"), F.lit(-1).alias("cell"), under.cast("bigint").alias("c")))
+    tagged = beside_all.where(inside).select(*keys, F.explode(F.array_compact(F.array(*tags))).alias("t")).select(*keys, "t.*")
     p = F.get(F.array(*[F.lit(s.p) for s in percentiles]), F.col("i"))
     cells = Window.partitionBy(*keys, "i").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    counted = (tagged.groupBy(*keys, "i", "n", "cell").agg(F.count("*").alias("c"))
-               .withColumns({"cum": F.sum("c").over(cells), "pos": (F.col("n") - 1) * p}))
+    counted = tagged.groupBy(*keys, "i", "n", "cell").agg(F.count("*").alias("c"))
+    if few:
+        counted = counted.unionByName(beside_all.groupBy(*keys).agg(F.array(*below).alias("t")).select(*keys, F.explode("t").alias("t")).select(*keys, "t.*").where("c > 0"))
+    counted = counted.withColumns({"cum": F.sum("c").over(cells), "pos": (F.col("n") - 1) * p})
     wanted = (counted.where((F.col("cum") > F.floor("pos")) & (F.col("cum") - F.col("c") <= F.ceil("pos")))
               .select(*keys, "i", "cell", "pos", (F.col("cum") - F.col("c")).alias("before")))
     hist = beside(tagged, wanted, [*keys, "i", "cell"]).groupBy(*keys, "i", "pos", "before", "v").agg(F.count("*").alias("c"))

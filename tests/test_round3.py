@@ -6,6 +6,8 @@ import re
 import sys
 import types
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401 - loads the catalog
@@ -128,3 +130,18 @@ def test_predictions_are_clipped_once(spark):
     """The clipped corners are a column, not repeated for each coordinate that is read."""
     df = QUERIES["job_18_new_candidates"](spark, "/root/testdata/sf0.001")
     assert df._jdf.queryExecution().optimizedPlan().toString().count("transform(") < 20
+
+
+@pytest.mark.parametrize("few", [10000, 0])
+def test_only_rows_inside_a_bracket_are_exploded(spark, monkeypatch, few):
+    monkeypatch.setattr(quantiles, "FEW_GROUPS", few)
+    rng = np.random.default_rng(5)
+    rows = [(f"g{i % 2}", float(x), float(y) if i % 5 else None) for i, (x, y) in enumerate(zip(rng.random(3000).round(3), rng.random(3000) * 2))]
+    specs = [quantiles.percentile("a", 0.05, "x"), quantiles.percentile("b", 0.95, "x", "y"), quantiles.percentile("c", 1.0, "y"), quantiles.percentile("d", 0.5, "y")]
+    out = quantiles.aggregate(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], [F.count("*").alias("n")], specs, accuracy=200)
+    for r in out.collect():
+        x, y = (np.array([t[k] for t in rows if t[0] == r.g and t[k] is not None]) for k in (1, 2))
+        want = np.percentile(x, 5), np.percentile(np.concatenate((x, y)), 95), y.max(), np.percentile(y, 50)
+        assert r.n == 1500 and np.allclose([r.a, r.b, r.c, r.d], want, rtol=0, atol=1e-12)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert bool(re.search(r"(Filter|Join Inner).*>= __b\d#\d+\.lo", plan)) == (few > 0)
