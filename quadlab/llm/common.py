@@ -59,4 +59,10 @@ def release(*tables: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     gc.collect()
     for df in tables[:1]:
-        df.sparkSession._jvm.System.gc()
+        clean(df)
+
+
+def clean(df: DataFrame) -> None:
+    """Let Spark's cleaner drop the shuffles and checkpoints of finished steps that nothing refers to any more."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()

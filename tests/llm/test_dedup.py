@@ -290,3 +290,23 @@ def test_lines_of_odd_rows(spark):
     assert line_dedup.remove_boilerplate(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         line_dedup.remove_boilerplate(docs.withColumnRenamed("source", "N_removed"))
+
+
+def test_stars_need_no_step(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(components, "cut", lambda df, f=components.cut: cuts.append(1) or f(df))
+    stars = spark.createDataFrame([(1, 5), (7, 1), (3, 9), (9, 3), (4, 4), (None, 2)], "a long, b long")
+    assert sorted(map(tuple, components.connected_components(stars).collect())) == [(1, 1), (3, 3), (5, 1), (7, 1), (9, 3)]
+    assert len(cuts) == 1
+
+
+def test_texts_are_numbered_in_the_order_of_copies(spark):
+    rows = [(None, 4), (-3, 8), (2**40, 1), (2**40, -1), (-3, 8)]
+    got = passage_dedup.numbered(spark.createDataFrame(rows, "doc_id long, th long").repartition(3)).collect()
+    assert sorted((r.no, r.doc_id, r.th) for r in got) == [(0, -3, 8), (1, 2**40, -1), (2, 2**40, 1), (3, None, 4)]
+
+
+def test_least_of_neighbours_is_the_last_of_equals():
+    x = np.random.default_rng(2).integers(0, 6, 200)
+    for n in (1, 2, 7, passage_dedup.GAP):
+        assert passage_dedup._last_least(x, n).tolist() == [max(range(i, i + n), key=lambda j: (-x[j], j)) for i in range(len(x) - n + 1)]
