@@ -7,7 +7,8 @@ lines of a file, or of part files in name order, and needs no global numbering.
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -30,7 +31,16 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], glob: str | None
             .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"),
                     F.col("_metadata.file_block_start").alias("at"))
             .select("file", "path", F.struct("file", "at", F.monotonically_increasing_id().alias("seq")).alias("ord"),
-                    F.regexp_replace("value", r"\r$", "").alias("line")))
+                    F.rtrim("value", F.lit("\r")).alias("line")))
+
+
+def _folder(path: Column) -> Column:
+    """Name of the folder a file lies in. Each line has a path, and a pattern that is searched in one tries every place to start."""
+    return F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+
+
+def _all(tests: Iterable[Column]) -> Column:
+    return reduce(Column.__and__, tests)
 
 
 def _tokens(line: Column) -> Column:
@@ -46,7 +56,7 @@ def _numbers(tokens: Column, start: int, n: int) -> Column:
 def read_split(spark: SparkSession, path: str | Sequence[str], strip_prefix: bool = True) -> DataFrame:
     """split, ord, name. A split is a text file, or a directory of part files, named after the split."""
     lines = read_lines(spark, path, "[!._]*")
-    parent = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    parent = _folder(F.col("path"))
     split = F.when(F.col("file").startswith("part-"), F.regexp_replace(parent, r"^\w+=", "")).otherwise(
         N.stem(F.col("file")))
     split = F.regexp_replace(split, r"\.txt$", "")
@@ -142,27 +152,28 @@ def parse_predictions(lines: DataFrame, mode: str = "strict") -> DataFrame:
     """
     # a line is split once and its numbers are read once, whatever refers to them
     rows = computed(lines, {"t": _tokens(F.col("line"))}, ["split", "source", "ord"]).where(F.get("t", F.lit(0)) != "")
-    rows = computed(rows, {"x": _numbers(F.col("t"), 4, 8)})
-    coords = F.col("x")
-    flag, conf = F.get("t", F.lit(1)), F.get("t", F.lit(2))
+    # eight columns, as Spark interprets functions over the items of an array
+    x = [F.col(f"__x{i}") for i in range(8)]
+    flag, conf = F.get("t", F.lit(1)), F.get("t", F.lit(2)).try_cast("double")
+    if mode == "lenient":
+        rows, flag, conf = rows.where(F.size("t") >= 3), F.coalesce(flag.try_cast("double").try_cast("int"), F.lit(0)), F.coalesce(conf, F.lit(0.0))
+    else:
+        rows, flag = rows.where(F.size("t") == 11), flag.try_cast("int")
+    rows = computed(rows, {"name": F.get("t", F.lit(0)), "detected": flag, "conf": conf} | {
+        f"__x{i}": F.get("t", F.lit(i + 3)).try_cast("double") for i in range(8)}, ["split", "source", "ord"])
+    coords = F.array(*x)
     if mode == "lenient":
-        rows = rows.where(F.size("t") >= 3).select(
-            "split", "source", "ord", F.get("t", F.lit(0)).alias("name"),
-            F.coalesce(flag.try_cast("double").try_cast("int"), F.lit(0)).alias("detected"),
-            F.coalesce(conf.try_cast("double"), F.lit(0.0)).alias("conf"),
-            F.when((F.size("t") >= 11) & F.forall(coords, lambda c: c.isNotNull()), coords).alias("coords"))
-        rows = rows.withColumn("coords", F.when(F.col("detected") == 1, F.col("coords")))
+        # fewer than eight numbers leave a null
+        coords = F.when((F.col("detected") == 1) & _all(c.isNotNull() for c in x), coords)
     else:
-        rows = rows.where(F.size("t") == 11).select(
-            "split", "source", "ord", F.get("t", F.lit(0)).alias("name"),
-            flag.try_cast("int").alias("detected"), conf.try_cast("double").alias("conf"), coords.alias("coords"))
-        rows = rows.where(F.col("detected").isNotNull() & F.col("conf").isNotNull() & is_finite_quad(F.col("coords")))
-        seen = (F.col("detected") == 1) & ~F.exists("coords", lambda c: c < 0)
+        rows = rows.where(F.col("detected").isNotNull() & F.col("conf").isNotNull() & _all(F.coalesce(F.abs(c) < float("inf"), F.lit(False)) for c in x))
+        seen = (F.col("detected") == 1) & _all(~(c < 0) for c in x)
         if mode == "strict":
-            rows = rows.withColumns({
-                "coords": F.when(seen, clip01(F.col("coords"))), "detected": seen.cast("int")})
+            coords = F.when(seen, F.array(*[F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) for c in x]))
+            rows = rows.withColumn("detected", seen.cast("int"))
         elif mode == "detected_only":
             rows = rows.where(seen)
+    rows = rows.select("split", "source", "ord", "name", "detected", "conf", coords.alias("coords"))
     return last_wins(rows, ["split", "source", "name"])
 
 
@@ -175,7 +186,7 @@ def last_wins(rows: DataFrame, keys: Sequence[str], ord_col: str = "ord") -> Dat
 def read_prediction_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``split, source, ord, line`` of files (or directories of part files) named ``<split>_<source>``."""
     lines = read_lines(spark, path, "[!._]*")
-    parent = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    parent = _folder(F.col("path"))
     key = N.stem(F.when(F.col("file").startswith("part-"), F.regexp_replace(parent, r"^\w+=", "")).otherwise(F.col("file")))
     return lines.select(F.substring_index(key, "_", 1).alias("split"),
                         F.regexp_extract(key, r"^[^_]+_(.*)$", 1).alias("source"), "ord", "line")
