@@ -26,7 +26,12 @@ def prediction_line(name: Column, detected: Column, conf: Column, coords: Column
     """Eleven tokens; eight -1 when undetected."""
     missing = F.array_repeat(F.lit(-1.0), 8)
     shown = F.when((detected == 1) & coords.isNotNull(), coords).otherwise(missing)
-    return F.format_string(f"%s %d %.6f {EIGHT}", name, detected, F.bround(conf, 6), *_eight(shown))
+    numbers = [F.bround(conf, 6), *_eight(shown)]
+    # decimals print the same digits as the formatter, which is slow, up to fifteen of them; it takes what is greater, null or no number
+    short = F.greatest(*[F.coalesce(F.abs(v), F.lit(float("inf"))) for v in numbers]) < 1e9
+    digits = [v.cast("decimal(16,6)").cast("string") for v in numbers]
+    return F.when(short, F.concat_ws(" ", *[F.coalesce(v.cast("string"), F.lit("null")) for v in (name, detected)], *digits)).otherwise(
+        F.format_string(f"%s %d %.6f {EIGHT}", name, detected, *numbers))
 
 
 def write_split(df: DataFrame, path: str, order: str = "ord") -> None:

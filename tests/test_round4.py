@@ -1,6 +1,9 @@
 """Faults of the fourth round, each on a few rows."""
 
+from pyspark.sql import functions as F
+
 from quadlab.sources.readers import parse_predictions, read_prediction_lines
+from quadlab.sources.writers import EIGHT, prediction_line
 
 
 def test_lines_are_read_without_a_search_in_their_path(spark, tmp_path):
@@ -31,3 +34,15 @@ def test_predictions_are_parsed_without_functions_over_items(spark, tmp_path):
     assert loose.keys() == set("abcde") and loose["d"] == (1, 0.0, quad) and loose["e"] == (1, 0.5, None)
     for mode in ("strict", "keep", "detected_only", "lenient"):
         assert "lambda" not in parse_predictions(lines, mode)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prediction_lines_need_no_formatter(spark):
+    """Decimals are the digits that the formatter prints; it is left to values that are great, missing or no numbers."""
+    values = [0.5, 5e-7, 1.5e-6, -1e-7, -0.0, 1 / 3, 0.1234565, -0.1234575, 999999999.9999995, 1e9, 1e18, float("nan"), float("-inf"), None]
+    rows = [("a", 1, v, [w] * 8) for v in values for w in values] + [(None, None, 0.5, [0.5] * 8), ("b", 0, 0.5, [0.5] * 8), ("c", 1, 0.5, None), ("d", 1, 0.5, [0.5] * 7)]
+    df = spark.createDataFrame(rows, "name string, detected int, conf double, coords array<double>")
+    shown = F.when((F.col("detected") == 1) & F.col("coords").isNotNull(), F.col("coords")).otherwise(F.array_repeat(F.lit(-1.0), 8))
+    want = F.format_string(f"%s %d %.6f {EIGHT}", "name", "detected", F.bround("conf", 6), *[F.bround(F.get(shown, F.lit(i)), 6) for i in range(8)])
+    out = df.select(prediction_line(*[F.col(c) for c in df.columns]).alias("line"), want.alias("want"))
+    assert [r for r in out.collect() if r.line != r.want] == []
+    assert "decimal(16,6)" in out._jdf.queryExecution().optimizedPlan().toString()
